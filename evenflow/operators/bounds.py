@@ -103,12 +103,14 @@ class Bounds:
         """Check against the reorder target as a minimum, without a ceiling."""
         return Bounds(self.categories, self.block, self.target, (self.block,) * len(self.floor), self.target)
 
-    def label_index(self, attr: str, unknown: str = "error") -> Column:
-        """Index of the row's category; an unknown one raises, or becomes null with ``unknown='drop'``."""
+    def known(self, attr: str) -> Column:
+        """Filter for rows whose category has bounds; apply it before positions are given."""
+        return F.col(attr).cast("string").isin(*self.categories)
+
+    def label_index(self, attr: str) -> Column:
+        """Index of the row's category; one without bounds raises."""
         text = F.col(attr).cast("string")
         index = F.array_position(F.array(*[F.lit(c) for c in self.categories]), text).cast("int") - 1
-        if unknown == "drop":
-            return F.when(index >= 0, index)
         return F.when(index >= 0, index).otherwise(
             F.raise_error(F.concat(F.lit("category not in the bounds: "), F.coalesce(text, F.lit("null"))))
         )
