@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from evenflow.operators.bounds import Bounds
 from evenflow.operators.monitor import check_window
@@ -29,8 +30,7 @@ from evenflow.session import ensure_checkpoint_dir
 EPISODE_ROWS = 10_000
 
 DELIVERED, EDIT, SUMMARY = "delivered", "edit", "summary"
-LOG_FIELDS = (("kind", "string"), ("number", "long"), ("rows", "array<long>"), ("labels", "array<int>"),
-              ("order", "array<int>"))
+LOG_FIELDS = "kind string, number bigint, rows array<bigint>, labels array<int>, `order` array<int>"
 
 
 @dataclass(frozen=True)
@@ -118,9 +118,7 @@ def stateful_repair(stream: OrderedStream, attr: str, bounds: Bounds, window: in
         raise ValueError(f"{primary} needs a block size that divides window + landmark")
     by = [*stream.keys, "episode"]
     narrow = _episodes(stream, episode_rows).select(*by, "row", bounds.label_index(attr).alias("g"))
-    schema = narrow.select(*by).schema
-    for name, kind in LOG_FIELDS:
-        schema = schema.add(name, kind)
+    schema = StructType(narrow.select(*by).schema.fields + StructType.fromDDL(LOG_FIELDS).fields)
     runner = _EpisodeRunner(
         by, to_arrow_schema(schema), bounds, window, landmark, primary, max_windows, log_edits
     )
