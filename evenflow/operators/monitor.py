@@ -87,8 +87,7 @@ def sliding_fair_count(stream: OrderedStream, attr: str, bounds: Bounds) -> Data
 def window_monitor(stream: OrderedStream, attr: str, bounds: Bounds, window: int) -> DataFrame:
     """Every window of W consecutive rows (slide 1): fair aligned blocks in it and whether all are fair."""
     blocks = check_window(window, bounds.block)
-    rows, classes, owned = sliding_counts(stream, attr, bounds, halo=window - 1)
-    strided = Window.partitionBy(*classes).orderBy(stream.pos)
+    rows, strided, owned = sliding_counts(stream, attr, bounds, halo=window - 1)
     counts = [F.col(n) for n in count_names(bounds)]
     verdict = rows.withColumn("_fair", bounds.block_is_fair(counts).cast("int"))
     last_blocks = F.sum("_fair").over(strided.rowsBetween(-(blocks - 1), 0))

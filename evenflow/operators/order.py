@@ -108,6 +108,14 @@ def _range_positions(df: DataFrame, keys: tuple[str, ...], order_by: Sequence[st
     )
 
 
+def spread(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Hash partitioning that keeps the configured number of partitions.
+
+    For CPU-bound Python steps over small rows: sizing partitions by bytes would leave them to a few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join that also matches null keys and keeps the left key columns once."""
     renamed = right.select(

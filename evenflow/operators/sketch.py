@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from evenflow.operators.bounds import Bounds
@@ -41,24 +41,27 @@ def backward_sketch(stream: OrderedStream, attr: str, bounds: Bounds, prefix: st
 
 def sliding_counts(
     stream: OrderedStream, attr: str, bounds: Bounds, halo: int
-) -> tuple[DataFrame, list[str], Column]:
-    """(rows with counts c0..cL of the block that ends there, residue-class columns, is-owned).
+) -> tuple[DataFrame, WindowSpec, Column]:
+    """(rows with counts c0..cL of the block that ends there, strided window, is-owned).
 
-    No O(block) frame: a block ending at e holds ``P(e) - P(e - s)`` and e - s is the previous row of the residue class
-    ``pos mod s``: one prefix sum and one ``lag`` inside a tile. The returned rows still carry their halo.
+    No O(block) frame: a block ending at e holds ``P(e) - P(e - s)``, and e - s is the row just before e when
+    a tile is sorted by (pos mod s, pos). The same order makes every s-th row adjacent, which is how windows
+    add up their blocks. The rows still carry their halo.
     """
     rows, parts, owned = stream.tiles(halo)
     along = Window.partitionBy(*parts).orderBy(stream.pos).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_residue", F.col(stream.pos) % F.lit(bounds.block))
-    names = count_names(bounds, "_p")
-    rows = rows.select("*", *[
-        F.sum(mark).over(along).alias(name)
-        for name, mark in zip(names, indicators(attr, bounds), strict=True)
-    ])
-    classes = [*parts, "_residue"]
-    step = Window.partitionBy(*classes).orderBy(stream.pos)
-    counted = rows.select("*", *[
-        (F.col(n) - F.coalesce(F.lag(n, 1).over(step), F.lit(0))).alias(count)
-        for n, count in zip(names, count_names(bounds), strict=True)
-    ])
-    return counted.drop(*names), classes, owned
+    prefix, counts = count_names(bounds, "_p"), count_names(bounds)
+    summed = rows.select(
+        "*", (F.col(stream.pos) % F.lit(bounds.block)).alias("_residue"),
+        *[F.sum(mark).over(along).alias(p) for p, mark in zip(prefix, indicators(attr, bounds), strict=True)],
+    )
+    strided = Window.partitionBy(*parts).orderBy("_residue", stream.pos)
+    before = summed.withColumns({
+        "_same": F.coalesce(F.lag("_residue", 1).over(strided) == F.col("_residue"), F.lit(False)),
+        **{f"{p}_lag": F.lag(p, 1).over(strided) for p in prefix},
+    })
+    counted = before.withColumns({
+        c: F.col(p) - F.when(F.col("_same"), F.col(f"{p}_lag")).otherwise(0)
+        for c, p in zip(counts, prefix, strict=True)
+    })
+    return counted.drop("_same", *prefix, *[f"{p}_lag" for p in prefix]), strided, owned

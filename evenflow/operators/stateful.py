@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 
 from evenflow.operators.bounds import Bounds
 from evenflow.operators.monitor import check_window
-from evenflow.operators.order import OrderedStream, int_div, null_safe_join
+from evenflow.operators.order import OrderedStream, int_div, null_safe_join, spread
 from evenflow.operators.repair import plan_templates, score_templates
 from evenflow.plans.episode import Edit, Episode
 from evenflow.plans.registry import strategy, template_function
@@ -122,7 +122,7 @@ def stateful_repair(stream: OrderedStream, attr: str, bounds: Bounds, window: in
     runner = _EpisodeRunner(
         by, to_arrow_schema(schema), bounds, window, landmark, primary, max_windows, log_edits
     )
-    log = narrow.repartition(*by).sortWithinPartitions(*by, "row").mapInArrow(runner, schema)
+    log = spread(narrow, by).sortWithinPartitions(*by, "row").mapInArrow(runner, schema)
     return RepairTrace(log, stream, attr, bounds, window, landmark, episode_rows)
 
 
@@ -192,7 +192,8 @@ def compare_strategies(trace: RepairTrace, strategies: Sequence[str]) -> DataFra
     ``before`` (the untouched chunk) is always part of the comparison.
     """
     names = ["before", *[s for s in strategies if s != "before"]]
-    return plan_templates(trace.chunks(), "labels", names, trace.bounds, trace.window, trace.landmark)
+    chunks = spread(trace.chunks(), [*trace.by, "edit_event"])
+    return plan_templates(chunks, "labels", names, trace.bounds, trace.window, trace.landmark)
 
 
 def strategy_metrics(trace: RepairTrace, strategies: Sequence[str], by: Sequence[str] | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 def pour(amount: int, room: np.ndarray) -> np.ndarray:
     """Fill ``room`` from the left with ``amount`` units."""
     room = np.maximum(room, 0)
-    return np.clip(amount - (np.cumsum(room) - room), 0, room)
+    return np.maximum(np.minimum(amount - (room.cumsum() - room), room), 0)
 
 
 def rank_desc(score: np.ndarray, among: np.ndarray) -> np.ndarray:

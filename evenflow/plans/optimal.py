@@ -8,6 +8,7 @@ forward for an exact tiling and backward from the cut-off tail otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,7 +42,11 @@ def tileable(counts: np.ndarray, blocks: int, floor: np.ndarray, ceiling: np.nda
 
 def longest_region(counts: np.ndarray, block: int, floor: np.ndarray, ceiling: np.ndarray) -> Region | None:
     """A region with q blocks is q*s .. q*s + s - 1 long, so the largest feasible q decides."""
-    for blocks in range(int(counts.sum()) // block, 0, -1):
+    sizes = np.arange(int(counts.sum()) // block, 0, -1)[:, None]
+    over = counts - sizes * floor
+    round_ups = np.where(ceiling > floor, np.minimum(sizes, over), 0).sum(axis=1)
+    possible = (over >= 0).all(axis=1) & (round_ups >= sizes[:, 0] * (block - int(floor.sum())))
+    for blocks in sizes[possible, 0].tolist():
         options = list(_regions(blocks, counts, block, floor, ceiling))
         if options:
             return max(options, key=lambda region: region.tail)  # the first of the longest
@@ -57,19 +62,18 @@ def longest_fair_length(counts: np.ndarray, block: int, floor: np.ndarray, ceili
     return region.blocks * block + region.tail if region else 0
 
 
-def _regions(blocks, counts, block, floor, ceiling):
+def _regions(blocks: int, counts: np.ndarray, block: int, floor: np.ndarray, ceiling: np.ndarray) -> Iterator[Region]:
     """Candidate regions with this many blocks, by how many categories give up a unit to the tail."""
     over = counts - blocks * floor
-    if (over < 0).any():
-        return
     loose = ceiling > floor
-    owed = blocks * (block - int(floor.sum()))
+    per_block = block - int(floor.sum())
+    owed = blocks * per_block
     cap = np.where(loose, np.minimum(blocks, over), 0)
     depth = over - floor                      # units that can be spent before the tail loses a floor item
     giving = np.minimum(cap, depth - 1)       # capacity left when a category keeps an extra for the tail
     able = np.flatnonzero(loose & (depth >= 1))
     by_cost = able[np.lexsort((able, (cap - giving)[able], (cap >= depth)[able]))]
-    for keepers in range(min(block - int(floor.sum()), len(able)) + 1):
+    for keepers in range(min(per_block, len(able)) + 1):
         room = cap.copy()
         room[by_cost[:keepers]] = giving[by_cost[:keepers]]
         if room.sum() < owed:
@@ -79,15 +83,18 @@ def _regions(blocks, counts, block, floor, ceiling):
         left = over - degrees
         if degrees.sum() < owed or (left < 0).any():
             continue
-        extras = np.flatnonzero(loose & (left > floor))[: block - int(floor.sum())].tolist()
-        base = np.minimum(floor, left - np.isin(np.arange(len(floor)), extras))
+        extras = np.flatnonzero(loose & (left > floor))[:per_block].tolist()
+        taken = np.zeros_like(left)
+        taken[extras] = 1
+        base = np.minimum(floor, left - taken)
         surplus = int(base.sum()) + len(extras) - (block - 1)
         if surplus > 0:                       # a tail is shorter than a block
             cut = pour(surplus, base)
             base, surplus = base - cut, surplus - int(cut.sum())
             extras = extras[: len(extras) - surplus]
         yield Region(blocks, degrees, base, extras)
-
+        if int(base.sum()) + len(extras) == block - 1:
+            return                            # no tail can be longer
 
 def extras_per_block(degrees: np.ndarray, blocks: int, per_block: int, loose: np.ndarray) -> list[np.ndarray]:
     """Round-ups of every block, the most needed categories first."""
