@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -35,3 +37,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="evenflow-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable on remote executors; a local session already shares the driver's path."""
+    if spark.sparkContext.master.startswith("local"):
+        return
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(tempfile.mkdtemp() + "/evenflow", "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)
