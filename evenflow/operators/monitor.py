@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evenflow.operators.bounds import Bounds
 from evenflow.operators.order import OrderedStream, int_div, null_safe_join, running_totals, with_stream_length
+from evenflow.operators.quantiles import exact_quantiles
 from evenflow.operators.sketch import backward_sketch, count_names, indicators, sliding_counts
 
 
@@ -224,14 +225,12 @@ def backward_blocks(stream: OrderedStream, attr: str, bounds: Bounds) -> DataFra
     )
 
 
-def latency_report(df: DataFrame, by: list[str], latency: str, windows_per_call: Column) -> DataFrame:
-    """Mean and 90th-percentile latency, and windows per second = windows per call / mean latency."""
-    return df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("calls"),
-        F.avg(latency).alias("mean_ms"),
-        F.percentile_approx(latency, 0.9, 10_000).alias("p90_ms"),
-        (F.first(windows_per_call) * 1000 / F.avg(latency)).alias("windows_per_second"),
-    )
+def latency_report(df: DataFrame, by: list[str], latency: str, windows_per_call: int) -> DataFrame:
+    """Mean and exact 90th-percentile latency, and windows per second = windows per call / mean latency."""
+    means = df.groupBy(*by).agg(F.count(latency).alias("calls"), F.avg(latency).alias("mean_ms"))
+    tail = exact_quantiles(df, by, latency, [(9, 10)]).select(*by, F.col("quantiles")[0].alias("p90_ms"))
+    joined = null_safe_join(means, tail, by) if by else means.crossJoin(F.broadcast(tail))  # one row per side
+    return joined.withColumn("windows_per_second", F.lit(windows_per_call) * (F.lit(1000) / F.col("mean_ms")))
 
 
 def chunk_scores(chunks: DataFrame, by: list[str], attr: str, bounds: Bounds, window: int,
