@@ -95,7 +95,7 @@ def summary(by: str, blocks: int) -> str:
       SELECT {k}count(*) AS windows, count(*) * {blocks} AS total_blocks,
              CAST(sum(fair_blocks) AS BIGINT) AS fair_blocks,
              CAST(sum(fair_blocks) AS BIGINT) * 100 / (count(*) * {blocks}) AS pct_fair,
-             count_if(is_fair) AS fair_windows, count_if(is_fair) * 100 / count(*) AS pct_fair_windows
+             count(*) FILTER (WHERE is_fair) AS fair_windows, count(*) FILTER (WHERE is_fair) * 100 / count(*) AS pct_fair_windows
       FROM win {group}"""
 
 
@@ -207,10 +207,10 @@ ORACLES["positions"] = f"WITH s AS ({EVENTS}) SELECT event_id, pos FROM s"
 ORACLES["positions_by_user"] = f"WITH s AS ({USERS}) SELECT user_id, event_id, pos FROM s"
 ORACLES["prefix_sketch"] = f"""
   WITH s AS ({EVENTS}) SELECT event_id, pos, {per_category(
-      "CAST(count_if(g = '{name}') OVER (ORDER BY pos) AS BIGINT)", EVENT_TYPES, "p")} FROM s"""
+      "CAST(count(*) FILTER (WHERE g = '{name}') OVER (ORDER BY pos) AS BIGINT)", EVENT_TYPES, "p")} FROM s"""
 ORACLES["suffix_sketch"] = f"""
   WITH s AS ({USERS}) SELECT user_id, event_id, pos, {per_category(
-      "CAST(count_if(g = '{name}') OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND "
+      "CAST(count(*) FILTER (WHERE g = '{name}') OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND "
       "UNBOUNDED FOLLOWING) AS BIGINT)", EVENT_TYPES, "b")} FROM s"""
 
 # -- monitoring ------------------------------------------------------------------------------------------------
@@ -229,7 +229,7 @@ def aligned(source: str, table: str, attr: str, block: int, keys: str = "", mode
     return f"""WITH s AS ({source}), {bounds_cte(table, attr, block, mode)},
       whole AS (SELECT {k}pos // {block} AS block FROM s GROUP BY ALL HAVING count(*) = {block}),
       tum AS (
-        SELECT {k}w.block, b.g AS cat, b.gidx, b.lo, b.hi, count_if(s.g = b.g) AS c
+        SELECT {k}w.block, b.g AS cat, b.gidx, b.lo, b.hi, count(*) FILTER (WHERE s.g = b.g) AS c
         FROM whole w JOIN s ON s.pos // {block} = w.block {f'AND s.{keys} = w.{keys}' if keys else ''}
         CROSS JOIN bnd b GROUP BY ALL
       ) """.replace(f"SELECT {k}w.block", f"SELECT {'w.' + keys + ', ' if keys else ''}w.block")
@@ -257,7 +257,7 @@ ORACLES["sliding_blocks"] = f"""
   SELECT pos - 29 AS block_start, {counts_of(['A', 'N', 'R'])}, bool_and(c BETWEEN lo AND hi) AS is_fair
   FROM cnt GROUP BY pos"""
 ORACLES["sliding_fair_count"] = user_windows() + """
-  SELECT user_id, count(*) AS sliding_blocks, count_if(fair) AS fair_blocks FROM blk GROUP BY 1"""
+  SELECT user_id, count(*) AS sliding_blocks, count(*) FILTER (WHERE fair) AS fair_blocks FROM blk GROUP BY 1"""
 ORACLES["backward_blocks"] = aligned(EVENTS, "events", "event_type", S, mode="floor_only") + """
   SELECT block, bool_and(c >= lo) AS is_fair FROM tum GROUP BY block"""
 ORACLES["hopping_windows"] = event_windows() + "SELECT * FROM win WHERE (window_number - 1) % 7 = 0"
@@ -266,8 +266,8 @@ ORACLES["hopping_summary"] = user_windows("floor_only") + f"""
   covered AS (SELECT DISTINCT user_id, start + j * {USER_S} AS block_start
               FROM hop, range({USER_W // USER_S}) AS steps(j))
   SELECT user_id, windows, fair_windows, distinct_blocks, fair_distinct_blocks FROM
-    (SELECT user_id, count(*) AS windows, count_if(is_fair) AS fair_windows FROM hop GROUP BY 1)
-    JOIN (SELECT c.user_id, count(*) AS distinct_blocks, count_if(b.fair) AS fair_distinct_blocks
+    (SELECT user_id, count(*) AS windows, count(*) FILTER (WHERE is_fair) AS fair_windows FROM hop GROUP BY 1)
+    JOIN (SELECT c.user_id, count(*) AS distinct_blocks, count(*) FILTER (WHERE b.fair) AS fair_distinct_blocks
           FROM covered c JOIN blk b ON b.user_id = c.user_id AND b.pos = c.block_start + {USER_S - 1} GROUP BY 1)
     USING (user_id)"""
 ORACLES["monitor_running"] = event_windows() + f"""
@@ -310,7 +310,7 @@ CHUNKED = f"""s AS ({EVENTS}),
   chunked AS (SELECT pos // {SIZE} AS chunk, pos % {SIZE} AS place, g, event_id FROM s
               WHERE pos // {SIZE} < (SELECT count(*) // {SIZE} FROM s)),
   {bounds_cte('events', 'event_type', S)},
-  tally AS (SELECT chunk, gidx, b.g, tgt0 AS tgt, lo0, hi0, count_if(c.g = b.g) AS n
+  tally AS (SELECT chunk, gidx, b.g, tgt0 AS tgt, lo0, hi0, count(*) FILTER (WHERE c.g = b.g) AS n
             FROM chunked c CROSS JOIN bnd b GROUP BY ALL)"""
 ORACLES["repair_keeps_rows"] = f"""
   WITH {CHUNKED}
@@ -521,7 +521,7 @@ ORACLES["wilcoxon_exact"] = f"""
   signs AS (SELECT list_sum(list_transform(range(1, n_nonzero + 1), lambda r: r * ((mask >> (r - 1)) & 1))) AS rank_sum,
                    w_plus FROM w, range(1024) AS masks(mask))
   SELECT metric, n_nonzero, w_plus,
-         round((SELECT least(1.0, 2 * least(count_if(rank_sum <= w_plus), count_if(rank_sum >= w_plus)) / 1024)
+         round((SELECT least(1.0, 2 * least(count(*) FILTER (WHERE rank_sum <= w_plus), count(*) FILTER (WHERE rank_sum >= w_plus)) / 1024)
                 FROM signs), 9) AS wilcoxon_p FROM w"""
 GRID_ROWS = " UNION ALL ".join(
     f'SELECT {w} AS "window", {s} AS block, {x} AS landmark, * FROM ({run_windows(2, w, s)} {summary("run_id", w // s)})'
