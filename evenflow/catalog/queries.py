@@ -534,10 +534,8 @@ def run_metrics(spark, folder, runs=10) -> DataFrame:
     """Fair blocks and windows of seeded runs under three ways to judge a block, as a long metric table."""
     stream, bounds = seeded_events(spark, folder, runs), event_bounds(spark, folder, USER_S)
     judged = {"two_sided": bounds, "floor_only": bounds.floor_only(), "target_floor": bounds.target_as_floor()}
-    wide = tables.union_all([
-        monitor.monitor_summary(stream, "event_type", b, USER_W).withColumn("strategy", F.lit(name))
-        for name, b in judged.items()
-    ])
+    wide = monitor.monitor_summaries(stream, "event_type", {name: (b, USER_W) for name, b in judged.items()})
+    wide = wide.withColumnRenamed("case", "strategy")
     return stats.unpivot_metrics(wide, ["run_id", "strategy"], ["fair_blocks", "fair_windows"])
 
 
@@ -566,10 +564,9 @@ def _(spark, folder):
 def run_pairs(spark, folder) -> DataFrame:
     """Two run metrics paired by run: one value per run and side."""
     stream, bounds = seeded_events(spark, folder, 10), event_bounds(spark, folder, USER_S)
-    narrow = monitor.monitor_summary(stream, "event_type", bounds, USER_W)
-    wide = monitor.monitor_summary(stream, "event_type", bounds, 2 * USER_W)
-    sides = narrow.select("run_id", F.col("pct_fair").alias("base")).join(
-        wide.select("run_id", F.col("pct_fair").alias("other")), "run_id")
+    cases = {"base": (bounds, USER_W), "other": (bounds, 2 * USER_W)}
+    sides = monitor.monitor_summaries(stream, "event_type", cases).groupBy("run_id").agg(*[
+        F.max(F.when(F.col("case") == c, F.col("pct_fair"))).alias(c) for c in cases])
     return sides.select(F.lit("pct_fair").alias("metric"), "base", "other")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenflow.operators.bounds import Bounds
-from evenflow.operators.monitor import monitor_summary
+from evenflow.operators.monitor import monitor_summaries
 from evenflow.operators.order import OrderedStream
 from evenflow.operators.prep import valid_config
 from evenflow.operators.stateful import EPISODE_ROWS, stateful_repair, strategy_metrics
@@ -72,11 +72,23 @@ def _tagged(df: DataFrame, config: tuple[int, int, int]) -> DataFrame:
 
 def monitor_grid(stream: OrderedStream, attr: str, counts: Mapping[str, int],
                  configs: Sequence[tuple[int, int, int]], max_windows: int | None = None) -> DataFrame:
-    """Monitor summary of every configuration and run as one job; all points share the stream's shuffle."""
-    return _union(
-        _tagged(monitor_summary(stream, attr, Bounds.from_counts(counts, s), w, max_windows), (w, s, x))
-        for w, s, x in configs
-    )
+    """Monitor summary of every configuration and run as one job.
+
+    Block counts depend only on the block size, so all windows of one block size share a pass; the look-ahead
+    does not touch monitoring and only labels the rows.
+    """
+    parts = []
+    for block in sorted({s for _, s, _ in configs}):
+        windows = sorted({w for w, s, _ in configs if s == block})
+        bounds = Bounds.from_counts(counts, block)
+        shared = monitor_summaries(stream, attr, {str(w): (bounds, w) for w in windows}, max_windows)
+        points = F.array(*[
+            F.struct(F.lit(w).alias("window"), F.lit(s).alias("block"), F.lit(x).alias("landmark"))
+            for w, s, x in configs if s == block
+        ])
+        matched = shared.withColumn("_c", F.explode(points)).where(F.col("case") == F.col("_c.window").cast("string"))
+        parts.append(matched.select("_c.*", *[c for c in shared.columns if c != "case"]))
+    return _union(parts)
 
 
 def repair_grid(stream: OrderedStream, attr: str, counts: Mapping[str, int],

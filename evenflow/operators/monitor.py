@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -155,6 +156,48 @@ def monitor_summary(stream: OrderedStream, attr: str, bounds: Bounds, window: in
     return summarize_windows(seen, list(stream.keys), check_window(window, bounds.block))
 
 
+def monitor_summaries(stream: OrderedStream, attr: str, cases: Mapping[str, tuple[Bounds, int]],
+                      max_windows: int | None = None) -> DataFrame:
+    """``monitor_summary`` of several (bounds, window) cases that share categories and block size.
+
+    Blocks are counted once; every case adds only a verdict and one strided sum, and all of them are summed up
+    in the same aggregate. Columns: keys, ``case``, and the summary.
+    """
+    some = next(iter(cases.values()))[0]
+    if any((b.block, b.categories) != (some.block, some.categories) for b, _ in cases.values()):
+        raise ValueError("cases must share categories and block size")
+    widest = max(window for _, window in cases.values())
+    rows, strided, owned = sliding_counts(stream, attr, some, halo=widest - 1)
+    counts = [F.col(n) for n in count_names(some)]
+    verdicts = rows.withColumns({
+        f"_v{i}": b.block_is_fair(counts).cast("int") for i, (b, _) in enumerate(cases.values())
+    })
+    summed = verdicts.withColumns({
+        f"_f{i}": F.sum(f"_v{i}").over(strided.rowsBetween(1 - check_window(w, b.block), 0))
+        for i, (b, w) in enumerate(cases.values())
+    }).where(owned)
+    sums = []
+    for i, (b, w) in enumerate(cases.values()):
+        seen = F.col(stream.pos) >= w - 1
+        if max_windows is not None:
+            seen = seen & (F.col(stream.pos) < w - 1 + max_windows)
+        sums += [
+            F.count_if(seen).alias(f"_n{i}"), F.sum(F.when(seen, F.col(f"_f{i}"))).alias(f"_s{i}"),
+            F.count_if(seen & (F.col(f"_f{i}") == w // b.block)).alias(f"_w{i}"),
+        ]
+    totals = summed.groupBy(*stream.keys).agg(*sums)
+    long = totals.select(*stream.keys, F.inline(F.array(*[
+        F.struct(F.lit(name).alias("case"), F.lit(w // b.block).alias("_blocks"), F.col(f"_n{i}").alias("windows"),
+                 F.col(f"_s{i}").alias("fair_blocks"), F.col(f"_w{i}").alias("fair_windows"))
+        for i, (name, (b, w)) in enumerate(cases.items())
+    ]))).where("windows > 0")
+    return long.select(
+        *stream.keys, "case", "windows", (F.col("windows") * F.col("_blocks")).alias("total_blocks"), "fair_blocks",
+        (F.col("fair_blocks") * 100 / (F.col("windows") * F.col("_blocks"))).alias("pct_fair"),
+        "fair_windows", (F.col("fair_windows") * 100 / F.col("windows")).alias("pct_fair_windows"),
+    )
+
+
 def summarize_windows(windows: DataFrame, by: list[str], blocks: int) -> DataFrame:
     totals = windows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("windows"),

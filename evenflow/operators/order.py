@@ -6,7 +6,7 @@ with a 0-based dense position inside each stream key. Two ways lead there:
 * ``window``  -- one ``row_number`` per key. Right when every key is small, which is *checked* first.
 * ``range``   -- rows are range-partitioned on (keys, order), so a key that holds most of the table is
   spread over many tasks; local ranks plus per-partition offsets give the position. The ranked rows are
-  checkpointed once, so that ranks and offsets come from the same partitioning even after a lost executor.
+  written once, so that ranks and offsets come from the same partitioning even after a lost executor.
 
 Operators that look back over rows (blocks, windows) never sort a whole key: positions are cut into tiles,
 and each tile is given a halo of the rows just before it.
@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenflow.session import ensure_checkpoint_dir
+from evenflow.session import materialize
 
 #: Largest stream key that a single task may rank on its own.
 MAX_ROWS_PER_TASK = 1_000_000
@@ -87,14 +87,12 @@ def ordered_stream(
 
 
 def _range_positions(df: DataFrame, keys: tuple[str, ...], order_by: Sequence[str], pos: str) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
     by = [*keys, *order_by]
-    seats = (
+    seats = materialize(
         df.repartitionByRange(*by)
         .sortWithinPartitions(*by)
         .withColumn("_seat", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_seat", 33))
-        .checkpoint()
     )
     stretch = seats.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_seat").alias("_first"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -80,32 +80,32 @@ def chunk_counts(bounds: Bounds) -> Column:
     return F.array(*[count(i) for i in range(len(bounds.categories))])
 
 
-def template_column(labels: Column, name: str, bounds: Bounds, window: int, landmark: int) -> Column:
-    """The planner's template for the labels of a chunk; count-based plans are remembered per task."""
-    chosen = strategy(name)
-    if chosen.needs_whole_blocks and (window + landmark) % bounds.block:
-        raise ValueError(f"{name} needs a block size that divides window + landmark")
-    if name == "before":
-        return labels
-
-    @F.pandas_udf("array<int>")
-    def plan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        template = template_function(name, bounds, window)
-        for series in batches:
-            yield series.map(template)
-
-    return plan(labels)
-
-
 def plan_templates(df: DataFrame, labels: str, strategies: Sequence[str], bounds: Bounds, window: int,
                    landmark: int) -> DataFrame:
-    """One row per input row and strategy, with its ``strategy`` and ``template``."""
-    planned = df.withColumns({
-        f"_t_{n}": template_column(F.col(labels), n, bounds, window, landmark) for n in strategies
-    })
-    return planned.withColumn("_s", F.explode(F.array(*[
-        F.struct(F.lit(n).alias("strategy"), F.col(f"_t_{n}").alias("template")) for n in strategies
-    ]))).select(*df.columns, "_s.strategy", "_s.template")
+    """One row per input row and strategy, with its ``strategy`` and ``template``.
+
+    All strategies of a chunk are planned by one Arrow UDF; plans that depend on counts only are remembered
+    per task. The untouched order needs no planner.
+    """
+    for name in strategies:
+        if strategy(name).needs_whole_blocks and (window + landmark) % bounds.block:
+            raise ValueError(f"{name} needs a block size that divides window + landmark")
+    planned = [n for n in strategies if n != "before"]
+
+    def plan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        makers = [template_function(n, bounds, window) for n in planned]
+        for series in batches:
+            yield series.map(lambda chunk: [make(chunk) for make in makers])
+
+    sides = []
+    if "before" in strategies:
+        sides.append(F.array(F.struct(F.lit("before").alias("strategy"), F.col(labels).alias("template"))))
+    if planned:
+        df = df.withColumn("_plans", F.pandas_udf(plan, "array<array<int>>")(F.col(labels)))
+        names = F.array(*[F.lit(n) for n in planned])
+        sides.append(F.zip_with(names, "_plans", lambda n, t: F.struct(n.alias("strategy"), t.alias("template"))))
+    keep = [c for c in df.columns if c != "_plans"]
+    return df.select(*keep, F.explode(F.concat(*sides)).alias("_s")).select(*keep, "_s.strategy", "_s.template")
 
 
 def repair_chunks(chunks: Chunks, strategies: Sequence[str] = ("optimal",)) -> DataFrame:

@@ -24,7 +24,7 @@ from evenflow.operators.order import OrderedStream, int_div, null_safe_join, spr
 from evenflow.operators.repair import plan_templates, score_templates
 from evenflow.plans.episode import Edit, Episode
 from evenflow.plans.registry import strategy, template_function
-from evenflow.session import ensure_checkpoint_dir
+from evenflow.session import materialize
 
 #: Rows per run; with the usual 5,000 windows and W+X of at most 2,500 a run reads fewer rows than this.
 EPISODE_ROWS = 10_000
@@ -54,10 +54,9 @@ class RepairTrace:
     def by(self) -> list[str]:
         return [*self.stream.keys, "episode"]
 
-    def checkpointed(self) -> RepairTrace:
+    def materialized(self) -> RepairTrace:
         """The same trace, computed once: it is narrow, costs Python time and is read more than once."""
-        ensure_checkpoint_dir(self.df.sparkSession)
-        return replace(self, df=self.df.checkpoint())
+        return replace(self, df=materialize(self.df))
 
     def delivered(self, payload: Sequence[str] = ()) -> DataFrame:
         """Every row of the stream with its final place in the episode; wide columns are joined in the JVM."""
@@ -202,7 +201,7 @@ def strategy_metrics(trace: RepairTrace, strategies: Sequence[str], by: Sequence
     The run report counts the blocks of every check and of every edited chunk (so a trigger window counts
     twice), and adds already fair windows to the *before* side only.
     """
-    trace = trace.checkpointed()
+    trace = trace.materialized()
     by = list(trace.by if by is None else by)
     bounds, window, landmark = trace.bounds, trace.window, trace.landmark
     blocks = check_window(window, bounds.block)

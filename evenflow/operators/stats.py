@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from evenflow.functions.pvalues import signed_rank_p, student_t_p
 from evenflow.operators.order import null_safe_join
 from evenflow.operators.quantiles import medians, value_ranks
-from evenflow.session import ensure_checkpoint_dir
+from evenflow.session import materialize
 
 #: Up to this many pairs without ties or zeros the signed-rank p-value is exact.
 EXACT_PAIRS = 50
@@ -26,12 +26,6 @@ def _join(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inne
     return null_safe_join(left, right, by, how)
 
 
-def _once(df: DataFrame) -> DataFrame:
-    """Narrow input that several aggregates read: compute it once."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def unpivot_metrics(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """Wide metric columns to (keys, metric, value)."""
     wide = df.select(*keys, *[F.col(m).cast("double").alias(m) for m in metrics])
@@ -40,7 +34,7 @@ def unpivot_metrics(df: DataFrame, keys: Sequence[str], metrics: Sequence[str])
 
 def describe(df: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
     """n, mean, median, mode (smallest on ties) with a several-modes flag, and sample deviation."""
-    df = _once(df.select(*by, F.col(value).cast("double").alias(value)))
+    df = materialize(df.select(*by, F.col(value).cast("double").alias(value)))
     basics = df.groupBy(*by).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"),
         F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"),
@@ -107,7 +101,7 @@ def wilcoxon(df: DataFrame, by: Sequence[str], base: str, other: str) -> DataFra
 
 def paired_summary(df: DataFrame, by: Sequence[str], base: str, other: str) -> DataFrame:
     """n, mean, median, deviation of both sides, change, paired t and Wilcoxon. Equal sides give p = 1."""
-    df = _once(df.select(*by, base, other))
+    df = materialize(df.select(*by, base, other))
     sides = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[
         x for c in (base, other)
         for x in (F.avg(c).alias(f"{c}_mean"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"{c}_std"))
@@ -138,7 +132,7 @@ def significance(metrics: DataFrame, by: Sequence[str], primary: str, run: str =
     keys = [*by, run, "metric"]
     best = metrics.where(F.col(strategy) == primary).select(*keys, F.col("value").alias("primary_value"))
     rest = metrics.where(F.col(strategy) != primary).select(*keys, strategy, F.col("value").alias("base_value"))
-    pairs = _once(null_safe_join(rest, best, keys))
+    pairs = materialize(null_safe_join(rest, best, keys))
     groups = [*by, strategy, "metric"]
     means = pairs.groupBy(*groups).agg(
         F.avg("base_value").alias("base_mean"), F.avg("primary_value").alias("primary_mean")

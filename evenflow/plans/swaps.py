@@ -11,8 +11,9 @@ import numpy as np
 
 def _shortage(labels: np.ndarray, block: int, target: np.ndarray) -> np.ndarray:
     """(blocks x categories) missing labels of the aligned blocks."""
-    grid = labels[: len(labels) // block * block].reshape(-1, block)
-    return np.maximum(target - (grid[:, :, None] == np.arange(len(target))).sum(axis=1), 0)
+    blocks, kinds = len(labels) // block, len(target)
+    cells = np.repeat(np.arange(blocks) * kinds, block) + labels[: blocks * block]
+    return np.maximum(target - np.bincount(cells, minlength=blocks * kinds).reshape(blocks, kinds), 0)
 
 
 def internal_swap(labels: np.ndarray, window: int, block: int, target: np.ndarray, visit: np.ndarray) -> np.ndarray:
