@@ -431,7 +431,10 @@ def _(spark, folder):
 
 @query("chunk_scores")
 def _(spark, folder):
-    return monitor.score_totals(chunk_plan_scores(spark, folder, ["before", *CHUNK_STRATEGIES]), ["strategy"])
+    chunks = event_chunks(spark, folder)
+    labelled = chunks.df.select(*chunks.by, repair.chunk_labels().alias("labels"))
+    scores = repair.plan_scores(labelled, "labels", ["before", *CHUNK_STRATEGIES], chunks.bounds, W, X)
+    return monitor.score_totals(scores.withColumn("total_blocks", F.col("windows") * (W // S)), ["strategy"])
 
 
 def chunk_plan_scores(spark, folder, strategies) -> DataFrame:

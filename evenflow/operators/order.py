@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from evenflow.session import materialize
 
 #: Largest stream key that a single task may rank on its own.
-MAX_ROWS_PER_TASK = 1_000_000
+MAX_ROWS_PER_TASK = 250_000
 #: Rows of one stream key handled by one window task (the halo comes on top).
 TILE_ROWS = 1 << 17
 

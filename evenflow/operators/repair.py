@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from evenflow.operators.bounds import Bounds
 from evenflow.operators.monitor import check_window, chunk_scores
-from evenflow.operators.order import OrderedStream, int_div
+from evenflow.operators.order import OrderedStream, int_div, spread
+from evenflow.plans.labels import fair_blocks_per_window
 from evenflow.plans.optimal import longest_fair_length
 from evenflow.plans.registry import strategy, template_function
 
@@ -80,6 +81,12 @@ def chunk_counts(bounds: Bounds) -> Column:
     return F.array(*[count(i) for i in range(len(bounds.categories))])
 
 
+def _check_lengths(strategies: Sequence[str], bounds: Bounds, window: int, landmark: int) -> None:
+    for name in strategies:
+        if strategy(name).needs_whole_blocks and (window + landmark) % bounds.block:
+            raise ValueError(f"{name} needs a block size that divides window + landmark")
+
+
 def plan_templates(df: DataFrame, labels: str, strategies: Sequence[str], bounds: Bounds, window: int,
                    landmark: int) -> DataFrame:
     """One row per input row and strategy, with its ``strategy`` and ``template``.
@@ -87,9 +94,7 @@ def plan_templates(df: DataFrame, labels: str, strategies: Sequence[str], bounds
     All strategies of a chunk are planned by one Arrow UDF; plans that depend on counts only are remembered
     per task. The untouched order needs no planner.
     """
-    for name in strategies:
-        if strategy(name).needs_whole_blocks and (window + landmark) % bounds.block:
-            raise ValueError(f"{name} needs a block size that divides window + landmark")
+    _check_lengths(strategies, bounds, window, landmark)
     planned = [n for n in strategies if n != "before"]
 
     def plan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -108,6 +113,37 @@ def plan_templates(df: DataFrame, labels: str, strategies: Sequence[str], bounds
     return df.select(*keep, F.explode(F.concat(*sides)).alias("_s")).select(*keep, "_s.strategy", "_s.template")
 
 
+def plan_scores(df: DataFrame, labels: str, strategies: Sequence[str], bounds: Bounds, window: int,
+                landmark: int) -> DataFrame:
+    """Like planning and then ``score_templates``, but the templates are scored where they were made.
+
+    Columns: those of ``df`` without the labels, ``strategy``, ``windows``, ``fair_blocks``, ``fair_windows`` and
+    ``changed``. Nothing is exploded, sorted or shuffled.
+    """
+    _check_lengths(strategies, bounds, window, landmark)
+    floor, ceiling, blocks = np.array(bounds.floor), np.array(bounds.ceiling), window // bounds.block
+
+    def score(before: np.ndarray, after: np.ndarray) -> list[int]:
+        fair = fair_blocks_per_window(after, window, bounds.block, floor, ceiling)
+        return [len(fair), int(fair.sum()), int((fair == blocks).sum()), int((before != after).sum())]
+
+    def plan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        makers = [template_function(n, bounds, window) for n in strategies]
+        for series in batches:
+            yield series.map(lambda chunk: [score(chunk, make(chunk)) for make in makers])
+
+    scored = df.withColumn("_scores", F.pandas_udf(plan, "array<array<int>>")(F.col(labels)))
+    named = scored.select(
+        *[c for c in df.columns if c != labels],
+        F.explode(F.arrays_zip(F.array(*[F.lit(n) for n in strategies]).alias("strategy"),
+                               F.col("_scores").alias("score"))).alias("_s"),
+    )
+    return named.select(*[c for c in named.columns if c != "_s"], "_s.strategy", *[
+        F.col("_s.score")[i].cast("long").alias(name)
+        for i, name in enumerate(("windows", "fair_blocks", "fair_windows", "changed"))
+    ])
+
+
 def repair_chunks(chunks: Chunks, strategies: Sequence[str] = ("optimal",)) -> DataFrame:
     """Rows of every chunk in repaired order, one copy per strategy.
 
@@ -129,7 +165,11 @@ def repair_chunks(chunks: Chunks, strategies: Sequence[str] = ("optimal",)) -> D
 
 
 def score_templates(plans: DataFrame, by: Sequence[str], labels: str, bounds: Bounds, window: int) -> DataFrame:
-    """Score planned chunks over their X+1 windows and count the places whose label changed."""
+    """Score planned chunks over their X+1 windows and count the places whose label changed.
+
+    Chunks are shuffled as arrays; the exploded rows then stay where they are for both window passes.
+    """
+    plans = spread(plans, [*by, "strategy"])
     changed = F.size(F.filter(F.zip_with(labels, "template", lambda a, b: a != b), lambda x: x))
     rows = plans.select(*by, "strategy", changed.alias("changed"), F.posexplode("template").alias("_place", "_g"))
     named = rows.withColumn("_category", category_of(F.col("_g"), bounds))

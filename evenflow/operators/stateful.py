@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 from evenflow.operators.bounds import Bounds
 from evenflow.operators.monitor import check_window
 from evenflow.operators.order import OrderedStream, int_div, null_safe_join, spread
-from evenflow.operators.repair import plan_templates, score_templates
+from evenflow.operators.repair import plan_scores, plan_templates
 from evenflow.plans.episode import Edit, Episode
 from evenflow.plans.registry import strategy, template_function
 from evenflow.session import materialize
@@ -191,8 +191,7 @@ def compare_strategies(trace: RepairTrace, strategies: Sequence[str]) -> DataFra
     ``before`` (the untouched chunk) is always part of the comparison.
     """
     names = ["before", *[s for s in strategies if s != "before"]]
-    chunks = spread(trace.chunks(), [*trace.by, "edit_event"])
-    return plan_templates(chunks, "labels", names, trace.bounds, trace.window, trace.landmark)
+    return plan_templates(trace.chunks(), "labels", names, trace.bounds, trace.window, trace.landmark)
 
 
 def strategy_metrics(trace: RepairTrace, strategies: Sequence[str], by: Sequence[str] | None = None) -> DataFrame:
@@ -205,8 +204,9 @@ def strategy_metrics(trace: RepairTrace, strategies: Sequence[str], by: Sequence
     by = list(trace.by if by is None else by)
     bounds, window, landmark = trace.bounds, trace.window, trace.landmark
     blocks = check_window(window, bounds.block)
-    plans = compare_strategies(trace, strategies)
-    after = score_templates(plans, [*trace.by, "edit_event"], "labels", bounds, window).groupBy(*by, "strategy").agg(
+    names = ["before", *[s for s in strategies if s != "before"]]
+    scores = plan_scores(trace.chunks(), "labels", names, bounds, window, landmark)
+    after = scores.groupBy(*by, "strategy").agg(
         *[F.sum(c).alias(c) for c in ("windows", "fair_blocks", "fair_windows")],
         F.sum("changed").alias("total_swaps"),
     )

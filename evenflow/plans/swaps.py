@@ -6,6 +6,8 @@ gave something away.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 
@@ -53,31 +55,40 @@ def greedy_swap(labels: np.ndarray, window: int, block: int, target: np.ndarray,
     target = np.asarray(target)
     labels = internal_swap(labels, window, block, target, visit)
     inside, landmark = labels[:window], labels[window:]
-    shifts = np.arange(len(landmark) + 1)
-    for _ in shifts if len(landmark) else ():
+    if not len(landmark):
+        return labels
+    grid, weight = _shifted_grid(window, block, len(landmark), weighted)
+    stock = np.bincount(landmark, minlength=len(target))
+    for _ in range(len(landmark) + 1):
         short = _shortage(inside, block, target)
         unfair = np.flatnonzero(short.any(axis=1))
         if not len(unfair):
             break
-        start = int(unfair[0]) * block
-        available = np.isin(visit, landmark) & (short[unfair[0]][visit] > 0)
-        if not available.any():
+        wanted = visit[(short[unfair[0]][visit] > 0) & (stock[visit] > 0)]
+        if not len(wanted):
             break
-        cat = visit[available][0]
+        cat, start = wanted[0], int(unfair[0]) * block
         slots = start + np.flatnonzero(inside[start:start + block] != cat)
-        score = _slot_scores(inside == cat, slots, shifts, block, int(target[cat]), weighted)
-        slot, giver = slots[np.argmax(score)], np.flatnonzero(landmark == cat)[-1]
+        missing = _missing_from(inside == cat, block, int(target[cat]))
+        slot = slots[np.argmax(missing[grid[slots]] @ weight)]
+        giver = np.flatnonzero(landmark == cat)[-1]
+        stock[cat] -= 1
+        stock[inside[slot]] += 1
         inside[slot], landmark[giver] = landmark[giver], inside[slot]
     return labels
 
 
-def _slot_scores(hits: np.ndarray, slots: np.ndarray, shifts: np.ndarray, block: int, need: int,
-                 weighted: bool) -> np.ndarray:
-    """Summed shortage of the block around each slot under every shift of the block grid."""
+@lru_cache(maxsize=16)
+def _shifted_grid(window: int, block: int, landmark: int, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(start of the block around every slot under every shift of the block grid, weight per shift)."""
+    shifts, slots = np.arange(landmark + 1), np.arange(window)[:, None]
+    starts = shifts + np.maximum((slots - shifts) // block, 0) * block
+    return np.minimum(starts, window), (landmark - shifts if weighted else np.ones_like(shifts))
+
+
+def _missing_from(hits: np.ndarray, block: int, need: int) -> np.ndarray:
+    """Shortage of the block that starts at each place; zero where a block would leave the window."""
     seen = np.concatenate([[0], np.cumsum(hits)])
-    missing = np.maximum(need - (seen[block:] - seen[:-block]), 0)
-    starts = shifts + np.maximum((slots[:, None] - shifts) // block, 0) * block
-    inside = starts < len(missing)
-    lost = np.where(inside, missing[np.where(inside, starts, 0)], 0)
-    weight = shifts[-1] - shifts if weighted else np.ones_like(shifts)
-    return lost @ weight
+    missing = np.zeros(len(hits) + 1, dtype=np.int64)
+    missing[: len(hits) - block + 1] = np.maximum(need - (seen[block:] - seen[:-block]), 0)
+    return missing
