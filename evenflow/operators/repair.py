@@ -95,10 +95,10 @@ def plan_templates(df: DataFrame, labels: str, strategies: Sequence[str], bounds
     per task. The untouched order needs no planner.
     """
     _check_lengths(strategies, bounds, window, landmark)
-    planned = [n for n in strategies if n != "before"]
+    planned = [strategy(n) for n in strategies if n != "before"]
 
     def plan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        makers = [template_function(n, bounds, window) for n in planned]
+        makers = [template_function(s, bounds, window) for s in planned]
         for series in batches:
             yield series.map(lambda chunk: [make(chunk) for make in makers])
 
@@ -107,7 +107,7 @@ def plan_templates(df: DataFrame, labels: str, strategies: Sequence[str], bounds
         sides.append(F.array(F.struct(F.lit("before").alias("strategy"), F.col(labels).alias("template"))))
     if planned:
         df = df.withColumn("_plans", F.pandas_udf(plan, "array<array<int>>")(F.col(labels)))
-        names = F.array(*[F.lit(n) for n in planned])
+        names = F.array(*[F.lit(s.name) for s in planned])
         sides.append(F.zip_with(names, "_plans", lambda n, t: F.struct(n.alias("strategy"), t.alias("template"))))
     keep = [c for c in df.columns if c != "_plans"]
     return df.select(*keep, F.explode(F.concat(*sides)).alias("_s")).select(*keep, "_s.strategy", "_s.template")
@@ -122,13 +122,14 @@ def plan_scores(df: DataFrame, labels: str, strategies: Sequence[str], bounds: B
     """
     _check_lengths(strategies, bounds, window, landmark)
     floor, ceiling, blocks = np.array(bounds.floor), np.array(bounds.ceiling), window // bounds.block
+    chosen = [strategy(n) for n in strategies]
 
     def score(before: np.ndarray, after: np.ndarray) -> list[int]:
         fair = fair_blocks_per_window(after, window, bounds.block, floor, ceiling)
         return [len(fair), int(fair.sum()), int((fair == blocks).sum()), int((before != after).sum())]
 
     def plan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        makers = [template_function(n, bounds, window) for n in strategies]
+        makers = [template_function(s, bounds, window) for s in chosen]
         for series in batches:
             yield series.map(lambda chunk: [score(chunk, make(chunk)) for make in makers])
 

@@ -119,7 +119,7 @@ def stateful_repair(stream: OrderedStream, attr: str, bounds: Bounds, window: in
     narrow = _episodes(stream, episode_rows).select(*by, "row", bounds.label_index(attr).alias("g"))
     schema = StructType(narrow.select(*by).schema.fields + StructType.fromDDL(LOG_FIELDS).fields)
     runner = _EpisodeRunner(
-        by, to_arrow_schema(schema), bounds, window, landmark, primary, max_windows, log_edits
+        by, to_arrow_schema(schema), bounds, window, landmark, strategy(primary), max_windows, log_edits
     )
     log = spread(narrow, by).sortWithinPartitions(*by, "row").mapInArrow(runner, schema)
     return RepairTrace(log, stream, attr, bounds, window, landmark, episode_rows)

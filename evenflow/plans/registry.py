@@ -40,9 +40,11 @@ def strategy(name: str) -> Strategy:
     return _STRATEGIES[name]
 
 
-def template_function(name: str, bounds: Bounds, window: int) -> Callable[[np.ndarray], np.ndarray]:
-    """labels -> template. Count-based plans are remembered: chunks with equal counts share one template."""
-    chosen = strategy(name)
+def template_function(chosen: Strategy, bounds: Bounds, window: int) -> Callable[[np.ndarray], np.ndarray]:
+    """labels -> template. Count-based plans are remembered: chunks with equal counts share one template.
+
+    Takes the strategy and not its name: names are looked up on the driver, where applications register them.
+    """
     plan = chosen.make(bounds, window)
     if not chosen.by_counts:
         return plan

@@ -68,7 +68,8 @@ def stream_repair(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], a
     Rows leave once their window moved on. With ``flush_after_ms`` an idle key's last rows are released too.
     """
     check_window(window, bounds.block)
-    if strategy(primary).needs_whole_blocks and (window + landmark) % bounds.block:
+    chosen = strategy(primary)
+    if chosen.needs_whole_blocks and (window + landmark) % bounds.block:
         raise ValueError(f"{primary} needs a block size that divides window + landmark")
     body = F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"})
     narrow = df.select(*keys, *order_by, bounds.label_index(attr).alias("_g"), body.alias("_value"))
@@ -82,7 +83,7 @@ def stream_repair(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], a
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
         run = Episode(window, landmark, bounds.block, floor, ceiling,
-                      template_function(primary, bounds, window), max_windows)
+                      template_function(chosen, bounds, window), max_windows)
         bodies, seen = {}, 0
         if group.exists:
             arrivals, labels, texts, run.start, run.settled, run.windows, run.fair_checks, run.edits, seen = group.get
