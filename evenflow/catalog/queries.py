@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evenflow.functions.columns import bucket, clean_text, recode
-from evenflow.operators import grid, monitor, prep, ranking, repair, stateful, stats
+from evenflow.operators import experiment, grid, monitor, prep, ranking, repair, stateful, stats
 from evenflow.operators.bounds import Bounds, bounds_table, category_counts, distribution, fit_bounds
 from evenflow.operators.order import OrderedStream, category_dictionary, ordered_stream
 from evenflow.operators.sketch import backward_sketch, forward_sketch
@@ -615,4 +615,13 @@ def _(spark, folder):
 def _(spark, folder):
     counts = category_counts(load(spark, folder, "events"), "event_type")
     return grid.repair_grid(seeded_events(spark, folder, 2), "event_type", counts, [(100, 50, 100), (500, 50, 50)],
-                            ["optimal", "naive", "internal_swap"], max_windows=5000)
+                            ["optimal", "naive", "internal_swap"])
+
+
+@query("experiment_significance")
+def _(spark, folder):
+    points = grid.sweep_table(spark, {"W": {"window": [100, 200], "block": [50], "landmark": [100]}})
+    results = experiment.run_experiment(
+        load(spark, folder, "events", "event_id", "event_type"), "event_type", ["event_id"], points, runs=3,
+        phases={"whole": (None, ["naive", "optimal", "internal_swap"])})
+    return experiment.compare_experiment(results)

@@ -73,7 +73,10 @@ def ordered_stream(
     tile_rows: int = TILE_ROWS,
     pos: str = "pos",
 ) -> OrderedStream:
-    """Give every row its dense position within ``keys``; ``order_by`` must be unique inside a key."""
+    """Give every row its dense position within ``keys``; ``order_by`` must be unique inside a key.
+
+    Pass only the columns that the operators need: a large stream is written once, with all its columns.
+    """
     keys = tuple(keys)
     if how == "auto":
         how = "window" if largest_key(df, keys) <= max_rows_per_task else "range"

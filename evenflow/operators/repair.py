@@ -100,7 +100,7 @@ def plan_templates(df: DataFrame, labels: str, strategies: Sequence[str], bounds
     def plan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         makers = [template_function(s, bounds, window) for s in planned]
         for series in batches:
-            yield series.map(lambda chunk: [make(chunk) for make in makers])
+            yield series.map(lambda chunk: [make(chunk).astype(np.int32) for make in makers])
 
     sides = []
     if "before" in strategies:

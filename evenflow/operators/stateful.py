@@ -49,6 +49,7 @@ class RepairTrace:
     window: int
     landmark: int
     episode_rows: int = EPISODE_ROWS
+    stored: bool = False
 
     @property
     def by(self) -> list[str]:
@@ -56,7 +57,7 @@ class RepairTrace:
 
     def materialized(self) -> RepairTrace:
         """The same trace, computed once: it is narrow, costs Python time and is read more than once."""
-        return replace(self, df=materialize(self.df))
+        return self if self.stored else replace(self, df=materialize(self.df), stored=True)
 
     def delivered(self, payload: Sequence[str] = ()) -> DataFrame:
         """Every row of the stream with its final place in the episode; wide columns are joined in the JVM."""
@@ -106,11 +107,13 @@ def stateful_repair(stream: OrderedStream, attr: str, bounds: Bounds, window: in
                     max_windows: int | None = None, log_edits: bool = True) -> RepairTrace:
     """Run the windowed repair over every episode of every stream; ``primary`` decides the delivered order.
 
-    With ``max_windows`` a run stops checking once it covered that many windows, and what it has not read is
-    not part of its log -- as a bounded run would behave. Without it every row is delivered. Edited chunks
-    overlap, so ``log_edits=False`` keeps the log at one entry per row when only the delivery matters.
+    Without ``max_windows`` every row is delivered. With it, each stream is one bounded run: it stops once it
+    covered that many windows and reads nothing beyond them. Edited chunks overlap, so ``log_edits=False`` keeps the log at one entry per row when only the delivery matters.
     """
     check_window(window, bounds.block)
+    if max_windows is not None:
+        episode_rows = max_windows + window + landmark  # a window costs one row, the last repair X more
+        stream = stream.with_df(stream.df.where(F.col(stream.pos) < episode_rows))
     if window + landmark > episode_rows:
         raise ValueError("an episode must hold at least one window and landmark")
     if strategy(primary).needs_whole_blocks and (window + landmark) % bounds.block:

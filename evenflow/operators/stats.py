@@ -76,10 +76,11 @@ def wilcoxon(df: DataFrame, by: Sequence[str], base: str, other: str) -> DataFra
     ranked = value_ranks(
         pairs.where("_d <> 0"), by, "_size", [F.count_if(F.col("_d") > 0).alias("_up")]
     ).withColumn("_rank", F.col("before") + (F.col("n") + 1) / 2)
+    tied = F.col("n").cast("double")  # cubes of a long would overflow
     sums = ranked.groupBy(*by).agg(
         F.sum("n").alias("_pairs"),
         F.sum(F.col("_up") * F.col("_rank")).alias("w_plus"),
-        F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")).alias("_ties"),
+        F.sum(tied * tied * tied - tied).alias("_ties"),
     )
     everything = pairs.groupBy(*by).agg(F.count_if(F.col("_d") == 0).alias("_zeros"))
     n = F.col("n_nonzero")
@@ -87,10 +88,11 @@ def wilcoxon(df: DataFrame, by: Sequence[str], base: str, other: str) -> DataFra
         *by, F.coalesce("_pairs", F.lit(0)).alias("n_nonzero"), F.coalesce("w_plus", F.lit(0.0)).alias("w_plus"),
         "_ties", "_zeros",
     )
-    spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48)
+    many = n.cast("double")
+    spread = F.sqrt(many * (many + 1) * (2 * many + 1) / 24 - F.col("_ties") / 48)
     exact = (n <= EXACT_PAIRS) & (F.col("_ties") == 0) & (F.col("_zeros") == 0)
     return joined.withColumn(
-        "wilcoxon_z", (F.col("w_plus") - n * (n + 1) / 4) / F.nullif(spread, F.lit(0.0))
+        "wilcoxon_z", (F.col("w_plus") - many * (many + 1) / 4) / F.nullif(spread, F.lit(0.0))
     ).withColumn(
         "wilcoxon_p",
         F.when(n == 0, F.lit(1.0)).otherwise(

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from evenflow.functions import columns as fc
 from evenflow.functions.pvalues import signed_rank_exact, student_t_two_sided
-from evenflow.operators import grid, prep, ranking, stats
+from evenflow.operators import experiment, grid, prep, ranking, stats
 from evenflow.operators.order import ordered_stream
 from evenflow.operators.quantiles import exact_quantiles
 from evenflow.sources import sinks, tables
@@ -212,6 +212,23 @@ def test_grid(spark, events):
     assert means.count() == 6
 
 
+def test_experiment(spark, events):
+    points = grid.sweep_table(spark, {"W": {"window": [40, 60], "block": [20], "landmark": [20]}})
+    run = lambda done=None: experiment.run_experiment(
+        events, "event_type", ["event_id"], points, runs=3, phases={"p": (100, ["naive", "optimal"])}, done=done)
+    results = run()
+    assert results.count() == 2 * 3 * 3
+    bounded = results.where("strategy = 'before'").select((F.col("edits") + F.col("fair_checks")).alias("checks"))
+    assert bounded.where("checks > 100").count() == 0
+    table = experiment.compare_experiment(results)
+    assert table.select("strategy").distinct().collect()[0].strategy == "naive"
+    assert experiment.describe_experiment(results, ["pct_fair"]).count() == 2 * 3
+    rest = run(results.where("window = 40"))
+    assert [r.window for r in rest.select("window").distinct().collect()] == [60]
+    with pytest.raises(ValueError):
+        run(results)
+
+
 def test_minute_clock(spark):
     stream = ordered_stream(spark.range(3), [], ["id"])
     assert [str(r.t) for r in prep.minute_clock(stream, "t").orderBy("id").collect()][2] == "2020-01-01 00:02:00"
