@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
 from pathlib import Path
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def build_session(app: str = "evenflow", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Local session for tests and the benchmark; on a cluster pass your own session instead."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -24,6 +24,8 @@ def build_session(app: str = "evenflow", cores: str = "*", shuffle_partitions: i
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
+    ship_package(spark)
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -54,9 +56,17 @@ def materialize(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable on remote executors; a local session already shares the driver's path."""
-    if spark.sparkContext.master.startswith("local"):
+    """Make this package importable in Python workers, wherever the driver was started; once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parent
-    archive = shutil.make_archive(tempfile.mkdtemp() + "/evenflow", "zip", package.parent, package.name)
-    spark.sparkContext.addPyFile(archive)
+    folder = Path(tempfile.mkdtemp(prefix="evenflow-package-"))
+    with zipfile.ZipFile(folder / "evenflow.zip", "w") as archive:
+        for source in sorted(package.rglob("*.py")):
+            archive.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(folder / "evenflow.zip"))
+    _SHIPPED.add(context.applicationId)
+
+
+_SHIPPED: set[str] = set()
