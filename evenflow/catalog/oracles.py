@@ -286,7 +286,7 @@ ORACLES["window_updates"] = user_windows() + f"""
                      string_agg(g, ',') OVER (PARTITION BY user_id ORDER BY pos
                                               ROWS BETWEEN {USER_W - 1} PRECEDING AND CURRENT ROW) AS items FROM s)
   SELECT user_id, window_number, is_fair,
-         CASE WHEN is_fair THEN 'Window is p-fair' ELSE 'Window is not p-fair' END AS fair_text,
+         CASE WHEN is_fair THEN 'Window is fair' ELSE 'Window is not fair' END AS fair_text,
          {USER_W} AS window_size, {USER_S} AS block_size, window_number AS windows_covered,
          CAST(sum(fair_blocks) OVER w AS BIGINT) AS fair_blocks, window_number * {USER_W // USER_S} AS total_blocks,
          round(CAST(sum(fair_blocks) OVER w AS BIGINT) * 100 / (window_number * {USER_W // USER_S}), 2)
@@ -360,6 +360,49 @@ ORACLES["repair_naive_reversed"] = f"""
   items AS (SELECT chunk, g, place, event_id, row_number() OVER (PARTITION BY chunk, g ORDER BY place) AS k FROM chunked)
   SELECT chunk, 'naive_reversed' AS strategy, s.place AS position_in_chunk, i.place AS source_position,
          g AS category, event_id FROM items i JOIN seats s USING (chunk, g, k)"""
+# The naive strategy as a recursion: one pass over the ranked categories of the current leftover block per step.
+KINDS = len(EVENT_TYPES)
+ORACLES["repair_naive"] = f"""
+  WITH RECURSIVE {CHUNKED},
+  copies AS (SELECT chunk, min(CASE WHEN tgt > 0 THEN n // tgt END) AS m FROM tally GROUP BY 1),
+  -- state: what is left per category (gidx order), room in the current leftover block, whether it is its first pass
+  start AS (SELECT chunk, list(CAST(n - tgt * m AS BIGINT) ORDER BY gidx) AS rest,
+                   list(CAST(tgt AS BIGINT) ORDER BY gidx) AS tgts, any_value(m) AS m FROM tally JOIN copies USING (chunk) GROUP BY chunk),
+  passes AS (
+    SELECT chunk, m, tgts, rest, {S} AS room, true AS fresh, 0 AS pass, CAST([] AS BIGINT[]) AS placed FROM start
+    UNION ALL
+    SELECT chunk, m, tgts,
+           list_transform(range(1, {KINDS + 1}), lambda c: rest[c] - coalesce(list_sum(
+             list_transform(takes, lambda t: CASE WHEN t.c = c THEN t.n ELSE 0 END)), 0)),
+           CASE WHEN room = used THEN {S} ELSE room - used END, room = used, pass + 1,
+           flatten(list_transform(takes, lambda t: list_transform(range(t.n), lambda i: t.c - 1)))
+    FROM (
+      SELECT *, CAST(list_sum(list_transform(takes, lambda t: t.n)) AS BIGINT) AS used FROM (
+        SELECT *, list_transform(range(1, len(wish) + 1), lambda k: {{'c': wish[k].c, 'n': greatest(0, least(
+                    wish[k].n, room - coalesce(list_sum(list_transform(wish[1:k-1], lambda x: x.n)), 0)))::BIGINT}}) AS takes
+        FROM (
+          SELECT *, list_transform(list_sort(list_filter(list_transform(range(1, {KINDS + 1}),
+                      lambda c: {{'rank': tgts[c] - rest[c], 'c': c}}), lambda x: rest[x.c] > 0)),
+                      lambda x: {{'c': x.c, 'n': least(rest[x.c], CASE WHEN fresh OR tgts[x.c] > 0 THEN tgts[x.c]
+                                                              ELSE {S} END)}}) AS wish
+          FROM passes WHERE list_sum(rest) > 0)))
+  ),
+  leftovers AS (SELECT chunk, flatten(list(placed ORDER BY pass)) AS word FROM passes GROUP BY chunk),
+  firsts AS (SELECT chunk, g AS gidx, min(i) AS seen FROM (
+               SELECT chunk, unnest(word[1:{S}]) AS g, generate_subscripts(word[1:{S}], 1) AS i FROM leftovers) GROUP BY ALL),
+  pattern AS (SELECT chunk, gidx, tgt, m, row_number() OVER (PARTITION BY chunk ORDER BY coalesce(seen, 1000), gidx) AS rank
+              FROM tally JOIN copies USING (chunk) LEFT JOIN firsts USING (chunk, gidx)),
+  word AS (
+    SELECT chunk, gidx, row_number() OVER (PARTITION BY chunk ORDER BY rep, rank, i) - 1 AS place
+    FROM pattern, range({SIZE}) r(rep), range({S}) u(i) WHERE rep < m AND i < tgt
+    UNION ALL
+    SELECT chunk, g, {S} * m + i - 1 FROM (
+      SELECT chunk, unnest(word) AS g, generate_subscripts(word, 1) AS i FROM leftovers) JOIN copies USING (chunk)),
+  seats AS (SELECT chunk, b.g, place, row_number() OVER (PARTITION BY chunk, gidx ORDER BY place) AS k
+            FROM word JOIN bnd b USING (gidx)),
+  items AS (SELECT chunk, g, place, event_id, row_number() OVER (PARTITION BY chunk, g ORDER BY place) AS k FROM chunked)
+  SELECT chunk, 'naive' AS strategy, s.place AS position_in_chunk, i.place AS source_position,
+         g AS category, event_id FROM items i JOIN seats s USING (chunk, g, k)"""
 # Longest fair region by brute force: q whole blocks, every split of the q*R extras over the categories, and the
 # tail that the left-over items then allow.
 GROUPS = range(len(EVENT_TYPES))

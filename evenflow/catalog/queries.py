@@ -237,7 +237,7 @@ def _(spark, folder):
 @query("window_monitor_items")
 def _(spark, folder):
     stream = item_stream(spark, folder, "l_linestatus", how="range", tile_rows=1 << 13)
-    return monitor.window_monitor(stream, "l_linestatus", fit_bounds(stream.df, "l_linestatus", 10), 100)
+    return monitor.window_monitor(stream, "l_linestatus", fit_bounds(load(spark, folder, "lineitem"), "l_linestatus", 10), 100)
 
 
 @query("window_monitor_floor_only")
@@ -275,7 +275,7 @@ def _(spark, folder):
 @query("sliding_blocks")
 def _(spark, folder):
     stream = item_stream(spark, folder, "l_returnflag")
-    return monitor.sliding_blocks(stream, "l_returnflag", fit_bounds(stream.df, "l_returnflag", 30))
+    return monitor.sliding_blocks(stream, "l_returnflag", fit_bounds(load(spark, folder, "lineitem"), "l_returnflag", 30))
 
 
 @query("sliding_fair_count")

@@ -124,7 +124,7 @@ def window_updates(stream: OrderedStream, attr: str, bounds: Bounds, window: int
         items = items.where(F.col("window_number") <= max_windows)
     return null_safe_join(running, items, [*stream.keys, "window_number"]).select(
         *stream.keys, "window_number", "is_fair",
-        F.when(F.col("is_fair"), "Window is p-fair").otherwise("Window is not p-fair").alias("fair_text"),
+        F.when(F.col("is_fair"), "Window is fair").otherwise("Window is not fair").alias("fair_text"),
         F.struct(
             F.lit(window).alias("window_size"), F.lit(bounds.block).alias("block_size"),
             F.col("window_number").alias("windows_covered"),

@@ -47,7 +47,8 @@ def gather_chunks(df: DataFrame, by: Sequence[str], slot: str, attr: str, bounds
     item = F.struct(
         bounds.label_index(attr).alias("g"), F.col(slot).cast("int").alias("slot"), *[F.col(c) for c in payload]
     )
-    chunks = df.groupBy(*by).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    narrow = spread(df.select(*by, item.alias("_item")), by)
+    chunks = narrow.groupBy(*by).agg(F.sort_array(F.collect_list("_item")).alias("items"))
     return Chunks(chunks, tuple(by), tuple(payload), bounds, window, landmark)
 
 
