@@ -403,6 +403,88 @@ ORACLES["repair_naive"] = f"""
   items AS (SELECT chunk, g, place, event_id, row_number() OVER (PARTITION BY chunk, g ORDER BY place) AS k FROM chunked)
   SELECT chunk, 'naive' AS strategy, s.place AS position_in_chunk, i.place AS source_position,
          g AS category, event_id FROM items i JOIN seats s USING (chunk, g, k)"""
+# The swap heuristics as recursions over label lists: one category of one block per step, then one landmark label
+# per step. Blocks are judged by the target as a minimum.
+
+
+def held(block_start: str, category: str) -> str:
+    return f"len(list_filter(word[{block_start} + 1:{block_start} + {S}], lambda x: x = {category}))"
+
+
+def lacking(block: str) -> str:
+    return f"list_filter(range(0, {KINDS}), lambda c: {held(f'({block}) * {S}', 'c')} < tgts[c + 1])"
+
+
+INTERNAL = f"""
+  words AS (SELECT chunk, list(gidx ORDER BY place) AS word FROM chunked JOIN bnd USING (g) GROUP BY chunk),
+  goal AS (SELECT list(CAST(tgt0 AS BIGINT) ORDER BY gidx) AS tgts FROM bnd),
+  inner_swaps AS (
+    SELECT chunk, tgts, word, 0 AS here, CAST([] AS BIGINT[]) AS todo, CAST([] AS BIGINT[]) AS need, false AS in_pass,
+           0 AS moved, false AS done, 0 AS step FROM words, goal
+    UNION ALL
+    SELECT chunk, tgts, CASE WHEN at_edge THEN word ELSE list_transform(range(1, {SIZE} + 1), lambda p:
+             CASE WHEN list_contains(takers[1:pairs], p) THEN todo[1]
+                  WHEN list_contains(givers[1:pairs], p) THEN word[takers[list_position(givers[1:pairs], p)]]
+                  ELSE word[p] END) END,
+           CASE WHEN at_edge AND len(short) = 0 THEN here + 1 ELSE here END,
+           CASE WHEN at_edge THEN short ELSE todo[2:] END,
+           CASE WHEN at_edge THEN list_transform(short, lambda c: tgts[c + 1] - {held(f'here * {S}', 'c')}) ELSE need[2:] END,
+           CASE WHEN at_edge THEN len(short) > 0 ELSE in_pass END, CASE WHEN at_edge THEN 0 ELSE moved + pairs END,
+           at_edge AND (here >= {W // S - 1} OR (in_pass AND moved = 0)), step + 1
+    FROM (
+      SELECT *, CASE WHEN at_edge OR donor IS NULL THEN 0 ELSE least(need[1], len(takers), len(givers)) END AS pairs
+      FROM (
+        SELECT *, list_filter(range(here * {S} + 1, (here + 1) * {S} + 1), lambda p: word[p] <> todo[1]) AS takers,
+               list_reverse(list_filter(range(donor * {S} + 1, (donor + 1) * {S} + 1), lambda p: word[p] = todo[1])) AS givers
+        FROM (
+          SELECT *, len(todo) = 0 AS at_edge, {lacking('here')} AS short,
+                 list_filter(range(here + 1, {W // S}), lambda j: len({lacking('j')}) = 0)[1] AS donor
+          FROM inner_swaps WHERE NOT done)))
+  ),
+  swapped AS (SELECT chunk, any_value(tgts) AS tgts, arg_max(word, step) AS word FROM inner_swaps GROUP BY chunk)"""
+
+
+def greedy(weight: str) -> str:
+    return f"""
+  landmark_swaps AS (
+    SELECT chunk, tgts, word, false AS done, 0 AS step FROM swapped
+    UNION ALL
+    SELECT chunk, tgts, CASE WHEN cat IS NULL THEN word ELSE list_transform(range(1, {SIZE} + 1), lambda p:
+             CASE WHEN p = best + 1 THEN cat WHEN p = giver THEN word[best + 1] ELSE word[p] END) END,
+           cat IS NULL, step + 1
+    FROM (
+      SELECT *, slots[list_position(scores, list_max(scores))] AS best FROM (
+        SELECT *, list_max(list_filter(range({W} + 1, {SIZE} + 1), lambda p: word[p] = cat)) AS giver,
+               list_transform(slots, lambda p: list_sum(list_transform(range(0, {X} + 1), lambda o:
+                 CASE WHEN o + greatest(0, (p - o) // {S}) * {S} > {W - S} THEN 0
+                      ELSE ({weight}) * missing[o + greatest(0, (p - o) // {S}) * {S} + 1] END))) AS scores
+        FROM (
+          SELECT *, list_filter(range(here * {S}, (here + 1) * {S}), lambda p: word[p + 1] <> cat) AS slots,
+                 list_transform(range(0, {W - S} + 1), lambda b: greatest(0, tgts[cat + 1] - {held('b', 'cat')})) AS missing
+          FROM (
+            SELECT *, list_filter({lacking('here')}, lambda c: list_contains(word[{W} + 1:], c))[1] AS cat FROM (
+              SELECT *, list_filter(range(0, {W // S}), lambda j: len({lacking('j')}) > 0)[1] AS here
+              FROM landmark_swaps WHERE NOT done AND step <= {X})))))
+  ),
+  final AS (SELECT chunk, arg_max(word, step) AS word FROM landmark_swaps GROUP BY chunk)"""
+
+
+def seated(name: str, source: str) -> str:
+    """Rows of the chunks attached to the words in ``source``."""
+    return f"""
+  seats AS (SELECT chunk, b.g, i - 1 AS place, row_number() OVER (PARTITION BY chunk, gidx ORDER BY i) AS k
+            FROM (SELECT chunk, unnest(word) AS gidx, generate_subscripts(word, 1) AS i FROM {source}) JOIN bnd b USING (gidx)),
+  items AS (SELECT chunk, g, place, event_id, row_number() OVER (PARTITION BY chunk, g ORDER BY place) AS k FROM chunked)
+  SELECT chunk, '{name}' AS strategy, s.place AS position_in_chunk, i.place AS source_position,
+         g AS category, event_id FROM items i JOIN seats s USING (chunk, g, k)"""
+
+
+ORACLES["repair_internal_swap"] = f"WITH RECURSIVE {CHUNKED}, {INTERNAL}, {seated('internal_swap', 'swapped')}"
+ORACLES["repair_greedy_swap"] = (
+    f"WITH RECURSIVE {CHUNKED}, {INTERNAL}, {greedy('1')}, {seated('greedy_swap', 'final')}")
+ORACLES["repair_weighted_greedy_swap"] = (
+    f"WITH RECURSIVE {CHUNKED}, {INTERNAL}, {greedy(f'{X} - o')}, {seated('weighted_greedy_swap', 'final')}")
+
 # Longest fair region by brute force: q whole blocks, every split of the q*R extras over the categories, and the
 # tail that the left-over items then allow.
 GROUPS = range(len(EVENT_TYPES))
