@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from evenflow.functions.columns import crossed, shuffle_key
 from evenflow.operators.bounds import distribution
 from evenflow.operators.order import OrderedStream, ordered_stream
-from evenflow.operators.quantiles import exact_quantiles
+from evenflow.operators.quantiles import count_values, quantiles_of_counts
 
 
 def keep_members(df: DataFrame, column: str, values: Sequence) -> DataFrame:
@@ -85,22 +85,23 @@ class BinModel:
 
 def fit_quantile_bins(df: DataFrame, column: str, bins: int) -> BinModel:
     """Fixed number of quantile bins; coinciding edges are merged."""
-    edges = _quantile_edges(df, column, [bins])[bins]
-    return BinModel(column, edges)
+    return BinModel(column, _quantile_edges(count_values(df, [], column), column, [bins])[bins])
 
 
 def fit_adaptive_bins(df: DataFrame, column: str, max_bins: int = 5, min_share: float = 0.15) -> BinModel:
     """The most bins (at most ``max_bins``) whose smallest non-empty bin still holds ``min_share`` of the rows.
 
-    All candidate edges come from one quantile pass, all bin sizes from one conditional-count aggregate.
+    The data is read once, into counted values: all candidate edges come from one quantile pass over them, all
+    bin sizes from one conditional sum.
     """
-    candidates = {q: e for q, e in _quantile_edges(df, column, range(1, max_bins + 1)).items() if len(e) > 1}
-    models = {q: BinModel(column, edges) for q, edges in candidates.items()}
+    counted = count_values(df, [], column)
+    found = _quantile_edges(counted, column, range(1, max_bins + 1))
+    models = {q: BinModel(column, edges) for q, edges in found.items() if len(edges) > 1}
     if not models:
-        value = df.agg(F.min(column), F.max(column)).first()
-        return BinModel(column, tuple(value))
-    sizes = df.where(F.col(column).isNotNull()).agg(F.count(F.lit(1)).alias("n"), *[
-        F.count_if(model.code() == i).alias(f"q{q}_{i}") for q, model in models.items() for i in range(model.size)
+        return BinModel(column, found[1] * 2)
+    sizes = counted.agg(F.sum("n").alias("n"), *[
+        F.sum(F.when(model.code() == i, F.col("n"))).alias(f"q{q}_{i}")
+        for q, model in models.items() for i in range(model.size)
     ]).first()
     for q in sorted(models, reverse=True):
         filled = [sizes[f"q{q}_{i}"] for i in range(models[q].size) if sizes[f"q{q}_{i}"]]
@@ -109,9 +110,9 @@ def fit_adaptive_bins(df: DataFrame, column: str, max_bins: int = 5, min_share:
     raise AssertionError("one bin always holds everything")
 
 
-def _quantile_edges(df: DataFrame, column: str, sizes: Sequence[int]) -> dict[int, tuple[float, ...]]:
+def _quantile_edges(counted: DataFrame, column: str, sizes: Sequence[int]) -> dict[int, tuple[float, ...]]:
     fractions = sorted({(k, q) for q in sizes for k in range(q + 1)})
-    row = exact_quantiles(df.select(column), [], column, fractions).first()
+    row = quantiles_of_counts(counted, [], column, fractions).first()
     if row is None or row.quantiles[0] is None:
         raise ValueError(f"{column} has no values to bin")
     value = dict(zip(fractions, row.quantiles, strict=True))

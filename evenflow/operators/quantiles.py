@@ -13,11 +13,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenflow.operators.order import null_safe_join, ordered_stream, running_totals
+from evenflow.session import materialize
 
 
-def value_ranks(df: DataFrame, by: Sequence[str], value: str, extra: Sequence[Column] = ()) -> DataFrame:
-    """Distinct values per group with how often they occur (``n``) and how many rows come before (``before``)."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), *extra)
+def count_values(df: DataFrame, by: Sequence[str], value: str, extra: Sequence[Column] = ()) -> DataFrame:
+    """Distinct values per group with how often they occur (``n``), stored: ranking reads them more than once."""
+    return materialize(
+        df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), *extra)
+    )
+
+
+def rank_values(counted: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Add how many rows of the group come before each value (``before``)."""
     ordered = ordered_stream(counted, by, [value])
     return running_totals(ordered, {"before": F.col("n")}, inclusive=False).drop(ordered.pos)
 
@@ -25,8 +32,14 @@ def value_ranks(df: DataFrame, by: Sequence[str], value: str, extra: Sequence[Co
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, fractions: Sequence[tuple[int, int]],
                     out: str = "quantiles") -> DataFrame:
     """Linearly interpolated quantiles k/q as one array per group."""
-    ranked = value_ranks(df, by, value)
-    sizes = ranked.groupBy(*by).agg(F.sum("n").alias("_size"))
+    return quantiles_of_counts(count_values(df, by, value), by, value, fractions, out)
+
+
+def quantiles_of_counts(counted: DataFrame, by: Sequence[str], value: str, fractions: Sequence[tuple[int, int]],
+                        out: str = "quantiles") -> DataFrame:
+    """The same from a table of counted values."""
+    ranked = rank_values(counted, by, value)
+    sizes = counted.groupBy(*by).agg(F.sum("n").alias("_size"))
     sized = null_safe_join(ranked, sizes, by) if by else ranked.crossJoin(F.broadcast(sizes))  # one size row
 
     def at(rank: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from evenflow.functions.pvalues import signed_rank_p, student_t_p
 from evenflow.operators.order import null_safe_join
-from evenflow.operators.quantiles import medians, value_ranks
+from evenflow.operators.quantiles import count_values, medians, rank_values
 from evenflow.session import materialize
 
 #: Up to this many pairs without ties or zeros the signed-rank p-value is exact.
@@ -73,9 +73,8 @@ def wilcoxon(df: DataFrame, by: Sequence[str], base: str, other: str) -> DataFra
     """Signed-rank test: zero differences drop out, ties share average ranks, variance is tie-corrected."""
     d = F.col(other) - F.col(base)
     pairs = df.where(d.isNotNull()).select(*by, F.abs(d).alias("_size"), d.alias("_d"))
-    ranked = value_ranks(
-        pairs.where("_d <> 0"), by, "_size", [F.count_if(F.col("_d") > 0).alias("_up")]
-    ).withColumn("_rank", F.col("before") + (F.col("n") + 1) / 2)
+    counted = count_values(pairs.where("_d <> 0"), by, "_size", [F.count_if(F.col("_d") > 0).alias("_up")])
+    ranked = rank_values(counted, by, "_size").withColumn("_rank", F.col("before") + (F.col("n") + 1) / 2)
     tied = F.col("n").cast("double")  # cubes of a long would overflow
     sums = ranked.groupBy(*by).agg(
         F.sum("n").alias("_pairs"),
