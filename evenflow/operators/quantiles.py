@@ -8,6 +8,7 @@ k*(n-1)/q.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,19 +47,20 @@ def quantiles_of_counts(counted: DataFrame, by: Sequence[str], value: str, fract
         inside = (rank >= F.col("before")) & (rank < F.col("before") + F.col("n"))
         return F.max(F.when(inside, F.col(value)))
 
+    distinct = sorted({Fraction(k, q) for k, q in fractions})
     picks = []
-    for i, (k, q) in enumerate(fractions):
-        low = F.expr(f"({k} * (_size - 1)) div {q}")
-        picks += [at(low).alias(f"_lo{i}"), at(F.least(low + 1, F.col("_size") - 1)).alias(f"_hi{i}"),
-                  F.max(F.expr(f"({k} * (_size - 1)) % {q}")).alias(f"_rest{i}")]
-    found = sized.groupBy(*by).agg(*picks)
-    edges = [
-        F.when(F.col(f"_rest{i}") == 0, F.col(f"_lo{i}")).otherwise(
-            F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (F.col(f"_rest{i}") / F.lit(q))
-        ).cast("double")
-        for i, (_, q) in enumerate(fractions)
-    ]
-    return found.select(*by, F.array(*edges).alias(out))
+    for i, share in enumerate(distinct):
+        low = F.expr(f"({share.numerator} * (_size - 1)) div {share.denominator}")
+        picks += [at(low).alias(f"_lo{i}"), at(F.least(low + 1, F.col("_size") - 1)).alias(f"_hi{i}")]
+    found = sized.groupBy(*by).agg(F.max("_size").alias("_size"), *picks)
+
+    def edge(share: Fraction) -> Column:
+        i = distinct.index(share)
+        rest = F.expr(f"({share.numerator} * (_size - 1)) % {share.denominator}")
+        between = F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (rest / F.lit(share.denominator))
+        return F.when(rest == 0, F.col(f"_lo{i}")).otherwise(between).cast("double")
+
+    return found.select(*by, F.array(*[edge(Fraction(k, q)) for k, q in fractions]).alias(out))
 
 
 def medians(df: DataFrame, by: Sequence[str], value: str, out: str = "median") -> DataFrame:
