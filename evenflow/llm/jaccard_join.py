@@ -10,11 +10,12 @@ shingles, and b <= a / J. So if both sign their first q non-zero words, where q
 partner, at least one signed word agrees (pigeonhole). P depends on a band of sizes; a document near the upper end
 of its band signs for the next band too.
 
-Plan. One pass over the texts gives sizes, set fingerprints and signatures. Equal sets become one class, represented
-by its smallest doc_id. Representatives that share a signature are chained to the smallest of them: one shuffle of
-signatures, no pairs. The chained groups are cut into blocks of bounded size; every pair of blocks is one bounded
-work item, in which the Hamming bound of bit sketches excludes pairs and sorted shingle sets verify the rest. Only a
-spanning forest of the verified links leaves a work item, so a group of near copies never becomes all its pairs.
+Plan. One pass over the texts gives sizes, set fingerprints, bit sketches and signatures. Equal sets become one class,
+represented by its smallest doc_id. Representatives that share a signature are chained to the smallest of them: one
+shuffle of signatures, no pairs. The chained groups of a band are cut into blocks of bounded size, and every pair of
+blocks is one bounded work item. A first round of items compares bit sketches and leaves a forest of the pairs that
+the Hamming bound allows; the components of those are cut into blocks again, and a second round verifies their sorted
+shingle sets. Only a spanning forest leaves a work item, so a group of near copies never becomes all its pairs.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from evenflow.llm.store import connected_components, in_batches, stored
 from evenflow.llm.text import LOWER, Texts, chain_hashes, few_words_hash, mix, pieces, word_hashes
 
-SKETCH_WORDS = 16
+SKETCH_WORDS = 32
+BLOCK_SKETCHES = 8192
 BLOCK_SHINGLES = 1_500_000
 SECOND = np.uint64(0x9E3779B97F4A7C15)
 
@@ -85,11 +87,11 @@ class Bands:
         return max(needed + 6 + needed // 32, 64 if band == 0 else 20)
 
 
-def signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
-    """Signed words of a sorted shingle set, each hashed together with its band and part."""
+def signatures(shingles: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """Signed words of a sorted shingle set, each hashed together with its band and part; and their bands."""
     n = len(shingles)
     if n < bands.first:
-        return np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
     band, needed, out = bands.of(n), bands.needed(n), []
     value = mix(shingles ^ SECOND)
     for b in range(band, bands.of(bands.largest_partner(n)) + 1):
@@ -97,8 +99,8 @@ def signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
         begin = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])[:needed]
         stop = int(np.searchsorted(part, part[begin[-1]], "right"))  # where the last signed part ends
         words = np.bitwise_xor.reduceat(value[:stop], begin)
-        out.append(mix(words ^ mix(part[begin] + np.uint64(b << 32))))
-    return np.concatenate(out)
+        out.append((mix(words ^ mix(part[begin] + np.uint64(b << 32))), np.full(len(begin), b, dtype=np.int32)))
+    return np.concatenate([w for w, _ in out]), np.concatenate([b for _, b in out])
 
 
 def bit_sketch(shingles: np.ndarray) -> np.ndarray:
@@ -113,29 +115,30 @@ def _profile(k: int, percent: int):
     bands = Bands(percent)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, one, two, signed = [], [], [], []
+        sizes, one, two, sketch, signed = [], [], [], [], []
         for _, texts in pieces(batch.column(1)):
             for s in shingle_sets(texts, k):
                 sizes.append(len(s))
                 one.append(int(np.bitwise_xor.reduce(mix(s), initial=0)))
                 two.append(int(np.add.reduce(mix(s ^ SECOND))) if len(s) else 0)
-                signed.append(signatures(s, bands).view(np.int64))
-        at = np.concatenate([[0], np.cumsum([len(x) for x in signed])]).astype(np.int32)
-        values = np.concatenate(signed) if signed else np.zeros(0, dtype=np.int64)
+                sketch.append(len(s).to_bytes(8, "little") + bit_sketch(s).tobytes())
+                signed.append(signatures(s, bands))
+        at = pa.array(np.concatenate([[0], np.cumsum([len(x) for x, _ in signed])]).astype(np.int32))
         return pa.RecordBatch.from_arrays([
             batch.column(0), pa.array(sizes, pa.int64()),
             pa.array(np.array(one, dtype=np.uint64).view(np.int64)), pa.array(np.array(two, dtype=np.uint64).view(np.int64)),
-            pa.ListArray.from_arrays(pa.array(at), pa.array(values)),
-        ], names=["doc_id", "n_shingles", "one", "two", "signed"])
+            pa.array(sketch, pa.binary()),
+            pa.ListArray.from_arrays(at, pa.array(np.concatenate([x for x, _ in signed]).view(np.int64))),
+            pa.ListArray.from_arrays(at, pa.array(np.concatenate([b for _, b in signed]))),
+        ], names=["doc_id", "n_shingles", "one", "two", "sketch", "signed", "bands"])
     return in_batches(run)
 
 
 def _sets(k: int):
+    """Rows (item columns, text) -> (item columns, shingle set)."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [s for _, texts in pieces(batch.column(1)) for s in shingle_sets(texts, k)]
-        return pa.RecordBatch.from_arrays([
-            batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.large_binary()),
-        ], names=["doc_id", "n", "shingles"])
+        sets = [s.tobytes() for _, texts in pieces(batch.column(5)) for s in shingle_sets(texts, k)]
+        return pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sets, pa.binary())], names=ITEM)
     return in_batches(run)
 
 
@@ -165,12 +168,13 @@ class _Forest:
         self.parent[max(i, j)] = min(i, j)
 
 
-def verified_forest(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest among sets; ``side`` 0/1 restricts pairs to different sides, unless all are equal."""
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    size = np.array([len(sets[i]) for i in order])
-    sketch = np.stack([bit_sketch(sets[i]) for i in order])
-    side = side[order]
+def forest_of_links(size: np.ndarray, sketch: np.ndarray, side: np.ndarray, percent: int, sets: list[np.ndarray] | None) -> list[tuple[int, int]]:
+    """Links of a spanning forest. Pairs are those the Hamming bound allows, verified if ``sets`` are given.
+
+    If both sides 0 and 1 occur, only pairs across them count.
+    """
+    order = np.argsort(size, kind="stable")
+    size, sketch, side = size[order], sketch[order], side[order]
     across = side.min() != side.max()
     forest, links = _Forest(len(order)), []
     for i in range(len(order)):
@@ -188,39 +192,66 @@ def verified_forest(sets: list[np.ndarray], side: np.ndarray, percent: int) -> l
         for j in found[np.argsort(near[found - i - 1], kind="stable")].tolist():
             if forest.root(i) == forest.root(j):
                 continue
-            a, b = sets[order[i]], sets[order[j]]
-            common = len(a) + len(b) - len(np.union1d(a, b))
-            if 100 * common >= percent * (len(a) + len(b) - common):
-                forest.join(i, j)
-                links.append((int(order[i]), int(order[j])))
+            if sets is not None:
+                a, b = sets[order[i]], sets[order[j]]
+                common = len(a) + len(b) - len(np.union1d(a, b))
+                if 100 * common < percent * (len(a) + len(b) - common):
+                    continue
+            forest.join(i, j)
+            links.append((int(order[i]), int(order[j])))
     return links
 
 
-def _work(percent: int):
-    """Rows sorted by (group, low, high) -> links; one work item in memory at a time."""
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        ids, sets = [r[0] for r in rows], [np.frombuffer(r[1], dtype=np.uint64) for r in rows]
-        links = verified_forest(sets, np.array([r[2] for r in rows]), percent) if len(rows) > 1 else []
-        return pa.RecordBatch.from_arrays(
-            [pa.array([ids[i] for i, _ in links], pa.int64()), pa.array([ids[j] for _, j in links], pa.int64())], names=["a", "b"]
-        )
+ITEM = ["grp", "low", "high", "own", "doc_id", "data"]
+
+
+def _work(percent: int, verify: bool):
+    """Rows sorted by (grp, low, high) -> links (grp, a, b); one work item in memory at a time."""
+    def solve(key: tuple, rows: list[tuple]) -> pa.RecordBatch:
+        ids, links = [r[0] for r in rows], []
+        if len(rows) > 1:
+            side = np.array([int(r[2] == key[2]) for r in rows])
+            if verify:
+                sets = [np.frombuffer(r[1], dtype=np.uint64) for r in rows]
+                links = forest_of_links(np.array([len(s) for s in sets]), np.stack([bit_sketch(s) for s in sets]), side, percent, sets)
+            else:
+                size = np.array([int.from_bytes(r[1][:8], "little") for r in rows])
+                sketch = np.stack([np.frombuffer(r[1], dtype=np.uint64)[1:] for r in rows])
+                links = forest_of_links(size, sketch, side, percent, None)
+        return pa.RecordBatch.from_arrays([
+            pa.array([key[0]] * len(links), pa.int64()), pa.array([ids[i] for i, _ in links], pa.int64()),
+            pa.array([ids[j] for _, j in links], pa.int64())], names=["grp", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+        key, rows, seen = None, [], set()
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(3)]
-            for g, low, high, own, doc, data in zip(*cols, batch.column(3).to_pylist(), batch.column(4).to_pylist(),
-                                                    batch.column(5), strict=True):
+            for g, low, high, own, doc, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (g, low, high) != key:
                     if rows:
-                        yield solve(rows)
-                    key, rows = (g, low, high), []
-                rows.append((doc, data.as_buffer(), int(own == high)))
+                        yield solve(key, rows)
+                    key, rows, seen = (g, low, high), [], set()
+                if (doc, data) not in seen:  # a repeated row
+                    seen.add((doc, data))
+                    rows.append((doc, data, own))
         if rows:
-            yield solve(rows)
+            yield solve(key, rows)
     return run
 
 
+def _in_blocks(members: DataFrame, load: str, block: int) -> DataFrame:
+    """Members (grp, doc_id, ...) with the block pairs they belong to; a block has about ``block`` of summed ``load``."""
+    total = members.groupBy("grp").agg(F.ceil(F.sum(load) / F.lit(block)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    return members.join(total, "grp").withColumn("own", own).withColumn("other", other).withColumn(
+        "low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+
+
+def _links(items: DataFrame, percent: int, verify: bool) -> DataFrame:
+    return items.select(*ITEM).repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high").mapInArrow(
+        _work(percent, verify), "grp long, a long, b long")
+
+
 def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs`` (columns doc_id and text).
 
@@ -230,30 +261,34 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, block_shingle
     No pair is lost but by a 64-bit hash collision, or when the shingles of a small set crowd into too few sketch
     parts (probability below 1e-7 a document). An empty table gives an empty result.
     """
-    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _profile(k, percent), "doc_id long, n_shingles long, one long, two long, signed array<long>"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = stored(texts.mapInArrow(
+        _profile(k, percent),
+        "doc_id long, n_shingles long, one long, two long, sketch binary, signed array<long>, bands array<int>"))
     live = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(live.groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("rep")))
-
-    # Candidate groups: documents that share a signature hang on the smallest of them.
-    signed = live.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(
-        "doc_id", F.explode("signed").alias("word"))
-    first = F.first("doc_id").over(Window.partitionBy("word").orderBy("doc_id"))
-    hung = signed.withColumn("hub", first).where("doc_id != hub").select("doc_id", "hub").distinct()
-    member = connected_components(hung, "doc_id", "hub")
-    group = stored(member.union(member.select("component", "component").distinct()).toDF("doc_id", "grp"))
-
-    # Bounded work items: pairs of blocks of a group.
-    sized = group.join(live.select("doc_id", "n_shingles").distinct(), "doc_id")
-    total = sized.groupBy("grp").agg(F.ceil(F.sum("n_shingles") / F.lit(block_shingles)).cast("int").alias("blocks"))
-    placed = group.join(total, "grp").select("doc_id", "grp", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("own"))
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
-        group.select("doc_id"), "doc_id", "left_semi"
-    ).mapInArrow(_sets(k), "doc_id long, n long, shingles binary")
-    item = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    items = sets.join(placed, "doc_id").withColumn("other", item).select(
-        "grp", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id", "shingles")
-    links = items.repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high").mapInArrow(_work(percent), "a long, b long")
+    reps = live.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+
+    # Documents of a band that share a signature hang on the smallest of them.
+    signed = reps.select("doc_id", F.explode(F.arrays_zip("signed", "bands")).alias("s")).select("doc_id", "s.signed", "s.bands")
+    first = F.first("doc_id").over(Window.partitionBy("signed").orderBy("doc_id"))
+    hung = signed.withColumn("hub", first).where("doc_id != hub").select("bands", "doc_id", "hub").distinct()
+    chained = stored(_members(connected_components(hung, "doc_id", "hub", ("bands",)), ("bands",)))
+
+    # First round: pairs that the Hamming bound of bit sketches allows.
+    sketches = reps.select("doc_id", F.col("sketch").alias("data"))
+    placed = _in_blocks(chained.select(F.xxhash64("bands", "component").alias("grp"), F.col("node").alias("doc_id"), F.lit(1).alias("one")),
+                        "one", BLOCK_SKETCHES)
+    allowed = _links(placed.join(sketches, "doc_id").select(*ITEM).distinct(), percent, verify=False)
+    near = stored(_members(connected_components(allowed, "a", "b")))
+
+    # Second round: shingle sets.
+    sized = live.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
+    placed = _in_blocks(near.select(F.col("component").alias("grp"), F.col("node").alias("doc_id")).join(sized, "doc_id"),
+                        "n_shingles", block_shingles)
+    items = texts.join(placed, "doc_id").select(*ITEM[:5], "text").mapInArrow(
+        _sets(k), "grp long, low int, high int, own int, doc_id long, data binary")
+    links = _links(items, percent, verify=True).select("a", "b")
 
     # Equal sets and verified links make the components; a repeated doc_id with two texts ties both classes.
     copies = live.select("doc_id", "one", "two", "n_shingles").join(classes, ["one", "two", "n_shingles"]).select("doc_id", "rep")
@@ -262,6 +297,11 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, block_shingle
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _members(stars: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """All nodes of all components, the smallest included."""
+    return stars.union(stars.select(*within, "component", "component").distinct())
+
+
 def keep_one_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the rows with the smallest doc_id stay.
 

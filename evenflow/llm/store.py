@@ -27,31 +27,33 @@ def in_batches(function: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
     return run
 
 
-def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
+def connected_components(links: DataFrame, a: str, b: str, within: tuple[str, ...] = ()) -> DataFrame:
     """Smallest node reachable from every linked node: columns ``node`` and ``component`` (both long).
 
-    Alternates large-star and small-star rounds until the link table is a forest of stars around the smallest
-    nodes. Links with a null end and links of a node with itself are ignored; an empty table gives no rows.
-    Every round is a table in the checkpoint folder; only its row count and checksum reach the driver.
+    ``within`` names columns of separate graphs, which lead the result. Alternates large-star and small-star rounds
+    until the link table is a forest of stars around the smallest nodes. Links with a null end and links of a node
+    with itself are ignored; an empty table gives no rows. Every round is a table in the checkpoint folder; only its
+    row count and checksum reach the driver.
     """
+    key = list(within)
     low, high = F.least(F.col(a), F.col(b)), F.greatest(F.col(a), F.col(b))
     stars = stored(
         links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-        .select(high.cast("long").alias("node"), low.cast("long").alias("component")).distinct()
+        .select(*key, high.cast("long").alias("node"), low.cast("long").alias("component")).distinct()
     )
     seen = _checksum(stars)
     while seen[0]:
-        both = stars.union(stars.select(F.col("component").alias("node"), F.col("node").alias("component")))
-        lowest = both.groupBy("node").agg(F.min("component").alias("least"))
-        lowest = lowest.select("node", F.least("node", "least").alias("least"))
-        larger = both.where(F.col("component") > F.col("node")).join(lowest, "node").select(
-            F.col("component").alias("node"), F.col("least").alias("component")
+        both = stars.union(stars.select(*key, F.col("component").alias("node"), F.col("node").alias("component")))
+        lowest = both.groupBy(*key, "node").agg(F.min("component").alias("least"))
+        lowest = lowest.select(*key, "node", F.least("node", "least").alias("least"))
+        larger = both.where(F.col("component") > F.col("node")).join(lowest, [*key, "node"]).select(
+            *key, F.col("component").alias("node"), F.col("least").alias("component")
         ).distinct()
-        lowest = larger.groupBy("node").agg(F.min("component").alias("least"))
-        smaller = larger.join(lowest, "node").where(F.col("component") != F.col("least")).select(
-            F.col("component").alias("node"), F.col("least").alias("component")
+        lowest = larger.groupBy(*key, "node").agg(F.min("component").alias("least"))
+        smaller = larger.join(lowest, [*key, "node"]).where(F.col("component") != F.col("least")).select(
+            *key, F.col("component").alias("node"), F.col("least").alias("component")
         )
-        stars = stored(smaller.union(lowest.select("node", F.col("least").alias("component"))).distinct())
+        stars = stored(smaller.union(lowest.select(*key, "node", F.col("least").alias("component"))).distinct())
         now = _checksum(stars)
         if now == seen:
             break
@@ -60,7 +62,5 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def _checksum(df: DataFrame) -> tuple:
-    row = df.agg(
-        F.count("*").alias("n"), F.sum(F.xxhash64("node", "component") % 1_000_003).alias("h"), F.sum("component").alias("c")
-    ).first()
+    row = df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns) % 1_000_003), F.sum("component")).first()
     return tuple(row)
