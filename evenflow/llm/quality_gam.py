@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from evenflow.llm.labelled import MAX_TRAIN, held_out, training_sample
 from evenflow.llm.text_stats import FEATURES, ratios, with_statistics
@@ -144,7 +145,7 @@ def fit_additive(
 
 
 def _scorer(model: AdditiveModel):
-    @F.arrow_udf("double")
+    @F.arrow_udf(DoubleType())
     def score(column: pa.Array) -> pa.Array:
         x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), len(FEATURES))
         return pa.array(model.scores(x))

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from evenflow.llm.text import SPACE, Texts, chain_hashes, pieces, word_hashes
 
@@ -75,7 +76,7 @@ def statistics(texts: Texts) -> dict[str, np.ndarray]:
     return out | more
 
 
-@F.arrow_udf("struct<" + ",".join(f"{name}:long" for name in STATS) + ">")
+@F.arrow_udf(StructType([StructField(name, LongType()) for name in STATS]))
 def _counts(column: pa.Array) -> pa.Array:
     parts = [statistics(texts) for _, texts in pieces(column)]
     return pa.StructArray.from_arrays(
