@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from evenflow.llm.chat import rotate_perspectives
+from evenflow.llm.decision_list import quality_rules
 from evenflow.llm.jaccard_join import jaccard_groups
-from evenflow.session import ship_package
+from evenflow.llm.language_id import identify_languages
+from evenflow.llm.line_dedup import without_repeated_lines
+from evenflow.llm.mixing import mix_plan
+from evenflow.llm.packing import pack
+from evenflow.llm.quality_gam import quality_scores
+from evenflow.llm.vector_dedup import vector_groups
+from evenflow.llm.warc import round_trip
+from evenflow.session import ensure_checkpoint_dir, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +62,124 @@ reach(a, b) AS (SELECT a, b FROM sides UNION SELECT r.a, e.b FROM reach r JOIN s
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS component_id
 FROM sets s LEFT JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, len(s.s)
 """
+
+
+@query
+def op2_language_id(spark, folder):
+    return identify_languages(table(spark, folder, "documents"))
+
+
+@query
+def op3_warc(spark, folder):
+    archives = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    return round_trip(table(spark, folder, "pages"), archives)
+
+
+ORACLES["op3_warc"] = """
+WITH bodies AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), digests AS (
+  SELECT page_id, payload_bytes,
+         array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((
+             (CAST('0x' || substr(h, 10 * (d // 8) + 1, 10) AS BIGINT) >> (35 - 5 * (d % 8))) & 31) AS INTEGER), 1)
+           FOR d IN range(0, 32)], '') AS payload_digest
+  FROM bodies
+), firsts AS (SELECT payload_digest, payload_bytes, min(page_id) AS first_id FROM digests GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM digests JOIN firsts USING (payload_digest, payload_bytes)
+"""
+
+
+@query
+def op5_quality_classifier(spark, folder):
+    return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op6_chat_formatting(spark, folder):
+    return rotate_perspectives(table(spark, folder, "conversations"))
+
+
+ORACLES["op6_chat_formatting"] = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(nullif(trim(role), ''), 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations
+), voices AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'),
+pairs AS (
+  SELECT s.*, perspective,
+         CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS role
+  FROM said s JOIN voices v ON s.conv_id IS NOT DISTINCT FROM v.conv_id
+), heads AS (
+  SELECT *, CASE WHEN role = 'user' THEN speaker END AS name,
+         '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head
+  FROM pairs
+), cut AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM heads),
+placed AS (
+  SELECT *, CAST(length(segment) AS BIGINT) AS chars,
+         CAST(coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS starts
+  FROM cut
+)
+SELECT conv_id, perspective, turn, speaker, role, name, segment, starts, chars,
+       CASE WHEN role = 'assistant' THEN starts + length(head) END AS mask_from,
+       CASE WHEN role = 'assistant' THEN starts + chars - 1 END AS mask_to
+FROM placed
+"""
+
+
+@query
+def op9_quality_rules(spark, folder):
+    return quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op4_mixing(spark, folder):
+    return mix_plan(table(spark, folder, "documents")).drop("source", "copies")
+
+
+@query
+def op7_embedding_near_dedup(spark, folder):
+    return vector_groups(table(spark, folder, "embeddings"))
+
+
+@query
+def op10_packing(spark, folder):
+    import public_tokenizers
+
+    return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op8_line_dedup(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
+    cleaned = without_repeated_lines(docs.withColumn("n_lines", lines), removed="gone")
+    return cleaned.select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_removed"), F.array_join("gone", ",").alias("removed_lines"), "text")
+
+
+ORACLES["op8_line_dedup"] = r"""
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, unnest(ls) AS t, generate_subscripts(ls, 1) - 1 AS line FROM split),
+bags AS (
+  SELECT doc_id, line, list_sort(list_distinct(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                        '[^\x20\x09-\x0D]+'))) AS s FROM lines
+), sets AS (SELECT *, len(s) AS n, row_number() OVER (ORDER BY doc_id, line) AS k FROM bags WHERE len(s) >= 5),
+words AS (SELECT k, n, unnest(s) AS w FROM sets),
+df AS (SELECT w, count(*) AS c FROM words GROUP BY w),
+placed AS (SELECT k, n, w, row_number() OVER (PARTITION BY k ORDER BY c, w) AS p FROM words JOIN df USING (w)),
+prefix AS (SELECT k, n, w FROM placed WHERE p <= n - CAST(ceil(80 * n / 100.0) AS BIGINT) + 1),
+pairs AS (
+  SELECT DISTINCT a.k AS a, b.k AS b FROM prefix a JOIN prefix b ON a.w = b.w AND a.k < b.k
+  WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+), gone AS (
+  SELECT DISTINCT y.doc_id, y.line FROM pairs JOIN sets x ON x.k = a JOIN sets y ON y.k = b
+  WHERE 100 * len(list_intersect(x.s, y.s)) >= 80 * (x.n + y.n - len(list_intersect(x.s, y.s)))
+)
+SELECT s.doc_id, coalesce(len(ls), 0) AS n_lines, coalesce(g.n, 0) AS n_removed, coalesce(g.removed, '') AS removed_lines,
+       CASE WHEN g.n IS NULL THEN array_to_string(ls, chr(10)) ELSE coalesce(g2.kept, '') END AS text
+FROM split s
+LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS removed FROM gone GROUP BY doc_id) g ON g.doc_id = s.doc_id
+LEFT JOIN (SELECT l.doc_id, string_agg(t, chr(10) ORDER BY l.line) AS kept FROM lines l ANTI JOIN gone ON gone.doc_id = l.doc_id AND gone.line = l.line
+           GROUP BY l.doc_id) g2 ON g2.doc_id = s.doc_id
+"""
