@@ -77,7 +77,8 @@ class Encoder:
                 yield None
                 continue
             own, count = np.unique(runs[begin:end - 1].astype(np.int32), return_counts=True)
-            yield count.astype(np.float32) @ self.bound[self.rows(own)].astype(np.float32)
+            rows = self.rows(own)
+            yield count.astype(np.float32) @ self.bound[rows].astype(np.float32)
 
 
 _ENCODERS: dict[int, Encoder] = {}

@@ -315,8 +315,8 @@ def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 5) -> DataFr
     groups = stored(stars.union(stars.select("component", "component").distinct()).toDF("cls", "grp").join(firsts, "cls"))
 
     # A filter of FILTER_BITS over the tied classes spares most lines the way to the next shuffle.
-    slot = F.pmod(F.col("cls"), F.lit(FILTER_BITS))
-    filled = groups.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("bits"))
+    slot = groups.select(F.pmod(F.col("cls"), F.lit(FILTER_BITS)).cast("int").alias("slot"))
+    filled = slot.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, slot % 64)")).alias("bits"))
     wanted = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
     for batch in filled.toArrow().to_batches():
         wanted[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
@@ -342,7 +342,7 @@ def without_repeated_lines(docs: DataFrame, percent: int = 80, least: int = 5, r
     """
     gone = repeated_lines(docs, percent, least).groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list("line")).alias("__gone"))
     rows = docs.join(gone, F.col("doc_id") == F.col("__id"), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("__gone", i)), "\n")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n")
     text = F.when(F.col("__gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept)
     columns = [text.alias(c) if c == "text" else F.col(c) for c in docs.columns]
     if removed:
