@@ -1,33 +1,42 @@
 """Optimal template: as many fair sliding blocks as the category counts allow.
 
-Every block of a fair region is the floor pattern plus ``R = s - sum(floor)`` extras, one per chosen round-up
-category. A sliding block stays fair when an extra that two neighbouring blocks share sits in the same column,
-so the work is to (1) choose the extras of each block from the counts and (2) seat them column-stably, walking
-forward for an exact tiling and backward from the cut-off tail otherwise.
+An all-fair stretch is a grid of ``rows`` whole blocks and a shorter tail, ``s`` columns wide. Bounds leave every
+category at most one item of choice per block, so a block holds its floor items and ``extra = s - sum(floor)`` further
+items of distinct categories. If floor items keep their columns, and a category that is an extra of two neighbouring
+rows keeps its column there, every sliding block is fair, whatever the extras are.
+
+How long can the stretch be? ``rows`` is possible if the counts cover the floors and enough extras. A row is longer
+than any tail, so the most rows win. What the rows leave decides the tail: floor items that are left, plus one item
+each of up to ``extra`` categories with more than their floor left. An item given to the rows costs the tail nothing
+while its category keeps more than floor + 1, at most one place after that; counting what can be given for free tells
+the tail's length without trying anything.
+
+Where do the extras go? By the wrap-around rule: extra columns are filled one after the other from the top row to the
+bottom, category after category, those of every row first. A category then sits in one column, or at the bottom of one
+and the top of the next with at least a row between, so no two neighbouring rows hold it in different columns.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
-from evenflow.plans.labels import pour, rank_desc
+from evenflow.plans.labels import pour
 
 
 @dataclass(frozen=True)
-class Region:
-    """Longest all-fair region: q whole blocks with the given round-up degrees, then a tail."""
+class Stretch:
+    """The longest all-fair stretch: extras of each category in the rows, floor items and extras in the tail."""
 
-    blocks: int
-    degrees: np.ndarray
-    tail_base: np.ndarray
-    tail_extras: list[int]
+    rows: int
+    extras: np.ndarray
+    tail_floor: np.ndarray
+    tail_extras: np.ndarray
 
     @property
     def tail(self) -> int:
-        return int(self.tail_base.sum()) + len(self.tail_extras)
+        return int(self.tail_floor.sum()) + len(self.tail_extras)
 
 
 def check_bounds(floor: np.ndarray, ceiling: np.ndarray, block: int) -> None:
@@ -36,119 +45,73 @@ def check_bounds(floor: np.ndarray, ceiling: np.ndarray, block: int) -> None:
         raise ValueError("the optimal strategy needs floor <= ceiling <= floor + 1 around the block size")
 
 
-def tileable(counts: np.ndarray, blocks: int, floor: np.ndarray, ceiling: np.ndarray) -> bool:
-    return bool(((blocks * floor <= counts) & (counts <= blocks * ceiling)).all())
-
-
-def longest_region(counts: np.ndarray, block: int, floor: np.ndarray, ceiling: np.ndarray) -> Region | None:
-    """A region with q blocks is q*s .. q*s + s - 1 long, so the largest feasible q decides."""
-    sizes = np.arange(int(counts.sum()) // block, 0, -1)[:, None]
-    over = counts - sizes * floor
-    round_ups = np.where(ceiling > floor, np.minimum(sizes, over), 0).sum(axis=1)
-    possible = (over >= 0).all(axis=1) & (round_ups >= sizes[:, 0] * (block - int(floor.sum())))
-    for blocks in sizes[possible, 0].tolist():
-        options = list(_regions(blocks, counts, block, floor, ceiling))
-        if options:
-            return max(options, key=lambda region: region.tail)  # the first of the longest
-    return None
+def most_rows(counts: np.ndarray, block: int, floor: np.ndarray, ceiling: np.ndarray) -> int:
+    """Whole blocks that the counts cover; fewer are always possible too, so halving finds the most."""
+    def possible(rows: int) -> bool:
+        spare = counts - rows * floor
+        choice = np.minimum(spare, rows)[ceiling > floor].sum()
+        return bool((spare >= 0).all() and choice >= rows * (block - int(floor.sum())))
+
+    low, high = 0, int(counts.sum()) // block
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if possible(middle) else (low, middle - 1)
+    return low
+
+
+def longest_stretch(counts: np.ndarray, block: int, floor: np.ndarray, ceiling: np.ndarray) -> Stretch | None:
+    """None if not even one block is possible."""
+    rows, per_row = most_rows(counts, block, floor, ceiling), block - int(floor.sum())
+    if not rows:
+        return None
+    loose, spare = ceiling > floor, counts - rows * floor
+    room = np.where(loose, np.minimum(spare, rows), 0)
+    # What the rows may take: items no tail misses, then a category's last item above its floor, then floor items.
+    free = np.minimum(room, np.maximum(spare - floor - 1, 0))
+    owed = rows * per_row
+    taken = pour(owed, free)
+    last = pour(owed - int(taken.sum()), np.where(spare > floor, np.minimum(room - free, 1), 0))
+    taken = taken + last
+    taken = taken + pour(owed - int(taken.sum()), room - taken)
+    left = spare - taken
+    above = np.flatnonzero(loose & (left > floor))[:per_row]
+    base = np.minimum(left, floor)
+    excess = int(base.sum()) + len(above) - (block - 1)
+    if excess > 0:  # a tail is shorter than a block
+        dropped = min(excess, len(above))
+        above = above[: len(above) - dropped]
+        base = base - pour(excess - dropped, base)
+    return Stretch(rows, taken, base, above)
 
 
 def longest_fair_length(counts: np.ndarray, block: int, floor: np.ndarray, ceiling: np.ndarray) -> int:
     """Length of the longest all-fair arrangement of a part of these counts."""
-    total = int(counts.sum())
-    if total and total % block == 0 and tileable(counts, total // block, floor, ceiling):
-        return total
-    region = longest_region(counts, block, floor, ceiling)
-    return region.blocks * block + region.tail if region else 0
-
-
-def _regions(blocks: int, counts: np.ndarray, block: int, floor: np.ndarray, ceiling: np.ndarray) -> Iterator[Region]:
-    """Candidate regions with this many blocks, by how many categories give up a unit to the tail."""
-    over = counts - blocks * floor
-    loose = ceiling > floor
-    per_block = block - int(floor.sum())
-    owed = blocks * per_block
-    cap = np.where(loose, np.minimum(blocks, over), 0)
-    depth = over - floor                      # units that can be spent before the tail loses a floor item
-    giving = np.minimum(cap, depth - 1)       # capacity left when a category keeps an extra for the tail
-    able = np.flatnonzero(loose & (depth >= 1))
-    by_cost = able[np.lexsort((able, (cap - giving)[able], (cap >= depth)[able]))]
-    for keepers in range(min(per_block, len(able)) + 1):
-        room = cap.copy()
-        room[by_cost[:keepers]] = giving[by_cost[:keepers]]
-        if room.sum() < owed:
-            continue
-        degrees = pour(owed, np.minimum(room, depth))
-        degrees = degrees + pour(owed - int(degrees.sum()), room - degrees)
-        left = over - degrees
-        if degrees.sum() < owed or (left < 0).any():
-            continue
-        extras = np.flatnonzero(loose & (left > floor))[:per_block].tolist()
-        taken = np.zeros_like(left)
-        taken[extras] = 1
-        base = np.minimum(floor, left - taken)
-        surplus = int(base.sum()) + len(extras) - (block - 1)
-        if surplus > 0:                       # a tail is shorter than a block
-            cut = pour(surplus, base)
-            base, surplus = base - cut, surplus - int(cut.sum())
-            extras = extras[: len(extras) - surplus]
-        yield Region(blocks, degrees, base, extras)
-        if int(base.sum()) + len(extras) == block - 1:
-            return                            # no tail can be longer
-
-def extras_per_block(degrees: np.ndarray, blocks: int, per_block: int, loose: np.ndarray) -> list[np.ndarray]:
-    """Round-ups of every block, the most needed categories first."""
-    need, chosen = degrees.copy(), []
-    for _ in range(blocks):
-        pick = rank_desc(need, loose)[:per_block]
-        need[pick] -= 1
-        chosen.append(pick)
-    return chosen
-
-
-def seat_extras(chosen: list[np.ndarray], columns: list[int], fixed: dict[int, int]) -> list[dict[int, int]]:
-    """Column of each extra; one shared with the block seated before keeps its column."""
-    seated, previous = [], fixed
-    for pick in chosen:
-        kept = {c: previous[c] for c in pick.tolist() if c in previous}
-        open_columns = iter([c for c in columns if c not in kept.values()])
-        previous = kept | {c: next(open_columns) for c in pick.tolist() if c not in kept}
-        seated.append(previous)
-    return seated
+    found = longest_stretch(counts, block, floor, ceiling)
+    return found.rows * block + found.tail if found else 0
+
+
+def extra_grid(extras: np.ndarray, rows: int, per_row: int) -> np.ndarray:
+    """Category of every (row, extra column) by the wrap-around rule."""
+    order = np.argsort(extras < rows, kind="stable")  # whole columns first, so they never wrap
+    return np.repeat(order, extras[order]).reshape(per_row, rows).T
 
 
 def optimal_template(counts: np.ndarray, block: int, floor: np.ndarray, ceiling: np.ndarray) -> np.ndarray:
-    """Template of a whole chunk: the fair region, then what is left, category by category."""
+    """Template of a whole chunk: the fair stretch, then what is left, category by category."""
     counts, floor, ceiling = (np.asarray(v, dtype=np.int64) for v in (counts, floor, ceiling))
     check_bounds(floor, ceiling, block)
-    total, kinds = int(counts.sum()), np.arange(len(counts))
-    loose, extras = np.flatnonzero(ceiling > floor), block - int(floor.sum())
-    if total and total % block == 0 and tileable(counts, total // block, floor, ceiling):
-        whole = total // block
-        chosen = extras_per_block(counts - whole * floor, whole, extras, loose)
-        seats = seat_extras(chosen, list(range(block - extras, block)), {})
-        grid = _lay_out(np.repeat(kinds, floor), seats, block)
-        return grid.ravel()
-    region = longest_region(counts, block, floor, ceiling)
-    if region is None:
+    kinds = np.arange(len(counts))
+    found = longest_stretch(counts, block, floor, ceiling)
+    if found is None:
         return np.repeat(kinds, counts)
-    live, tail = len(region.tail_extras), region.tail
-    columns = [*range(live), *range(tail, tail + extras - live)]
-    pinned = dict(zip(region.tail_extras, columns, strict=False))
-    chosen = extras_per_block(region.degrees, region.blocks, extras, loose)
-    seats = seat_extras(chosen[::-1], columns, pinned)[::-1]
-    base = np.concatenate([np.repeat(kinds, region.tail_base), np.repeat(kinds, floor - region.tail_base)])
-    grid = _lay_out(base, [*seats, pinned], block, columns)
-    fair = grid.ravel()[: region.blocks * block + tail]
+    grid = extra_grid(found.extras, found.rows, block - int(floor.sum()))
+    # The tail goes on under the bottom row: its extras stay in their columns there, new ones take idle columns.
+    bottom = grid[-1].tolist() if grid.size else []
+    new = iter([c for c in found.tail_extras.tolist() if c not in bottom])
+    below = [c if c in found.tail_extras else next(new, None) for c in bottom]
+    live = [i for i, c in enumerate(below) if c is not None]
+    idle = [i for i, c in enumerate(below) if c is None]
+    early, late = np.repeat(kinds, found.tail_floor), np.repeat(kinds, floor - found.tail_floor)
+    row = [np.broadcast_to(early, (found.rows, len(early))), grid[:, live], grid[:, idle], np.broadcast_to(late, (found.rows, len(late)))]
+    fair = np.concatenate([np.concatenate(row, axis=1).ravel(), early, np.array([below[i] for i in live], dtype=np.int64)])
     return np.concatenate([fair, np.repeat(kinds, counts - np.bincount(fair, minlength=len(counts)))])
-
-
-def _lay_out(base: np.ndarray, seats: list[dict[int, int]], block: int, columns: list[int] | None = None) -> np.ndarray:
-    """One row per block: base categories in the columns that no extra uses, extras in their seats."""
-    columns = list(range(block - (block - len(base)), block)) if columns is None else columns
-    fixed = [c for c in range(block) if c not in set(columns)]
-    grid = np.zeros((len(seats), block), dtype=np.int64)
-    grid[:, fixed] = base
-    for row, seat in zip(grid, seats, strict=True):
-        row[list(seat.values())] = list(seat)
-    return grid
