@@ -9,6 +9,7 @@ seed of the next window, so only a shard's last window is short.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -19,65 +20,105 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenflow.llm.store import stored
-from evenflow.llm.text import pieces
+from evenflow.llm.text import LOWER, SPACE, Texts, pieces
 
 K1, B = 1.2, 0.75
 CACHE_WORDS = 1_000_000
-BOUNDARY = "<|startoftext|>"
-TAIL = b".,;:!?#*$%&|<>()"
-PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+BOUNDARY, RUN_END = "<|startoftext|>", "</w>"
+MARK = np.isin(np.arange(256), list(b".,;:!?#*$%&|<>()"))
+PLAIN = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz0123456789"))
+
+
+def with_marks_apart(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes in lower case with a blank before every run of marks that ends a plain word, and the rows' offsets."""
+    data, edge = LOWER[texts.data], texts.edges()
+    if not len(data):
+        return data, texts.offsets
+    mark = MARK[data]
+    first = mark.copy()
+    first[1:] &= ~mark[:-1] | edge[1:-1]
+    last = mark.copy()
+    last[:-1] &= ~mark[1:] | edge[1:-1]
+    begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    after = np.concatenate([SPACE[data], [True]])[end] | edge[end]
+    before = (begin > 0) & PLAIN[data[begin - 1]] & ~edge[begin]
+    at = begin[after & before]
+    return np.insert(data, at, 32), texts.offsets + np.searchsorted(at, texts.offsets, "left")
 
 
 class WordTokenizer:
     """Token ids of texts by a tokenizer that never joins across white space, with a cache of words.
 
-    ASCII letters are put in lower case for the cache, as the tokenizer does itself; a run of ASCII marks after a
-    plain letter or digit is a token run of its own and is looked up apart.
+    ASCII letters are put in lower case for the cache, as the tokenizer does itself. A run of ASCII marks between a
+    plain letter or digit and white space is a token run of its own, so it is set off as a word. Texts that spell
+    special tokens are left as they are.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.vocabulary <= 1 << 16 else np.dtype("<u4")
         self.boundary = self.tokenizer.token_to_id(BOUNDARY)
+        self.ends_run = np.zeros(self.vocabulary, dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends_run[i] = token.endswith(RUN_END)
         self.cache: dict[bytes, bytes] = {}
 
-    def ids(self, texts: list[bytes]) -> list[bytes]:
+    def ids(self, texts: Texts) -> list[bytes]:
         """Ids of every text as little-endian bytes."""
-        texts = [t if b"<|" in t else t.lower() for t in texts]
-        words = [t.split() for t in texts]
+        data, offsets = with_marks_apart(texts)
+        plain, at = data.tobytes(), offsets.tolist()
+        words = [plain[a:b].split() for a, b in zip(at[:-1], at[1:], strict=True)]
+        raw = texts.data.tobytes()
+        if b"<|" in raw:
+            at = texts.offsets.tolist()
+            for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+                if b"<|" in raw[a:b]:
+                    words[i] = raw[a:b].split()
         new = set().union(*words).difference(self.cache)
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache.clear()
             new = set().union(*words)
-        cut = {}
-        for w in new:
-            stem = w.rstrip(TAIL) if b"<|" not in w else w
-            if stem and len(stem) < len(w) and stem[-1] in PLAIN:
-                cut[w] = stem
-        self._learn(list({x for w in new for x in ((cut[w], w[len(cut[w]):]) if w in cut else (w,)) if x not in self.cache}))
-        for w, stem in cut.items():
-            self.cache[w] = self.cache[stem] + self.cache[w[len(stem):]]
+        self._learn(list(new))
         known = self.cache.__getitem__
         return [b"".join(map(known, ws)) for ws in words]
 
     def _learn(self, words: list[bytes], chunk: int = 512) -> None:
-        plain = [w for w in words if b"<|" not in w]
-        groups = [plain[i:i + chunk] for i in range(0, len(plain), chunk)]
-        joined = [f" {BOUNDARY} ".join(w.decode() for w in g) for g in groups]
-        if self.boundary is None:
-            groups, joined, plain = [], [], []
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, dtype=self.dtype)
-            at = np.flatnonzero(ids == self.boundary)
-            if len(at) != len(group) - 1:
-                raise ValueError("word borders were lost")
-            for w, begin, end in zip(group, [0, *(at + 1).tolist()], [*at.tolist(), len(ids)], strict=True):
-                self.cache[w] = ids[begin:end].tobytes()
-        for w in set(words).difference(plain):
-            self.cache[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        """Add words to the cache, many in one call: the tokenizer's last token of a run of letters marks its end."""
+        texts = [w.decode() for w in words]
+        runs = [w for w, t in zip(words, texts, strict=True) if t.isalpha()]
+        rest = [w for w, t in zip(words, texts, strict=True) if not t.isalpha()]
+        for i in range(0, len(runs), chunk):
+            group = runs[i:i + chunk]
+            ids = np.array(self._encode(b" ".join(group)), dtype=self.dtype)
+            at = np.flatnonzero(self.ends_run[ids]) + 1
+            if len(at) != len(group):
+                rest += group  # some letters are several runs here
+                continue
+            self._keep(group, ids, [0, *at[:-1].tolist()], at.tolist())
+        if self.boundary is not None:
+            spelt, rest = [w for w in rest if b"<|" in w], [w for w in rest if b"<|" not in w]
+            for i in range(0, len(rest), chunk):
+                group = rest[i:i + chunk]
+                ids = np.array(self._encode(f" {BOUNDARY} ".encode().join(group)), dtype=self.dtype)
+                at = np.flatnonzero(ids == self.boundary)
+                if len(at) != len(group) - 1:
+                    raise ValueError("word borders were lost")
+                self._keep(group, ids, [0, *(at + 1).tolist()], [*at.tolist(), len(ids)])
+            rest = spelt
+        for w in rest:
+            self.cache[w] = np.array(self._encode(w), dtype=self.dtype).tobytes()
+
+    def _encode(self, text: bytes) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, begin: list[int], end: list[int]) -> None:
+        raw, width = ids.tobytes(), self.dtype.itemsize
+        for w, a, b in zip(words, begin, end, strict=True):
+            self.cache[w] = raw[a * width:b * width]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -103,8 +144,7 @@ def _tokenize(path: str, end_id: int):
         for batch in batches:
             doc = batch.column(0)
             for begin, texts in pieces(batch.column(1)):
-                raw, at = texts.data.tobytes(), texts.offsets.tolist()
-                ids = [x + end for x in tok.ids([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])]
+                ids = [x + end for x in tok.ids(texts)]
                 for x in ids:
                     seen[np.unique(np.frombuffer(x, dtype=tok.dtype))] += 1
                 n = len(ids)
