@@ -109,7 +109,54 @@ def rarity(counts: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.where(counts < 2, 0, np.ceil(8 * np.log2(np.maximum(counts, 1))))).astype(np.uint8)
 
 
-PREFIX = "word long, low int, high int, cls long, sketch long, place int, size int, own int"
+# Sizes from which a sketch has 128, 256, ... bits: wide enough to tell unrelated lines apart with Jaccard 0.8.
+WIDER = np.array([54, 160, 400, 900, 2000])
+
+
+def parity_sketches(at: np.ndarray, words: np.ndarray) -> list[bytes]:
+    """A sketch per set: every word toggles one bit. Folding a wide sketch gives the narrow one."""
+    size = np.diff(at)
+    width = 64 << np.searchsorted(WIDER, size, "right")
+    place, out = mix(words ^ np.uint64(0x5EED)), np.empty(len(size), dtype=object)
+    for bits in np.unique(width).tolist():
+        chosen = np.flatnonzero(width == bits)
+        own = np.repeat(width == bits, size)
+        cell = np.repeat(np.arange(len(chosen)), size[chosen]) * bits + (place[own] % np.uint64(bits)).astype(np.int64)
+        odd = (np.bincount(cell, minlength=len(chosen) * bits) & 1).astype(np.uint8).reshape(len(chosen), bits)
+        out[chosen] = [row.tobytes() for row in np.packbits(odd, axis=1, bitorder="little")]
+    return out.tolist()
+
+
+class Sketches:
+    """Sketches of rows by width, to compare pairs of rows at the narrower width of the two."""
+
+    def __init__(self, column: pa.Array):
+        column = column.cast(pa.large_binary())
+        _, offsets, data = column.buffers()
+        at = np.frombuffer(offsets, dtype=np.int64)[column.offset:column.offset + len(column) + 1]
+        whole = np.frombuffer(data, dtype=np.uint8)
+        self.width = np.diff(at) // 8
+        self.row, self.by_width = np.zeros(len(column), dtype=np.int64), {}
+        for w in np.unique(self.width).tolist():
+            rows = np.flatnonzero(self.width == w)
+            self.row[rows] = np.arange(len(rows))
+            self.by_width[w] = np.ascontiguousarray(whole[at[rows][:, None] + np.arange(8 * w)]).view("<u8")
+
+    def folded(self, rows: np.ndarray, w: int, to: int) -> np.ndarray:
+        return np.bitwise_xor.reduce(self.by_width[w][self.row[rows]].reshape(len(rows), w // to, to), axis=1)
+
+    def distance(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), dtype=np.int64)
+        for a in self.by_width:
+            for b in self.by_width:
+                pair = np.flatnonzero((self.width[i] == a) & (self.width[j] == b))
+                if len(pair):
+                    x, y = self.folded(i[pair], a, min(a, b)), self.folded(j[pair], b, min(a, b))
+                    out[pair] = np.bitwise_count(x ^ y).sum(axis=1)
+        return out
+
+
+PREFIX = "word long, low int, high int, cls long, sketch binary, place int, size int, own int"
 PREFIX_NAMES = [c.split()[0] for c in PREFIX.split(", ")]
 
 
@@ -121,8 +168,7 @@ def _prefixes(least: int, percent: int, rank: np.ndarray):
                 if not len(words):
                     continue
                 size, cls = np.diff(at), class_ids(at, words)
-                place = mix(words ^ np.uint64(0x5EED)) % np.uint64(64)
-                sketch = np.bitwise_xor.reduceat(np.uint64(1) << place, at[:-1])
+                sketch = pa.array(parity_sketches(at, words), pa.binary())
                 line = np.repeat(np.arange(len(size), dtype=np.uint64), size)
                 rare = rank[(words % np.uint64(SLOTS)).astype(np.int64)].astype(np.uint64)
                 key = np.sort((line << np.uint64(45)) | (rare << np.uint64(37)) | (words >> np.uint64(ID_BITS - 37)))
@@ -138,9 +184,11 @@ def _prefixes(least: int, percent: int, rank: np.ndarray):
                 other = np.arange(len(times)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
                 mine = own[times]
                 columns = [word[times], np.minimum(mine, other), np.maximum(mine, other), cls[owner].view(np.int64)[times],
-                           sketch[owner].view(np.int64)[times], position[use][times], size[owner][times], mine]
-                kinds = [np.int64, np.int32, np.int32, np.int64, np.int64, np.int32, np.int32, np.int32]
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)], names=PREFIX_NAMES)
+                           position[use][times], size[owner][times], mine]
+                kinds = [np.int64, np.int32, np.int32, np.int64, np.int32, np.int32, np.int32]
+                columns = [pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)]
+                columns.insert(4, sketch.take(pa.array(owner[times])))
+                yield pa.RecordBatch.from_arrays(columns, names=PREFIX_NAMES)
 
     def all_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +196,7 @@ def _prefixes(least: int, percent: int, rank: np.ndarray):
     return all_batches
 
 
-def allowed_ties(cols: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+def allowed_ties(cols: dict[str, np.ndarray], sketches: Sketches, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Ties between classes that share a prefix word and pass all filters; rows sorted by (word, low, high).
 
     Neighbours at distance 1, 2, ... inside their buckets are compared for all buckets at once; pairs that are tied
@@ -166,9 +214,10 @@ def allowed_ties(cols: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray,
         n, m = cols["size"][i].astype(np.int64), cols["size"][j].astype(np.int64)
         need = least_common(n, m, percent)
         most = 1 + np.minimum(cols["place"][i], cols["place"][j]) + np.minimum(n - cols["place"][i], m - cols["place"][j]) - 1
-        near = np.bitwise_count(cols["sketch"][i] ^ cols["sketch"][j]).astype(np.int64)
-        good = across & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (most >= need) & (near <= n + m - 2 * need)
+        good = across & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (most >= need)
         good &= (label[i] != label[j]) & (cols["cls"][i] != cols["cls"][j])
+        i, j, differ = i[good], j[good], (n + m - 2 * need)[good]
+        good = sketches.distance(i, j) <= differ
         i, j = i[good], j[good]
         while len(i):  # join what is still apart; several pairs may name one row
             a, b = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
@@ -189,9 +238,9 @@ def allowed_ties(cols: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray,
 def _tie(percent: int):
     """Sorted prefix rows -> ties (a, b); whole buckets are taken from the stream a few hundred thousand rows at a time."""
     def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        cols = {n: np.concatenate([p.column(i).to_numpy(zero_copy_only=False) for p in parts]) for i, n in enumerate(PREFIX_NAMES)}
-        cols["sketch"] = cols["sketch"].view(np.uint64)
-        a, b = allowed_ties(cols, percent)
+        whole = pa.Table.from_batches(parts).combine_chunks()
+        cols = {n: whole[n].to_numpy() for n in PREFIX_NAMES if n != "sketch"}
+        a, b = allowed_ties(cols, Sketches(pa.concat_arrays(whole["sketch"].chunks)), percent)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
