@@ -6,7 +6,7 @@ an entry here is iterative (planners, swaps, windowed repair) or needs functions
 
 from __future__ import annotations
 
-from evenflow.catalog.queries import GRID, S, USER_S, USER_W, W, X
+from evenflow.catalog.queries import GRID, S, USER_S, USER_W, USER_X, W, X
 from evenflow.operators.grid import SWEEPS
 
 ORACLES: dict[str, str] = {}
@@ -307,11 +307,20 @@ ORACLES["latency_report"] = f"""
 
 SIZE = W + X
 CHUNKED = f"""s AS ({EVENTS}),
-  chunked AS (SELECT pos // {SIZE} AS chunk, pos % {SIZE} AS place, g, event_id FROM s
-              WHERE pos // {SIZE} < (SELECT count(*) // {SIZE} FROM s)),
+  chunked AS (SELECT pos // {SIZE} AS chunk, pos % {SIZE} AS place, g, event_id FROM s),
   {bounds_cte('events', 'event_type', S)},
   tally AS (SELECT chunk, gidx, b.g, tgt0 AS tgt, lo0, hi0, count(*) FILTER (WHERE c.g = b.g) AS n
             FROM chunked c CROSS JOIN bnd b GROUP BY ALL)"""
+# Strategies that need whole blocks: whole chunks, and the last rows of the stream as they are.
+WHOLE = CHUNKED.replace("event_id FROM s)", f"event_id FROM s WHERE pos // {SIZE} < (SELECT count(*) // {SIZE} FROM s))")
+
+
+def and_tail(name: str) -> str:
+    return f"""
+  UNION ALL SELECT pos // {SIZE}, '{name}', pos % {SIZE}, pos % {SIZE}, g, event_id FROM s
+  WHERE pos // {SIZE} >= (SELECT count(*) // {SIZE} FROM s)"""
+
+
 ORACLES["repair_keeps_rows"] = f"""
   WITH {CHUNKED}
   SELECT chunk, strategy, g AS category, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS event_ids, 0 AS out_of_order
@@ -320,7 +329,8 @@ ORACLES["repair_keeps_rows"] = f"""
 ORACLES["chunk_pattern_bound"] = f"""
   WITH {CHUNKED},
   copies AS (SELECT chunk, min(CASE WHEN tgt > 0 THEN n // tgt END) AS m,
-                    bool_and({SIZE // S} * lo0 <= n AND n <= {SIZE // S} * hi0) AS tileable FROM tally GROUP BY 1)
+                    bool_and(size % {S} = 0 AND size * lo0 <= n * {S} AND n * {S} <= size * hi0) AS tileable
+             FROM tally JOIN (SELECT chunk, sum(n) AS size FROM tally GROUP BY 1) USING (chunk) GROUP BY 1)
   SELECT chunk, any_value(tileable) AS tileable, any_value(m) AS pattern_copies,
          string_agg(CAST(n - tgt * m AS BIGINT), ',' ORDER BY gidx) AS remainders
   FROM tally JOIN copies USING (chunk) GROUP BY chunk"""
@@ -339,7 +349,7 @@ ORACLES["chunk_scores_before"] = f"""
         AS fair_blocks FROM blk) WHERE place >= {W - 1})
   {summary("chunk", W // S).replace("SELECT chunk,", "SELECT chunk, 0 AS changed,")}"""
 ORACLES["repair_naive_reversed"] = f"""
-  WITH {CHUNKED},
+  WITH {WHOLE},
   copies AS (SELECT chunk, min(CASE WHEN tgt > 0 THEN n // tgt END) AS m FROM tally GROUP BY 1),
   rest AS (SELECT chunk, gidx, g, tgt, m, n - tgt * m AS rest, least(tgt, n - tgt * m) AS ep
            FROM tally JOIN copies USING (chunk)),
@@ -359,11 +369,11 @@ ORACLES["repair_naive_reversed"] = f"""
   seats AS (SELECT chunk, g, place, row_number() OVER (PARTITION BY chunk, g ORDER BY place) AS k FROM placed),
   items AS (SELECT chunk, g, place, event_id, row_number() OVER (PARTITION BY chunk, g ORDER BY place) AS k FROM chunked)
   SELECT chunk, 'naive_reversed' AS strategy, s.place AS position_in_chunk, i.place AS source_position,
-         g AS category, event_id FROM items i JOIN seats s USING (chunk, g, k)"""
+         g AS category, event_id FROM items i JOIN seats s USING (chunk, g, k)""" + and_tail("naive_reversed")
 # The naive strategy as a recursion: one pass over the ranked categories of the current leftover block per step.
 KINDS = len(EVENT_TYPES)
 ORACLES["repair_naive"] = f"""
-  WITH RECURSIVE {CHUNKED},
+  WITH RECURSIVE {WHOLE},
   copies AS (SELECT chunk, min(CASE WHEN tgt > 0 THEN n // tgt END) AS m FROM tally GROUP BY 1),
   -- state: what is left per category (gidx order), room in the current leftover block, whether it is its first pass
   start AS (SELECT chunk, list(CAST(n - tgt * m AS BIGINT) ORDER BY gidx) AS rest,
@@ -402,7 +412,7 @@ ORACLES["repair_naive"] = f"""
             FROM word JOIN bnd b USING (gidx)),
   items AS (SELECT chunk, g, place, event_id, row_number() OVER (PARTITION BY chunk, g ORDER BY place) AS k FROM chunked)
   SELECT chunk, 'naive' AS strategy, s.place AS position_in_chunk, i.place AS source_position,
-         g AS category, event_id FROM items i JOIN seats s USING (chunk, g, k)"""
+         g AS category, event_id FROM items i JOIN seats s USING (chunk, g, k)""" + and_tail("naive")
 # The swap heuristics as recursions over label lists: one category of one block per step, then one landmark label
 # per step. Blocks are judged by the target as a minimum.
 
@@ -476,14 +486,14 @@ def seated(name: str, source: str) -> str:
             FROM (SELECT chunk, unnest(word) AS gidx, generate_subscripts(word, 1) AS i FROM {source}) JOIN bnd b USING (gidx)),
   items AS (SELECT chunk, g, place, event_id, row_number() OVER (PARTITION BY chunk, g ORDER BY place) AS k FROM chunked)
   SELECT chunk, '{name}' AS strategy, s.place AS position_in_chunk, i.place AS source_position,
-         g AS category, event_id FROM items i JOIN seats s USING (chunk, g, k)"""
+         g AS category, event_id FROM items i JOIN seats s USING (chunk, g, k){and_tail(name)}"""
 
 
-ORACLES["repair_internal_swap"] = f"WITH RECURSIVE {CHUNKED}, {INTERNAL}, {seated('internal_swap', 'swapped')}"
+ORACLES["repair_internal_swap"] = f"WITH RECURSIVE {WHOLE}, {INTERNAL}, {seated('internal_swap', 'swapped')}"
 ORACLES["repair_greedy_swap"] = (
-    f"WITH RECURSIVE {CHUNKED}, {INTERNAL}, {greedy('1')}, {seated('greedy_swap', 'final')}")
+    f"WITH RECURSIVE {WHOLE}, {INTERNAL}, {greedy('1')}, {seated('greedy_swap', 'final')}")
 ORACLES["repair_weighted_greedy_swap"] = (
-    f"WITH RECURSIVE {CHUNKED}, {INTERNAL}, {greedy(f'{X} - o')}, {seated('weighted_greedy_swap', 'final')}")
+    f"WITH RECURSIVE {WHOLE}, {INTERNAL}, {greedy(f'{X} - o')}, {seated('weighted_greedy_swap', 'final')}")
 
 # Longest fair region by brute force: q whole blocks, every split of the q*R extras over the categories, and the
 # tail that the left-over items then allow.
@@ -507,7 +517,95 @@ ORACLES["chunk_potential"] = f"""
   SELECT chunk, longest_fair, greatest(0, longest_fair - {S - 1}) AS attainable_blocks FROM longest"""
 ORACLES["repair_optimal_fair_blocks"] = f"""
   WITH {CHUNKED}, {REGION}
-  SELECT chunk, {SIZE - S + 1} AS sliding_blocks, greatest(0, longest_fair - {S - 1}) AS fair_blocks FROM longest"""
+  SELECT chunk, CAST(size - {S - 1} AS BIGINT) AS sliding_blocks, greatest(0, longest_fair - {S - 1}) AS fair_blocks
+  FROM longest JOIN (SELECT chunk, sum(n) AS size FROM tally GROUP BY 1) USING (chunk) WHERE size >= {S}"""
+# The windowed repair as a recursion over every user's rows: one step per fair window or repaired chunk.
+USER_SIZE = USER_W + USER_X
+
+
+def repeated(times: str, value: str) -> str:
+    return f"list_transform(range(greatest(0, {times})), lambda i: {value})"
+
+
+USER_RUN = f"""s AS ({USERS}),
+  {bounds_cte('events', 'event_type', USER_S)},
+  limits AS (SELECT list(CAST(tgt0 AS BIGINT) ORDER BY gidx) AS tgts, list(CAST(lo0 AS BIGINT) ORDER BY gidx) AS lows,
+                    list(CAST(hi0 AS BIGINT) ORDER BY gidx) AS highs FROM bnd),
+  run AS (
+    SELECT user_id, list(event_id ORDER BY pos) AS ids, list(CAST(gidx AS BIGINT) ORDER BY pos) AS word, 0 AS st, 0 AS edits, 0 AS step,
+           'start' AS kind, CAST([] AS BIGINT[]) AS chunk_ids, CAST([] AS BIGINT[]) AS chunk, CAST([] AS BIGINT[]) AS places
+    FROM s JOIN bnd USING (g) GROUP BY user_id
+    UNION ALL
+    SELECT user_id, CASE WHEN act = 'edit' THEN ids[1:st] || list_transform(ord, lambda q: old_ids[q]) || ids[st + {USER_SIZE} + 1:] ELSE ids END,
+           CASE WHEN act = 'edit' THEN word[1:st] || tmpl || word[st + {USER_SIZE} + 1:] ELSE word END,
+           st + CASE act WHEN 'fair' THEN 1 WHEN 'edit' THEN {USER_X + 1} ELSE 0 END, edits + (act = 'edit')::INT, step + 1, act,
+           old_ids, old, ord
+    FROM (
+      SELECT *, list_transform(range(1, {USER_SIZE} + 1), lambda p: list_filter(range(1, {USER_SIZE} + 1), lambda i: old[i] = tmpl[p])[
+                  len(list_filter(tmpl[1:p], lambda x: x = tmpl[p]))]) AS ord
+      FROM (
+        SELECT *, CASE WHEN act <> 'edit' THEN CAST([] AS BIGINT[]) WHEN list_sum(rest) = 0
+            THEN flatten({repeated('copies', f"flatten(list_transform(range(0, {KINDS}), lambda c: {repeated('tgts[c + 1]', 'c')}))")})
+            ELSE list_reverse(flatten({repeated('copies', 'prefix || missing')}) || prefix
+                 || flatten(list_transform(range(0, {KINDS}), lambda c: {repeated('rest[c + 1] - least(tgts[c + 1], rest[c + 1])', 'c')}))) END AS tmpl
+        FROM (
+          SELECT *, flatten(list_transform(by_size, lambda x: {repeated('least(tgts[x.c + 1], rest[x.c + 1])', 'x.c')})) AS prefix,
+                 flatten(list_transform(by_size, lambda x: {repeated('tgts[x.c + 1] - least(tgts[x.c + 1], rest[x.c + 1])', 'x.c')})) AS missing
+          FROM (
+            SELECT *, list_sort(list_transform(range(0, {KINDS}), lambda c: {{'k': -least(tgts[c + 1], rest[c + 1]), 'c': c}})) AS by_size
+            FROM (
+              SELECT *, list_transform(range(1, {KINDS} + 1), lambda c: held[c] - copies * tgts[c]) AS rest
+              FROM (
+                SELECT *, list_min(list_transform(list_filter(range(1, {KINDS} + 1), lambda c: tgts[c] > 0), lambda c: held[c] // tgts[c])) AS copies
+                FROM (
+                  SELECT *, list_transform(range(0, {KINDS}), lambda c: len(list_filter(old, lambda x: x = c))) AS held
+                  FROM (
+                    SELECT run.*, limits.*, word[st + 1:st + {USER_SIZE}] AS old, ids[st + 1:st + {USER_SIZE}] AS old_ids,
+                           CASE WHEN len(list_filter(range(0, {USER_W // USER_S * KINDS}), lambda k:
+                                  len(list_filter(word[st + k // {KINDS} * {USER_S} + 1:st + (k // {KINDS} + 1) * {USER_S}], lambda x: x = k % {KINDS}))
+                                  NOT BETWEEN lows[k % {KINDS} + 1] AND highs[k % {KINDS} + 1])) = 0 THEN 'fair'
+                                WHEN st + {USER_SIZE} <= len(word) THEN 'edit' ELSE 'stop' END AS act
+                    FROM run, limits WHERE kind <> 'stop' AND st + {USER_W} <= len(word)))))))))
+  ),
+  ends AS (SELECT user_id, arg_max(ids, step) AS ids, arg_max(word, step) AS word FROM run GROUP BY user_id)"""
+ORACLES["repair_stateful_reversed"] = f"""
+  WITH RECURSIVE {USER_RUN}
+  SELECT user_id, CAST(0 AS BIGINT) AS episode, CAST(i - 1 AS BIGINT) AS out_pos, g AS category, event_id FROM (
+    SELECT user_id, unnest(ids) AS event_id, unnest(word) AS gidx, generate_subscripts(ids, 1) AS i FROM ends) JOIN bnd USING (gidx)"""
+ORACLES["repair_captures_reversed"] = f"""
+  WITH RECURSIVE {USER_RUN},
+  places AS (
+    SELECT user_id, edits - 1 AS edit_event, i, chunk_ids[i] AS old_id, chunk[i] AS old_g, chunk_ids[places[i]] AS new_id, chunk[places[i]] AS new_g
+    FROM run, range(1, {USER_SIZE} + 1) AS r(i) WHERE kind = 'edit')
+  SELECT user_id, CAST(0 AS BIGINT) AS episode, phase, CAST(edit_event AS BIGINT) AS edit_event, CAST(i - 1 AS INTEGER) AS position_in_chunk,
+         g AS category, event_id FROM (
+    SELECT user_id, 'original' AS phase, edit_event, i, old_g AS gidx, old_id AS event_id FROM places
+    UNION ALL SELECT user_id, 'reordered', edit_event, i, new_g, new_id FROM places) JOIN bnd USING (gidx)"""
+USER_BLOCKS = USER_W // USER_S
+ORACLES["strategy_compare_reversed"] = f"""
+  WITH RECURSIVE {USER_RUN},
+  sides AS (
+    SELECT user_id, edits, 'before' AS strategy, chunk AS w, 0 AS moved FROM run WHERE kind = 'edit'
+    UNION ALL
+    SELECT user_id, edits, 'naive_reversed', list_transform(places, lambda q: chunk[q]),
+           len(list_filter(range(1, {USER_SIZE} + 1), lambda p: chunk[p] <> chunk[places[p]])) FROM run WHERE kind = 'edit'),
+  blocks AS (
+    SELECT user_id, edits, strategy, moved, v, sum(fair::INT) AS fair FROM (
+      SELECT user_id, edits, strategy, moved, v, len(list_filter(range(1, {KINDS} + 1), lambda c:
+               len(list_filter(w[v + b * {USER_S} + 1:v + (b + 1) * {USER_S}], lambda x: x = c - 1)) NOT BETWEEN lows[c] AND highs[c])) = 0 AS fair
+      FROM sides, limits, range(0, {USER_X} + 1) AS wins(v), range(0, {USER_BLOCKS}) AS parts(b)) GROUP BY ALL),
+  chunks AS (SELECT user_id, edits, strategy, any_value(moved) AS moved, sum(fair) AS fair_blocks, sum((fair = {USER_BLOCKS})::INT) AS fair_windows,
+                    count(*) AS windows FROM blocks GROUP BY ALL),
+  whole AS (SELECT strategy, sum(moved) AS moved, sum(fair_blocks) AS fb, sum(fair_windows) AS fw, sum(windows) AS wn FROM chunks GROUP BY 1),
+  checks AS (SELECT count(*) FILTER (WHERE kind = 'edit') AS edits, count(*) FILTER (WHERE kind = 'fair') AS fair_checks FROM run)
+  SELECT strategy, edits, fair_checks, CAST(moved AS BIGINT) AS total_swaps,
+         CAST((fair_checks + edits) * {USER_BLOCKS} + edits * {USER_BLOCKS * (USER_X + 1)} AS BIGINT) AS compat_total_blocks,
+         CAST(fb + CASE WHEN strategy = 'before' THEN fair_checks * {USER_BLOCKS} ELSE 0 END AS BIGINT) AS compat_fair_blocks,
+         CAST(wn + CASE WHEN strategy = 'before' THEN fair_checks ELSE 0 END AS BIGINT) AS compat_windows,
+         CAST(fw + CASE WHEN strategy = 'before' THEN fair_checks ELSE 0 END AS BIGINT) AS compat_fair_windows,
+         CAST((wn + fair_checks) * {USER_BLOCKS} AS BIGINT) AS total_blocks, CAST(fb + fair_checks * {USER_BLOCKS} AS BIGINT) AS fair_blocks,
+         CAST(fw + fair_checks AS BIGINT) AS fair_windows
+  FROM whole, checks"""
 ORACLES["repair_stateful_delivery"] = """
   SELECT user_id, event_type AS category, count(*) AS n, count(*) AS events, CAST(sum(event_id) AS BIGINT) AS event_ids
   FROM events GROUP BY 1, 2"""

@@ -369,9 +369,8 @@ def drain(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 # -- repair ----------------------------------------------------------------------------------------------------
 
-def event_chunks(spark, folder, whole_only=True):
-    return repair.cut_chunks(event_stream(spark, folder), "event_type", event_bounds(spark, folder, S), W, X,
-                             ["event_id"], whole_only)
+def event_chunks(spark, folder):
+    return repair.cut_chunks(event_stream(spark, folder), "event_type", event_bounds(spark, folder, S), W, X, ["event_id"])
 
 
 def _repair_query(name):
@@ -386,7 +385,7 @@ for _name in CHUNK_STRATEGIES:
 
 @query("repair_remainder")
 def _(spark, folder):
-    return repair.repair_chunks(event_chunks(spark, folder, whole_only=False), ["optimal"]).drop("pos")
+    return repair.repair_chunks(event_chunks(spark, folder), ["optimal"]).drop("pos")
 
 
 @query("repair_optimal_fair_blocks")
@@ -454,11 +453,24 @@ def _(spark, folder):
     return user_trace(spark, folder, log_edits=False).delivered(["event_id"]).drop("pos")
 
 
-@query("repair_stateful_single_stream")
+@query("repair_stateful_reversed")
 def _(spark, folder):
-    trace = stateful.stateful_repair(event_stream(spark, folder), "event_type", event_bounds(spark, folder, S),
-                                     W, X, log_edits=False)
-    return trace.delivered(["event_id"]).drop("pos")
+    """Windowed repair of every user's stream by the reversed pattern."""
+    return user_trace(spark, folder, primary="naive_reversed", log_edits=False).delivered(["event_id"]).drop("pos")
+
+
+@query("repair_captures_reversed")
+def _(spark, folder):
+    return user_trace(spark, folder, primary="naive_reversed").captures(["event_id"]).drop("pos")
+
+
+@query("strategy_compare_reversed")
+def _(spark, folder):
+    """Run report of a repair by the reversed pattern, before and after."""
+    trace = user_trace(spark, folder, primary="naive_reversed")
+    report = stateful.strategy_metrics(trace, ["naive_reversed"], by=[])
+    return report.select("strategy", "edits", "fair_checks", "total_swaps", "compat_total_blocks", "compat_fair_blocks", "compat_windows",
+                         "compat_fair_windows", "total_blocks", "fair_blocks", "fair_windows")
 
 
 @query("repair_stateful_delivery")
@@ -615,7 +627,7 @@ def _(spark, folder):
 def _(spark, folder):
     counts = category_counts(load(spark, folder, "events"), "event_type")
     return grid.repair_grid(seeded_events(spark, folder, 2), "event_type", counts, [(100, 50, 100), (500, 50, 50)],
-                            ["optimal", "naive", "internal_swap"])
+                            ["optimal", "naive", "internal_swap"], max_windows=500)
 
 
 @query("experiment_significance")
@@ -623,5 +635,5 @@ def _(spark, folder):
     points = grid.sweep_table(spark, {"W": {"window": [100, 200], "block": [50], "landmark": [100]}})
     results = experiment.run_experiment(
         load(spark, folder, "events", "event_id", "event_type"), "event_type", ["event_id"], points, runs=3,
-        phases={"whole": (None, ["naive", "optimal", "internal_swap"])})
+        phases={"slow": (500, ["naive", "optimal", "internal_swap"])})
     return experiment.compare_experiment(results)

@@ -13,7 +13,7 @@ from evenflow.operators.bounds import Bounds
 from evenflow.operators.monitor import monitor_summaries
 from evenflow.operators.order import OrderedStream
 from evenflow.operators.prep import valid_config
-from evenflow.operators.stateful import EPISODE_ROWS, stateful_repair, strategy_metrics
+from evenflow.operators.stateful import stateful_repair, strategy_metrics
 from evenflow.session import materialize
 
 # The standard experiment grid. Each sweep varies one parameter and fixes the other two.
@@ -95,14 +95,14 @@ def monitor_grid(stream: OrderedStream, attr: str, counts: Mapping[str, int],
 
 def repair_grid(stream: OrderedStream, attr: str, counts: Mapping[str, int],
                 configs: Sequence[tuple[int, int, int]], strategies: Sequence[str], primary: str = "optimal",
-                episode_rows: int = EPISODE_ROWS, max_windows: int | None = None) -> DataFrame:
+                max_windows: int | None = None) -> DataFrame:
     """Strategy metrics per configuration and stream key (run).
 
     The runs of all configurations are one job: their logs are written as one table, partitioned by
     configuration, and every configuration is scored from its partition.
     """
     traces = [
-        stateful_repair(stream, attr, Bounds.from_counts(counts, s), w, x, primary, episode_rows, max_windows)
+        stateful_repair(stream, attr, Bounds.from_counts(counts, s), w, x, primary, max_windows)
         for w, s, x in configs
     ]
     logs = materialize(_union(t.df.withColumn("_config", F.lit(i)) for i, t in enumerate(traces)), ["_config"])

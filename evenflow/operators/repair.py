@@ -7,7 +7,7 @@ three built-in array functions, no self-join.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,10 +20,7 @@ from evenflow.operators.monitor import check_window, chunk_scores
 from evenflow.operators.order import OrderedStream, int_div, spread
 from evenflow.plans.labels import fair_blocks_per_window
 from evenflow.plans.optimal import longest_fair_length
-from evenflow.plans.registry import strategy, template_function
-
-#: Chunks travel as arrays, so their length is bounded; the largest configuration in use is 2,100 rows.
-MAX_CHUNK_ROWS = 100_000
+from evenflow.plans.registry import Strategy, strategy, template_function
 
 
 @dataclass(frozen=True)
@@ -42,8 +39,6 @@ def gather_chunks(df: DataFrame, by: Sequence[str], slot: str, attr: str, bounds
                   landmark: int, payload: Sequence[str] = ()) -> Chunks:
     """Bring the rows of each chunk together; ``by`` must name chunks of at most W+X rows."""
     check_window(window, bounds.block)
-    if window + landmark > MAX_CHUNK_ROWS:
-        raise ValueError(f"window + landmark must not exceed {MAX_CHUNK_ROWS} rows")
     item = F.struct(
         bounds.label_index(attr).alias("g"), F.col(slot).cast("int").alias("slot"), *[F.col(c) for c in payload]
     )
@@ -53,19 +48,27 @@ def gather_chunks(df: DataFrame, by: Sequence[str], slot: str, attr: str, bounds
 
 
 def cut_chunks(stream: OrderedStream, attr: str, bounds: Bounds, window: int, landmark: int,
-               payload: Sequence[str] = (), whole_only: bool = True) -> Chunks:
+               payload: Sequence[str] = ()) -> Chunks:
     """Stateless chunks of W+X consecutive rows, so one giant stream is repaired in parallel.
 
-    The remainder at the end of a stream is kept only with ``whole_only=False``, which only the optimal
-    strategy (and strategies that do not need whole blocks) can repair.
+    The last chunk of a stream may be shorter. The optimal strategy repairs it too; strategies that need whole
+    blocks deliver it as it is.
     """
     size = window + landmark
     cut = stream.df.withColumn("chunk", int_div(stream.pos, size)).withColumn("_slot", F.col(stream.pos) % size)
     names = [stream.pos, *[c for c in payload if c != stream.pos]]
-    chunks = gather_chunks(cut, [*stream.keys, "chunk"], "_slot", attr, bounds, window, landmark, names)
-    if not whole_only:
-        return chunks
-    return Chunks(chunks.df.where(F.size("items") == size), chunks.by, chunks.payload, bounds, window, landmark)
+    return gather_chunks(cut, [*stream.keys, "chunk"], "_slot", attr, bounds, window, landmark, names)
+
+
+def _makers(strategies: Sequence[Strategy], bounds: Bounds, window: int, landmark: int) -> list[Callable]:
+    """labels -> template per strategy; a short chunk passes strategies that need whole blocks unedited."""
+    def guarded(chosen: Strategy) -> Callable:
+        make = template_function(chosen, bounds, window)
+        if not chosen.needs_whole_blocks:
+            return make
+        return lambda labels: make(labels) if len(labels) == window + landmark else np.asarray(labels)
+
+    return [guarded(s) for s in strategies]
 
 
 def chunk_labels() -> Column:
@@ -99,7 +102,7 @@ def plan_templates(df: DataFrame, labels: str, strategies: Sequence[str], bounds
     planned = [strategy(n) for n in strategies if n != "before"]
 
     def plan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        makers = [template_function(s, bounds, window) for s in planned]
+        makers = _makers(planned, bounds, window, landmark)
         for series in batches:
             yield series.map(lambda chunk: [make(chunk).astype(np.int32) for make in makers])
 
@@ -130,7 +133,7 @@ def plan_scores(df: DataFrame, labels: str, strategies: Sequence[str], bounds: B
         return [len(fair), int(fair.sum()), int((fair == blocks).sum()), int((before != after).sum())]
 
     def plan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        makers = [template_function(s, bounds, window) for s in chosen]
+        makers = _makers(chosen, bounds, window, landmark)
         for series in batches:
             yield series.map(lambda chunk: [score(chunk, make(chunk)) for make in makers])
 

@@ -1,9 +1,9 @@
 """Stateful windowed repair over batch tables.
 
-Each repair depends on the rows the previous one carried on, so one run is sequential. Runs are bounded: a
-stream is cut into episodes of ``episode_rows`` consecutive rows, each an independent run, so a key that holds
-most of the table still spreads over as many tasks as it has episodes. A task streams through its sorted rows
-and keeps one window plus landmark in memory. Python sees only (episode, position, label index).
+Each repair depends on the rows the previous one carried on, so a stream key is one sequential run: a task streams
+through its sorted rows and keeps one window plus landmark in memory. Many keys spread over the cluster; one giant
+stream is the business of ``cut_chunks`` and ``repair_chunks``, which carry nothing. A caller may ask for independent
+restarts every so many rows, which makes another result. Python sees only (episode, position, label index).
 """
 
 from __future__ import annotations
@@ -26,9 +26,6 @@ from evenflow.plans.episode import Edit, Episode
 from evenflow.plans.registry import strategy, template_function
 from evenflow.session import materialize
 
-#: Rows per run; with the usual 5,000 windows and W+X of at most 2,500 a run reads fewer rows than this.
-EPISODE_ROWS = 10_000
-
 DELIVERED, EDIT, SUMMARY = "delivered", "edit", "summary"
 LOG_FIELDS = "kind string, number bigint, rows array<bigint>, labels array<int>, `order` array<int>"
 
@@ -48,7 +45,7 @@ class RepairTrace:
     bounds: Bounds
     window: int
     landmark: int
-    episode_rows: int = EPISODE_ROWS
+    restart_every: int | None = None
     stored: bool = False
 
     @property
@@ -89,43 +86,46 @@ class RepairTrace:
         ])
 
     def _with_rows(self, log: DataFrame, payload: Sequence[str]) -> DataFrame:
-        named = _episodes(self.stream, self.episode_rows).select(
+        named = _episodes(self.stream, self.restart_every).select(
             *self.by, "row", F.col(self.stream.pos), F.col(self.attr).cast("string").alias("category"),
             *[c for c in payload if c not in (self.attr, self.stream.pos)],
         )
         return null_safe_join(log, named, [*self.by, "row"]).drop("row")
 
 
-def _episodes(stream: OrderedStream, episode_rows: int) -> DataFrame:
+def _episodes(stream: OrderedStream, restart_every: int | None) -> DataFrame:
+    if restart_every is None:
+        return stream.df.withColumns({"episode": F.lit(0).cast("long"), "row": F.col(stream.pos)})
     return stream.df.withColumns({
-        "episode": int_div(stream.pos, episode_rows), "row": F.col(stream.pos) % episode_rows
+        "episode": int_div(stream.pos, restart_every), "row": F.col(stream.pos) % restart_every
     })
 
 
 def stateful_repair(stream: OrderedStream, attr: str, bounds: Bounds, window: int, landmark: int,
-                    primary: str = "optimal", episode_rows: int = EPISODE_ROWS,
-                    max_windows: int | None = None, log_edits: bool = True) -> RepairTrace:
-    """Run the windowed repair over every episode of every stream; ``primary`` decides the delivered order.
-
-    Without ``max_windows`` every row is delivered. With it, each stream is one bounded run: it stops once it
-    covered that many windows and reads nothing beyond them. Edited chunks overlap, so ``log_edits=False`` keeps the log at one entry per row when only the delivery matters.
+                    primary: str = "optimal", max_windows: int | None = None, log_edits: bool = True,
+                    restart_every: int | None = None) -> RepairTrace:
+    """Run the windowed repair over every stream; ``primary`` decides the delivered order.
+
+    Without ``max_windows`` every row is delivered. With it, each run stops once it covered that many windows and
+    reads nothing beyond them. Edited chunks overlap, so ``log_edits=False`` keeps the log at one entry per row when
+    only the delivery matters. ``restart_every`` cuts a stream into independent runs of that many rows: nothing is
+    carried over a cut and no window crosses it.
     """
     check_window(window, bounds.block)
-    if max_windows is not None:
-        episode_rows = max_windows + window + landmark  # a window costs one row, the last repair X more
-        stream = stream.with_df(stream.df.where(F.col(stream.pos) < episode_rows))
-    if window + landmark > episode_rows:
-        raise ValueError("an episode must hold at least one window and landmark")
+    if max_windows is not None:  # a window costs one row, the last repair X more
+        stream = stream.with_df(stream.df.where(F.col(stream.pos) < max_windows + window + landmark))
+    if restart_every is not None and window + landmark > restart_every:
+        raise ValueError("a run must hold at least one window and landmark")
     if strategy(primary).needs_whole_blocks and (window + landmark) % bounds.block:
         raise ValueError(f"{primary} needs a block size that divides window + landmark")
     by = [*stream.keys, "episode"]
-    narrow = _episodes(stream, episode_rows).select(*by, "row", bounds.label_index(attr).alias("g"))
+    narrow = _episodes(stream, restart_every).select(*by, "row", bounds.label_index(attr).alias("g"))
     schema = StructType(narrow.select(*by).schema.fields + StructType.fromDDL(LOG_FIELDS).fields)
     runner = _EpisodeRunner(
         by, to_arrow_schema(schema), bounds, window, landmark, strategy(primary), max_windows, log_edits
     )
     log = spread(narrow, by).sortWithinPartitions(*by, "row").mapInArrow(runner, schema)
-    return RepairTrace(log, stream, attr, bounds, window, landmark, episode_rows)
+    return RepairTrace(log, stream, attr, bounds, window, landmark, restart_every)
 
 
 class _EpisodeRunner:

@@ -32,13 +32,13 @@ def fair_blocks(labels: np.ndarray, block: int, floor: np.ndarray, ceiling: np.n
     """Verdict for every block of ``block`` consecutive labels."""
     seen = np.zeros((len(labels) + 1, len(floor)), dtype=np.int64)
     np.cumsum(labels[:, None] == np.arange(len(floor)), axis=0, out=seen[1:])
-    counts = seen[block:] - seen[:-block]
+    counts = seen[block:] - seen[: max(0, len(seen) - block)]
     return ((counts >= floor) & (counts <= ceiling)).all(axis=1)
 
 
 def fair_blocks_per_window(labels: np.ndarray, window: int, block: int, floor: np.ndarray,
                            ceiling: np.ndarray) -> np.ndarray:
-    """Fair aligned blocks of every window of ``window`` consecutive labels."""
+    """Fair aligned blocks of every window of ``window`` consecutive labels; none if there are fewer."""
     verdict = fair_blocks(labels, block, floor, ceiling)
-    starts = len(labels) - window + 1
+    starts = max(0, len(labels) - window + 1)
     return sum(verdict[lag:lag + starts].astype(np.int64) for lag in range(0, window, block))

@@ -181,7 +181,7 @@ def test_keys_span_arrow_batches(spark, events):
     results = []
     for batch in (size, "7"):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
-        trace = stateful_repair(stream, "event_type", bounds, 20, 10, episode_rows=200)
+        trace = stateful_repair(stream, "event_type", bounds, 20, 10, restart_every=200)
         results.append(sorted(map(tuple, trace.delivered(["event_id"]).select("event_id", "episode", "out_pos").collect())))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     assert results[0] == results[1] and len(results[0]) == events.count()
@@ -194,7 +194,7 @@ def test_short_streams_and_cut_landmarks(spark):
     empty = stateful_repair(stream_of(spark, "AABB"), "c", PAIR, 4, 0)
     assert text_of(empty.delivered(), ["out_pos"]) == "ABAB"
     with pytest.raises(ValueError):
-        stateful_repair(stream_of(spark, "AABB"), "c", PAIR, 4, 2, episode_rows=5)
+        stateful_repair(stream_of(spark, "AABB"), "c", PAIR, 4, 2, restart_every=5)
 
 
 def test_log_without_edits_is_one_entry_per_row(events):

@@ -60,7 +60,7 @@ def test_stream_repair_equals_batch(spark, keyed, tmp_path, files):
                          20, 10)
     got = run_to_rows(spark, live, tmp_path, "repair")
     stream = ordered_stream(keyed, ["k"], ["ts", "event_id"])
-    want = stateful_repair(stream, "event_type", bounds, 20, 10, episode_rows=100_000).delivered()
+    want = stateful_repair(stream, "event_type", bounds, 20, 10).delivered()
     lengths = {r.k: r["count"] for r in keyed.groupBy("k").count().collect()}
     delivered = {(r.k, r.out_pos): (r.arrival, r.category) for r in got.collect()}
     expected = {(r.k, r.out_pos): (r.pos, r.category) for r in want.collect()}
@@ -80,7 +80,7 @@ def test_stream_repair_stops_after_max_windows(spark, keyed, tmp_path):
                          20, 10, max_windows=40)
     got = run_to_rows(spark, live, tmp_path, "stopped")
     stream = ordered_stream(keyed, ["k"], ["ts", "event_id"])
-    trace = stateful_repair(stream, "event_type", bounds, 20, 10, episode_rows=100_000, max_windows=40)
+    trace = stateful_repair(stream, "event_type", bounds, 20, 10, max_windows=40)
     covered = {r.k: r.windows_covered for r in trace.summaries().collect()}
     assert all(40 <= w <= 51 for w in covered.values())
     per_key = {r.k: r["count"] for r in got.groupBy("k").count().collect()}
