@@ -47,22 +47,22 @@ def load(spark: SparkSession, folder: str, table: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def event_stream(spark, folder, *columns, how="auto", **kw) -> OrderedStream:
+def event_stream(spark, folder, *columns, **kw) -> OrderedStream:
     """All events as one stream."""
     df = load(spark, folder, "events", "ts", "event_id", "event_type", *columns)
-    return ordered_stream(df, [], ["ts", "event_id"], how=how, **kw)
+    return ordered_stream(df, [], ["ts", "event_id"], **kw)
 
 
 def user_streams(spark, folder, *columns) -> OrderedStream:
     """One stream per user."""
     df = load(spark, folder, "events", "user_id", "ts", "event_id", "event_type", *columns)
-    return ordered_stream(df, ["user_id"], ["ts", "event_id"])
+    return ordered_stream(df, ["user_id"], ["ts", "event_id"], how="window")
 
 
-def item_stream(spark, folder, *columns, how="auto", **kw) -> OrderedStream:
+def item_stream(spark, folder, *columns, **kw) -> OrderedStream:
     """All line items as one stream."""
     by = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    return ordered_stream(load(spark, folder, "lineitem", *by, *columns), [], by, how=how, **kw)
+    return ordered_stream(load(spark, folder, "lineitem", *by, *columns), [], by, **kw)
 
 
 def event_bounds(spark, folder, block: int) -> Bounds:
@@ -176,8 +176,7 @@ def _(spark, folder):
 
 @query("attribute_catalog")
 def _(spark, folder):
-    catalog = tables.attribute_catalog(load(spark, folder, "orders"), ["o_orderstatus", "o_orderpriority"])
-    return catalog.select("attribute", F.posexplode("values").alias("rank", "value"))
+    return tables.attribute_catalog(load(spark, folder, "orders"), ["o_orderstatus", "o_orderpriority"])
 
 
 @query("minute_clock")
@@ -201,7 +200,7 @@ def _(spark, folder):
 
 @query("positions")
 def _(spark, folder):
-    return event_stream(spark, folder, how="range").df.select("event_id", "pos")
+    return event_stream(spark, folder).df.select("event_id", "pos")
 
 
 @query("positions_by_user")
@@ -211,7 +210,7 @@ def _(spark, folder):
 
 @query("prefix_sketch")
 def _(spark, folder):
-    stream = event_stream(spark, folder, how="range", tile_rows=4096)
+    stream = event_stream(spark, folder, tile_rows=4096)
     return forward_sketch(stream, "event_type", event_bounds(spark, folder, S)).drop("ts", "event_type")
 
 
@@ -236,7 +235,7 @@ def _(spark, folder):
 
 @query("window_monitor_items")
 def _(spark, folder):
-    stream = item_stream(spark, folder, "l_linestatus", how="range", tile_rows=1 << 13)
+    stream = item_stream(spark, folder, "l_linestatus", tile_rows=1 << 13)
     return monitor.window_monitor(stream, "l_linestatus", fit_bounds(load(spark, folder, "lineitem"), "l_linestatus", 10), 100)
 
 

@@ -13,9 +13,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A block must have a slot per category, so a monitored attribute never has more categories than this.
-MAX_CATEGORIES = 512
-
 
 def distribution(df: DataFrame, attr: str) -> DataFrame:
     """(category, gidx, n, total, percentage) over the non-null values; one row per category, natural order."""
@@ -143,23 +140,27 @@ def _largest_remainder(floor: Sequence[int], rest: Sequence[float], block: int)
     return tuple(f + (i in winners) for i, f in enumerate(floor))
 
 
-def fit_bounds(df: DataFrame, attr: str, block: int, max_categories: int = MAX_CATEGORIES) -> Bounds:
-    """Bounds from the real distribution of ``attr``: one aggregate, at most ``max_categories`` rows back."""
-    counts = category_counts(df, attr, max_categories)
-    if block < len(counts):
-        raise ValueError(f"block size {block} is below the {len(counts)} categories of {attr}")
-    return Bounds.from_counts(counts, block)
+def fit_bounds(df: DataFrame, attr: str, block: int) -> Bounds:
+    """Bounds from the real distribution of ``attr``: one aggregate, one row per category back.
 
+    Monitoring allows more categories than a block has places; the planners do not (``check_places``).
+    """
+    return Bounds.from_counts(category_counts(df, attr), block)
 
-def category_counts(df: DataFrame, attr: str, max_categories: int = MAX_CATEGORIES) -> dict[str, int]:
-    """Counts per category in natural category order; refuses attributes that are not categorical."""
-    counted = (
-        df.where(F.col(attr).isNotNull())
-        .groupBy(attr).agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(attr).limit(max_categories + 1)
-        .select(F.col(attr).cast("string").alias("category"), "n")
-        .collect()
-    )
-    if len(counted) > max_categories:
-        raise ValueError(f"{attr} has more than {max_categories} categories")
+
+def check_places(bounds: Bounds) -> None:
+    """A repaired block must have a place for every category."""
+    if bounds.block < len(bounds.categories):
+        raise ValueError(f"block size {bounds.block} is below the {len(bounds.categories)} categories")
+
+
+def category_counts(df: DataFrame, attr: str, places: int | None = None) -> dict[str, int]:
+    """Counts per category in natural category order, one row per category on the driver.
+
+    With ``places`` the categories are counted first, and more of them than that are refused before any is fetched.
+    """
+    grouped = df.where(F.col(attr).isNotNull()).groupBy(attr).agg(F.count(F.lit(1)).alias("n"))
+    if places is not None and (kinds := grouped.count()) > places:
+        raise ValueError(f"{attr} has {kinds} categories, more than {places}")
+    counted = grouped.orderBy(attr).select(F.col(attr).cast("string").alias("category"), "n").collect()
     return {row.category: row.n for row in counted}

@@ -230,18 +230,20 @@ def hopping_summary(stream: OrderedStream, attr: str, bounds: Bounds, window: in
             for start in (F.col("block_start") - j * s for j in range(blocks))
         ],
     )
-    fair_blocks = (
-        with_stream_length(stream, sliding_blocks(stream, attr, bounds).select(*stream.keys, "block_start", "is_fair"))
-        .where(covered)
-        .groupBy(*stream.keys)
-        .agg(F.count(F.lit(1)).alias("distinct_blocks"), F.count_if("is_fair").alias("fair_distinct_blocks"))
-    )
-    windows = hopping_windows(stream, attr, bounds, window, slide).groupBy(*stream.keys).agg(
-        F.count(F.lit(1)).alias("windows"), F.count_if("is_fair").alias("fair_windows")
+    rows, strided, owned = sliding_counts(stream, attr, bounds, halo=window - 1)
+    fair = bounds.block_is_fair([F.col(n) for n in count_names(bounds)])
+    seen = (
+        rows.withColumn("_fair", fair)
+        .withColumn("_fair_blocks", F.sum(F.col("_fair").cast("int")).over(strided.rowsBetween(-(blocks - 1), 0)))
+        .where(owned & (F.col(stream.pos) >= s - 1))
+        .select(*stream.keys, stream.pos, (F.col(stream.pos) - (s - 1)).alias("block_start"), "_fair", "_fair_blocks")
     )
-    if not stream.keys:
-        return windows.crossJoin(F.broadcast(fair_blocks))  # one row on both sides
-    return null_safe_join(windows, fair_blocks, stream.keys)
+    first = F.col(stream.pos) - (window - 1)
+    whole = (first >= 0) & (first % slide == 0)
+    return with_stream_length(stream, seen).groupBy(*stream.keys).agg(
+        F.count_if(whole).alias("windows"), F.count_if(whole & (F.col("_fair_blocks") == blocks)).alias("fair_windows"),
+        F.count_if(covered).alias("distinct_blocks"), F.count_if(covered & F.col("_fair")).alias("fair_distinct_blocks"),
+    ).where("windows > 0")
 
 
 def backward_blocks(stream: OrderedStream, attr: str, bounds: Bounds) -> DataFrame:

@@ -3,10 +3,10 @@
 Spark has no implicit row order, so every order-dependent operator works on an ``OrderedStream``: rows
 with a 0-based dense position inside each stream key. Two ways lead there:
 
-* ``window``  -- one ``row_number`` per key. Right when every key is small, which is *checked* first.
-* ``range``   -- rows are range-partitioned on (keys, order), so a key that holds most of the table is
-  spread over many tasks; local ranks plus per-partition offsets give the position. The ranked rows are
-  written once, so that ranks and offsets come from the same partitioning even after a lost executor.
+* ``range``   -- the default at every size: rows are range-partitioned on (keys, order), so a key that holds most
+  of the table is spread over many tasks; local ranks plus per-partition offsets give the position. The ranked
+  rows are written once, so that ranks and offsets come from the same partitioning even after a lost executor.
+* ``window``  -- one ``row_number`` per key, for a caller who knows that every key is small.
 
 Operators that look back over rows (blocks, windows) never sort a whole key: positions are cut into tiles,
 and each tile is given a halo of the rows just before it.
@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 
 from evenflow.session import materialize
 
-#: Largest stream key that a single task may rank on its own.
-MAX_ROWS_PER_TASK = 250_000
 #: Rows of one stream key handled by one window task (the halo comes on top).
 TILE_ROWS = 1 << 17
 
@@ -36,7 +34,7 @@ def int_div(column: str, divisor: int) -> Column:
 
 @dataclass(frozen=True)
 class OrderedStream:
-    """Rows with a dense position. ``tile_rows`` is None when every key is known to fit one task."""
+    """Rows with a dense position. ``tile_rows`` is None when the caller vouches that every key fits one task."""
 
     df: DataFrame
     keys: tuple[str, ...]
@@ -56,20 +54,11 @@ class OrderedStream:
         return spread, [*self.keys, "_tile"], home == F.col("_tile")
 
 
-def largest_key(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest stream key: one partial aggregate, one number back."""
-    if not keys:
-        return df.count()
-    row = df.groupBy(*keys).count().agg(F.max("count")).first()
-    return row[0] or 0
-
-
 def ordered_stream(
     df: DataFrame,
     keys: Sequence[str],
     order_by: Sequence[str],
-    how: str = "auto",
-    max_rows_per_task: int = MAX_ROWS_PER_TASK,
+    how: str = "range",
     tile_rows: int = TILE_ROWS,
     pos: str = "pos",
 ) -> OrderedStream:
@@ -78,9 +67,9 @@ def ordered_stream(
     Pass only the columns that the operators need: a large stream is written once, with all its columns.
     """
     keys = tuple(keys)
-    if how == "auto":
-        how = "window" if largest_key(df, keys) <= max_rows_per_task else "range"
     if how == "window":
+        if not keys:
+            raise ValueError("a stream without keys is one key of any size: order it by range")
         frame = Window.partitionBy(*keys).orderBy(*order_by)
         ranked = df.withColumn(pos, F.row_number().over(frame).cast("long") - 1)
         return OrderedStream(ranked, keys, pos)

@@ -47,11 +47,10 @@ def intersectional_distribution(df: DataFrame, attributes: Sequence[str], source
 
 def minute_clock(stream: OrderedStream, out: str, base: str = "2020-01-01 00:00:00") -> DataFrame:
     """A strictly increasing synthetic timestamp, one minute per row."""
-    start = F.lit(base).cast("timestamp_ntz")
-    return stream.df.withColumn(out, start + F.make_dt_interval(mins=F.col(stream.pos).cast("int")))
+    return stream.df.withColumn(out, F.expr(f"timestampadd(MINUTE, `{stream.pos}`, timestamp_ntz'{base}')"))
 
 
-def seeded_runs(df: DataFrame, runs: int, row_id: Sequence[str], how: str = "auto") -> OrderedStream:
+def seeded_runs(df: DataFrame, runs: int, row_id: Sequence[str], how: str = "range") -> OrderedStream:
     """The table once per run 1..runs, each in its own reproducible random order."""
     numbers = df.sparkSession.range(1, runs + 1).select(F.col("id").cast("int").alias("run_id"))
     repeated = df.crossJoin(F.broadcast(numbers)).withColumn("_shuffle", shuffle_key(F.col("run_id"), *row_id))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenflow.operators.bounds import Bounds
+from evenflow.operators.bounds import Bounds, check_places
 from evenflow.operators.monitor import check_window, chunk_scores
 from evenflow.operators.order import OrderedStream, int_div, spread
 from evenflow.plans.labels import fair_blocks_per_window
@@ -39,6 +39,7 @@ def gather_chunks(df: DataFrame, by: Sequence[str], slot: str, attr: str, bounds
                   landmark: int, payload: Sequence[str] = ()) -> Chunks:
     """Bring the rows of each chunk together; ``by`` must name chunks of at most W+X rows."""
     check_window(window, bounds.block)
+    check_places(bounds)
     item = F.struct(
         bounds.label_index(attr).alias("g"), F.col(slot).cast("int").alias("slot"), *[F.col(c) for c in payload]
     )

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from evenflow.operators.bounds import Bounds
+from evenflow.operators.bounds import Bounds, check_places
 from evenflow.operators.monitor import check_window
 from evenflow.operators.order import OrderedStream, int_div, null_safe_join, spread
 from evenflow.operators.repair import plan_scores, plan_templates
@@ -112,6 +112,7 @@ def stateful_repair(stream: OrderedStream, attr: str, bounds: Bounds, window: in
     carried over a cut and no window crosses it.
     """
     check_window(window, bounds.block)
+    check_places(bounds)
     if max_windows is not None:  # a window costs one row, the last repair X more
         stream = stream.with_df(stream.df.where(F.col(stream.pos) < max_windows + window + landmark))
     if restart_every is not None and window + landmark > restart_every:

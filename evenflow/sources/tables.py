@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from evenflow.operators.bounds import category_counts, fit_bounds
+from evenflow.operators.order import ordered_stream
 from evenflow.operators.prep import BinModel, fit_adaptive_bins
 
 # Text that means "missing" in a CSV -- the usual dataframe tokens plus a blank and two dashes.
@@ -18,7 +18,10 @@ NA_TOKENS = (
     "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 # Accepted date layouts. ISO always comes first, so a day-first flag can never swap an ISO date.
-ISO_DATES = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")
+ISO_DATES = (
+    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS]", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]",
+    "yyyy-MM-dd HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX", "yyyy-MM-dd HH:mm", "yyyy/MM/dd", "yyyy/MM/dd HH:mm:ss",
+)
 DAY_FIRST_DATES = ("d-M-yyyy", "d/M/yyyy", "d-M-yyyy HH:mm", "d/M/yyyy HH:mm")
 MONTH_FIRST_DATES = ("M-d-yyyy", "M/d/yyyy", "M-d-yyyy HH:mm", "M/d/yyyy HH:mm")
 
@@ -71,10 +74,10 @@ def prepare_stream(df: DataFrame, attribute: str, discrete: bool, extra: Sequenc
 
 
 def attribute_catalog(df: DataFrame, attributes: Sequence[str]) -> DataFrame:
-    """(attribute, values): sorted distinct values as text, all attributes in one pass."""
+    """(attribute, rank, value): the distinct values as text in order, one row each, all attributes in one pass."""
     text = df.select(*[F.col(a).cast("string").alias(a) for a in attributes])
     long = text.unpivot([], list(attributes), "attribute", "value").where(F.col("value").isNotNull()).distinct()
-    return long.groupBy("attribute").agg(F.sort_array(F.collect_list("value")).alias("values"))
+    return ordered_stream(long, ["attribute"], ["value"], pos="rank").df.select("attribute", "rank", "value")
 
 
 def read_chunk_files(spark: SparkSession, paths: str | Sequence[str], schema: StructType) -> DataFrame:
@@ -102,7 +105,3 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-__all__ = [
-    "attribute_catalog", "block_size_of", "category_counts", "clean_dates", "config_name", "fit_bounds",
-    "parse_date", "prepare_stream", "project", "read_chunk_files", "read_csv", "union_all",
-]

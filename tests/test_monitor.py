@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from evenflow.operators import monitor
-from evenflow.operators.bounds import Bounds, bounds_table, category_counts, fit_bounds
+from evenflow.operators.bounds import Bounds, bounds_table, category_counts, check_places, fit_bounds
 from evenflow.operators.order import duplicate_order_keys, ordered_stream, running_totals
 from evenflow.operators.sketch import backward_sketch, forward_sketch
 from evenflow.sources.tables import union_all
@@ -58,9 +58,11 @@ def test_range_path_equals_window_path(skewed, keys):
         assert rows(operator(small)) == rows(operator(large))
 
 
-def test_auto_ordering_checks_the_largest_key(skewed):
-    assert ordered_stream(skewed, ["k"], ["event_id"], max_rows_per_task=10).tile_rows
-    assert ordered_stream(skewed, ["k"], ["event_id"]).tile_rows is None
+def test_order_has_one_path_unless_the_caller_vouches_for_small_keys(skewed):
+    assert ordered_stream(skewed, ["k"], ["event_id"]).tile_rows
+    assert ordered_stream(skewed, ["k"], ["event_id"], how="window").tile_rows is None
+    with pytest.raises(ValueError):
+        ordered_stream(skewed, [], ["event_id"], how="window")
 
 
 def test_monitor_matches_brute_force(events):
@@ -113,9 +115,9 @@ def test_bounds_table_equals_fitted_bounds(events):
         assert (table[name].floor, table[name].ceiling, table[name].reorder_target) == (low, high, target)
     assert sum(bounds.target) == 17
     with pytest.raises(ValueError):
-        fit_bounds(events, "event_type", 4)
+        check_places(fit_bounds(events, "event_type", 4))
     with pytest.raises(ValueError):
-        category_counts(events, "event_id", max_categories=20)
+        category_counts(events, "event_id", places=20)
 
 
 def test_numeric_categories_keep_natural_order(spark):
@@ -162,9 +164,9 @@ def test_monitor_summaries_equal_single_summaries(skewed):
 
 
 def test_running_totals_exclusive(spark):
-    df = spark.createDataFrame([(i, 1) for i in range(50)], "i long, v int")
-    for how in ("window", "range"):
-        stream = ordered_stream(df, [], ["i"], how=how, tile_rows=7)
+    df = spark.createDataFrame([(0, i, 1) for i in range(50)], "k int, i long, v int")
+    for keys, how in ((["k"], "window"), (["k"], "range"), ([], "range")):
+        stream = ordered_stream(df, keys, ["i"], how=how, tile_rows=7)
         before = running_totals(stream, {"t": F.col("v")}, inclusive=False)
         assert rows(before, "pos", "t") == [(i, i) for i in range(50)]
 

@@ -109,8 +109,9 @@ def test_prepare_stream_keeps_extra_columns(events):
 
 
 def test_attribute_catalog(events):
-    catalog = {r.attribute: r["values"] for r in tables.attribute_catalog(events, ["event_type", "user_id"]).collect()}
-    assert catalog["event_type"] == sorted(catalog["event_type"]) and len(catalog["event_type"]) == 5
+    rows = tables.attribute_catalog(events, ["event_type", "user_id"]).where("attribute = 'event_type'").orderBy("rank").collect()
+    values = [r.value for r in rows]
+    assert values == sorted(values) and len(values) == 5 and [r["rank"] for r in rows] == list(range(5))
 
 
 def test_chunk_files_and_names(spark, tmp_path):
