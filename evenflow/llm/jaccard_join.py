@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenflow.llm.store import connected_components, in_batches, stored
-from evenflow.llm.text import LOWER, Texts, chain_hashes, few_words_hash, mix, pieces, word_hashes
+from evenflow.llm.text import LOWER, Texts, chain_hashes, distinct, few_words_hash, mix, pieces, word_hashes
 
 SKETCH_WORDS = 32
 BLOCK_SKETCHES = 8192
@@ -44,7 +44,7 @@ def shingle_sets(texts: Texts, k: int) -> Iterator[np.ndarray]:
     chains = chain_hashes(words, k)
     for begin, end in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
         if end - begin >= k:
-            yield np.unique(chains[begin:end - k + 1])
+            yield distinct(chains[begin:end - k + 1])
         elif end > begin:
             yield np.array([few_words_hash(words[begin:end])], dtype=np.uint64)
         else:
@@ -194,7 +194,7 @@ def forest_of_links(size: np.ndarray, sketch: np.ndarray, side: np.ndarray, perc
                 continue
             if sets is not None:
                 a, b = sets[order[i]], sets[order[j]]
-                common = len(a) + len(b) - len(np.union1d(a, b))
+                common = len(a) + len(b) - len(distinct(np.concatenate([a, b])))
                 if 100 * common < percent * (len(a) + len(b) - common):
                     continue
             forest.join(i, j)

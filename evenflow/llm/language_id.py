@@ -76,7 +76,9 @@ class Encoder:
             if letters[end] == letters[begin]:
                 yield None
                 continue
-            own, count = np.unique(runs[begin:end - 1].astype(np.int32), return_counts=True)
+            own = np.sort(runs[begin:end - 1].astype(np.int32))
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            own, count = own[first], np.diff(np.append(first, len(own)))
             rows = self.rows(own)
             yield count.astype(np.float32) @ self.bound[rows].astype(np.float32)
 

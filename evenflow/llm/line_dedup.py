@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenflow.llm.store import connected_components, in_batches, stored
-from evenflow.llm.text import LOWER, Texts, mix, pieces, word_hashes
+from evenflow.llm.text import LOWER, Texts, distinct, mix, pieces, word_hashes
 
 SLOTS = 1 << 20
 BLOCK_LINES, BLOCK_WORDS, HELD_ROWS = 4096, 1_500_000, 200_000
@@ -41,7 +41,7 @@ def line_sets(texts: Texts, least: int) -> Iterator[tuple[np.ndarray, np.ndarray
     line = np.searchsorted(feeds, starts) + row  # of the piece: a row starts a line too
     for begin, end in _runs(line):
         low = int(line[begin])
-        key = np.unique(((line[begin:end] - low).astype(np.uint64) << np.uint64(ID_BITS)) | hashes[begin:end])
+        key = distinct(((line[begin:end] - low).astype(np.uint64) << np.uint64(ID_BITS)) | hashes[begin:end])
         number = (key >> np.uint64(ID_BITS)).astype(np.int64) + low
         at = np.concatenate([[0], np.flatnonzero(number[1:] != number[:-1]) + 1, [len(number)]]) if len(number) else np.zeros(1, dtype=int)
         size = np.diff(at)
@@ -136,11 +136,12 @@ class Sketches:
         at = np.frombuffer(offsets, dtype=np.int64)[column.offset:column.offset + len(column) + 1]
         whole = np.frombuffer(data, dtype=np.uint8)
         self.width = np.diff(at) // 8
-        self.row, self.by_width = np.zeros(len(column), dtype=np.int64), {}
+        self.row, self.by_width, self.fold = np.zeros(len(column), dtype=np.int64), {}, np.zeros(len(column), dtype=np.uint64)
         for w in np.unique(self.width).tolist():
             rows = np.flatnonzero(self.width == w)
             self.row[rows] = np.arange(len(rows))
             self.by_width[w] = np.ascontiguousarray(whole[at[rows][:, None] + np.arange(8 * w)]).view("<u8")
+            self.fold[rows] = np.bitwise_xor.reduce(self.by_width[w], axis=1)
 
     def folded(self, rows: np.ndarray, w: int, to: int) -> np.ndarray:
         return np.bitwise_xor.reduce(self.by_width[w][self.row[rows]].reshape(len(rows), w // to, to), axis=1)
@@ -197,25 +198,34 @@ def _prefixes(least: int, percent: int, rank: np.ndarray):
 
 
 def allowed_ties(cols: dict[str, np.ndarray], sketches: Sketches, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ties between classes that share a prefix word and pass all filters; rows sorted by (word, low, high).
+    """Ties between classes that share a prefix word and pass all filters; rows sorted by (word, low, high, size).
 
-    Neighbours at distance 1, 2, ... inside their buckets are compared for all buckets at once; pairs that are tied
-    already are skipped, so a bucket of m classes gives at most m - 1 ties.
+    Neighbours at distance 1, 2, ... inside their buckets are compared for all buckets at once, as far as the longer
+    line is not too long; the shorter one only by a shorter prefix, which suffices for it. Pairs that are tied already
+    are skipped, so a bucket of m classes gives at most m - 1 ties.
     """
+    size, place = cols["size"].astype(np.int64), cols["place"].astype(np.int64)
     same = (cols["word"][1:] == cols["word"][:-1]) & (cols["low"][1:] == cols["low"][:-1]) & (cols["high"][1:] == cols["high"][:-1])
     bucket = np.concatenate([[0], np.cumsum(~same)])
     last = np.searchsorted(bucket, bucket, "right")  # where the row's bucket ends
-    label, ties = np.arange(len(bucket)), []
-    left, step = np.arange(len(bucket)), 1
+    longest = 100 * size // percent
+    widest = (size + longest) - 2 * least_common(size, longest, percent) + 1  # most that a linked pair can differ
+    label, ties, fold = np.arange(len(bucket)), [], sketches.fold
+    left, step = np.flatnonzero(place <= size - least_common(size, size, percent)), 1
     while len(left):
         left = left[left + step < last[left]]
-        i, j = left, left + step
-        across = (cols["low"][i] == cols["high"][i]) | (cols["own"][i] != cols["own"][j])
-        n, m = cols["size"][i].astype(np.int64), cols["size"][j].astype(np.int64)
+        left = left[size[left + step] <= longest[left]]
+        i = left[np.bitwise_count(fold[left] ^ fold[left + step]) <= widest[left]]
+        j = i + step
+        step += 1
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+        if not len(i):
+            continue
+        n, m = size[i], size[j]
         need = least_common(n, m, percent)
-        most = 1 + np.minimum(cols["place"][i], cols["place"][j]) + np.minimum(n - cols["place"][i], m - cols["place"][j]) - 1
-        good = across & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (most >= need)
-        good &= (label[i] != label[j]) & (cols["cls"][i] != cols["cls"][j])
+        good = (cols["low"][i] == cols["high"][i]) | (cols["own"][i] != cols["own"][j])
+        good &= (np.minimum(place[i], place[j]) + np.minimum(n - place[i], m - place[j]) >= need) & (cols["cls"][i] != cols["cls"][j])
         i, j, differ = i[good], j[good], (n + m - 2 * need)[good]
         good = sketches.distance(i, j) <= differ
         i, j = i[good], j[good]
@@ -230,7 +240,6 @@ def allowed_ties(cols: dict[str, np.ndarray], sketches: Sketches, percent: int)
             ties.append(np.stack([i[once], j[once]]))
             while (label[label] != label).any():
                 label = label[label]
-        step += 1
     both = np.concatenate(ties, axis=1) if ties else np.zeros((2, 0), dtype=np.int64)
     return cols["cls"][both[0]], cols["cls"][both[1]]
 
@@ -359,7 +368,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 5) -> DataFr
     rank = rarity(counts)
 
     prefixes = texts.mapInArrow(_prefixes(least, percent, rank), PREFIX).repartition("word", "low", "high")
-    ties = prefixes.sortWithinPartitions("word", "low", "high", "cls").mapInArrow(_tie(percent), "a long, b long")
+    ties = prefixes.sortWithinPartitions("word", "low", "high", "size", "cls").mapInArrow(_tie(percent), "a long, b long")
     stars = connected_components(ties, "a", "b")
     groups = stored(stars.union(stars.select("component", "component").distinct()).toDF("cls", "grp").join(firsts, "cls"))
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenflow.llm.store import stored
-from evenflow.llm.text import LOWER, SPACE, Texts, pieces
+from evenflow.llm.text import LOWER, SPACE, Texts, distinct, pieces
 
 K1, B = 1.2, 0.75
 CACHE_WORDS = 1_000_000
@@ -146,7 +146,7 @@ def _tokenize(path: str, end_id: int):
             for begin, texts in pieces(batch.column(1)):
                 ids = [x + end for x in tok.ids(texts)]
                 for x in ids:
-                    seen[np.unique(np.frombuffer(x, dtype=tok.dtype))] += 1
+                    seen[distinct(np.frombuffer(x, dtype=tok.dtype))] += 1
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays([
                     doc.slice(begin, n), pa.array(range(row, row + n), pa.int64()), pa.array([len(x) // tok.dtype.itemsize for x in ids], pa.int64()),
