@@ -334,14 +334,16 @@ def _verify(percent: int):
         return pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], names=["cls"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+        key, rows, seen = None, [], set()
         for batch in batches:
             for g, low, high, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (g, low, high) != key:
                     if rows:
                         yield solve(key, rows)
-                    key, rows = (g, low, high), []
-                rows.append(tuple(row))
+                    key, rows, seen = (g, low, high), [], set()
+                if row[1] not in seen:  # a repeated row of the table
+                    seen.add(row[1])
+                    rows.append(tuple(row))
         if rows:
             yield solve(key, rows)
     return run
