@@ -351,6 +351,18 @@ def _(spark, folder):
     ))
 
 
+@query("stream_repair_closed")
+def _(spark, folder):
+    """A bounded replay: every user's last event closes the user, so all rows are delivered."""
+    live = live_events(spark, folder)
+    last = load(spark, folder, "events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("last"))
+    marked = live.join(last, "user_id").withColumn("closes", F.col("event_id") == F.col("last.event_id")).drop("last")
+    repaired = stream_repair(marked, ["user_id"], ["ts", "event_id"], "event_type", event_bounds(spark, folder, USER_S),
+                             USER_W, USER_X, "naive_reversed", closes="closes")
+    event = F.get_json_object("value", "$.event_id").cast("long")
+    return drain(spark, repaired).select("user_id", "out_pos", "category", event.alias("event_id"))
+
+
 def live_events(spark: SparkSession, folder: str) -> DataFrame:
     """The events table as a file stream."""
     schema = spark.read.parquet(f"{folder}/events.parquet").schema

@@ -62,17 +62,19 @@ def stream_monitor(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
 
 def stream_repair(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], attr: str, bounds: Bounds,
                   window: int, landmark: int, primary: str = "optimal", max_windows: int | None = None,
-                  flush_after_ms: int | None = None) -> DataFrame:
+                  flush_after_ms: int | None = None, closes: str | None = None) -> DataFrame:
     """Rows in repaired order: (keys, out_pos, arrival, category, value); ``value`` is the whole row as JSON.
 
-    Rows leave once their window moved on. With ``flush_after_ms`` an idle key's last rows are released too.
+    Rows leave once their window moved on. A key's last rows are released when a row comes with a true ``closes``
+    column, the last one of its key (the end of a bounded replay), or after ``flush_after_ms`` without any row.
     """
     check_window(window, bounds.block)
     chosen = strategy(primary)
     if chosen.needs_whole_blocks and (window + landmark) % bounds.block:
         raise ValueError(f"{primary} needs a block size that divides window + landmark")
     body = F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"})
-    narrow = df.select(*keys, *order_by, bounds.label_index(attr).alias("_g"), body.alias("_value"))
+    ends = F.coalesce(F.col(closes), F.lit(False)) if closes else F.lit(False)
+    narrow = df.select(*keys, *order_by, bounds.label_index(attr).alias("_g"), body.alias("_value"), ends.alias("_end"))
     out = StructType(narrow.select(*keys).schema.fields + StructType.fromDDL(
         "out_pos bigint, arrival bigint, category string, value string").fields)
     state = StructType.fromDDL(
@@ -103,7 +105,8 @@ def stream_repair(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], a
             run.feed(ids, fresh["_g"].to_numpy(dtype=np.int64))
             seen += len(fresh)
             labels_before = dict(zip(run.rows.tolist(), run.labels.tolist(), strict=True))
-            ready = np.concatenate([run.take(), run.finish()]) if run.stopped else run.take()
+            over = run.stopped or bool(fresh["_end"].any())
+            ready = np.concatenate([run.take(), run.finish()]) if over else run.take()
             kinds = labels_before
         if len(ready):
             yield pd.DataFrame({name: [value] * len(ready) for name, value in zip(keys, key, strict=True)} | {

@@ -11,6 +11,7 @@ from tools.check_oracles import families, rows_of
 
 SAMPLE = ["bounds", "quantile_bins", "window_monitor_by_user", "hopping_summary", "prefix_sketch",
           "repair_greedy_swap", "repair_naive", "repair_optimal_fair_blocks", "repair_stateful_delivery",
+          "repair_stateful_reversed", "repair_captures_reversed", "strategy_compare_reversed", "stream_repair_closed",
           "ndcg_summary", "wilcoxon_exact", "grid_monitor"]
 
 
