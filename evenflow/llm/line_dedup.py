@@ -68,6 +68,15 @@ def class_ids(at: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mix(np.bitwise_xor.reduceat(mix(words), at[:-1]) + mix(np.add.reduceat(mix(words ^ np.uint64(0xABCDEF)), at[:-1]) + size))
 
 
+def one_of_each(at: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first line of every class."""
+    _, first = np.unique(class_ids(at, words), return_index=True)
+    size = np.diff(at)
+    kept = np.zeros(len(size), dtype=bool)
+    kept[first] = True
+    return np.concatenate([[0], np.cumsum(size[kept])]), words[np.repeat(kept, size)]
+
+
 def least_common(n, m, percent: int):
     return -((-percent * (n + m)) // (100 + percent))
 
@@ -168,6 +177,7 @@ def _prefixes(least: int, percent: int, rank: np.ndarray):
             for _, _, at, words in line_sets(texts, least):
                 if not len(words):
                     continue
+                at, words = one_of_each(at, words)
                 size, cls = np.diff(at), class_ids(at, words)
                 sketch = pa.array(parity_sketches(at, words), pa.binary())
                 line = np.repeat(np.arange(len(size), dtype=np.uint64), size)
@@ -210,7 +220,17 @@ def allowed_ties(cols: dict[str, np.ndarray], sketches: Sketches, percent: int)
     last = np.searchsorted(bucket, bucket, "right")  # where the row's bucket ends
     longest = 100 * size // percent
     widest = (size + longest) - 2 * least_common(size, longest, percent) + 1  # most that a linked pair can differ
-    label, ties, fold = np.arange(len(bucket)), [], sketches.fold
+    parent, ties, fold = np.arange(len(bucket)), [], sketches.fold
+
+    def roots(x: np.ndarray) -> np.ndarray:
+        r = parent[x]
+        while True:
+            higher = parent[r]
+            if (higher == r).all():
+                parent[x] = r
+                return r
+            r = higher
+
     left, step = np.flatnonzero(place <= size - least_common(size, size, percent)), 1
     while len(left):
         left = left[left + step < last[left]]
@@ -218,7 +238,7 @@ def allowed_ties(cols: dict[str, np.ndarray], sketches: Sketches, percent: int)
         i = left[np.bitwise_count(fold[left] ^ fold[left + step]) <= widest[left]]
         j = i + step
         step += 1
-        apart = label[i] != label[j]
+        apart = roots(i) != roots(j)
         i, j = i[apart], j[apart]
         if not len(i):
             continue
@@ -230,16 +250,13 @@ def allowed_ties(cols: dict[str, np.ndarray], sketches: Sketches, percent: int)
         good = sketches.distance(i, j) <= differ
         i, j = i[good], j[good]
         while len(i):  # join what is still apart; several pairs may name one row
-            a, b = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+            x, y = roots(i), roots(j)
+            a, b = np.minimum(x, y), np.maximum(x, y)
             apart = a != b
             i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            if not len(i):
-                break
             _, once = np.unique(b, return_index=True)
-            label[b[once]] = a[once]
+            parent[b[once]] = a[once]
             ties.append(np.stack([i[once], j[once]]))
-            while (label[label] != label).any():
-                label = label[label]
     both = np.concatenate(ties, axis=1) if ties else np.zeros((2, 0), dtype=np.int64)
     return cols["cls"][both[0]], cols["cls"][both[1]]
 
@@ -247,7 +264,11 @@ def allowed_ties(cols: dict[str, np.ndarray], sketches: Sketches, percent: int)
 def _tie(percent: int):
     """Sorted prefix rows -> ties (a, b); whole buckets are taken from the stream a few hundred thousand rows at a time."""
     def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        whole = pa.Table.from_batches(parts).combine_chunks()
+        whole = pa.Table.from_batches(parts)
+        key = [whole[n].to_numpy() for n in ("word", "low", "high", "cls")]
+        fresh = np.ones(whole.num_rows, dtype=bool)
+        fresh[1:] = np.any([k[1:] != k[:-1] for k in key], axis=0)  # a class once per bucket
+        whole = whole.filter(pa.array(fresh)).combine_chunks()
         cols = {n: whole[n].to_numpy() for n in PREFIX_NAMES if n != "sketch"}
         a, b = allowed_ties(cols, Sketches(pa.concat_arrays(whole["sketch"].chunks)), percent)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
