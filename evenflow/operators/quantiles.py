@@ -37,9 +37,9 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, fractions: Seq
 
 
 def quantiles_of_counts(counted: DataFrame, by: Sequence[str], value: str, fractions: Sequence[tuple[int, int]],
-                        out: str = "quantiles") -> DataFrame:
-    """The same from a table of counted values."""
-    ranked = rank_values(counted, by, value)
+                        out: str = "quantiles", ranked: DataFrame | None = None) -> DataFrame:
+    """The same from a table of counted values, and its ranks if they are there already."""
+    ranked = rank_values(counted, by, value) if ranked is None else ranked
     sizes = counted.groupBy(*by).agg(F.sum("n").alias("_size"))
     sized = null_safe_join(ranked, sizes, by) if by else ranked.crossJoin(F.broadcast(sizes))  # one size row
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from evenflow.functions.pvalues import signed_rank_p, student_t_p
 from evenflow.operators.order import null_safe_join
-from evenflow.operators.quantiles import count_values, medians, rank_values
+from evenflow.operators.quantiles import count_values, medians, quantiles_of_counts, rank_values
 from evenflow.session import materialize
 
 #: Up to this many pairs without ties or zeros the signed-rank p-value is exact.
@@ -72,45 +72,53 @@ def paired_t(df: DataFrame, by: Sequence[str], base: str, other: str) -> DataFra
 def wilcoxon(df: DataFrame, by: Sequence[str], base: str, other: str) -> DataFrame:
     """Signed-rank test: zero differences drop out, ties share average ranks, variance is tie-corrected."""
     d = F.col(other) - F.col(base)
-    pairs = df.where(d.isNotNull()).select(*by, F.abs(d).alias("_size"), d.alias("_d"))
-    counted = count_values(pairs.where("_d <> 0"), by, "_size", [F.count_if(F.col("_d") > 0).alias("_up")])
-    ranked = rank_values(counted, by, "_size").withColumn("_rank", F.col("before") + (F.col("n") + 1) / 2)
+    sizes = df.where(d.isNotNull()).select(*by, F.abs(d).alias("_size"), (d > 0).alias("_up"))
+    counted = count_values(sizes, by, "_size", [F.count_if("_up").alias("_up")])
+    return _signed_ranks(rank_values(counted, by, "_size"), by, "_size")
+
+
+def _signed_ranks(ranked: DataFrame, by: Sequence[str], size: str) -> DataFrame:
+    """The test from ranked sizes of differences (``before``, ``n`` and ``_up`` per size), zeros among them."""
+    nonzero = F.col(size) > 0
     tied = F.col("n").cast("double")  # cubes of a long would overflow
     sums = ranked.groupBy(*by).agg(
-        F.sum("n").alias("_pairs"),
-        F.sum(F.col("_up") * F.col("_rank")).alias("w_plus"),
-        F.sum(tied * tied * tied - tied).alias("_ties"),
-    )
-    everything = pairs.groupBy(*by).agg(F.count_if(F.col("_d") == 0).alias("_zeros"))
-    n = F.col("n_nonzero")
-    joined = _join(everything, sums, by, "left").select(
-        *by, F.coalesce("_pairs", F.lit(0)).alias("n_nonzero"), F.coalesce("w_plus", F.lit(0.0)).alias("w_plus"),
-        "_ties", "_zeros",
+        F.coalesce(F.sum(F.when(nonzero, F.col("n"))), F.lit(0)).alias("n_nonzero"),
+        F.coalesce(F.sum(F.when(~nonzero, F.col("n"))), F.lit(0)).alias("_zeros"),
+        F.sum(F.col("_up") * (F.col("before") + (F.col("n") + 1) / 2)).alias("_ranks"), F.sum("_up").alias("_ups"),
+        F.sum(F.when(nonzero, tied * tied * tied - tied)).alias("_ties"),
     )
-    many = n.cast("double")
+    n, many = F.col("n_nonzero"), F.col("n_nonzero").cast("double")
     spread = F.sqrt(many * (many + 1) * (2 * many + 1) / 24 - F.col("_ties") / 48)
     exact = (n <= EXACT_PAIRS) & (F.col("_ties") == 0) & (F.col("_zeros") == 0)
-    return joined.withColumn(
+    return sums.withColumn("w_plus", F.col("_ranks") - F.col("_ups") * F.col("_zeros")).withColumn(  # zeros come first
         "wilcoxon_z", (F.col("w_plus") - many * (many + 1) / 4) / F.nullif(spread, F.lit(0.0))
     ).withColumn(
         "wilcoxon_p",
         F.when(n == 0, F.lit(1.0)).otherwise(
             signed_rank_p("w_plus", "wilcoxon_z", n.cast("double"), F.coalesce(exact, F.lit(False)))
         ),
-    ).drop("_ties", "_zeros")
+    ).select(*by, "n_nonzero", "w_plus", "wilcoxon_z", "wilcoxon_p")
 
 
 def paired_summary(df: DataFrame, by: Sequence[str], base: str, other: str) -> DataFrame:
     """n, mean, median, deviation of both sides, change, paired t and Wilcoxon. Equal sides give p = 1."""
-    df = materialize(df.select(*by, base, other))
+    df, d = materialize(df.select(*by, base, other)), F.col(other) - F.col(base)  # read three times
     sides = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[
         x for c in (base, other)
         for x in (F.avg(c).alias(f"{c}_mean"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"{c}_std"))
     ])
-    joined = _join(sides, medians(df, by, base, f"{base}_median"), by)
-    joined = _join(joined, medians(df, by, other, f"{other}_median"), by)
+    # Both sides and the sizes of the differences are counted and ranked as one long table.
+    cells = [F.struct(F.lit(kind).alias("_kind"), value.cast("double").alias("_v"), up.alias("_up")) for kind, value, up in (
+        ("base", F.col(base), F.lit(False)), ("other", F.col(other), F.lit(False)), ("size", F.abs(d), d > 0))]
+    long = df.select(*by, F.explode(F.array(*cells)).alias("_c")).select(*by, "_c.*")
+    keys = [*by, "_kind"]
+    counted = count_values(long, keys, "_v", [F.count_if("_up").alias("_up")])
+    ranked = materialize(rank_values(counted, keys, "_v"))
+    middle = quantiles_of_counts(counted, keys, "_v", [(1, 2)], ranked=ranked).groupBy(*by).agg(*[
+        F.max(F.when(F.col("_kind") == kind, F.col("quantiles")[0])).alias(f"{c}_median") for kind, c in (("base", base), ("other", other))])
+    joined = _join(sides, middle, by)
     joined = _join(joined, paired_t(df, by, base, other).drop("n", "mean_diff"), by)
-    joined = _join(joined, wilcoxon(df, by, base, other), by)
+    joined = _join(joined, _signed_ranks(ranked.where("_kind = 'size'"), by, "_v"), by)
     testable = (F.col("n") > 1) & (F.col("n_nonzero") > 0)
     return joined.select(
         *by, "n", *[f"{c}_{m}" for c in (base, other) for m in ("mean", "median", "std")],
