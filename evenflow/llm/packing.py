@@ -23,7 +23,7 @@ from evenflow.llm.store import stored
 from evenflow.llm.text import LOWER, SPACE, Texts, distinct, pieces
 
 K1, B = 1.2, 0.75
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 BOUNDARY, RUN_END = "<|startoftext|>", "</w>"
 MARK = np.isin(np.arange(256), list(b".,;:!?#*$%&|<>()"))
 PLAIN = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz0123456789"))
@@ -252,7 +252,7 @@ def _pack(size: int, dtype: np.dtype, frequency: np.ndarray, n_docs: int, mean_l
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2, shard_tokens: int = 4_000_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2, shard_tokens: int = 2_000_000) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` of every piece of every row of ``docs``.
 
     A document is its text's ids (null: none) and ``end_id``; every id lies in exactly one piece. Sequences hold

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-MAX_BYTES = 4 << 20
+MAX_BYTES = 2 << 20
 LONG_WORD = 48  # bytes; longer words are hashed one by one
 
 SPACE = np.zeros(256, dtype=bool)
