@@ -166,12 +166,15 @@ class Sketches:
         return out
 
 
-PREFIX = "word long, low int, high int, cls long, sketch binary, place int, size int, own int"
+PREFIX = "bucket long, cls long, sketch binary, place int, size int, side int"
 PREFIX_NAMES = [c.split()[0] for c in PREFIX.split(", ")]
 
 
 def _prefixes(least: int, percent: int, rank: np.ndarray):
-    """(doc_id, text) -> the prefix words of every line, with the blocks of a common word."""
+    """(doc_id, text) -> a row per prefix word of every line and bucket it belongs to.
+
+    A bucket is a word, or two of the blocks that a common word is cut into; there ``side`` is the own block, else -1.
+    """
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for _, texts in pieces(batch.column(1)):
             for _, _, at, words in line_sets(texts, least):
@@ -194,11 +197,13 @@ def _prefixes(least: int, percent: int, rank: np.ndarray):
                 times = np.repeat(np.arange(len(owner)), blocks)
                 other = np.arange(len(times)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
                 mine = own[times]
-                columns = [word[times], np.minimum(mine, other), np.maximum(mine, other), cls[owner].view(np.int64)[times],
-                           position[use][times], size[owner][times], mine]
-                kinds = [np.int64, np.int32, np.int32, np.int64, np.int32, np.int32, np.int32]
+                pair = (np.minimum(mine, other) << 32) | np.maximum(mine, other)
+                bucket = mix(word[times].view(np.uint64) ^ mix(pair.astype(np.uint64)))
+                columns = [bucket.view(np.int64), cls[owner].view(np.int64)[times], position[use][times], size[owner][times],
+                           np.where(mine == other, -1, mine)]
+                kinds = [np.int64, np.int64, np.int32, np.int32, np.int32]
                 columns = [pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)]
-                columns.insert(4, sketch.take(pa.array(owner[times])))
+                columns.insert(2, sketch.take(pa.array(owner[times])))
                 yield pa.RecordBatch.from_arrays(columns, names=PREFIX_NAMES)
 
     def all_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,15 +213,14 @@ def _prefixes(least: int, percent: int, rank: np.ndarray):
 
 
 def allowed_ties(cols: dict[str, np.ndarray], sketches: Sketches, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ties between classes that share a prefix word and pass all filters; rows sorted by (word, low, high, size).
+    """Ties between classes that share a prefix word and pass all filters; rows sorted by (bucket, size).
 
     Neighbours at distance 1, 2, ... inside their buckets are compared for all buckets at once, as far as the longer
     line is not too long; the shorter one only by a shorter prefix, which suffices for it. Pairs that are tied already
     are skipped, so a bucket of m classes gives at most m - 1 ties.
     """
     size, place = cols["size"].astype(np.int64), cols["place"].astype(np.int64)
-    same = (cols["word"][1:] == cols["word"][:-1]) & (cols["low"][1:] == cols["low"][:-1]) & (cols["high"][1:] == cols["high"][:-1])
-    bucket = np.concatenate([[0], np.cumsum(~same)])
+    bucket = np.concatenate([[0], np.cumsum(cols["bucket"][1:] != cols["bucket"][:-1])])
     last = np.searchsorted(bucket, bucket, "right")  # where the row's bucket ends
     longest = 100 * size // percent
     widest = (size + longest) - 2 * least_common(size, longest, percent) + 1  # most that a linked pair can differ
@@ -244,7 +248,7 @@ def allowed_ties(cols: dict[str, np.ndarray], sketches: Sketches, percent: int)
             continue
         n, m = size[i], size[j]
         need = least_common(n, m, percent)
-        good = (cols["low"][i] == cols["high"][i]) | (cols["own"][i] != cols["own"][j])
+        good = (cols["side"][i] < 0) | (cols["side"][i] != cols["side"][j])
         good &= (np.minimum(place[i], place[j]) + np.minimum(n - place[i], m - place[j]) >= need) & (cols["cls"][i] != cols["cls"][j])
         i, j, differ = i[good], j[good], (n + m - 2 * need)[good]
         good = sketches.distance(i, j) <= differ
@@ -262,13 +266,14 @@ def allowed_ties(cols: dict[str, np.ndarray], sketches: Sketches, percent: int)
 
 
 def _tie(percent: int):
-    """Sorted prefix rows -> ties (a, b); whole buckets are taken from the stream a few hundred thousand rows at a time."""
+    """Prefix rows sorted by bucket -> ties (a, b); whole buckets are taken from the stream, some hundred thousand rows at a time."""
     def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         whole = pa.Table.from_batches(parts)
-        key = [whole[n].to_numpy() for n in ("word", "low", "high", "cls")]
-        fresh = np.ones(whole.num_rows, dtype=bool)
-        fresh[1:] = np.any([k[1:] != k[:-1] for k in key], axis=0)  # a class once per bucket
-        whole = whole.filter(pa.array(fresh)).combine_chunks()
+        bucket, cls, size = (whole[n].to_numpy() for n in ("bucket", "cls", "size"))
+        order = np.lexsort((cls, size, bucket))
+        fresh = np.ones(len(order), dtype=bool)
+        fresh[1:] = (np.diff(bucket[order]) != 0) | (np.diff(cls[order]) != 0)  # a class once per bucket
+        whole = whole.combine_chunks().take(pa.array(order[fresh]))
         cols = {n: whole[n].to_numpy() for n in PREFIX_NAMES if n != "sketch"}
         a, b = allowed_ties(cols, Sketches(pa.concat_arrays(whole["sketch"].chunks)), percent)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -279,9 +284,7 @@ def _tie(percent: int):
             if not batch.num_rows:
                 continue
             if rows >= HELD_ROWS:  # the last bucket may go on in this batch
-                same = np.ones(batch.num_rows, dtype=bool)
-                for i in range(3):
-                    same &= batch.column(i).to_numpy() == held[-1].column(i)[-1].as_py()
+                same = batch.column(0).to_numpy() == held[-1].column(0)[-1].as_py()
                 cut = batch.num_rows if same.all() else int(np.argmin(same))
                 if cut:
                     held.append(batch.slice(0, cut))
@@ -390,8 +393,8 @@ def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 5) -> DataFr
         counts[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
     rank = rarity(counts)
 
-    prefixes = texts.mapInArrow(_prefixes(least, percent, rank), PREFIX).repartition("word", "low", "high")
-    ties = prefixes.sortWithinPartitions("word", "low", "high", "size", "cls").mapInArrow(_tie(percent), "a long, b long")
+    prefixes = texts.mapInArrow(_prefixes(least, percent, rank), PREFIX).repartition("bucket")
+    ties = prefixes.sortWithinPartitions("bucket").mapInArrow(_tie(percent), "a long, b long")
     stars = connected_components(ties, "a", "b")
     groups = stored(stars.union(stars.select("component", "component").distinct()).toDF("cls", "grp").join(firsts, "cls"))
 
