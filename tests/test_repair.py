@@ -50,7 +50,8 @@ def test_repair_permutes_whole_rows_in_fifo_order(chunks, events):
         assert part.select("event_id", F.col("category").alias("event_type"), "value", "user_id").exceptAll(
             original).count() == 0
         pdf = part.toPandas().sort_values(["chunk", "position_in_chunk"])
-        assert (pdf.groupby("chunk").position_in_chunk.apply(list).map(lambda p: p == list(range(30)))).all()
+        assert (pdf.groupby("chunk").position_in_chunk.apply(list).map(lambda p: p == list(range(len(p))))).all()
+        assert len(pdf) == events.count() and pdf.chunk.nunique() == 34  # the last one is short
         assert pdf.groupby(["chunk", "category"]).source_position.apply(lambda p: p.is_monotonic_increasing).all()
     assert done.where("strategy = 'before' AND position_in_chunk <> source_position").count() == 0
 
@@ -61,7 +62,7 @@ def test_both_ways_of_scoring_agree(chunks):
     in_place = repair.plan_scores(labelled, *args)
     by_rows = repair.score_templates(repair.plan_templates(labelled, *args), ["chunk"], "labels", chunks.bounds, 20)
     columns = ["chunk", "strategy", "windows", "fair_blocks", "fair_windows", "changed"]
-    assert sorted(map(tuple, in_place.select(columns).collect())) == sorted(map(tuple, by_rows.select(columns).collect()))
+    assert sorted(map(tuple, in_place.where("windows > 0").select(columns).collect())) == sorted(map(tuple, by_rows.select(columns).collect()))
 
 
 def test_potential_is_reached(chunks):
@@ -71,20 +72,20 @@ def test_potential_is_reached(chunks):
     for chunk, labels in pdf.groupby("chunk").category.apply(list).items():
         fair = sum(
             all(lo <= labels[i:i + 10].count(c) <= hi for c, lo, hi in zip(b.categories, b.floor, b.ceiling, strict=True))
-            for i in range(21)
+            for i in range(len(labels) - 9)
         )
         assert fair == potential[chunk].attainable_blocks
         counts = [labels.count(c) for c in b.categories]
         assert potential[chunk].counts == counts
         assert potential[chunk].pattern_copies == min(n // t for n, t in zip(counts, b.target, strict=True) if t)
-        assert potential[chunk].tileable == all(3 * lo <= n <= 3 * hi for n, lo, hi in
+        assert potential[chunk].tileable == all(len(labels) // 10 * lo <= n <= len(labels) // 10 * hi for n, lo, hi in
                                                 zip(counts, b.floor, b.ceiling, strict=True))
 
 
 def test_uneven_landmark_only_for_the_optimal_strategy(events):
     bounds = fit_bounds(events, "event_type", 10)
     stream = ordered_stream(events, [], ["ts", "event_id"])
-    uneven = repair.cut_chunks(stream, "event_type", bounds, 20, 7, ["event_id"], whole_only=False)
+    uneven = repair.cut_chunks(stream, "event_type", bounds, 20, 7, ["event_id"])
     done = repair.repair_chunks(uneven, ["optimal"])
     assert done.count() == events.count() and done.select("event_id").distinct().count() == events.count()
     with pytest.raises(ValueError):
