@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from evenflow.llm.store import stored
 
-SLICE = 20_000
+SLICE = 4_000
 
 
 def word_count(text: Column) -> Column:

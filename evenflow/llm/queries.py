@@ -16,6 +16,7 @@ from evenflow.llm.line_dedup import without_repeated_lines
 from evenflow.llm.mixing import mix_plan
 from evenflow.llm.packing import pack
 from evenflow.llm.quality_gam import quality_scores
+from evenflow.llm.store import bound_batches
 from evenflow.llm.vector_dedup import vector_groups
 from evenflow.llm.warc import round_trip
 from evenflow.session import ensure_checkpoint_dir, ship_package
@@ -27,6 +28,7 @@ ORACLES: dict[str, str] = {}
 def query(function):
     def run(spark: SparkSession, folder: str) -> DataFrame:
         ship_package(spark)
+        bound_batches(spark)
         return function(spark, folder)
     QUERIES[function.__name__] = run
     return function

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenflow.session import materialize
@@ -16,6 +16,16 @@ def stored(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
+BATCH_ROWS = 2000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let no Arrow batch hold more than ``BATCH_ROWS`` rows: whole texts travel in them, to two workers an executor."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def in_batches(function: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
     """Adapter for ``mapInArrow``: applies ``function`` to every batch that has rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

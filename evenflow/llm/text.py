@@ -41,13 +41,21 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[keep]
 
 
+def _offsets(column: pa.Array) -> np.ndarray:
+    """Where the rows of a string column begin in its data, and where the last one ends; nothing is copied but these."""
+    if not len(column):
+        return np.zeros(1, dtype=np.int64)
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    at = np.frombuffer(column.buffers()[1], dtype=kind)
+    return at[column.offset:column.offset + len(column) + 1].astype(np.int64)
+
+
 class Texts:
     """The bytes of some rows of a text column: ``data`` and, for row i, ``offsets[i]:offsets[i + 1]``."""
 
     def __init__(self, column: pa.Array):
-        column = column.cast(pa.large_string()).fill_null("")
-        _, offsets, data = column.buffers()
-        at = np.frombuffer(offsets, dtype=np.int64)[column.offset:column.offset + len(column) + 1]
+        column = column.fill_null("") if column.null_count else column
+        at, data = _offsets(column), column.buffers()[2]
         whole = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
         self.data, self.offsets = whole[at[0]:at[-1]], at - at[0]
 
@@ -73,9 +81,8 @@ class Texts:
 
 def pieces(column: pa.Array) -> Iterator[tuple[int, Texts]]:
     """Runs of rows of a text column with about ``MAX_BYTES`` each: number of the first row, texts."""
-    column = column.cast(pa.large_string()).fill_null("")
-    at = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
-    begin = 0
+    column = column.fill_null("") if column.null_count else column
+    at, begin = _offsets(column), 0
     while begin < len(column):
         end = max(begin + 1, int(np.searchsorted(at, at[begin] + MAX_BYTES, "right")) - 1)
         yield begin, Texts(column.slice(begin, end - begin))

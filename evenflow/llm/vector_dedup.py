@@ -24,7 +24,7 @@ from evenflow.llm.store import connected_components, in_batches, stored
 from evenflow.llm.text import mix
 
 SEED = 977
-BLOCK = 1024
+BLOCK = 512
 
 
 def _hasher(tables: int, hashes: int, width: float):
