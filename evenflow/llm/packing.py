@@ -2,8 +2,8 @@
 
 Texts become token ids in one pass, which also counts in how many documents each id occurs. Documents are dealt to
 shards of a bounded number of tokens. A shard holds a BM25 inverted index over its documents, with frequencies and
-lengths of the whole corpus. A window starts with a seed document; the index returns the seed's unused neighbours, best
-first, and they fill the window greedily. The document that reaches the window's end is cut there and its rest is the
+lengths of the whole corpus. A window starts with a seed document; the index returns the seed's unused neighbours by all of its
+terms, best first, and they fill the window greedily. The document that reaches the window's end is cut there and its rest is the
 seed of the next window, so only a shard's last window is short.
 """
 
@@ -182,48 +182,45 @@ class Shard:
         self.rows = np.searchsorted(term[order], np.arange(vocabulary + 1))
         self.idf, self.score = idf, np.zeros(len(docs), dtype=np.float32)
 
-    def neighbours(self, seed: int, unused: np.ndarray, n: int, query_terms: int) -> list[int]:
-        """The unused documents with the best scores for the seed's rarest terms."""
+    def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
+        """All unused documents that share a term with the seed, best BM25 score for all of the seed's terms first."""
         terms = self.own_terms[self.own_rows[seed]:self.own_rows[seed + 1]]
-        if len(terms) > query_terms:
-            terms = terms[np.argpartition(-self.idf[terms], query_terms)[:query_terms]]
-        if not len(terms):
-            return []
         self.score[:] = 0
         for t in terms.tolist():
             own = slice(self.rows[t], self.rows[t + 1])
             self.score[self.doc[own]] += self.weight[own]
         self.score[~unused] = 0
         found = np.flatnonzero(self.score)
-        if len(found) > n:
-            found = found[np.argpartition(-self.score[found], n)[:n]]
         return found[np.lexsort((found, -self.score[found]))].tolist()
 
 
-def fill_windows(shard: Shard, size: int, neighbours: int = 48, query_terms: int = 24) -> Iterator[tuple[int, int, int, int, int]]:
-    """Pieces (document, start, length, window, offset) in order; windows are full but the last."""
+def fill_windows(shard: Shard, size: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """Pieces (document, start, length, window, offset) in order; windows are full but the last.
+
+    A window takes another seed only when no unused document has a positive score for its seed.
+    """
     lengths = [len(d) for d in shard.docs]
     unused, first = np.ones(len(lengths), dtype=bool), 0
-    window, filled, queue = 0, 0, []
+    window, filled, queue = 0, 0, iter(())
     while True:
-        doc = next((d for d in queue if unused[d]), None)
+        doc = next(queue, None)  # a queue's documents are used by its own window only
+        seed = doc is None
         while doc is None and first < len(lengths):
-            if unused[first]:
-                doc, queue = first, []
+            doc = first if unused[first] else None
             first += 1
         if doc is None:
             return
         unused[doc] = False
-        start, seed = 0, not queue or filled == 0
+        start = 0
         while start < lengths[doc]:
             take = min(size - filled, lengths[doc] - start)
             yield doc, start, take, window, filled
             start, filled = start + take, filled + take
             if filled == size:
-                window, filled, seed = window + 1, 0, start < lengths[doc]
-                queue = [] if not seed else queue
+                window, filled, queue = window + 1, 0, iter(())
+                seed = start < lengths[doc]
         if seed:
-            queue = shard.neighbours(doc, unused, neighbours, query_terms)
+            queue = iter(shard.neighbours(doc, unused))
 
 
 def _pack(size: int, dtype: np.dtype, frequency: np.ndarray, n_docs: int, mean_length: float, end_id: int):

@@ -150,6 +150,47 @@ def test_neighbours_are_lexically_close():
     assert pure >= 0.8 * len(windows)
 
 
+def bm25(docs, frequency, seed, end_id=2):
+    """Scores of all documents for the seed's distinct terms."""
+    mean, idf = np.mean([len(d) for d in docs]), np.log1p((len(docs) - frequency + 0.5) / (frequency + 0.5))
+    query, out = set(docs[seed].tolist()) - {end_id}, []
+    for d in docs:
+        terms, count = np.unique(d[np.isin(d, list(query))], return_counts=True)
+        out.append(float((idf[terms] * count * 2.2 / (count + 1.2 * (0.25 + 0.75 * len(d) / mean))).sum()))
+    return np.array(out)
+
+
+def assert_best_first(docs, frequency, pieces, size):
+    """Every document is the best unused one for its window's seed; a new seed needs that no other shares a term."""
+    unused, seed = np.ones(len(docs), dtype=bool), None
+    for doc, start, length, _, offset in pieces:
+        if start == 0:
+            scores = np.zeros(len(docs)) if seed is None else bm25(docs, frequency, seed)
+            if (scores[unused] > 0).any():
+                assert scores[doc] >= scores[unused].max() * (1 - 1e-5)
+            else:
+                seed = doc
+            unused[doc] = False
+        if offset + length == size:
+            seed = None
+        elif offset == 0:
+            seed = doc
+
+
+def short_and_long(n=300):
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(10, 400, k) for k in [90] * 5 + rng.integers(2, 9, n).tolist()]
+    docs = [np.concatenate([d, [2]]).astype("<u2") for d in docs]
+    return docs, np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=400).astype(float)
+
+
+@pytest.mark.parametrize("size", [300, 700])
+def test_all_terms_and_all_hits_count(size):
+    docs, frequency = short_and_long()
+    shard = Shard(docs, frequency, len(docs), float(np.mean([len(d) for d in docs])), 2)
+    assert_best_first(docs, frequency, fill_windows(shard, size), size)
+
+
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], SCHEMA), PATH).count() == 0
 
