@@ -1,10 +1,16 @@
 """Packing token sequences by lexical retrieval.
 
-Texts become token ids in one pass, which also counts in how many documents each id occurs. Documents are dealt to
-shards of a bounded number of tokens. A shard holds a BM25 inverted index over its documents, with frequencies and
-lengths of the whole corpus. A window starts with a seed document; the index returns the seed's unused neighbours by all of its
-terms, best first, and they fill the window greedily. The document that reaches the window's end is cut there and its rest is the
-seed of the next window, so only a shard's last window is short.
+Texts become token ids in one pass, which also counts in how many documents each id occurs. The index is a table with a
+row per document: its distinct ids and their BM25 weights. A window starts with a seed document; the index returns the
+seed's unused neighbours by all of its terms, best first, and they fill the window greedily. The document that reaches
+the window's end is cut there and its rest is the seed of the next window.
+
+Many runs of windows (lanes) are filled at once and share all documents. In a round every lane's seed is scored against
+every unused document of the table, in whatever task it lies; the best hits of a lane are merged over all tasks, and
+the highest scores of the round choose first. A lane that is not full then asks for its next-best hits in the next
+round. What the lanes hold when no document is left is put together, so only one window is short.
+
+`Shard` and `fill_windows` are one lane over documents in memory.
 """
 
 from __future__ import annotations
@@ -12,17 +18,22 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenflow.llm.store import stored
+from evenflow.llm.store import in_batches, stored
 from evenflow.llm.text import LOWER, SPACE, Texts, distinct, pieces
 
 K1, B = 1.2, 0.75
+SPREAD, LANES = 16, 8192  # windows of a lane, most lanes
+PAGE, DEEP = 64, 4  # hits of a lane in one round: at most PAGE, and no more than fill its window DEEP times
+SLICE, COMMON, MOST_COMMON = 1024, 0.02, 4096  # lanes scored at once; share of documents from which a term is scored densely
+FLUSH = 500_000  # pieces held by the driver
 CACHE_WORDS = 300_000
 BOUNDARY, RUN_END = "<|startoftext|>", "</w>"
 MARK = np.isin(np.arange(256), list(b".,;:!?#*$%&|<>()"))
@@ -223,51 +234,219 @@ def fill_windows(shard: Shard, size: int) -> Iterator[tuple[int, int, int, int,
             queue = iter(shard.neighbours(doc, unused))
 
 
-def _pack(size: int, dtype: np.dtype, frequency: np.ndarray, n_docs: int, mean_length: float, end_id: int):
-    """Rows sorted by shard -> pieces; one shard in memory at a time."""
-    def solve(number: int, rows: list[tuple]) -> pa.RecordBatch:
-        docs = [np.frombuffer(r[1], dtype=dtype) for r in rows]
-        out = []
-        for doc, start, length, window, offset in fill_windows(Shard(docs, frequency, n_docs, mean_length, end_id), size):
-            data = docs[doc][start:start + length].astype("<u4").tobytes()
-            out.append((rows[doc][0], start, length, zlib.crc32(data), len(docs[doc]), (number << 32) + window, offset))
-        columns = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[
-            "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+INDEX = "num long, n long, terms binary, weights binary"
+HITS = "lane int, num long, n long, score float"
+
+
+def _index(dtype: np.dtype, frequency: np.ndarray, n_docs: int, mean_length: float, end_id: int):
+    """(num, n, ids) -> the document's distinct terms that another one has too, and their BM25 weights."""
+    idf = np.log1p((n_docs - frequency + 0.5) / (frequency + 0.5))
+    use = frequency > 1
+    use[end_id] = False
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        terms, weights = [], []
+        for n, ids in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            term, count = np.unique(np.frombuffer(ids, dtype=dtype), return_counts=True)
+            term, count = term[use[term]], count[use[term]]
+            weight = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * n / mean_length))
+            terms.append(term.astype("<u4").tobytes())
+            weights.append(weight.astype("<f4").tobytes())
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(terms, pa.binary()), pa.array(weights, pa.binary())],
+                                          names=["num", "n", "terms", "weights"])
+    return in_batches(run)
+
 
+def _best(score: np.ndarray, num: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best of every row."""
+    if score.shape[1] <= k:
+        return score, num, n
+    at = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(score, at, 1), np.take_along_axis(num, at, 1), np.take_along_axis(n, at, 1)
+
+
+def _hits(queries: list[np.ndarray], need: np.ndarray, used: bytes, n_docs: int, common: np.ndarray):
+    """Index rows -> the best unused documents of this task for every query (its terms), as far as a round needs them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, rows = None, []
+        taken = np.unpackbits(np.frombuffer(used, dtype=np.uint8), count=n_docs).view(bool)
+        parts = []
+        for begin in range(0, len(queries), SLICE):
+            own = queries[begin:begin + SLICE]
+            row, term = np.repeat(np.arange(len(own)), [len(q) for q in own]), np.concatenate(own).astype(np.int64)
+            dense, place = np.zeros((len(own), common.max() + 1), dtype=np.float32), common[term]
+            dense[row[place >= 0], place[place >= 0]] = 1
+            none = np.zeros((len(own), 0))
+            parts.append([dense, row[place < 0], term[place < 0], (none.astype(np.float32), none.astype(np.int64), none.astype(np.int64))])
         for batch in batches:
-            for shard, doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if shard != number:
-                    if rows:
-                        yield solve(number, rows)
-                    number, rows = shard, []
-                rows.append((doc, ids))
-        if rows:
-            yield solve(number, rows)
+            free = ~taken[batch.column(0).to_numpy()]
+            if not free.any():
+                continue
+            num, n = batch.column(0).to_numpy()[free], batch.column(1).to_numpy()[free]
+            terms = [t for t, f in zip(batch.column(2), free, strict=True) if f]
+            weights = [w for w, f in zip(batch.column(3), free, strict=True) if f]
+            doc = np.repeat(np.arange(len(num)), [len(t.as_buffer()) // 4 for t in terms])
+            term = np.frombuffer(b"".join(t.as_buffer() for t in terms), dtype="<u4").astype(np.int64)
+            weight = np.frombuffer(b"".join(w.as_buffer() for w in weights), dtype="<f4")
+            place = common[term]
+            of_doc = np.zeros((len(num), common.max() + 1), dtype=np.float32)
+            of_doc[doc[place >= 0], place[place >= 0]] = weight[place >= 0]
+            order = np.argsort(term[place < 0], kind="stable")
+            term, doc, weight = term[place < 0][order], doc[place < 0][order], weight[place < 0][order]
+            for part in parts:
+                dense, row, wanted, best = part
+                score = dense @ of_doc.T
+                low = np.searchsorted(term, wanted, "left")
+                count = np.searchsorted(term, wanted, "right") - low
+                at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                score += np.bincount(np.repeat(row, count) * len(num) + doc[at], weights=weight[at], minlength=score.size).reshape(score.shape)
+                new = _best(score, np.broadcast_to(num, score.shape), np.broadcast_to(n, score.shape), PAGE)
+                part[3] = _best(*(np.concatenate(x, axis=1) for x in zip(best, new, strict=True)), PAGE)
+        for i, (_, _, _, (score, num, n)) in enumerate(parts):
+            order = np.lexsort((num, -score), axis=1)
+            score, num, n = (np.take_along_axis(x, order, 1) for x in (score, num, n))
+            good = (score > 0) & (np.cumsum(n, axis=1) - n < DEEP * need[i * SLICE:i * SLICE + len(score), None])
+            lane = np.nonzero(good)[0] + i * SLICE
+            yield pa.RecordBatch.from_arrays([pa.array(lane.astype(np.int32)), pa.array(num[good]), pa.array(n[good]), pa.array(score[good])],
+                                             names=["lane", "num", "n", "score"])
     return run
 
 
+class Lanes:
+    """Runs of windows that are filled side by side; pieces of full windows go to ``out``."""
+
+    def __init__(self, lanes: int, size: int):
+        self.size, self.out = size, []  # num, start, length, sequence, offset
+        self.seed, self.terms = [None] * lanes, [None] * lanes
+        self.filled, self.window, self.open = [0] * lanes, [0] * lanes, [[] for _ in range(lanes)]
+
+    def put(self, lane: int, num: int, n: int) -> bool:
+        """Lay a document into a lane; whether it ended a window, and so is the next seed or leaves the lane without one."""
+        start, ended = 0, False
+        while start < n:
+            take = min(self.size - self.filled[lane], n - start)
+            self.open[lane].append((num, start, take, (lane << 32) + self.window[lane], self.filled[lane]))
+            start, self.filled[lane] = start + take, self.filled[lane] + take
+            if self.filled[lane] == self.size:
+                self.out += self.open[lane]
+                self.open[lane], self.filled[lane], ended = [], 0, True
+                self.window[lane] += 1
+        if ended:
+            self.seed[lane], self.terms[lane] = (num if self.filled[lane] else None), None
+        return ended
+
+    def close(self) -> None:
+        """Put what is left in all lanes together."""
+        at = len(self.open) << 32
+        window, filled = at, 0
+        for num, start, length, _, _ in (piece for pieces in self.open for piece in pieces):
+            while length:
+                take = min(self.size - filled, length)
+                self.out.append((num, start, take, window, filled))
+                start, length, filled = start + take, length - take, filled + take
+                if filled == self.size:
+                    window, filled = window + 1, 0
+        self.open = []
+
+
+PIECES = ["num", "start", "length", "sequence_id", "offset"]
+
+
+def _arrange(index: DataFrame, n_docs: int, tokens: int, size: int, common: np.ndarray) -> DataFrame:
+    """Pieces of all documents. The driver holds the open windows of the lanes and a bit per document."""
+    spark, used, first = index.sparkSession, np.zeros(n_docs, dtype=bool), 0
+    lanes, tables = Lanes(min(LANES, max(1, tokens // (size * SPREAD))), size), []
+
+    def flush() -> None:
+        columns = [pa.array(c, pa.int64()) for c in zip(*lanes.out, strict=True)] or [pa.array([], pa.int64())] * len(PIECES)
+        tables.append(stored(spark.createDataFrame(pa.table(columns, names=PIECES))))
+        lanes.out = []
+
+    while not used.all():
+        fresh = {}
+        for lane, seed in enumerate(lanes.seed):
+            if seed is None and first < n_docs:
+                first += int(np.argmin(used[first:])) if not used[first:].all() else n_docs
+                if first < n_docs:
+                    lanes.seed[lane], lanes.terms[lane], used[first] = first, None, True
+                    fresh[lane] = first
+        wanted = sorted({lanes.seed[i] for i, t in enumerate(lanes.terms) if t is None and lanes.seed[i] is not None})
+        if wanted:
+            named = F.broadcast(spark.createDataFrame(pa.table({"num": pa.array(wanted, pa.int64())})))
+            found = {r["num"]: r for r in index.select("num", "n", "terms").join(named, "num").toArrow().to_pylist()}
+            for lane, seed in enumerate(lanes.seed):
+                if seed is not None and lanes.terms[lane] is None:
+                    terms = np.frombuffer(found[seed]["terms"], dtype="<u4")
+                    if lane in fresh:
+                        lanes.put(lane, seed, found[seed]["n"])
+                    lanes.terms[lane] = terms
+        asking = [i for i, seed in enumerate(lanes.seed) if seed is not None]
+        if asking and not used.all():
+            need = np.array([size - lanes.filled[i] for i in asking])
+            best = Window.partitionBy("lane").orderBy(F.desc("score"), "num")
+            hits = index.mapInArrow(_hits([lanes.terms[i] for i in asking], need, np.packbits(used).tobytes(), n_docs, common), HITS)
+            hits = hits.withColumn("place", F.row_number().over(best)).where(F.col("place") <= PAGE).drop("place").toArrow()
+            lane, num, n, score = (hits[c].to_numpy() for c in ("lane", "num", "n", "score"))
+            full = set()
+            for i in np.lexsort((num, lane, -score)).tolist():
+                own, doc = asking[lane[i]], int(num[i])
+                if own not in full and not used[doc]:
+                    used[doc] = True
+                    if lanes.put(own, doc, int(n[i])):
+                        full.add(own)
+            for own in set(range(len(asking))).difference(lane.tolist()):
+                lanes.seed[asking[own]] = None  # no unused document shares a term
+        if len(lanes.out) > FLUSH:
+            flush()
+    lanes.close()
+    flush()
+    return reduce(DataFrame.union, tables)
+
+
+def _cut(dtype: np.dtype):
+    """A row per document with its pieces -> a row per piece with its checksum."""
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for doc, n, ids, pieces_of in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            data = np.frombuffer(ids, dtype=dtype)
+            for p in pieces_of:
+                own = data[p["start"]:p["start"] + p["length"]].astype("<u4").tobytes()
+                out.append((doc, p["start"], p["length"], zlib.crc32(own), n, p["sequence_id"], p["offset"]))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=[
+            "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+    return in_batches(run)
+
+
 def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2, shard_tokens: int = 2_000_000) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` of every piece of every row of ``docs``.
 
     A document is its text's ids (null: none) and ``end_id``; every id lies in exactly one piece. Sequences hold
-    ``size`` tokens but the last of a shard. Repeated rows are packed one by one; a null doc_id is kept; an empty
-    table gives no rows. ``shard_tokens`` bounds a task's memory; the number of shards grows with the corpus, and rows
-    are dealt to shards by a hash of their place, so equal rows spread. The tokenizer must not join across white space.
+    ``size`` tokens but the last one. Repeated rows are packed one by one; a null doc_id is kept; an empty table gives
+    no rows. Every seed is scored against every unused document of the table, so the work grows with its square.
+    ``shard_tokens`` bounds the documents of an index file, not the retrieval. The tokenizer must not join across white
+    space.
     """
     rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         _tokenize(tokenizer_path, end_id), TOKENS))
     there = rows.where("row IS NOT NULL")
-    n_docs, tokens = there.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    vocabulary = tokenizer(tokenizer_path).vocabulary
-    frequency = np.zeros(vocabulary)
+    task = F.shiftright("row", 36)
+    dealt = sorted(map(tuple, there.groupBy(task.alias("task")).agg(F.count("*"), F.sum("n")).collect()))  # a row per task
+    n_docs, tokens = sum(d[1] for d in dealt), sum(d[2] for d in dealt)
+    tok = tokenizer(tokenizer_path)
+    frequency = np.zeros(tok.vocabulary)
     counted = rows.where("terms IS NOT NULL").select(F.explode(F.arrays_zip("terms", "counts")).alias("t"))
     for term, count in counted.groupBy("t.terms").agg(F.sum("t.counts")).collect():  # a row per vocabulary entry at most
         frequency[term] = count
-    shards = max(1, -(-tokens // shard_tokens))
-    dealt = there.select(F.pmod(F.xxhash64("row"), F.lit(shards)).cast("long").alias("shard"), "doc_id", "ids", "row")
-    return dealt.repartition(int(shards), "shard").sortWithinPartitions("shard", "row").select("shard", "doc_id", "ids").mapInArrow(
-        _pack(size, tokenizer(tokenizer_path).dtype, frequency, n_docs, tokens / max(1, n_docs), end_id),
-        "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    before = np.cumsum([0, *(d[1] for d in dealt)]).tolist()
+    starts = docs.sparkSession.createDataFrame([(d[0], b) for d, b in zip(dealt, before, strict=False)], "task long, before long")
+    numbered = there.withColumn("task", task).join(F.broadcast(starts), "task").select(
+        (F.col("before") + F.col("row").bitwiseAND(F.lit((1 << 36) - 1))).alias("num"), "doc_id", "n", "ids")
+
+    parts = max(1, -(-tokens // shard_tokens), min(n_docs, docs.sparkSession.sparkContext.defaultParallelism))
+    index = stored(numbered.select("num", "n", "ids").repartition(int(parts), "num").mapInArrow(
+        _index(tok.dtype, frequency, n_docs, tokens / max(1, n_docs), end_id), INDEX))
+    common, often = np.full(tok.vocabulary, -1), np.argsort(-frequency, kind="stable")[:MOST_COMMON]
+    often = often[frequency[often] > COMMON * n_docs]
+    common[often] = np.arange(len(often))
+    placed = _arrange(index, n_docs, tokens, size, common).groupBy("num").agg(F.collect_list(F.struct(*PIECES[1:])).alias("pieces"))
+    return numbered.join(placed, "num").select("doc_id", "n", "ids", "pieces").mapInArrow(
+        _cut(tok.dtype), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from evenflow.llm import packing
 from evenflow.llm.mixing import mix_plan, mixed, source_targets
 from evenflow.llm.packing import Shard, fill_windows, pack, tokenizer
 from evenflow.llm.text import Texts
@@ -191,6 +192,30 @@ def test_all_terms_and_all_hits_count(size):
     assert_best_first(docs, frequency, fill_windows(shard, size), size)
 
 
+@pytest.mark.parametrize("lanes", [1, 4])
+def test_retrieval_reaches_every_shard(spark, monkeypatch, lanes):
+    """Index files hold about 20 documents; neighbours come from all of them, as by brute force."""
+    rng, size = np.random.default_rng(11), 200
+    monkeypatch.setattr(packing, "LANES", lanes)
+    monkeypatch.setattr(packing, "SPREAD", 1)
+    topics = [[f"{c}{d}{e}" for d in "bcdfg" for e in "aeiou"] for c in "klmnpr"]
+    rows = [(i, " ".join(rng.choice(topics[i % 6], int(rng.integers(5, 30)))), None, None, 0, 0, "") for i in range(240)]
+    ids = {r[0]: np.array(x, dtype="<u2") for r, x in zip(rows, plain_ids([r[1] for r in rows]), strict=True)}
+    got = pack(spark.createDataFrame(rows, SCHEMA).repartition(3), PATH, size=size, shard_tokens=700).collect()
+    assert sum(r.length for r in got) == sum(map(len, ids.values()))
+    windows = defaultdict(list)
+    for r in got:
+        windows[r.sequence_id].append(r)
+    assert sum(sum(r.length for r in w) < size for w in windows.values()) <= 1
+    if lanes == 1:
+        pieces = [(r.doc_id, r.start, r.length, r.sequence_id, r.offset) for r in sorted(got, key=lambda r: (r.sequence_id, r.offset))]
+        docs = [ids[r[0]] for r in rows]
+        assert_best_first(docs, np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=50_000).astype(float), pieces, size)
+    else:
+        pure = sum(np.bincount([r.doc_id % 6 for r in w]).max() >= 0.7 * len(w) for w in windows.values())
+        assert pure >= 0.7 * len(windows)
+
+
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], SCHEMA), PATH).count() == 0
 
