@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from evenflow.llm import line_dedup
 from evenflow.llm.line_dedup import later_matches, repeated_lines, without_repeated_lines
 from tests.llm.samples import SCHEMA, documents, words
@@ -57,6 +58,15 @@ def test_text_and_columns(spark):
     assert found == {1: (f"first\n{line}\n", []), 2: ("second", [0]), 3: ("", [0]), 4: (None, []), 5: ("", []), None: (line, [])}
 
 
+def test_pipeline_compares_short_lines(spark):
+    rows = [(1, "one two three four five\nshort line\nx x x x x x x x x x\n\nonly here", "en", "s", 0, -1, "x"),
+            (2, "Short line\none two three four\nx x\n\nnever short line", "en", "s", 0, -1, "x"), (3, "short line", "en", "s", 0, -1, "x")]
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert got == {1: rows[0][1], 2: "\nnever short line"}
+    more = corpus(7)
+    assert {(r.doc_id, r.line) for r in repeated_lines(spark.createDataFrame(more, SCHEMA), 80, 1).collect()} == brute(more, 80, 1)
+
+
 def test_empty_table(spark):
     assert without_repeated_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
