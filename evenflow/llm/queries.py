@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 from evenflow.llm.chat import rotate_perspectives
 from evenflow.llm.decision_list import quality_rules
+from evenflow.llm.fill_in_middle import fill_in_middle, restored
 from evenflow.llm.jaccard_join import jaccard_groups
 from evenflow.llm.language_id import identify_languages
 from evenflow.llm.line_dedup import without_repeated_lines
 from evenflow.llm.mixing import mix_plan
 from evenflow.llm.packing import pack
 from evenflow.llm.quality_gam import quality_scores
+from evenflow.llm.simplex_clusters import simplex_clusters
 from evenflow.llm.store import bound_batches
+from evenflow.llm.substring_dedup import without_repeated_passages
 from evenflow.llm.vector_dedup import vector_groups
 from evenflow.llm.warc import round_trip
 from evenflow.session import ensure_checkpoint_dir, ship_package
@@ -185,3 +188,85 @@ LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(CAST(line AS VARCHAR), ',' O
 LEFT JOIN (SELECT l.doc_id, string_agg(t, chr(10) ORDER BY l.line) AS kept FROM lines l ANTI JOIN gone ON gone.doc_id = l.doc_id AND gone.line = l.line
            GROUP BY l.doc_id) g2 ON g2.doc_id = s.doc_id
 """
+
+
+@query
+def op11_centroid_clustering(spark, folder):
+    return simplex_clusters(table(spark, folder, "embeddings"))
+
+
+def _clustering_sql(rounds: int = 3) -> str:
+    """The rounds of integer k-means, one after the other."""
+    square = "list_sum([(v.x[i] - c.x[i]) * (v.x[i] - c.x[i]) FOR i IN range(1, 65)])"
+    steps = [f"""near{r} AS (
+  SELECT r, any_value(vec_id) AS vec_id, any_value(x) AS x, min(d) AS d, arg_min(k, d * 16 + k) AS k
+  FROM (SELECT v.r, v.vec_id, v.x, c.k, CAST({square} AS BIGINT) AS d FROM vectors v, centroids{r} c) GROUP BY r
+)""" for r in range(rounds + 1)]
+    moves = [f"""sums{r} AS (SELECT k, i, sum(x[i]) AS s, count(*) AS n FROM near{r}, range(1, 65) t(i) GROUP BY k, i),
+means{r} AS (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM sums{r} GROUP BY k),
+centroids{r + 1} AS (SELECT c.k, coalesce(m.x, c.x) AS x FROM centroids{r} c LEFT JOIN means{r} m ON m.k = c.k)""" for r in range(rounds)]
+    chain = [s for r in range(rounds) for s in (steps[r], moves[r])] + [steps[rounds]]
+    return f"""
+WITH vectors AS (
+  SELECT vec_id, row_number() OVER () AS r, [CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT) FOR e IN embedding] AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len([1 FOR e IN embedding IF e IS NOT NULL AND isfinite(e)]) = 64
+), centroids0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)), x) - 1 AS k, x FROM vectors QUALIFY k < 16
+), {", ".join(chain)}
+SELECT vec_id, CAST(n.k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY n.k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM near{rounds} n JOIN centroids{rounds} c ON c.k = n.k
+"""
+
+
+ORACLES["op11_centroid_clustering"] = _clustering_sql()
+
+
+@query
+def op12_substring_dedup(spark, folder):
+    return without_repeated_passages(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op12_substring_dedup"] = r"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS words FROM texts, range(1, len(w) - 33) t(i)),
+found AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY words) > 1),
+gone AS (SELECT DISTINCT r, i + o AS i FROM found, range(35) t(o)),
+places AS (SELECT r, i, w[i] AS word FROM texts, range(1, len(w) + 1) t(i)),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS words FROM places ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (r)
+"""
+
+
+@query
+def op13_fill_in_middle(spark, folder):
+    rows = fill_in_middle(table(spark, folder, "documents"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(restored(F.col("form"), F.col("output")), 256).alias("restored_sha256"))
+
+
+ORACLES["op13_fill_in_middle"] = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         coalesce(regexp_extract_all(text, '[^
+]*
+|[^
+]+'), []) AS u FROM documents
+), drawn AS (
+  SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS b,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM texts
+), parts AS (
+  SELECT *, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m,
+         array_to_string(u[greatest(a, b) + 1:n], '') AS s,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+              WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+"""
