@@ -1,16 +1,13 @@
 """Packing token sequences by lexical retrieval.
 
-Texts become token ids in one pass, which also counts in how many documents each id occurs. The index is a table with a
-row per document: its distinct ids and their BM25 weights. A window starts with a seed document; the index returns the
-seed's unused neighbours by all of its terms, best first, and they fill the window greedily. The document that reaches
-the window's end is cut there and its rest is the seed of the next window.
-
-Many runs of windows (lanes) are filled at once and share all documents. In a round every lane's seed is scored against
-every unused document of the table, in whatever task it lies; the best hits of a lane are merged over all tasks, and
-the highest scores of the round choose first. A lane that is not full then asks for its next-best hits in the next
-round. What the lanes hold when no document is left is put together, so only one window is short.
-
-`Shard` and `fill_windows` are one lane over documents in memory.
+Documents are laid in an order of their content: a tree of projections of BM25 term weights, fitted on a bounded sample,
+gives every document a leaf and a value, and equal or similar documents come to lie together. The ordered documents are
+cut into shards of a bounded number of tokens. A shard is an inverted index: a window starts with a seed document, the
+postings of all of the seed's terms return its unused neighbours, best BM25 score first, and they fill the window
+greedily. The document that reaches the window's end is cut there and its rest is the seed of the next window.
+
+A task fills the shards of a stretch of the order one after the other and goes on with the window that the last shard
+left open. The one window that each task leaves open at its end is joined with those of the other tasks.
 """
 
 from __future__ import annotations
@@ -18,22 +15,19 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenflow.llm.store import in_batches, stored
-from evenflow.llm.text import LOWER, SPACE, Texts, distinct, pieces
+from evenflow.llm.store import stored
+from evenflow.llm.text import LOWER, SPACE, Texts, distinct, mix, pieces
 
 K1, B = 1.2, 0.75
-SPREAD, LANES = 16, 8192  # windows of a lane, most lanes
-PAGE, DEEP = 64, 4  # hits of a lane in one round: at most PAGE, and no more than fill its window DEEP times
-SLICE, COMMON, MOST_COMMON = 1024, 0.02, 4096  # lanes scored at once; share of documents from which a term is scored densely
-FLUSH = 500_000  # pieces held by the driver
+SAMPLE, WIDTH, DEPTH, LEAST_LEAF = 4000, 256, 6, 16  # documents that fit the order, sketch width, tree depth
+TASK_SHARDS = 2
 CACHE_WORDS = 300_000
 BOUNDARY, RUN_END = "<|startoftext|>", "</w>"
 MARK = np.isin(np.arange(256), list(b".,;:!?#*$%&|<>()"))
@@ -141,57 +135,181 @@ def tokenizer(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
-TOKENS = "doc_id long, row long, n long, ids binary, terms array<int>, counts array<long>"
-TOKENS_ARROW = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()),
-                          ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
-
-
-def _tokenize(path: str, end_id: int):
-    """(doc_id, text) -> a row of ids per document, and per task one row of document frequencies."""
+def shipped_tokenizer(name: str) -> WordTokenizer:
+    """In a task: the tokenizer whose file the driver has added to the application."""
+    return tokenizer(SparkFiles.get(name))
+
+
+def term_counts(docs: list[np.ndarray], vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, term and count of every distinct term of every document, in order."""
+    sizes = np.array([len(d) for d in docs], dtype=np.int64)
+    key = np.repeat(np.arange(len(docs), dtype=np.int64), sizes)
+    key *= vocabulary
+    key += np.concatenate(docs)
+    key.sort()
+    first = np.ones(len(key), dtype=bool)
+    first[1:] = key[1:] != key[:-1]
+    at = np.flatnonzero(first)
+    count = np.diff(np.append(at, len(key)))
+    key = key[at]
+    return key // vocabulary, key % vocabulary, count
+
+
+class Weights:
+    """BM25 weight of terms in documents, from document frequencies."""
+
+    def __init__(self, frequency: np.ndarray, n_docs: int, mean_length: float, end_id: int):
+        self.idf = np.log1p((n_docs - frequency + 0.5) / (frequency + 0.5))
+        self.idf[end_id] = 0
+        self.mean_length, self.end_id = max(mean_length, 1.0), end_id
+
+    def of(self, term: np.ndarray, count: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return self.idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length / self.mean_length))
+
+
+class ContentOrder:
+    """A binary tree over sketches of term weights; a node parts the sample at the median along its main direction."""
+
+    def __init__(self, weights: Weights, vocabulary: int):
+        number = np.arange(vocabulary, dtype=np.uint64)
+        self.weights, self.vocabulary = weights, vocabulary
+        self.slot = (mix(number + np.uint64(77)) % np.uint64(WIDTH)).astype(np.int64)
+        self.sign = np.where(mix(number + np.uint64(991)) >> np.uint64(63), 1.0, -1.0)
+        self.nodes: list[tuple[np.ndarray, float, bool]] = []
+
+    def sketches(self, docs: list[np.ndarray]) -> np.ndarray:
+        if not docs:
+            return np.zeros((0, WIDTH))
+        doc, term, count = term_counts(docs, self.vocabulary)
+        weight = self.weights.of(term, count, np.array([len(d) for d in docs])[doc]) * self.sign[term]
+        return np.bincount(doc * WIDTH + self.slot[term], weight, len(docs) * WIDTH).reshape(-1, WIDTH)
+
+    def fit(self, sample: np.ndarray, depth: int = DEPTH) -> None:
+        """Node i has the children 2 i + 1 and 2 i + 2."""
+        self.nodes, parts = [], {0: sample}
+        for i in range((1 << depth) - 1):
+            own = parts.pop(i, np.zeros((0, WIDTH)))
+            direction = main_direction(own)
+            value = own @ direction
+            middle = float(np.median(value)) if len(own) else 0.0
+            low, high = own[value <= middle], own[value > middle]
+            inner = 2 * i + 2 < (1 << depth) - 1 and min(len(low), len(high)) >= LEAST_LEAF
+            self.nodes.append((direction, middle, inner))
+            if inner:
+                parts[2 * i + 1], parts[2 * i + 2] = low, high
+
+    def place(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf, numbered from left to right, and place along its direction of every document."""
+        x, leaf, value = self.sketches(docs), np.zeros(len(docs), dtype=np.int64), np.zeros(len(docs))
+        todo = [(0, 0, 0, np.arange(len(docs)))]
+        while todo:
+            node, code, level, rows = todo.pop()
+            if not len(rows):
+                continue
+            direction, middle, inner = self.nodes[node]
+            own = x[rows] @ direction
+            if inner:
+                right = own > middle
+                todo += [(2 * node + 1, 2 * code, level + 1, rows[~right]), (2 * node + 2, 2 * code + 1, level + 1, rows[right])]
+            else:
+                leaf[rows], value[rows] = code << (DEPTH - level), own
+        return leaf, value
+
+
+def main_direction(x: np.ndarray, steps: int = 30) -> np.ndarray:
+    """First principal direction by power steps."""
+    v = np.full(WIDTH, WIDTH ** -0.5)
+    if len(x) > 1:
+        x = x - x.mean(axis=0)
+        square = x.T @ x
+        for _ in range(steps):
+            longer = square @ v
+            size = np.linalg.norm(longer)
+            if size < 1e-12:
+                break
+            v = longer / size
+    return v
+
+
+TOKENS = "doc_id long, row long, n long, leaf long, value double, ids binary, terms array<int>, counts array<long>"
+TOKENS_ARROW = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("leaf", pa.int64()), ("value", pa.float64()),
+                          ("ids", pa.binary()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+
+
+def _tokenize(name: str, end_id: int, order: ContentOrder | None):
+    """(doc_id, text) -> a row of ids per document with its place in the order, and per task one row of document frequencies."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path)
+        tok = shipped_tokenizer(name)
         end, seen = np.array([end_id], dtype=tok.dtype).tobytes(), np.zeros(tok.vocabulary, dtype=np.int64)
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             doc = batch.column(0)
             for begin, texts in pieces(batch.column(1)):
                 ids = [x + end for x in tok.ids(texts)]
-                for x in ids:
-                    seen[distinct(np.frombuffer(x, dtype=tok.dtype))] += 1
+                docs = [np.frombuffer(x, dtype=tok.dtype) for x in ids]
+                for d in docs:
+                    seen[distinct(d)] += 1
                 n = len(ids)
+                leaf, value = order.place(docs) if order else (np.zeros(n, dtype=np.int64), np.zeros(n))
                 yield pa.RecordBatch.from_arrays([
-                    doc.slice(begin, n), pa.array(range(row, row + n), pa.int64()), pa.array([len(x) // tok.dtype.itemsize for x in ids], pa.int64()),
-                    pa.array(ids, pa.binary()), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64())),
+                    doc.slice(begin, n), pa.array(range(row, row + n), pa.int64()), pa.array([len(d) for d in docs], pa.int64()),
+                    pa.array(leaf), pa.array(value), pa.array(ids, pa.binary()),
+                    pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64())),
                 ], schema=TOKENS_ARROW)
                 row += n
         terms = np.flatnonzero(seen)
         if len(terms):
             yield pa.RecordBatch.from_arrays([
-                pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
+                *(pa.nulls(1, field.type) for field in list(TOKENS_ARROW)[:6]),
                 pa.array([terms.tolist()], pa.list_(pa.int32())), pa.array([seen[terms].tolist()], pa.list_(pa.int64())),
             ], schema=TOKENS_ARROW)
     return run
 
 
+def _weights(rows: DataFrame, vocabulary: int, end_id: int) -> tuple[Weights, int]:
+    """BM25 weights from a token table, and its number of tokens. The driver gets a row per vocabulary entry at most."""
+    frequency = np.zeros(vocabulary)
+    counted = rows.where("terms IS NOT NULL").select(F.explode(F.arrays_zip("terms", "counts")).alias("t"))
+    for term, count in counted.groupBy("t.terms").agg(F.sum("t.counts")).collect():
+        frequency[term] = count
+    n_docs, tokens = rows.where("row IS NOT NULL").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return Weights(frequency, n_docs, tokens / max(1, n_docs), end_id), tokens
+
+
+def _sketch(order: ContentOrder, dtype: np.dtype):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = [np.frombuffer(x.as_buffer(), dtype=dtype) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f4").tobytes() for x in order.sketches(docs)], pa.binary())], names=["sketch"])
+    return run
+
+
+def fitted_order(texts: DataFrame, name: str, tok: WordTokenizer, end_id: int, sample: int = SAMPLE) -> ContentOrder:
+    """The order of the ``sample`` documents with the smallest hashes; the driver gets a sketch of each."""
+    few = texts.orderBy(F.xxhash64("doc_id", "text"), F.hash("text", "doc_id")).limit(sample).repartition(8)
+    rows = stored(few.mapInArrow(_tokenize(name, end_id, None), TOKENS))
+    order = ContentOrder(_weights(rows, tok.vocabulary, end_id)[0], tok.vocabulary)
+    found = rows.where("row IS NOT NULL").orderBy("row").select("ids").mapInArrow(_sketch(order, tok.dtype), "sketch binary").toArrow()
+    order.fit(np.frombuffer(b"".join(found.column(0).to_pylist()), dtype="<f4").reshape(-1, WIDTH).astype(float))
+    return order
+
+
 class Shard:
-    """BM25 index over the documents of a shard."""
+    """Inverted BM25 index over the documents of a shard."""
 
-    def __init__(self, docs: list[np.ndarray], frequency: np.ndarray, n_docs: int, mean_length: float, end_id: int):
-        self.docs, vocabulary = docs, len(frequency)
+    def __init__(self, docs: list[np.ndarray], weights: Weights):
+        self.docs, vocabulary = docs, len(weights.idf)
         sizes = np.array([len(d) for d in docs])
-        pair, count = np.unique(
-            np.repeat(np.arange(len(docs), dtype=np.int64), sizes) * vocabulary + np.concatenate(docs).astype(np.int64), return_counts=True)
-        doc, term = pair // vocabulary, pair % vocabulary
+        doc, term, count = term_counts(docs, vocabulary)
         held = np.bincount(term, minlength=vocabulary)
-        use = (held[term] > 1) & (term != end_id)  # the rest finds nobody else
+        use = (held[term] > 1) & (term != weights.end_id)  # the rest finds nobody else
         doc, term, count = doc[use], term[use], count[use]
-        idf = np.log1p((n_docs - frequency + 0.5) / (frequency + 0.5))
-        weight = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * sizes[doc] / mean_length))
-        self.own_terms, self.own_rows = term, np.searchsorted(doc, np.arange(len(docs) + 1))
+        weight = weights.of(term, count, sizes[doc]).astype(np.float32)
+        self.own_terms, self.own_rows = term.astype(np.int32), np.searchsorted(doc, np.arange(len(docs) + 1))
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order].astype(np.float32)
+        self.doc, self.weight = doc[order].astype(np.int32), weight[order]
         self.rows = np.searchsorted(term[order], np.arange(vocabulary + 1))
-        self.idf, self.score = idf, np.zeros(len(docs), dtype=np.float32)
+        self.score = np.zeros(len(docs), dtype=np.float32)
 
     def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
         """All unused documents that share a term with the seed, best BM25 score for all of the seed's terms first."""
@@ -205,14 +323,15 @@ class Shard:
         return found[np.lexsort((found, -self.score[found]))].tolist()
 
 
-def fill_windows(shard: Shard, size: int) -> Iterator[tuple[int, int, int, int, int]]:
+def fill_windows(shard: Shard, size: int, filled: int = 0) -> Iterator[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, window, offset) in order; windows are full but the last.
 
-    A window takes another seed only when no unused document has a positive score for its seed.
+    ``filled`` tokens of window 0 are taken already. A window takes another seed only when no unused document has a
+    positive score for its seed.
     """
     lengths = [len(d) for d in shard.docs]
     unused, first = np.ones(len(lengths), dtype=bool), 0
-    window, filled, queue = 0, 0, iter(())
+    window, queue = 0, iter(())
     while True:
         doc = next(queue, None)  # a queue's documents are used by its own window only
         seed = doc is None
@@ -234,219 +353,100 @@ def fill_windows(shard: Shard, size: int) -> Iterator[tuple[int, int, int, int,
             queue = iter(shard.neighbours(doc, unused))
 
 
-INDEX = "num long, n long, terms binary, weights binary"
-HITS = "lane int, num long, n long, score float"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open_in long, ids binary"
+PIECES_ARROW = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")[:-1]] + [("ids", pa.binary())])
 
 
-def _index(dtype: np.dtype, frequency: np.ndarray, n_docs: int, mean_length: float, end_id: int):
-    """(num, n, ids) -> the document's distinct terms that another one has too, and their BM25 weights."""
-    idf = np.log1p((n_docs - frequency + 0.5) / (frequency + 0.5))
-    use = frequency > 1
-    use[end_id] = False
+def _fill(dtype: np.dtype, weights: Weights, size: int, shard_tokens: int):
+    """Documents in order -> pieces. Those of the task's last window, if it is not full, bring their ids and the task's number."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _TOKENIZERS.clear()  # of an earlier stage in this worker
+        part = TaskContext.get().partitionId()
+        window, filled, open_ = 0, 0, []
+        ids, docs, held = [], [], 0
+
+        def shard() -> pa.RecordBatch | None:
+            nonlocal window, filled, open_
+            out, base = [], window
+            for doc, start, length, own, offset in fill_windows(Shard(docs, weights), size, filled):
+                data = docs[doc][start:start + length].astype("<u4").tobytes()
+                open_.append((ids[doc], start, length, zlib.crc32(data), len(docs[doc]), (part << 32) + base + own, offset, None, data))
+                window, filled = base + own, offset + length
+                if filled == size:
+                    out += [(*p[:8], None) for p in open_]
+                    window, filled, open_ = window + 1, 0, []
+            # What stays open must not keep the shard's arrays alive; its bytes are copies.
+            return _pieces(out) if out else None
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        terms, weights = [], []
-        for n, ids in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            term, count = np.unique(np.frombuffer(ids, dtype=dtype), return_counts=True)
-            term, count = term[use[term]], count[use[term]]
-            weight = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * n / mean_length))
-            terms.append(term.astype("<u4").tobytes())
-            weights.append(weight.astype("<f4").tobytes())
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(terms, pa.binary()), pa.array(weights, pa.binary())],
-                                          names=["num", "n", "terms", "weights"])
-    return in_batches(run)
+        for batch in batches:
+            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(data.as_py(), dtype=dtype)
+                ids.append(doc_id)
+                docs.append(own)
+                held += len(own)
+                while held > 3 * shard_tokens // 2 and len(docs) > 1:  # so no shard is much smaller than the others
+                    ends = np.cumsum([len(d) for d in docs])
+                    cut = min(max(1, int(np.searchsorted(ends, shard_tokens, "right"))), len(docs) - 1)
+                    rest = ids[cut:], docs[cut:]
+                    del ids[cut:], docs[cut:]
+                    full = shard()
+                    if full is not None:
+                        yield full
+                    ids, docs = rest
+                    held = sum(len(d) for d in docs)
+        if docs:
+            full = shard()
+            if full is not None:
+                yield full
+        if open_:
+            yield _pieces([(*p[:7], part, p[8]) for p in open_])
+    return run
 
 
-def _best(score: np.ndarray, num: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``k`` best of every row."""
-    if score.shape[1] <= k:
-        return score, num, n
-    at = np.argpartition(-score, k - 1, axis=1)[:, :k]
-    return np.take_along_axis(score, at, 1), np.take_along_axis(num, at, 1), np.take_along_axis(n, at, 1)
+def _pieces(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PIECES_ARROW, strict=True)], schema=PIECES_ARROW)
 
 
-def _hits(queries: list[np.ndarray], need: np.ndarray, used: bytes, n_docs: int, common: np.ndarray):
-    """Index rows -> the best unused documents of this task for every query (its terms), as far as a round needs them."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        taken = np.unpackbits(np.frombuffer(used, dtype=np.uint8), count=n_docs).view(bool)
-        parts = []
-        for begin in range(0, len(queries), SLICE):
-            own = queries[begin:begin + SLICE]
-            row, term = np.repeat(np.arange(len(own)), [len(q) for q in own]), np.concatenate(own).astype(np.int64)
-            dense, place = np.zeros((len(own), common.max() + 1), dtype=np.float32), common[term]
-            dense[row[place >= 0], place[place >= 0]] = 1
-            none = np.zeros((len(own), 0))
-            parts.append([dense, row[place < 0], term[place < 0], (none.astype(np.float32), none.astype(np.int64), none.astype(np.int64))])
-        for batch in batches:
-            free = ~taken[batch.column(0).to_numpy()]
-            if not free.any():
-                continue
-            num, n = batch.column(0).to_numpy()[free], batch.column(1).to_numpy()[free]
-            terms = [t for t, f in zip(batch.column(2), free, strict=True) if f]
-            weights = [w for w, f in zip(batch.column(3), free, strict=True) if f]
-            doc = np.repeat(np.arange(len(num)), [len(t.as_buffer()) // 4 for t in terms])
-            term = np.frombuffer(b"".join(t.as_buffer() for t in terms), dtype="<u4").astype(np.int64)
-            weight = np.frombuffer(b"".join(w.as_buffer() for w in weights), dtype="<f4")
-            place = common[term]
-            of_doc = np.zeros((len(num), common.max() + 1), dtype=np.float32)
-            of_doc[doc[place >= 0], place[place >= 0]] = weight[place >= 0]
-            order = np.argsort(term[place < 0], kind="stable")
-            term, doc, weight = term[place < 0][order], doc[place < 0][order], weight[place < 0][order]
-            for part in parts:
-                dense, row, wanted, best = part
-                score = dense @ of_doc.T
-                low = np.searchsorted(term, wanted, "left")
-                count = np.searchsorted(term, wanted, "right") - low
-                at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                score += np.bincount(np.repeat(row, count) * len(num) + doc[at], weights=weight[at], minlength=score.size).reshape(score.shape)
-                new = _best(score, np.broadcast_to(num, score.shape), np.broadcast_to(n, score.shape), PAGE)
-                part[3] = _best(*(np.concatenate(x, axis=1) for x in zip(best, new, strict=True)), PAGE)
-        for i, (_, _, _, (score, num, n)) in enumerate(parts):
-            order = np.lexsort((num, -score), axis=1)
-            score, num, n = (np.take_along_axis(x, order, 1) for x in (score, num, n))
-            good = (score > 0) & (np.cumsum(n, axis=1) - n < DEEP * need[i * SLICE:i * SLICE + len(score), None])
-            lane = np.nonzero(good)[0] + i * SLICE
-            yield pa.RecordBatch.from_arrays([pa.array(lane.astype(np.int32)), pa.array(num[good]), pa.array(n[good]), pa.array(score[good])],
-                                             names=["lane", "num", "n", "score"])
-    return run
+RESULT = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-class Lanes:
-    """Runs of windows that are filled side by side; pieces of full windows go to ``out``."""
-
-    def __init__(self, lanes: int, size: int):
-        self.size, self.out = size, []  # num, start, length, sequence, offset
-        self.seed, self.terms = [None] * lanes, [None] * lanes
-        self.filled, self.window, self.open = [0] * lanes, [0] * lanes, [[] for _ in range(lanes)]
-
-    def put(self, lane: int, num: int, n: int) -> bool:
-        """Lay a document into a lane; whether it ended a window, and so is the next seed or leaves the lane without one."""
-        start, ended = 0, False
-        while start < n:
-            take = min(self.size - self.filled[lane], n - start)
-            self.open[lane].append((num, start, take, (lane << 32) + self.window[lane], self.filled[lane]))
-            start, self.filled[lane] = start + take, self.filled[lane] + take
-            if self.filled[lane] == self.size:
-                self.out += self.open[lane]
-                self.open[lane], self.filled[lane], ended = [], 0, True
-                self.window[lane] += 1
-        if ended:
-            self.seed[lane], self.terms[lane] = (num if self.filled[lane] else None), None
-        return ended
-
-    def close(self) -> None:
-        """Put what is left in all lanes together."""
-        at = len(self.open) << 32
-        window, filled = at, 0
-        for num, start, length, _, _ in (piece for pieces in self.open for piece in pieces):
-            while length:
-                take = min(self.size - filled, length)
-                self.out.append((num, start, take, window, filled))
-                start, length, filled = start + take, length - take, filled + take
-                if filled == self.size:
-                    window, filled = window + 1, 0
-        self.open = []
-
-
-PIECES = ["num", "start", "length", "sequence_id", "offset"]
-
-
-def _arrange(index: DataFrame, n_docs: int, tokens: int, size: int, common: np.ndarray) -> DataFrame:
-    """Pieces of all documents. The driver holds the open windows of the lanes and a bit per document."""
-    spark, used, first = index.sparkSession, np.zeros(n_docs, dtype=bool), 0
-    lanes, tables = Lanes(min(LANES, max(1, tokens // (size * SPREAD))), size), []
-
-    def flush() -> None:
-        columns = [pa.array(c, pa.int64()) for c in zip(*lanes.out, strict=True)] or [pa.array([], pa.int64())] * len(PIECES)
-        tables.append(stored(spark.createDataFrame(pa.table(columns, names=PIECES))))
-        lanes.out = []
-
-    while not used.all():
-        fresh = {}
-        for lane, seed in enumerate(lanes.seed):
-            if seed is None and first < n_docs:
-                first += int(np.argmin(used[first:])) if not used[first:].all() else n_docs
-                if first < n_docs:
-                    lanes.seed[lane], lanes.terms[lane], used[first] = first, None, True
-                    fresh[lane] = first
-        wanted = sorted({lanes.seed[i] for i, t in enumerate(lanes.terms) if t is None and lanes.seed[i] is not None})
-        if wanted:
-            named = F.broadcast(spark.createDataFrame(pa.table({"num": pa.array(wanted, pa.int64())})))
-            found = {r["num"]: r for r in index.select("num", "n", "terms").join(named, "num").toArrow().to_pylist()}
-            for lane, seed in enumerate(lanes.seed):
-                if seed is not None and lanes.terms[lane] is None:
-                    terms = np.frombuffer(found[seed]["terms"], dtype="<u4")
-                    if lane in fresh:
-                        lanes.put(lane, seed, found[seed]["n"])
-                    lanes.terms[lane] = terms
-        asking = [i for i, seed in enumerate(lanes.seed) if seed is not None]
-        if asking and not used.all():
-            need = np.array([size - lanes.filled[i] for i in asking])
-            best = Window.partitionBy("lane").orderBy(F.desc("score"), "num")
-            hits = index.mapInArrow(_hits([lanes.terms[i] for i in asking], need, np.packbits(used).tobytes(), n_docs, common), HITS)
-            hits = hits.withColumn("place", F.row_number().over(best)).where(F.col("place") <= PAGE).drop("place").toArrow()
-            lane, num, n, score = (hits[c].to_numpy() for c in ("lane", "num", "n", "score"))
-            full = set()
-            for i in np.lexsort((num, lane, -score)).tolist():
-                own, doc = asking[lane[i]], int(num[i])
-                if own not in full and not used[doc]:
-                    used[doc] = True
-                    if lanes.put(own, doc, int(n[i])):
-                        full.add(own)
-            for own in set(range(len(asking))).difference(lane.tolist()):
-                lanes.seed[asking[own]] = None  # no unused document shares a term
-        if len(lanes.out) > FLUSH:
-            flush()
-    lanes.close()
-    flush()
-    return reduce(DataFrame.union, tables)
-
-
-def _cut(dtype: np.dtype):
-    """A row per document with its pieces -> a row per piece with its checksum."""
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for doc, n, ids, pieces_of in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            data = np.frombuffer(ids, dtype=dtype)
-            for p in pieces_of:
-                own = data[p["start"]:p["start"] + p["length"]].astype("<u4").tobytes()
-                out.append((doc, p["start"], p["length"], zlib.crc32(own), n, p["sequence_id"], p["offset"]))
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=[
-            "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-    return in_batches(run)
-
-
-def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2, shard_tokens: int = 2_000_000) -> DataFrame:
+def _joined(opened: DataFrame, size: int, first_sequence: int) -> DataFrame:
+    """Pieces of the tasks' open windows, laid end to end and cut into full windows and a last one.
+
+    The running total is over one row per task; everything else is by row.
+    """
+    filled = opened.groupBy("open_in").agg(F.sum("length").alias("filled"))
+    before = F.sum("filled").over(Window.orderBy("open_in")) - F.col("filled")
+    rows = opened.join(F.broadcast(filled.select("open_in", before.alias("before"))), "open_in").withColumn("at", F.col("before") + F.col("offset"))
+    window = F.explode(F.expr(f"sequence(at div {size}, (at + length - 1) div {size})"))
+    rows = rows.withColumn("window", window).withColumn("low", F.greatest("at", F.col("window") * size)).withColumn(
+        "high", F.least(F.col("at") + F.col("length"), (F.col("window") + 1) * size))
+    skip, length = F.col("low") - F.col("at"), F.col("high") - F.col("low")
+    ids = F.substring("ids", (4 * skip + 1).cast("int"), (4 * length).cast("int"))
+    return rows.select("doc_id", (F.col("start") + skip).alias("start"), length.alias("length"), F.crc32(ids).alias("ids_crc32"), "doc_tokens",
+                       (F.lit(first_sequence) + F.col("window")).alias("sequence_id"), (F.col("low") - F.col("window") * size).alias("offset"))
+
+
+def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2, shard_tokens: int = 2_000_000, sample: int = SAMPLE) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` of every piece of every row of ``docs``.
 
     A document is its text's ids (null: none) and ``end_id``; every id lies in exactly one piece. Sequences hold
     ``size`` tokens but the last one. Repeated rows are packed one by one; a null doc_id is kept; an empty table gives
-    no rows. Every seed is scored against every unused document of the table, so the work grows with its square.
-    ``shard_tokens`` bounds the documents of an index file, not the retrieval. The tokenizer must not join across white
-    space.
+    no rows. Other columns are not read. The tokenizer must not join across white space; its file is sent to the tasks.
+
+    ``sample`` documents fit the content order and every document is laid in it. A seed is scored by all of its terms
+    against all unused documents of its shard, which holds about ``shard_tokens`` tokens (half to one and a half, or
+    one longer document) at every size of the table, so work grows with the table and a task holds one shard.
     """
-    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _tokenize(tokenizer_path, end_id), TOKENS))
-    there = rows.where("row IS NOT NULL")
-    task = F.shiftright("row", 36)
-    dealt = sorted(map(tuple, there.groupBy(task.alias("task")).agg(F.count("*"), F.sum("n")).collect()))  # a row per task
-    n_docs, tokens = sum(d[1] for d in dealt), sum(d[2] for d in dealt)
-    tok = tokenizer(tokenizer_path)
-    frequency = np.zeros(tok.vocabulary)
-    counted = rows.where("terms IS NOT NULL").select(F.explode(F.arrays_zip("terms", "counts")).alias("t"))
-    for term, count in counted.groupBy("t.terms").agg(F.sum("t.counts")).collect():  # a row per vocabulary entry at most
-        frequency[term] = count
-    before = np.cumsum([0, *(d[1] for d in dealt)]).tolist()
-    starts = docs.sparkSession.createDataFrame([(d[0], b) for d, b in zip(dealt, before, strict=False)], "task long, before long")
-    numbered = there.withColumn("task", task).join(F.broadcast(starts), "task").select(
-        (F.col("before") + F.col("row").bitwiseAND(F.lit((1 << 36) - 1))).alias("num"), "doc_id", "n", "ids")
-
-    parts = max(1, -(-tokens // shard_tokens), min(n_docs, docs.sparkSession.sparkContext.defaultParallelism))
-    index = stored(numbered.select("num", "n", "ids").repartition(int(parts), "num").mapInArrow(
-        _index(tok.dtype, frequency, n_docs, tokens / max(1, n_docs), end_id), INDEX))
-    common, often = np.full(tok.vocabulary, -1), np.argsort(-frequency, kind="stable")[:MOST_COMMON]
-    often = often[frequency[often] > COMMON * n_docs]
-    common[often] = np.arange(len(often))
-    placed = _arrange(index, n_docs, tokens, size, common).groupBy("num").agg(F.collect_list(F.struct(*PIECES[1:])).alias("pieces"))
-    return numbered.join(placed, "num").select("doc_id", "n", "ids", "pieces").mapInArrow(
-        _cut(tok.dtype), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    spark = docs.sparkSession
+    spark.sparkContext.addFile(tokenizer_path)
+    name, tok = os.path.basename(tokenizer_path), tokenizer(tokenizer_path)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    order = fitted_order(texts, name, tok, end_id, sample)
+    rows = stored(texts.mapInArrow(_tokenize(name, end_id, order), TOKENS))
+    weights, tokens = _weights(rows, tok.vocabulary, end_id)
+    parts = max(1, -(-tokens // (TASK_SHARDS * shard_tokens)))
+    ordered = rows.where("row IS NOT NULL").select("leaf", "value", "row", "doc_id", "ids").repartitionByRange(int(parts), "leaf", "value", "row")
+    placed = stored(ordered.sortWithinPartitions("leaf", "value", "row").select("doc_id", "ids").mapInArrow(
+        _fill(tok.dtype, weights, size, shard_tokens), PIECES))
+    return placed.where("open_in IS NULL").select(*RESULT).union(_joined(placed.where("open_in IS NOT NULL"), size, 1 << 62).select(*RESULT))
