@@ -53,14 +53,6 @@ def _check_marks(marks: tuple[str, str, str]) -> None:
         raise ValueError("marks must be distinct and must not overlap")
 
 
-def free_name(taken: list[str], name: str) -> str:
-    """A column name that the table does not have, whatever the case of its letters."""
-    used = {c.lower() for c in taken}
-    while name.lower() in used:
-        name = f"{name}_"
-    return name
-
-
 def fill_in_middle(docs: DataFrame, unit: str = LINES, seed: int = 7, rate: int = 100, spm_rate: int = 50,
                    marks: tuple[str, str, str] = MARKS) -> DataFrame:
     """``doc_id, text, n, form, prefix_chars, middle_chars, output`` of every row of ``docs`` (doc_id, text).

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenflow.llm.store import connected_components, in_batches, stored
+from evenflow.llm.store import connected_components, free_names, in_batches, row_key, stored
 from evenflow.llm.text import LOWER, Texts, chain_hashes, distinct, few_words_hash, mix, pieces, word_hashes
 
 SKETCH_WORDS = 32
@@ -303,11 +303,16 @@ def _members(stars: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
 
 
 def keep_one_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each group the rows with the smallest doc_id stay.
+    """The rows of ``docs`` without near copies: of each group the row with the smallest doc_id stays.
 
-    Exactly repeated doc_ids keep one row. Rows with a null doc_id stay. Columns stay as they are.
+    Rows of one id and different texts are rows of their own; rows that agree in both keep one. Rows with a null doc_id
+    stay. Columns stay as they are, whatever their names.
     """
-    groups = jaccard_groups(docs, k, percent)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    one = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    own, key = free_names(docs, "id", "row_key")
+    doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    there = docs.where(F.col("doc_id").isNotNull())
+    groups = stored(jaccard_groups(there.select(row_key(doc, text).alias("doc_id"), "text"), k, percent).select("doc_id", "component_id").distinct())
+    named = there.select(doc.alias(own), row_key(doc, text).alias("doc_id")).distinct()
+    kept = named.join(groups, "doc_id").groupBy("component_id").agg(F.min(F.struct(own, F.col("doc_id").alias(key))).alias("first")).select("first.*")
+    one = there.withColumn(key, row_key(doc, text)).join(kept.select(key), key, "left_semi").dropDuplicates([key])
+    return one.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -5,10 +5,12 @@ whole corpus in 2^20 hashed slots: any order that all lines share is right, a go
 sizes n <= m with Jaccard >= t share a word among the first n - ceil(t n) + 1 of each. Sets that share a prefix word
 are compared by length, by the most that can still be common after the word's positions, and by a 64-bit parity
 sketch; those that pass are tied together, and within the tied groups the Jaccard of sorted word sets decides.
-A line goes if an earlier line (by doc_id and line number) matches it, whether or not that one goes itself.
+A line goes if an earlier line (by doc_id and line number) matches it, whether or not that one goes itself. Words are
+known by 45 bits of their hashes and sets by 64-bit fingerprints.
 
-Equal sets are one class, so copies cost nothing. Buckets of a word and tied groups are cut into blocks of bounded
-size; a work item returns a spanning forest or the lines that go, never all pairs.
+Equal sets are one class, so copies cost nothing: of the lines of a class that one Arrow batch holds, all but the
+earliest go without further work. Buckets of a word and tied groups are cut into blocks of bounded size; a work item
+returns a spanning forest or the lines that go, never all pairs.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from evenflow.llm.store import connected_components, in_batches, stored
+from evenflow.llm.store import connected_components, free_names, in_batches, row_key, stored
 from evenflow.llm.text import LOWER, Texts, distinct, mix, pieces, word_hashes
 
 SLOTS = 1 << 20
@@ -81,35 +84,57 @@ def least_common(n, m, percent: int):
     return -((-percent * (n + m)) // (100 + percent))
 
 
-LINES = "doc_id long, lines array<int>, sizes array<int>, classes array<long>, slots array<int>, counts array<int>"
+LINES = "doc_id long, key long, lines array<int>, sizes array<int>, classes array<long>, gone array<int>, slots array<int>, counts array<int>"
+LINES_ARROW = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("lines", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())),
+                         ("classes", pa.list_(pa.int64())), ("gone", pa.list_(pa.int32())), ("slots", pa.list_(pa.int32())),
+                         ("counts", pa.list_(pa.int32()))])
+
+
+def earliest(cls: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """Which lines have the smallest place of their class here."""
+    order = np.lexsort((*place[::-1], cls))
+    same = np.zeros(len(order), dtype=bool)
+    same[1:] = cls[order][1:] == cls[order][:-1]
+    level = same.copy()  # still at the place of the class's first line
+    for p in place:
+        level[1:] &= p[order][1:] == p[order][:-1]
+    run = np.cumsum(~same) - 1  # number of the class
+    moved = np.cumsum(same & ~level)
+    out = np.empty(len(order), dtype=bool)
+    out[order] = moved == moved[np.flatnonzero(~same)][run] if len(order) else moved == 0
+    return out
 
 
 def _survey(least: int):
-    """A row of lines per text, and per task one row of slot counts (in how many lines a slot's words are)."""
+    """(doc_id, key, text) -> a row of lines per text, and per task one row of slot counts (in how many lines a slot's words are).
+
+    ``lines`` are the earliest of their classes in the batch, ``gone`` those that another one of the batch precedes.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, empty = np.zeros(SLOTS, dtype=np.int64), None
+        seen = np.zeros(SLOTS, dtype=np.int64)
         for batch in batches:
-            for begin, texts in pieces(batch.column(1)):
-                found = list(line_sets(texts, least))
-                row = np.concatenate([f[0] for f in found] or [np.zeros(0, dtype=np.int64)])
-                cut = pa.array(np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32))
-                for _, _, _, words in found:
+            found = [(np.zeros(0, dtype=np.int64),) * 3 + (np.zeros(0, dtype=np.uint64),)]
+            for begin, texts in pieces(batch.column(2)):
+                for row, line, at, words in line_sets(texts, least):
                     seen += np.bincount((words % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+                    found.append((row + begin, line, np.diff(at), class_ids(at, words)))
+            row, line, size, cls = (np.concatenate(c) for c in zip(*found, strict=True))
+            doc, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            first = earliest(cls, doc[row], key[row], line)
 
-                def lists(parts, kind, cut=cut):
-                    return pa.ListArray.from_arrays(cut, pa.array(np.concatenate(parts or [np.zeros(0)]).astype(kind)))
+            def lists(chosen, values, kind, row=row, n=batch.num_rows):
+                cut = np.searchsorted(row[chosen], np.arange(n + 1)).astype(np.int32)
+                return pa.ListArray.from_arrays(pa.array(cut), pa.array(values[chosen].astype(kind)))
 
-                empty = pa.nulls(len(texts), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(begin, len(texts)), lists([f[1] for f in found], np.int32), lists([np.diff(f[2]) for f in found], np.int32),
-                    lists([class_ids(f[2], f[3]).view(np.int64) for f in found], np.int64), empty, empty,
-                ], names=["doc_id", "lines", "sizes", "classes", "slots", "counts"])
+            none = pa.nulls(batch.num_rows, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), lists(first, line, np.int32), lists(first, size, np.int32), lists(first, cls.view(np.int64), np.int64),
+                lists(~first, line, np.int32), none, none], schema=LINES_ARROW)
         slots = np.flatnonzero(seen).astype(np.int32)
         if len(slots):
             yield pa.RecordBatch.from_arrays([
-                pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.list_(pa.int64())),
-                pa.array([slots]), pa.array([np.minimum(seen[slots], 2 ** 31 - 1).astype(np.int32)]),
-            ], names=["doc_id", "lines", "sizes", "classes", "slots", "counts"])
+                *(pa.nulls(1, field.type) for field in list(LINES_ARROW)[:6]),
+                pa.array([slots]), pa.array([np.minimum(seen[slots], 2 ** 31 - 1).astype(np.int32)])], schema=LINES_ARROW)
     return run
 
 
@@ -166,17 +191,21 @@ class Sketches:
         return out
 
 
-PREFIX = "bucket long, cls long, sketch binary, place int, size int, side int"
+PREFIX = "bucket long, cls long, sketch binary, fit long"
 PREFIX_NAMES = [c.split()[0] for c in PREFIX.split(", ")]
+PLACE_BITS, SIDE_BITS = 25, 2  # of ``fit``, which holds size, place and side
 
 
 def _prefixes(least: int, percent: int, rank: np.ndarray):
-    """(doc_id, text) -> a row per prefix word of every line and bucket it belongs to.
+    """(text) -> a row per prefix word of every line and bucket it belongs to.
 
-    A bucket is a word, or two of the blocks that a common word is cut into; there ``side`` is the own block, else -1.
+    A bucket is a word, or two of the blocks that a common word is cut into; there ``side`` says which of the two is
+    the own block, else it is 0. Lines so short that only equal sets match them send nothing.
     """
+    least = max(least, -(-percent // (100 - percent)) if percent < 100 else 1 << 62)
+
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for _, texts in pieces(batch.column(1)):
+        for _, texts in pieces(batch.column(0)):
             for _, _, at, words in line_sets(texts, least):
                 if not len(words):
                     continue
@@ -199,12 +228,11 @@ def _prefixes(least: int, percent: int, rank: np.ndarray):
                 mine = own[times]
                 pair = (np.minimum(mine, other) << 32) | np.maximum(mine, other)
                 bucket = mix(word[times].view(np.uint64) ^ mix(pair.astype(np.uint64)))
-                columns = [bucket.view(np.int64), cls[owner].view(np.int64)[times], position[use][times], size[owner][times],
-                           np.where(mine == other, -1, mine)]
-                kinds = [np.int64, np.int64, np.int32, np.int32, np.int32]
-                columns = [pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)]
-                columns.insert(2, sketch.take(pa.array(owner[times])))
-                yield pa.RecordBatch.from_arrays(columns, names=PREFIX_NAMES)
+                side = np.where(mine == other, 0, np.where(mine < other, 1, 2))
+                fit = (size[owner][times] << PLACE_BITS + SIDE_BITS) | (position[use][times] << SIDE_BITS) | side
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(bucket.view(np.int64)), pa.array(cls[owner].view(np.int64)[times]), sketch.take(pa.array(owner[times])), pa.array(fit),
+                ], names=PREFIX_NAMES)
 
     def all_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,7 +276,7 @@ def allowed_ties(cols: dict[str, np.ndarray], sketches: Sketches, percent: int)
             continue
         n, m = size[i], size[j]
         need = least_common(n, m, percent)
-        good = (cols["side"][i] < 0) | (cols["side"][i] != cols["side"][j])
+        good = (cols["side"][i] == 0) | (cols["side"][i] != cols["side"][j])
         good &= (np.minimum(place[i], place[j]) + np.minimum(n - place[i], m - place[j]) >= need) & (cols["cls"][i] != cols["cls"][j])
         i, j, differ = i[good], j[good], (n + m - 2 * need)[good]
         good = sketches.distance(i, j) <= differ
@@ -269,12 +297,14 @@ def _tie(percent: int):
     """Prefix rows sorted by bucket -> ties (a, b); whole buckets are taken from the stream, some hundred thousand rows at a time."""
     def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         whole = pa.Table.from_batches(parts)
-        bucket, cls, size = (whole[n].to_numpy() for n in ("bucket", "cls", "size"))
-        order = np.lexsort((cls, size, bucket))
+        bucket, cls, fit = (whole[n].to_numpy() for n in ("bucket", "cls", "fit"))
+        order = np.lexsort((cls, fit >> PLACE_BITS + SIDE_BITS, bucket))
         fresh = np.ones(len(order), dtype=bool)
         fresh[1:] = (np.diff(bucket[order]) != 0) | (np.diff(cls[order]) != 0)  # a class once per bucket
         whole = whole.combine_chunks().take(pa.array(order[fresh]))
-        cols = {n: whole[n].to_numpy() for n in PREFIX_NAMES if n != "sketch"}
+        fit = whole["fit"].to_numpy()
+        cols = {"bucket": whole["bucket"].to_numpy(), "cls": whole["cls"].to_numpy(), "size": fit >> PLACE_BITS + SIDE_BITS,
+                "place": (fit >> SIDE_BITS) & (1 << PLACE_BITS) - 1, "side": fit & (1 << SIDE_BITS) - 1}
         a, b = allowed_ties(cols, Sketches(pa.concat_arrays(whole["sketch"].chunks)), percent)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -300,23 +330,23 @@ def _tie(percent: int):
 
 
 def _members(least: int, wanted: np.ndarray):
-    """(doc_id, text) -> the word sets of lines whose class may be in the filter of wanted classes."""
+    """(doc_id, key, text) -> the word sets of lines whose class may be in the filter of wanted classes."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        doc, line, cls, sets = [], [], [], []
-        ids = batch.column(0).to_pylist()
-        for begin, texts in pieces(batch.column(1)):
+        rows, line, cls, sets = [], [], [], []
+        for begin, texts in pieces(batch.column(2)):
             for row, number, at, words in line_sets(texts, least):
                 own = class_ids(at, words)
                 slot = own % np.uint64(FILTER_BITS)
                 hit = (wanted[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)
                 for i in np.flatnonzero(hit).tolist():
-                    doc.append(ids[begin + row[i]])
+                    rows.append(begin + int(row[i]))
                     line.append(int(number[i]))
                     cls.append(int(own[i].view(np.int64)))
                     sets.append(words[at[i]:at[i + 1]].tobytes())
+        rows = pa.array(rows, pa.int64())
         return pa.RecordBatch.from_arrays([
-            pa.array(doc, pa.int64()), pa.array(line, pa.int32()), pa.array(cls, pa.int64()), pa.array(sets, pa.binary())],
-            names=["doc_id", "line", "cls", "words"])
+            batch.column(0).take(rows), batch.column(1).take(rows), pa.array(line, pa.int32()), pa.array(cls, pa.int64()), pa.array(sets, pa.binary())],
+            names=["doc_id", "key", "line", "cls", "words"])
     return in_batches(run)
 
 
@@ -352,9 +382,9 @@ def _verify(percent: int):
     def solve(key: tuple, rows: list[tuple]) -> pa.RecordBatch:
         gone = []
         if len(rows) > 1:
-            sets = [np.frombuffer(r[4], dtype=np.uint64) for r in rows]
+            sets = [np.frombuffer(r[5], dtype=np.uint64) for r in rows]
             side = np.array([int(r[0] == key[2]) for r in rows])
-            gone = [rows[i][1] for i in later_matches([(r[2], r[3]) for r in rows], sets, side, percent)]
+            gone = [rows[i][1] for i in later_matches([r[2:5] for r in rows], sets, side, percent)]
         return pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], names=["cls"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,18 +403,17 @@ def _verify(percent: int):
     return run
 
 
-def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 5) -> DataFrame:
-    """``doc_id, line`` (number from 0) of every line that matches an earlier one, and so should go.
+PLACE = ["doc_id", "key", "line"]
 
-    Lines end at ``\\n``. Lines of fewer than ``least`` distinct words are never compared and stay. Null texts have no
-    lines. Rows with a null doc_id take no part. Equal ids count as one document; of their equal lines those with the
-    same number stand or fall together. An empty table gives no rows.
-    """
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+def _gone(docs: DataFrame, percent: int, least: int) -> DataFrame:
+    """``doc_id, key, line`` of every line that goes; key is the row key of the row it stands in."""
+    doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    texts = docs.where(F.col("doc_id").isNotNull()).select(doc.alias("doc_id"), row_key(doc, text).alias("key"), text.alias("text"))
     survey = stored(texts.mapInArrow(_survey(least), LINES))
-    lines = survey.where("slots IS NULL").select("doc_id", F.explode(F.arrays_zip("lines", "classes", "sizes")).alias("x")).select(
-        "doc_id", F.col("x.lines").alias("line"), F.col("x.classes").alias("cls"), F.col("x.sizes").alias("size"))
-    firsts = stored(lines.groupBy("cls").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.min("size").alias("size")))
+    lines = survey.where("slots IS NULL").select("doc_id", "key", F.explode(F.arrays_zip("lines", "classes", "sizes")).alias("x")).select(
+        "doc_id", "key", F.col("x.lines").alias("line"), F.col("x.classes").alias("cls"), F.col("x.sizes").alias("size"))
+    firsts = stored(lines.groupBy("cls").agg(F.min(F.struct(*PLACE)).alias("first"), F.min("size").alias("size"), F.count("*").alias("n")))
 
     # At most SLOTS rows reach the driver, and one byte each goes to the tasks.
     counts = np.zeros(SLOTS, dtype=np.int64)
@@ -393,7 +422,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 5) -> DataFr
         counts[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
     rank = rarity(counts)
 
-    prefixes = texts.mapInArrow(_prefixes(least, percent, rank), PREFIX).repartition("bucket")
+    prefixes = texts.select("text").mapInArrow(_prefixes(least, percent, rank), PREFIX).repartition("bucket")
     ties = prefixes.sortWithinPartitions("bucket").mapInArrow(_tie(percent), "a long, b long")
     stars = connected_components(ties, "a", "b")
     groups = stored(stars.union(stars.select("component", "component").distinct()).toDF("cls", "grp").join(firsts, "cls"))
@@ -404,31 +433,59 @@ def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 5) -> DataFr
     wanted = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
     for batch in filled.toArrow().to_batches():
         wanted[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
-    sets = texts.mapInArrow(_members(least, wanted), "doc_id long, line int, cls long, words binary")
+    sets = texts.mapInArrow(_members(least, wanted), "doc_id long, key long, line int, cls long, words binary")
     blocks = groups.groupBy("grp").agg(F.ceil(F.sum("size") / F.lit(BLOCK_WORDS)).cast("int").alias("blocks"))
     placed = groups.join(blocks, "grp").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("grp", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "cls",
-                           F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"))
-    items = placed.join(sets, ["cls", "doc_id", "line"]).select("grp", "low", "high", "own", "cls", "doc_id", "line", "words")
+                           *(F.col(f"first.{c}").alias(c) for c in PLACE))
+    items = placed.join(sets, ["cls", *PLACE]).select("grp", "low", "high", "own", "cls", *PLACE, "words")
     gone = items.repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high").mapInArrow(_verify(percent), "cls long").distinct()
 
-    marked = firsts.join(gone.withColumn("gone", F.lit(True)), "cls", "left")
-    return lines.select("doc_id", "line", "cls").join(marked.select("cls", "first", "gone"), "cls").where(
-        F.coalesce("gone", F.lit(False)) | (F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.line") != F.col("line"))
-    ).select("doc_id", "line").distinct()
+    # Of a class with one line left here, that line goes only with its class.
+    marked = firsts.join(gone.withColumn("gone", F.lit(True)), "cls", "left").where((F.col("n") > 1) | F.col("gone"))
+    later = F.struct(*PLACE) != F.col("first")
+    found = lines.select(*PLACE, "cls").join(marked.select("cls", "first", "gone"), "cls").where(F.coalesce("gone", later)).select(*PLACE)
+    sure = survey.where("slots IS NULL").select("doc_id", "key", F.explode("gone").alias("line"))
+    return found.union(sure)
+
+
+def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 1) -> DataFrame:
+    """``doc_id, line`` (number from 0) of every line that matches an earlier one, and so should go.
+
+    Lines end at ``\\n``; only lines with a word are compared, and with ``least`` only those of so many distinct words.
+    Null texts have no lines. Rows with a null doc_id take no part. Rows of one id and different texts are rows of
+    their own, in a fixed order. Rows that agree in both count once: of their equal lines those with the same number
+    stand or fall together. An empty table gives no rows.
+    """
+    return _gone(docs, percent, least).select("doc_id", "line").distinct()
+
+
+@F.arrow_udf(StringType())
+def _without_lines(text: pa.Array, gone: pa.Array) -> pa.Array:
+    out = []
+    for t, g in zip(text, gone, strict=True):
+        if t.is_valid and g.is_valid:
+            lines = t.as_buffer().to_pybytes().split(b"\n")
+            for number in g.as_py():
+                lines[number] = None
+            out.append(b"\n".join([x for x in lines if x is not None]).decode())
+        else:
+            out.append(t.as_py())
+    return pa.array(out, pa.string())
 
 
-def without_repeated_lines(docs: DataFrame, percent: int = 80, least: int = 5, removed: str | None = None) -> DataFrame:
-    """``docs`` with the text of every row rid of ``repeated_lines``; other columns stay.
+def without_repeated_lines(docs: DataFrame, percent: int = 80, least: int = 1, removed: str | None = None) -> DataFrame:
+    """``docs`` with the text of every row rid of ``repeated_lines``; other columns stay, whatever their names.
 
     ``removed`` names a further column with the numbers of the removed lines (empty array if none).
     """
-    gone = repeated_lines(docs, percent, least).groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list("line")).alias("__gone"))
-    rows = docs.join(gone, F.col("doc_id") == F.col("__id"), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    text = F.when(F.col("__gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept)
-    columns = [text.alias(c) if c == "text" else F.col(c) for c in docs.columns]
+    own, key, gone = free_names(docs, "id", "row_key", "gone")
+    doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    lines = _gone(docs.select("doc_id", "text"), percent, least).groupBy(F.col("doc_id").alias(own), F.col("key").alias(key)).agg(
+        F.sort_array(F.collect_set("line")).alias(gone))
+    rows = docs.join(lines, (doc == F.col(own)) & (row_key(doc, text) == F.col(key)), "left")
+    columns = [_without_lines(text, F.col(gone)).alias(c) if c == "text" else F.col(c) for c in docs.columns]
     if removed:
-        columns.append(F.coalesce("__gone", F.array().cast("array<int>")).alias(removed))
+        columns.append(F.coalesce(gone, F.array().cast("array<int>")).alias(removed))
     return rows.select(*columns)

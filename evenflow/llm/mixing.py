@@ -8,12 +8,11 @@ copies by carrying the rounding error from larger to smaller documents inside sl
 
 from __future__ import annotations
 
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenflow.llm.store import stored
+from evenflow.llm.store import free_names, row_key, stored
 
 SLICE = 4_000
 
@@ -83,12 +82,15 @@ def tilts(sizes: DataFrame, targets: DataFrame, most: float = 3.0, steps: int =
     return state.select("key", F.col("x").alias("multiplier"), "mean")
 
 
+PLAN = "doc_id long, row_key long, key string, size long, copies long"
+
+
 def _round(most: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pa.Table) -> pa.Table:
         """Whole copies of one slice: each the floor or ceiling of its rate, nearest to what is still owed."""
-        rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
+        rows = rows.sort_by([("size", "descending"), ("doc_id", "ascending"), ("row_key", "ascending")])
         owed, copies = 0.0, []
-        for size, rate in zip(rows["size"].tolist(), rows["rate"].tolist(), strict=True):
+        for size, rate in zip(rows["size"].to_pylist(), rows["rate"].to_pylist(), strict=True):
             low = int(rate + 1e-9)
             high = min(most, low if rate - low < 1e-9 else low + 1)
             owed += rate * size
@@ -97,27 +99,33 @@ def _round(most: int):
                 take = 1
             owed -= take * size
             copies.append(take)
-        return rows[["doc_id", "key", "size"]].assign(copies=copies)
+        return rows.select(["doc_id", "row_key", "key", "size"]).append_column("copies", pa.array(copies, pa.int64()))
     return run
 
 
+def _plan(docs: DataFrame, most: int, weights: tuple[int, ...], slice_rows: int) -> tuple[DataFrame, DataFrame]:
+    """A row of ``PLAN`` per row of ``docs``, and the sources' targets."""
+    doc, text, source = F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string")
+    sizes = stored(docs.select(doc.alias("doc_id"), row_key(doc, text).alias("row_key"), source.alias("source"),
+                               word_count(text).alias("size")).withColumn("key", _key(F.col("source"))))
+    targets = stored(source_targets(sizes, float(most), weights).withColumn("key", _key(F.col("source"))))
+    tilt = tilts(sizes, targets, float(most))
+    rated = sizes.join(targets.select("key", "n"), "key").join(tilt, "key", "left")
+    rate = F.when(F.col("size") > 0, _rate(F.col("multiplier"), F.col("size"), F.col("mean"), float(most))).otherwise(1.0)
+    part = F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("n") / slice_rows)).alias("part")
+    rows = rated.select("doc_id", "row_key", "key", "size", rate.alias("rate"), part)
+    return rows.groupBy("key", "part").applyInArrow(_round(most), PLAN), targets
+
+
 def mix_plan(docs: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2, 3), slice_rows: int = SLICE) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` of every row of ``docs`` (doc_id, text, source).
 
     size: words of the text (null: 0). copies: how often the mix takes the row, at most ``most``; a row without words
     is taken once. taken = copies * size. A source's taken words differ from its target by rounding only, by at most
-    half a document per slice. Repeated rows are rounded one by one, and reruns agree. An empty table gives no rows.
+    half a document per slice. Repeated rows are rounded one by one, and reruns agree. A null doc_id is kept. An empty
+    table gives no rows.
     """
-    sizes = stored(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        word_count(F.col("text").cast("string")).alias("size")).withColumn("key", _key(F.col("source"))))
-    targets = stored(source_targets(sizes, float(most), weights).withColumn("key", _key(F.col("source"))))
-    tilt = tilts(sizes, targets, float(most))
-    rated = sizes.join(targets.select("key", "n"), "key").join(tilt, "key", "left")
-    rate = F.when(F.col("size") > 0, _rate(F.col("multiplier"), F.col("size"), F.col("mean"), float(most))).otherwise(1.0)
-    part = F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("n") / slice_rows)).alias("part")
-    copies = rated.select("doc_id", "key", "size", rate.alias("rate"), part).groupBy("key", "part").applyInPandas(
-        _round(most), "doc_id long, key string, size long, copies long")
+    copies, targets = _plan(docs, most, weights, slice_rows)
     return copies.join(targets, "key").select(
         "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -127,14 +135,16 @@ def _key(source: Column) -> Column:
 
 
 def mixed(docs: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it; columns stay as they are."""
-    plan = mix_plan(docs, most, weights).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(
-        F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    rows = docs.withColumn("__words", word_count(F.col("text").cast("string"))).join(
-        plan, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")))
-    turn = F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy("__size"))
-    each = F.floor(F.col("__copies") / F.col("__rows")) + (turn <= F.col("__copies") % F.col("__rows")).cast("long")
-    rows = rows.withColumn("__each", each).where("__each > 0")
-    return rows.withColumn("__each", F.explode(F.sequence(F.lit(1).cast("long"), "__each"))).select(*docs.columns)
-
+    """``docs`` with every row as often as the mix takes it; columns stay as they are, whatever their names.
 
+    Rows that agree in id, text and source share their copies.
+    """
+    own, key, source, copies, rows, each = free_names(docs, "id", "row_key", "source_key", "copies", "rows", "each")
+    plan = _plan(docs, most, weights, SLICE)[0].groupBy(F.col("doc_id").alias(own), F.col("row_key").alias(key), F.col("key").alias(source)).agg(
+        F.sum("copies").alias(copies), F.count("*").alias(rows))
+    doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    found = docs.join(plan, doc.eqNullSafe(F.col(own)) & (row_key(doc, text) == F.col(key)) & (_key(F.col("source").cast("string")) == F.col(source)))
+    turn = F.row_number().over(Window.partitionBy(own, key, source).orderBy(key))
+    share = F.floor(F.col(copies) / F.col(rows)) + (turn <= F.col(copies) % F.col(rows)).cast("long")
+    found = found.withColumn(each, share).where(F.col(each) > 0)
+    return found.withColumn(each, F.explode(F.sequence(F.lit(1).cast("long"), each))).select(*docs.columns)

@@ -13,6 +13,8 @@ left open. The one window that each task leaves open at its end is joined with t
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -23,13 +25,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenflow.llm.store import stored
-from evenflow.llm.text import LOWER, SPACE, Texts, distinct, mix, pieces
+from evenflow.llm.text import LOWER, SPACE, Texts, mix, pieces
 
 K1, B = 1.2, 0.75
 SAMPLE, WIDTH, DEPTH, LEAST_LEAF = 4000, 256, 6, 16  # documents that fit the order, sketch width, tree depth
 TASK_SHARDS = 2
+DENSE, FIRST = 0.1, 64  # share of documents from which a term is scored densely; neighbours that are sorted at once
 CACHE_WORDS = 300_000
-BOUNDARY, RUN_END = "<|startoftext|>", "</w>"
 MARK = np.isin(np.arange(256), list(b".,;:!?#*$%&|<>()"))
 PLAIN = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz0123456789"))
 
@@ -51,29 +53,41 @@ def with_marks_apart(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(data, at, 32), texts.offsets + np.searchsorted(at, texts.offsets, "left")
 
 
-class WordTokenizer:
-    """Token ids of texts by a tokenizer that never joins across white space, with a cache of words.
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it prints, else one from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
+
+
+LETTERS = {ord(chr(b)): c for b, c in byte_letters().items()}
+LATIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
+class WordTokenizer(dict):
+    """Token ids of texts by a tokenizer that never joins across white space; itself a cache of words.
 
     ASCII letters are put in lower case for the cache, as the tokenizer does itself. A run of ASCII marks between a
-    plain letter or digit and white space is a token run of its own, so it is set off as a word. Texts that spell
-    special tokens are left as they are.
+    plain letter or digit and white space is a token run of its own, so it is set off as a word. Words of Latin letters
+    only are one run that normalising leaves alone but for case, so the tokenizer's model gets them directly. Texts
+    that spell special tokens are left as they are.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.vocabulary <= 1 << 16 else np.dtype("<u4")
-        self.boundary = self.tokenizer.token_to_id(BOUNDARY)
-        self.ends_run = np.zeros(self.vocabulary, dtype=bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends_run[i] = token.endswith(RUN_END)
-        self.cache: dict[bytes, bytes] = {}
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
 
     def ids(self, texts: Texts) -> list[bytes]:
         """Ids of every text as little-endian bytes."""
+        if len(self) > CACHE_WORDS:
+            self.clear()
         data, offsets = with_marks_apart(texts)
         plain, at = data.tobytes(), offsets.tolist()
         words = [plain[a:b].split() for a, b in zip(at[:-1], at[1:], strict=True)]
@@ -83,47 +97,18 @@ class WordTokenizer:
             for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
                 if b"<|" in raw[a:b]:
                     words[i] = raw[a:b].split()
-        new = set().union(*words).difference(self.cache)
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = set().union(*words)
-        self._learn(list(new))
-        known = self.cache.__getitem__
+        known = self.__getitem__
         return [b"".join(map(known, ws)) for ws in words]
 
-    def _learn(self, words: list[bytes], chunk: int = 512) -> None:
-        """Add words to the cache, many in one call: the tokenizer's last token of a run of letters marks its end."""
-        texts = [w.decode() for w in words]
-        runs = [w for w, t in zip(words, texts, strict=True) if t.isalpha()]
-        rest = [w for w, t in zip(words, texts, strict=True) if not t.isalpha()]
-        for i in range(0, len(runs), chunk):
-            group = runs[i:i + chunk]
-            ids = np.array(self._encode(b" ".join(group)), dtype=self.dtype)
-            at = np.flatnonzero(self.ends_run[ids]) + 1
-            if len(at) != len(group):
-                rest += group  # some letters are several runs here
-                continue
-            self._keep(group, ids, [0, *at[:-1].tolist()], at.tolist())
-        if self.boundary is not None:
-            spelt, rest = [w for w in rest if b"<|" in w], [w for w in rest if b"<|" not in w]
-            for i in range(0, len(rest), chunk):
-                group = rest[i:i + chunk]
-                ids = np.array(self._encode(f" {BOUNDARY} ".encode().join(group)), dtype=self.dtype)
-                at = np.flatnonzero(ids == self.boundary)
-                if len(at) != len(group) - 1:
-                    raise ValueError("word borders were lost")
-                self._keep(group, ids, [0, *(at + 1).tolist()], [*at.tolist(), len(ids)])
-            rest = spelt
-        for w in rest:
-            self.cache[w] = np.array(self._encode(w), dtype=self.dtype).tobytes()
-
-    def _encode(self, text: bytes) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids
-
-    def _keep(self, words: list[bytes], ids: np.ndarray, begin: list[int], end: list[int]) -> None:
-        raw, width = ids.tobytes(), self.dtype.itemsize
-        for w, a, b in zip(words, begin, end, strict=True):
-            self.cache[w] = raw[a * width:b * width]
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        if LATIN.fullmatch(text):
+            mapped = text if word.isascii() else text.lower().encode().decode("latin-1").translate(LETTERS)
+            ids = [t.id for t in self.model.tokenize(mapped)]
+        else:
+            ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        own = self[word] = struct.pack(f"<{len(ids)}{self.code}", *ids)
+        return own
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -178,9 +163,9 @@ class ContentOrder:
         self.nodes: list[tuple[np.ndarray, float, bool]] = []
 
     def sketches(self, docs: list[np.ndarray]) -> np.ndarray:
-        if not docs:
-            return np.zeros((0, WIDTH))
-        doc, term, count = term_counts(docs, self.vocabulary)
+        return self._sketches(docs, *term_counts(docs, self.vocabulary))
+
+    def _sketches(self, docs: list[np.ndarray], doc: np.ndarray, term: np.ndarray, count: np.ndarray) -> np.ndarray:
         weight = self.weights.of(term, count, np.array([len(d) for d in docs])[doc]) * self.sign[term]
         return np.bincount(doc * WIDTH + self.slot[term], weight, len(docs) * WIDTH).reshape(-1, WIDTH)
 
@@ -198,9 +183,10 @@ class ContentOrder:
             if inner:
                 parts[2 * i + 1], parts[2 * i + 2] = low, high
 
-    def place(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Leaf, numbered from left to right, and place along its direction of every document."""
-        x, leaf, value = self.sketches(docs), np.zeros(len(docs), dtype=np.int64), np.zeros(len(docs))
+    def place(self, docs: list[np.ndarray], *counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf, numbered from left to right, and place along its direction of every document, from its ``term_counts``."""
+        counts = counts or term_counts(docs, self.vocabulary)
+        x, leaf, value = self._sketches(docs, *counts), np.zeros(len(docs), dtype=np.int64), np.zeros(len(docs))
         todo = [(0, 0, 0, np.arange(len(docs)))]
         while todo:
             node, code, level, rows = todo.pop()
@@ -247,10 +233,10 @@ def _tokenize(name: str, end_id: int, order: ContentOrder | None):
             for begin, texts in pieces(batch.column(1)):
                 ids = [x + end for x in tok.ids(texts)]
                 docs = [np.frombuffer(x, dtype=tok.dtype) for x in ids]
-                for d in docs:
-                    seen[distinct(d)] += 1
+                counts = term_counts(docs, tok.vocabulary)
+                seen += np.bincount(counts[1], minlength=tok.vocabulary)
                 n = len(ids)
-                leaf, value = order.place(docs) if order else (np.zeros(n, dtype=np.int64), np.zeros(n))
+                leaf, value = order.place(docs, *counts) if order else (np.zeros(n, dtype=np.int64), np.zeros(n))
                 yield pa.RecordBatch.from_arrays([
                     doc.slice(begin, n), pa.array(range(row, row + n), pa.int64()), pa.array([len(d) for d in docs], pa.int64()),
                     pa.array(leaf), pa.array(value), pa.array(ids, pa.binary()),
@@ -295,7 +281,10 @@ def fitted_order(texts: DataFrame, name: str, tok: WordTokenizer, end_id: int, s
 
 
 class Shard:
-    """Inverted BM25 index over the documents of a shard."""
+    """Inverted BM25 index over the documents of a shard.
+
+    Terms that ``DENSE`` of the documents hold have a row of weights for all documents, the others a posting list.
+    """
 
     def __init__(self, docs: list[np.ndarray], weights: Weights):
         self.docs, vocabulary = docs, len(weights.idf)
@@ -305,22 +294,34 @@ class Shard:
         use = (held[term] > 1) & (term != weights.end_id)  # the rest finds nobody else
         doc, term, count = doc[use], term[use], count[use]
         weight = weights.of(term, count, sizes[doc]).astype(np.float32)
-        self.own_terms, self.own_rows = term.astype(np.int32), np.searchsorted(doc, np.arange(len(docs) + 1))
+        self.own_terms, self.own_rows = term, np.searchsorted(doc, np.arange(len(docs) + 1))
+        self.dense_row = np.full(vocabulary, -1)
+        often = np.flatnonzero((held > DENSE * len(docs)) & (held > 1))
+        self.dense_row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), len(docs)), dtype=np.float32)
+        row = self.dense_row[term]
+        self.dense[row[row >= 0], doc[row >= 0]] = weight[row >= 0]
+        doc, term, weight = doc[row < 0], term[row < 0], weight[row < 0]
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order].astype(np.int32), weight[order]
+        self.doc, self.weight = doc[order], weight[order]
         self.rows = np.searchsorted(term[order], np.arange(vocabulary + 1))
-        self.score = np.zeros(len(docs), dtype=np.float32)
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
+    def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
         """All unused documents that share a term with the seed, best BM25 score for all of the seed's terms first."""
         terms = self.own_terms[self.own_rows[seed]:self.own_rows[seed + 1]]
-        self.score[:] = 0
-        for t in terms.tolist():
-            own = slice(self.rows[t], self.rows[t + 1])
-            self.score[self.doc[own]] += self.weight[own]
-        self.score[~unused] = 0
-        found = np.flatnonzero(self.score)
-        return found[np.lexsort((found, -self.score[found]))].tolist()
+        row = self.dense_row[terms]
+        low = self.rows[terms]
+        count = self.rows[terms + 1] - low
+        at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        score = np.bincount(self.doc[at], self.weight[at], len(self.docs)) + self.dense[row[row >= 0]].sum(axis=0)
+        found = np.flatnonzero((score > 0) & unused)
+        if len(found) > FIRST:
+            best = found[np.argpartition(-score[found], FIRST)]
+            floor = score[best[FIRST]]
+            best = found[score[found] > floor]  # ties with the rest are left to it
+            yield from best[np.lexsort((best, -score[best]))].tolist()
+            found = found[score[found] <= floor]
+        yield from found[np.lexsort((found, -score[found]))].tolist()
 
 
 def fill_windows(shard: Shard, size: int, filled: int = 0) -> Iterator[tuple[int, int, int, int, int]]:
@@ -350,7 +351,7 @@ def fill_windows(shard: Shard, size: int, filled: int = 0) -> Iterator[tuple[int
                 window, filled, queue = window + 1, 0, iter(())
                 seed = start < lengths[doc]
         if seed:
-            queue = iter(shard.neighbours(doc, unused))
+            queue = shard.neighbours(doc, unused.copy())
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open_in long, ids binary"

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from evenflow.llm.labelled import MAX_TRAIN, held_out, training_sample
+from evenflow.llm.store import free_names
 from evenflow.llm.text_stats import FEATURES, ratios, with_statistics
 
 RIDGE, LEAST_WEIGHT = 1.0, 2.0
@@ -152,9 +153,11 @@ def _scorer(model: AdditiveModel):
     return score
 
 
-def with_quality(docs: DataFrame, model: AdditiveModel, into: str = "__score") -> DataFrame:
+def with_quality(docs: DataFrame, model: AdditiveModel, into: str) -> DataFrame:
     """``docs`` with the score of every row's text; other columns are kept and not read."""
-    return with_statistics(docs).withColumn(into, _scorer(model)(F.array(*(ratios()[n] for n in FEATURES)))).drop("__counts")
+    counts, = free_names(docs, "counts")
+    x = ratios(counts)
+    return with_statistics(docs, into=counts).withColumn(into, _scorer(model)(F.array(*(x[n] for n in FEATURES)))).drop(counts)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, parts: int = 5, part: int = 0,
@@ -166,12 +169,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, p
     """
     out = held_out(F.col("doc_id"), parts, part)
     model = fit_additive(*training_sample(docs.where(~out), labels, max_rows=max_train))
-    return with_quality(docs.select("doc_id", "text"), model).select(
-        "doc_id", out.alias("held_out"), F.col("__score").alias("score"),
-        F.when(F.col("__score") >= threshold, 1).otherwise(0).alias("predicted"))
+    return with_quality(docs.select("doc_id", "text"), model, "score").select(
+        "doc_id", out.alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_train: int = MAX_TRAIN) -> DataFrame:
     """The rows of ``docs`` whose quality score reaches ``threshold``; columns stay as they are."""
     model = fit_additive(*training_sample(docs, labels, max_rows=max_train))
-    return with_quality(docs, model).where(F.col("__score") >= threshold).select(*docs.columns)
+    score, = free_names(docs, "score")
+    return with_quality(docs, model, score).where(F.col(score) >= threshold).select(*docs.columns)

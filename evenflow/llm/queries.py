@@ -169,7 +169,7 @@ lines AS (SELECT doc_id, unnest(ls) AS t, generate_subscripts(ls, 1) - 1 AS line
 bags AS (
   SELECT doc_id, line, list_sort(list_distinct(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                                         '[^\x20\x09-\x0D]+'))) AS s FROM lines
-), sets AS (SELECT *, len(s) AS n, row_number() OVER (ORDER BY doc_id, line) AS k FROM bags WHERE len(s) >= 5),
+), sets AS (SELECT *, len(s) AS n, row_number() OVER (ORDER BY doc_id, line) AS k FROM bags WHERE len(s) >= 1),
 words AS (SELECT k, n, unnest(s) AS w FROM sets),
 df AS (SELECT w, count(*) AS c FROM words GROUP BY w),
 placed AS (SELECT k, n, w, row_number() OVER (PARTITION BY k ORDER BY c, w) AS p FROM words JOIN df USING (w)),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenflow.session import materialize
@@ -26,6 +26,22 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names near ``names`` that the table does not have, whatever the case of their letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A number of a row's id and text: rows that agree in both share it."""
+    return F.xxhash64(doc_id, text)
+
+
 def in_batches(function: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
     """Adapter for ``mapInArrow``: applies ``function`` to every batch that has rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
