@@ -6,7 +6,7 @@ an entry here is iterative (planners, swaps, windowed repair) or needs functions
 
 from __future__ import annotations
 
-from evenflow.catalog.queries import GRID, S, USER_S, USER_W, USER_X, W, X
+from evenflow.catalog.queries import GRID, REPLAY_BATCHES, S, USER_S, USER_W, USER_X, W, X
 from evenflow.operators.grid import SWEEPS
 
 ORACLES: dict[str, str] = {}
@@ -281,6 +281,19 @@ ORACLES["stream_window_monitor"] = user_windows() + f"""
   SELECT *, CAST(sum(fair_blocks) OVER w AS BIGINT) AS fair_so_far,
          CAST(sum(fair_blocks) OVER w AS BIGINT) * 100 / (window_number * {USER_W // USER_S}) AS pct_so_far
   FROM win WINDOW w AS (PARTITION BY user_id ORDER BY window_number)"""
+ORACLES["stream_event_order"] = f"""
+  WITH span AS (SELECT min(epoch_us(ts)) AS low, max(epoch_us(ts)) - min(epoch_us(ts)) AS length FROM events),
+  arrived AS (
+    SELECT user_id, event_id, epoch_us(ts) AS us, length // 50000 * 1000 AS delay,
+           least({REPLAY_BATCHES - 1}, floor((epoch_us(ts) - low + (event_id * 7919) % 1009 * (length // 60540)
+             * CASE WHEN event_id % 20 = 0 THEN 6 ELSE 1 END) * {REPLAY_BATCHES} / (length + 1))) AS batch
+    FROM events, span),
+  marked AS (
+    SELECT *, coalesce(us < max(us) OVER (PARTITION BY user_id ORDER BY batch GROUPS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - delay,
+                       false) AS late FROM arrived)
+  SELECT user_id, event_id,
+         CASE WHEN NOT late THEN row_number() OVER (PARTITION BY user_id, late ORDER BY us, event_id) - 1 END AS place, late
+  FROM marked"""
 ORACLES["window_updates"] = user_windows() + f"""
   , items AS (SELECT user_id, pos - {USER_W - 2} AS window_number,
                      string_agg(g, ',') OVER (PARTITION BY user_id ORDER BY pos

@@ -16,10 +16,11 @@ from evenflow.operators import experiment, grid, monitor, prep, ranking, repair,
 from evenflow.operators.bounds import Bounds, bounds_table, category_counts, distribution, fit_bounds
 from evenflow.operators.order import OrderedStream, category_dictionary, ordered_stream
 from evenflow.operators.sketch import backward_sketch, forward_sketch
-from evenflow.session import ensure_checkpoint_dir, ship_package
+from evenflow.session import ensure_checkpoint_dir, materialize, ship_package
 from evenflow.sources import tables
-from evenflow.sources.streams import append_sink, decode_messages, encode_messages
+from evenflow.sources.streams import append_sink, decode_messages, encode_messages, read_files
 from evenflow.streaming.arrivals import arrival_gaps
+from evenflow.streaming.event_order import list_states, order_events
 from evenflow.streaming.stateful import stream_monitor, stream_repair
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,7 +57,7 @@ def event_stream(spark, folder, *columns, **kw) -> OrderedStream:
 def user_streams(spark, folder, *columns) -> OrderedStream:
     """One stream per user."""
     df = load(spark, folder, "events", "user_id", "ts", "event_id", "event_type", *columns)
-    return ordered_stream(df, ["user_id"], ["ts", "event_id"], how="window")
+    return ordered_stream(df, ["user_id"], ["ts", "event_id"])
 
 
 def item_stream(spark, folder, *columns, **kw) -> OrderedStream:
@@ -363,6 +364,32 @@ def _(spark, folder):
     return drain(spark, repaired).select("user_id", "out_pos", "category", event.alias("event_id"))
 
 
+REPLAY_BATCHES, REPLAY_FILES = 7, 4
+
+
+@query("stream_event_order")
+def _(spark, folder):
+    """The events arrive out of order, some of them late, in micro-batches; every user's rows come out in event order."""
+    events = load(spark, folder, "events", "user_id", "ts", "event_id", "event_type")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, length = events.agg(F.min(micros), F.max(micros) - F.min(micros)).first()
+    if length is None:
+        low, length = 0, 0
+    # Every row is up to a sixtieth of the whole time under way, each twentieth row six times as long.
+    travel = ((F.col("event_id") * 7919) % 1009) * F.expr(f"{length} div 60540") * F.when(F.col("event_id") % 20 == 0, 6).otherwise(1)
+    number = F.least(F.lit(REPLAY_BATCHES - 1), F.floor((micros - low + travel) * REPLAY_BATCHES / (length + 1)))
+    last = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("_batch"), "event_id")) == 1
+    arriving = materialize(events.withColumn("_batch", number.cast("int")).withColumn("closes", last), ["_batch"])
+    path = f"{ensure_checkpoint_dir(spark)}/replay-{uuid.uuid4().hex}"
+    for batch in range(REPLAY_BATCHES):  # files of a batch are older than those of the next
+        arriving.where(F.col("_batch") == batch).drop("_batch").repartition(REPLAY_FILES).write.mode("append").parquet(path)
+    live = read_files(spark, path, arriving.drop("_batch").schema, REPLAY_FILES)
+    ordered = order_events(live, ["user_id"], "ts", ["event_id"], length // 50000, closes="closes")
+    with list_states(spark):
+        rows = drain(spark, ordered)
+    return rows.select("user_id", "event_id", F.when(~F.col("late"), F.col("place")).alias("place"), "late")
+
+
 def live_events(spark: SparkSession, folder: str) -> DataFrame:
     """The events table as a file stream."""
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
