@@ -114,7 +114,7 @@ class Recompressed:
             shut = np.flatnonzero(low >= high)
             low[open_], high[open_] = place[low[open_]], place[high[open_] - 1] + 1
             low[shut] = high[shut] = 0
-        unseen = np.concatenate([[0], np.cumsum(~_among(self.top, repeated))])
+        unseen = np.concatenate([[0], np.cumsum(~_among(self.top & np.uint64((1 << 31) - 1), repeated))])
         kept = np.flatnonzero(unseen[high] == unseen[low])
         text, at, start, low, high = text[kept], at[kept], start[kept], low[kept], high[kept]
         inside = _stretch(self.top, low, high)
@@ -138,8 +138,11 @@ def _among(values: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 
 KEY = ["key", "mark"]
-SYMBOLS = "spread long, name long, key long, mark int, n int"
-WINDOWS = "one long, two int, key long, mark int, at int, size int, n int"
+# Rows are kept short: ``name`` is null where it equals ``spread``; the last bit of ``sure`` and ``place`` is 1 where the
+# batch has seen another one, the rest of ``sure`` is the mark, and ``place`` holds the first word and, from bit 32 on,
+# the length of a stretch (0: one window).
+SYMBOLS = "spread long, name long, key long, sure long"
+WINDOWS = "one long, two int, key long, mark int, place long"
 
 
 def _first_of_each(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,15 +169,18 @@ def _symbols(levels: int):
             if not len(name):
                 continue
             order, first, n = _first_of_each(name)
-            name, text = name[order], text[order]
             fresh = first.copy()
-            fresh[1:] |= text[1:] != text[:-1]  # once a text
-            first, name, text, n = first[fresh], name[fresh], text[fresh], np.minimum(n[fresh], 2)
+            fresh[1:] |= np.diff(text[order]) != 0  # once a text
+            order, first, n = order[fresh], first[fresh], n[fresh]
+            by_text = np.argsort(order)
+            order, first, n = order[by_text], first[by_text], n[by_text]
+            name, text = name[order], text[order]
             spread = np.where(first, name, mix(name + (text.astype(np.uint64) + np.uint64(1)) * ODD))
             rows = pa.array(text)
+            mark = batch.column(1).take(rows).to_numpy().astype(np.int64)
             yield pa.RecordBatch.from_arrays([
-                pa.array(spread.view(np.int64)), pa.array(name.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows),
-                pa.array(n.astype(np.int32))], names=["spread", "name", *KEY, "n"])
+                pa.array(spread.view(np.int64)), pa.array(name.view(np.int64), mask=first), batch.column(0).take(rows), pa.array(mark * 2 + (n > 1)),
+            ], names=["spread", "name", "key", "sure"])
     return run
 
 
@@ -198,7 +204,7 @@ def _windows(levels: int, size: int):
         for batch in batches:
             parts, lists = [], batch.column(4)
             for begin, piece in pieces(batch.column(3)):
-                repeated = distinct(lists.slice(begin, len(piece)).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+                repeated = distinct(lists.slice(begin, len(piece)).flatten().to_numpy(zero_copy_only=False).astype(np.uint64))
                 text, at, one, two = Recompressed(piece, levels).windows(size, repeated)
                 parts.append((text + begin, at, one, two))
             if not parts:
@@ -210,26 +216,27 @@ def _windows(levels: int, size: int):
             own = np.sort(order[first])
             count = np.empty(len(text), dtype=np.int64)
             count[order] = n
-            place = mix(sure[0].astype(np.uint64) * ODD + sure[1].astype(np.uint64))
+            spread = mix(sure[0].astype(np.uint64) * ODD + sure[1].astype(np.uint64))
             rows = pa.array(np.concatenate([text[own], sure[0]]))
+            place = np.concatenate([at[own] << 1 | (count[own] > 1), sure[2] << 32 | sure[1] << 1 | 1])
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([one[own], place]).view(np.int64)),
-                pa.array(np.concatenate([two[own] >> np.uint64(33), np.full(len(sure[0]), -1)]).astype(np.int64).astype(np.int32)),
-                batch.column(0).take(rows), batch.column(1).take(rows),
-                pa.array(np.concatenate([at[own], sure[1]]).astype(np.int32)),
-                pa.array(np.concatenate([np.full(len(own), size), sure[2]]).astype(np.int32)),
-                pa.array(np.concatenate([np.minimum(count[own], 2), np.full(len(sure[0]), 2)]).astype(np.int32)),
+                pa.array(np.concatenate([one[own], spread]).view(np.int64)),
+                pa.array(np.concatenate([(two[own] >> np.uint64(40)).astype(np.int32), np.full(len(sure[0]), -1, dtype=np.int32)])),
+                batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place),
             ], names=[c.split()[0] for c in WINDOWS.split(", ")])
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(size: int):
     """(key, mark, doc_id, text, found) -> the document without the words that are covered."""
-    for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from map(cut, batches)
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, n_words, n_removed, spans = [], [], [], []
         for text, found in zip(batch.column(3), batch.column(4), strict=True):
             words = text.as_buffer().to_pybytes().split() if text.is_valid else []
-            covered = _union(found.values) if found.is_valid else []
+            covered = _union(found.values, size) if found.is_valid else []
             for a, b in reversed(covered):
                 del words[a:b]
             gone = sum(b - a for a, b in covered)
@@ -237,20 +244,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_removed.append(gone)
             spans.append([{"first": a, "stop": b} for a, b in covered])
             kept.append(b" ".join(words).decode())
-        yield pa.RecordBatch.from_arrays([
+        return pa.RecordBatch.from_arrays([
             batch.column(2), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, SPANS_ARROW), pa.array(kept, pa.string()),
         ], names=["doc_id", "n_words", "n_removed", "spans", "kept"])
+    return run
 
 
 SPANS_ARROW = pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64())]))
 CLEANED = "doc_id long, n_words long, n_removed long, spans array<struct<first: long, stop: long>>, kept string"
 
 
-def _union(found: pa.StructArray) -> list[tuple[int, int]]:
-    """Spans (first word, end) that the found stretches cover, in order."""
-    at, size = (np.asarray(c).astype(np.int64) for c in found.flatten())
+def _union(found: pa.Array, window: int) -> list[tuple[int, int]]:
+    """Spans (first word, end) that the found places cover, in order."""
+    place = found.to_numpy()
+    at, length = (place & 0xFFFFFFFF) >> 1, place >> 32
     order = np.argsort(at, kind="stable")
-    at, stop = at[order], np.maximum.accumulate((at + size)[order])
+    at, length = at[order], length[order]
+    stop = np.maximum.accumulate(at + np.where(length > 0, length, window))
     begin = np.flatnonzero(np.concatenate([[True], at[1:] > stop[:-1]]))
     return list(zip(at[begin].tolist(), stop[np.append(begin[1:], len(at)) - 1].tolist(), strict=True))
 
@@ -264,15 +274,17 @@ def without_repeated_passages(docs: DataFrame, window: int = 35, levels: int = L
 
     A null or blank text has no words, and kept is empty. A null doc_id is kept like any other. Repeated rows repeat
     each other's text, so both lose it. Texts shorter than ``window`` stay. Other columns are not read. An empty table
-    gives no rows. Equality rests on 64-bit names, and 95 bits of keys for every window. Work and data shuffled grow
+    gives no rows. Equality rests on 64-bit names, and 88 bits of keys for every window. Work and data shuffled grow
     with the number of words; a batch holds no more than its own rows.
     """
     doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     texts = docs.select(F.xxhash64(doc, text).alias("key"), F.hash(text, doc).alias("mark"), doc.alias("doc_id"), text.alias("text"))
     same_name, same_window = Window.partitionBy("spread"), Window.partitionBy("one", "two")
-    symbols = texts.select(*KEY, "text").mapInArrow(_symbols(levels), SYMBOLS).withColumn("total", F.sum("n").over(same_name))
-    named = symbols.where("total > 1").groupBy(*KEY).agg(F.collect_list("name").alias("names"))
+    symbols = texts.select(*KEY, "text").mapInArrow(_symbols(levels), SYMBOLS)
+    symbols = symbols.withColumn("total", F.sum(F.col("sure").bitwiseAND(F.lit(1)) + 1).over(same_name)).where("total > 1")
+    named = symbols.groupBy("key", F.shiftright("sure", 1).cast("int").alias("mark")).agg(
+        F.collect_list(F.coalesce("name", "spread").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("names"))  # a filter: part of a name will do
     windows = texts.join(named, KEY, "left").select(*KEY, "doc_id", "text", "names").mapInArrow(_windows(levels, window), WINDOWS)
-    found = windows.withColumn("total", F.sum("n").over(same_window)).where("total > 1").groupBy(*KEY).agg(
-        F.collect_list(F.struct("at", "size")).alias("found"))
-    return texts.join(found, KEY, "left").select(*KEY, "doc_id", "text", "found").mapInArrow(_cut, CLEANED)
+    windows = windows.withColumn("total", F.sum(F.col("place").bitwiseAND(F.lit(1)) + 1).over(same_window)).where("total > 1")
+    found = windows.groupBy(*KEY).agg(F.collect_list("place").alias("found"))
+    return texts.join(found, KEY, "left").select(*KEY, "doc_id", "text", "found").mapInArrow(_cut(window), CLEANED)
