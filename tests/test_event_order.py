@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 from evenflow.operators.bounds import fit_bounds
 from evenflow.operators.monitor import window_monitor
 from evenflow.operators.order import ordered_stream
+from evenflow.operators.stateful import stateful_repair
 from evenflow.sources.streams import append_sink, read_files
 from evenflow.streaming.event_order import list_states, order_events
 from evenflow.streaming.stateful import stream_monitor, stream_repair
-from evenflow.operators.stateful import stateful_repair
 
 SCHEMA = "k string, ts timestamp, id long, c string, ends boolean"
 
@@ -66,7 +67,7 @@ def test_order_late_rows_and_what_follows(spark, tmp_path, seed):
         for _, k, ts, i, c in rows:
             ends = last[k] == n and k not in closed
             closed |= {k} if ends else set()
-            part.append((k, __import__("datetime").datetime.fromtimestamp(1_700_000_000 + ts), i, c, ends))
+            part.append((k, datetime.fromtimestamp(1_700_000_000 + ts), i, c, ends))
         written.append(part)
     live = replay(spark, f"{tmp_path}/in", written)
     with list_states(spark):
@@ -97,7 +98,7 @@ def test_order_late_rows_and_what_follows(spark, tmp_path, seed):
 
 
 def test_rows_wait_for_the_watermark(spark, tmp_path):
-    at = __import__("datetime").datetime.fromtimestamp
+    at = datetime.fromtimestamp
     live = replay(spark, f"{tmp_path}/in", [[("a", at(1_000_010), 1, "x", False), ("a", at(1_000_005), 2, "x", None)], [("a", at(1_000_012), 3, "x", False)],
                                             [("a", None, 4, "x", False), ("a", at(1_000_001), 5, "x", False), ("b", None, 6, "x", False)]])
     with list_states(spark):
