@@ -223,6 +223,42 @@ ORACLES["window_monitor_floor_only"] = event_windows("floor_only") + "SELECT * F
 ORACLES["window_monitor_target_floor"] = event_windows("target_floor") + "SELECT * FROM win"
 
 
+def many_categories(source: str, table: str, attr: str, block: int) -> str:
+    """WITH clause up to ``bnd``, for attributes that no column per category can hold."""
+    return f"""WITH s AS ({source}),
+      cnt AS (SELECT {attr} AS g, count(*) AS n FROM {table} WHERE {attr} IS NOT NULL GROUP BY 1),
+      bnd AS (SELECT g, n * {block} // t AS lo, n * {block} // t + CASE WHEN n * {block} % t > 0 THEN 1 ELSE 0 END AS hi
+              FROM cnt, (SELECT sum(n)::BIGINT AS t FROM cnt)),
+      need AS (SELECT count(*) AS kinds, coalesce(sum(lo), 0) AS places FROM bnd WHERE lo > 0)"""
+
+
+def many_windows(source: str, table: str, attr: str, window: int, block: int, key: str = "") -> str:
+    k, same = (f"{key}, ", lambda a, b: f"AND {a}.{key} = {b}.{key}") if key else ("", lambda a, b: "")
+    of = lambda alias: f"{alias}.{key}, " if key else ""
+    return f"""{many_categories(source, table, attr, block)},
+      ends AS (SELECT {k}g, unnest(range(pos, pos + {block})) AS e FROM s),
+      per AS (SELECT {k}e, g, count(*) AS c FROM ends GROUP BY ALL),
+      blk AS (SELECT {k}e, count(*) FILTER (c < lo OR c > hi) AS bad, count(*) FILTER (lo > 0) AS have
+              FROM per JOIN bnd USING (g) GROUP BY ALL),
+      fair AS (SELECT {k}e, CASE WHEN bad = 0 AND have = kinds THEN 1 ELSE 0 END AS ok FROM blk, need),
+      win AS (SELECT {of('s')}s.pos AS e, sum(f.ok)::BIGINT AS fair_blocks
+              FROM (SELECT {k}pos, unnest(range(pos - {window - block}, pos + 1, {block})) AS at FROM s WHERE pos >= {window - 1}) s
+              JOIN fair f ON f.e = s.at {same('f', 's')} GROUP BY ALL)
+    SELECT {k}e - {window - 2} AS window_number, fair_blocks, fair_blocks = {window // block} AS is_fair FROM win"""
+
+
+ORACLES["window_monitor_suppliers"] = many_windows(
+    positioned("lineitem", "l_suppkey", ITEM_ORDER), "lineitem", "l_suppkey", 50, 10)
+ORACLES["window_monitor_user_mix"] = many_windows(
+    positioned("events", "user_id", EVENT_ORDER, "event_type"), "events", "user_id", 20, 5, "event_type")
+ORACLES["tumbling_blocks_parts"] = f"""{many_categories(
+    positioned("lineitem", "l_partkey", ITEM_ORDER), "lineitem", "l_partkey", 100)},
+  per AS (SELECT pos // 100 AS block, g, count(*) AS c FROM s GROUP BY ALL),
+  blk AS (SELECT block, sum(c) AS n, sum(least(c, lo)) AS met, sum(greatest(c - hi, 0)) AS over FROM per JOIN bnd USING (g) GROUP BY ALL)
+  SELECT block, (places - met)::BIGINT AS deficit, over::BIGINT AS excess, met = places AND over = 0 AS is_fair
+  FROM blk, need WHERE n = 100"""
+
+
 def aligned(source: str, table: str, attr: str, block: int, keys: str = "", mode: str = "two_sided") -> str:
     """WITH clause up to ``tum``: one row per complete aligned block and category."""
     k = f"{keys}, " if keys else ""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from evenflow.functions.columns import bucket, clean_text, recode
 from evenflow.operators import experiment, grid, monitor, prep, ranking, repair, stateful, stats
 from evenflow.operators.bounds import Bounds, bounds_table, category_counts, distribution, fit_bounds
+from evenflow.operators.many_categories import fit_sparse_bounds, sparse_tumbling_blocks, sparse_window_monitor
 from evenflow.operators.order import OrderedStream, category_dictionary, ordered_stream
 from evenflow.operators.sketch import backward_sketch, forward_sketch
 from evenflow.session import ensure_checkpoint_dir, materialize, ship_package
@@ -257,6 +258,28 @@ def _(spark, folder):
     return monitor.tumbling_blocks(event_stream(spark, folder), "event_type", event_bounds(spark, folder, S))
 
 
+@query("window_monitor_suppliers")
+def _(spark, folder):
+    """Suppliers of the line items: as many categories as suppliers."""
+    bounds = fit_sparse_bounds(load(spark, folder, "lineitem"), "l_suppkey", 10)
+    return sparse_window_monitor(item_stream(spark, folder), "l_suppkey", bounds, 50)
+
+
+@query("window_monitor_user_mix")
+def _(spark, folder):
+    """Users of each event type's stream, one stream per type; a user is a category."""
+    df = load(spark, folder, "events", "ts", "event_id", "event_type", "user_id")
+    stream = ordered_stream(df, ["event_type"], ["ts", "event_id"])
+    return sparse_window_monitor(stream, "user_id", fit_sparse_bounds(df, "user_id", 5), 20)
+
+
+@query("tumbling_blocks_parts")
+def _(spark, folder):
+    """Parts of the line items in aligned blocks: items missing below the floors and beyond the ceilings."""
+    bounds = fit_sparse_bounds(load(spark, folder, "lineitem"), "l_partkey", 100)
+    return sparse_tumbling_blocks(item_stream(spark, folder), "l_partkey", bounds)
+
+
 @query("block_deficits")
 def _(spark, folder):
     return monitor.block_deficits(event_stream(spark, folder), "event_type", event_bounds(spark, folder, S))
