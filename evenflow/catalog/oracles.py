@@ -621,6 +621,11 @@ ORACLES["repair_stateful_reversed"] = f"""
   WITH RECURSIVE {USER_RUN}
   SELECT user_id, CAST(0 AS BIGINT) AS episode, CAST(i - 1 AS BIGINT) AS out_pos, g AS category, event_id FROM (
     SELECT user_id, unnest(ids) AS event_id, unnest(word) AS gidx, generate_subscripts(ids, 1) AS i FROM ends) JOIN bnd USING (gidx)"""
+ONE_RUN = USER_RUN.replace(USERS, positioned("events", "event_type", EVENT_ORDER, extra="event_id, 0 AS user_id"))
+ORACLES["repair_one_stream"] = f"""
+  WITH RECURSIVE {ONE_RUN}
+  SELECT CAST(0 AS BIGINT) AS episode, CAST(i - 1 AS BIGINT) AS out_pos, g AS category, event_id FROM (
+    SELECT unnest(ids) AS event_id, unnest(word) AS gidx, generate_subscripts(ids, 1) AS i FROM ends) JOIN bnd USING (gidx)"""
 ORACLES["stream_repair_closed"] = f"SELECT user_id, out_pos, category, event_id FROM ({ORACLES['repair_stateful_reversed']})"
 ORACLES["repair_captures_reversed"] = f"""
   WITH RECURSIVE {USER_RUN},

@@ -17,6 +17,7 @@ from evenflow.operators.bounds import Bounds, bounds_table, category_counts, dis
 from evenflow.operators.many_categories import fit_sparse_bounds, sparse_tumbling_blocks, sparse_window_monitor
 from evenflow.operators.order import OrderedStream, category_dictionary, ordered_stream
 from evenflow.operators.sketch import backward_sketch, forward_sketch
+from evenflow.operators.segments import segmented_repair
 from evenflow.session import ensure_checkpoint_dir, materialize, ship_package
 from evenflow.sources import tables
 from evenflow.sources.streams import append_sink, decode_messages, encode_messages, read_files
@@ -520,6 +521,14 @@ def _(spark, folder):
     return user_trace(spark, folder, primary="naive_reversed", log_edits=False).delivered(["event_id"]).drop("pos")
 
 
+@query("repair_one_stream")
+def _(spark, folder):
+    """All events as one stream, repaired in segments that run at the same time."""
+    trace = segmented_repair(event_stream(spark, folder), "event_type", event_bounds(spark, folder, USER_S), USER_W, USER_X,
+                             primary="naive_reversed", log_edits=False, segment_rows=1 << 11)
+    return trace.delivered(["event_id"]).drop("pos")
+
+
 @query("repair_captures_reversed")
 def _(spark, folder):
     return user_trace(spark, folder, primary="naive_reversed").captures(["event_id"]).drop("pos")

@@ -34,6 +34,7 @@ class Episode:
     ceiling: np.ndarray
     template: Callable[[np.ndarray], np.ndarray]
     max_windows: int | None = None
+    until: int | None = None  # first window start, from the stream's begin, that is another run's business
     rows: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int64))
     labels: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int64))
     start: int = 0            # first window start that is not decided yet, relative to ``rows``
@@ -44,6 +45,8 @@ class Episode:
 
     @property
     def stopped(self) -> bool:
+        if self.until is not None and self.settled + self.start >= self.until:
+            return True
         return self.max_windows is not None and self.windows >= self.max_windows
 
     def feed(self, rows: np.ndarray, labels: np.ndarray) -> list[Edit]:
@@ -61,6 +64,8 @@ class Episode:
             fair = self._fair(self.start, end)
             if self.max_windows is not None:
                 fair = fair[: self.max_windows - self.windows]
+            if self.until is not None:
+                fair = fair[: self.until - self.settled - self.start]
             ahead = len(fair) if fair.all() else int(np.argmin(fair))
             self.start += ahead
             self.windows += ahead
@@ -89,6 +94,16 @@ class Episode:
         self.start = 0
         return out
 
+    def carried(self) -> tuple[int, np.ndarray, np.ndarray]:
+        """(next window start, rows, labels) from the stream's begin: all that later checks know of earlier repairs.
+
+        Rows are named by their place in the stream; those at their own place up to the end are left out.
+        """
+        at, rows = self.settled + self.start, self.rows[self.start:]
+        moved = np.flatnonzero(rows != np.arange(at, at + len(rows)))
+        keep = int(moved[-1]) + 1 if len(moved) else 0
+        return at, rows[:keep], self.labels[self.start:self.start + keep]
+
     def _fair(self, begin: int, end: int) -> np.ndarray:
         counts = fair_blocks_per_window(self.labels[begin:end], self.window, self.block, self.floor, self.ceiling)
         return counts == self.window // self.block
