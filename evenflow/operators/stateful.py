@@ -129,6 +129,16 @@ def stateful_repair(stream: OrderedStream, attr: str, bounds: Bounds, window: in
     return RepairTrace(log, stream, attr, bounds, window, landmark, restart_every)
 
 
+def row_stretches(batch: pa.RecordBatch, by: Sequence[str]) -> list[tuple[int, int]]:
+    """Row ranges of a sorted batch that belong to one key."""
+    changes = np.zeros(batch.num_rows, dtype=bool)
+    for name in by:
+        codes = batch.column(name).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        changes[1:] |= codes[1:] != codes[:-1]
+    edges = [0, *np.flatnonzero(changes).tolist(), batch.num_rows]
+    return [(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]
+
+
 class _EpisodeRunner:
     """Walks the sorted rows of a task; an episode may span Arrow batches."""
 
@@ -142,7 +152,7 @@ class _EpisodeRunner:
         for batch in batches:
             rows = batch.column("row").to_numpy()
             labels = batch.column("g").to_numpy()
-            for begin, end in self._stretches(batch):
+            for begin, end in row_stretches(batch, self.by):
                 here = [batch.column(c)[begin] for c in self.by]
                 if here != key:
                     if run is not None:
@@ -153,15 +163,6 @@ class _EpisodeRunner:
         if run is not None:
             yield self._finish(key, run)
 
-    def _stretches(self, batch: pa.RecordBatch) -> list[tuple[int, int]]:
-        """Row ranges of the batch that belong to one episode."""
-        changes = np.zeros(batch.num_rows, dtype=bool)
-        for name in self.by:
-            codes = batch.column(name).dictionary_encode(null_encoding="encode").indices.to_numpy()
-            changes[1:] |= codes[1:] != codes[:-1]
-        edges = [0, *np.flatnonzero(changes).tolist(), batch.num_rows]
-        return [(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]
-
     def _new_run(self, template) -> Episode:
         b = self.bounds
         return Episode(self.window, self.landmark, b.block, np.array(b.floor), np.array(b.ceiling), template,

@@ -24,7 +24,7 @@ def sample(spark, n):
 
 
 @pytest.mark.parametrize(("n", "segment", "warm_up", "primary"), [
-    (3000, 200, 60, "naive_reversed"),  # many borders inside unfair stretches
+    (1500, 100, 60, "naive_reversed"),  # many borders inside unfair stretches
     (1999, 333, 0, "optimal"),          # no guess at all
     (640, 64, 500, "optimal"),          # warm-up of several segments, rows end on a border
     (45, 40, 20, "optimal"),            # less than a second chunk
