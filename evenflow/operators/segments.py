@@ -60,7 +60,7 @@ def segmented_repair(stream: OrderedStream, attr: str, bounds: Bounds, window: i
 
     logs = [materialize(rows.groupBy(*by).applyInArrow(guessed, schema)).withColumn("_round", F.lit(0))]
     latest = materialize(_states(logs[0], by))
-    while not (wrong := materialize(_unmatched(latest, by))).isEmpty():
+    while not (wrong := materialize(_unmatched(latest, by, 2 ** (len(logs) - 1) - 1))).isEmpty():
         again = _stretch_rows(rows, wrong, by, segment_rows)
         sort = [*by[:-1], "_stretch"]
         log = materialize(spread(again, sort).sortWithinPartitions(*sort, "row").mapInArrow(stretch, schema))
@@ -91,12 +91,16 @@ def _states(log: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def _unmatched(latest: DataFrame, by: list[str]) -> DataFrame:
+def _unmatched(latest: DataFrame, by: list[str], further: int) -> DataFrame:
     """Segments that did not start from what the one before carried on, with the state they must start from and the
-    stretch of such segments they lie in."""
+    stretch of such segments they lie in. ``further`` segments behind each are taken along, in case a new state spoils
+    their guess: doubled every round, so that one wrong state moves on in few rounds.
+    """
     before = latest.select(*by[:-1], (F.col("segment") + 1).alias("segment"), F.col("_carry").alias("_told"))
     joined = null_safe_join(latest.select(*by, "_guess"), before, by)
-    wrong = joined.where(~F.col("_guess").eqNullSafe(F.col("_told"))).select(*by, "_told.number", "_told.rows", "_told.labels")
+    behind = Window.partitionBy(*by[:-1]).orderBy("segment").rowsBetween(-further, 0)
+    near = joined.withColumn("_wrong", F.max(~F.col("_guess").eqNullSafe(F.col("_told"))).over(behind))
+    wrong = near.where("_wrong").select(*by, "_told.number", "_told.rows", "_told.labels")
     number = F.row_number().over(Window.partitionBy(*by[:-1]).orderBy("segment"))
     together = Window.partitionBy(*by[:-1], "_group")
     return wrong.withColumn("_group", F.col("segment") - number).select(
