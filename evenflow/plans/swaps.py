@@ -51,44 +51,67 @@ def _borrow(inside: np.ndarray, here: int, cat: int, need: int, block: int, targ
 
 def greedy_swap(labels: np.ndarray, window: int, block: int, target: np.ndarray, visit: np.ndarray,
                 weighted: bool = False) -> np.ndarray:
-    """Internal swaps, then one landmark label per step into the first unfair block, best-scored slot first."""
+    """Internal swaps, then one landmark label per step into the first unfair block, best-scored slot first.
+
+    A slot scores the shortages of the blocks around it under every shift of the block grid. The counts of all
+    possible blocks are kept for every category; a swap changes only the blocks that hold its slot.
+    """
     target = np.asarray(target)
     labels = internal_swap(labels, window, block, target, visit)
     inside, landmark = labels[:window], labels[window:]
     if not len(landmark):
         return labels
-    grid, weight = _shifted_grid(window, block, len(landmark), weighted)
+    held = _block_counts(inside, block, len(target))
+    own, grids = _start_weights(window - block + 1, block, len(landmark), weighted)
     stock = np.bincount(landmark, minlength=len(target))
     for _ in range(len(landmark) + 1):
-        short = _shortage(inside, block, target)
-        unfair = np.flatnonzero(short.any(axis=1))
+        short = target[:, None] > held[:, ::block]
+        unfair = np.flatnonzero(short.any(axis=0))
         if not len(unfair):
             break
-        wanted = visit[(short[unfair[0]][visit] > 0) & (stock[visit] > 0)]
+        wanted = visit[short[visit, unfair[0]] & (stock[visit] > 0)]
         if not len(wanted):
             break
         cat, start = wanted[0], int(unfair[0]) * block
         slots = start + np.flatnonzero(inside[start:start + block] != cat)
-        missing = _missing_from(inside == cat, block, int(target[cat]))
-        slot = slots[np.argmax(missing[grid[slots]] @ weight)]
+        near = slice(max(0, start - block + 1), start + block)
+        missing = np.maximum(target[cat] - held[cat, near], 0)
+        slot = slots[np.argmax(_slot_scores(missing, slots - near.start, block, own[near], grids[near]))]
         giver = np.flatnonzero(landmark == cat)[-1]
+        gone = inside[slot]
         stock[cat] -= 1
-        stock[inside[slot]] += 1
-        inside[slot], landmark[giver] = landmark[giver], inside[slot]
+        stock[gone] += 1
+        touched = slice(max(0, slot - block + 1), slot + 1)
+        held[cat, touched] += 1
+        held[gone, touched] -= 1
+        inside[slot], landmark[giver] = cat, gone
     return labels
 
 
+def _block_counts(labels: np.ndarray, block: int, kinds: int) -> np.ndarray:
+    """(categories x starts) counts of the block that begins at each place."""
+    seen = np.zeros((kinds, len(labels) + 1), dtype=np.int64)
+    np.cumsum(labels == np.arange(kinds)[:, None], axis=1, out=seen[:, 1:])
+    return seen[:, block:] - seen[:, :-block]
+
+
 @lru_cache(maxsize=16)
-def _shifted_grid(window: int, block: int, landmark: int, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(start of the block around every slot under every shift of the block grid, weight per shift)."""
-    shifts, slots = np.arange(landmark + 1), np.arange(window)[:, None]
-    starts = shifts + np.maximum((slots - shifts) // block, 0) * block
-    return np.minimum(starts, window), (landmark - shifts if weighted else np.ones_like(shifts))
-
-
-def _missing_from(hits: np.ndarray, block: int, need: int) -> np.ndarray:
-    """Shortage of the block that starts at each place; zero where a block would leave the window."""
-    seen = np.concatenate([[0], np.cumsum(hits)])
-    missing = np.zeros(len(hits) + 1, dtype=np.int64)
-    missing[: len(hits) - block + 1] = np.maximum(need - (seen[block:] - seen[:-block]), 0)
-    return missing
+def _start_weights(starts: int, block: int, landmark: int, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Per block start: the weight of the shift that begins there, and of all shifts whose grid has a block there."""
+    shifts = np.arange(starts)
+    own = np.where(shifts <= landmark, landmark - shifts if weighted else 1, 0)
+    grids = np.pad(own, (0, -starts % block)).reshape(-1, block).cumsum(axis=0).ravel()[:starts]
+    return own, grids
+
+
+def _slot_scores(missing: np.ndarray, slots: np.ndarray, block: int, own: np.ndarray, grids: np.ndarray) -> np.ndarray:
+    """Weighted shortage around each slot, up to a constant.
+
+    Blocks that hold the slot count, and so does the first block of every grid that begins after it; the latter are
+    all later ones less those up to the slot.
+    """
+    holding, begun = np.zeros((2, len(missing) + 1), dtype=np.int64)
+    np.cumsum(missing * grids, out=holding[1:])
+    np.cumsum(missing * own, out=begun[1:])
+    ends = np.minimum(slots + 1, len(missing))
+    return holding[ends] - holding[np.maximum(slots - block + 1, 0)] - begun[ends]

@@ -13,6 +13,7 @@ from evenflow.operators.bounds import Bounds
 from evenflow.plans.labels import fair_blocks, fair_blocks_per_window, fifo_order
 from evenflow.plans.optimal import extra_grid, longest_fair_length, optimal_template
 from evenflow.plans.pattern import naive_template, repeats, reversed_template
+from evenflow.plans import swaps
 from evenflow.plans.swaps import greedy_swap, internal_swap
 
 
@@ -159,3 +160,19 @@ def test_swaps_permute_and_keep_the_landmark_rules(labels, sizes):
     assert before[order].tolist() == out.tolist()
     for c in range(3):
         assert (np.diff(order[out == c]) > 0).all()
+
+
+@given(st.integers(2, 6), st.integers(1, 5), st.integers(1, 20), st.booleans(), st.randoms(use_true_random=False))
+def test_kept_slot_scores_follow_the_definition(block, blocks, landmark, weighted, random):
+    """Every slot's score is the sum, over all shifts of the grid, of the shortage of the block around it."""
+    window = block * blocks
+    missing = np.array([random.randint(0, 3) for _ in range(window - block + 1)])
+    own, grids = swaps._start_weights(len(missing), block, landmark, weighted)
+    got = swaps._slot_scores(missing, np.arange(window), block, own, grids)
+
+    def brute(slot):
+        starts = [(h, h + max((slot - h) // block, 0) * block) for h in range(landmark + 1)]
+        return sum((landmark - h if weighted else 1) * missing[s] for h, s in starts if s < len(missing))
+
+    want = np.array([brute(slot) for slot in range(window)])
+    assert (got - want == got[0] - want[0]).all()
