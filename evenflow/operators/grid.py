@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +12,7 @@ from evenflow.operators.bounds import Bounds
 from evenflow.operators.monitor import monitor_summaries
 from evenflow.operators.order import OrderedStream
 from evenflow.operators.prep import valid_config
-from evenflow.operators.stateful import stateful_repair, strategy_metrics
-from evenflow.session import materialize
+from evenflow.operators.stateful import RepairCase, case_metrics
 
 # The standard experiment grid. Each sweep varies one parameter and fixes the other two.
 SWEEPS = {
@@ -68,10 +66,6 @@ def _union(parts: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _tagged(df: DataFrame, config: tuple[int, int, int]) -> DataFrame:
-    return df.select(*[F.lit(v).alias(c) for c, v in zip(CONFIG, config, strict=True)], "*")
-
-
 def monitor_grid(stream: OrderedStream, attr: str, counts: Mapping[str, int],
                  configs: Sequence[tuple[int, int, int]], max_windows: int | None = None) -> DataFrame:
     """Monitor summary of every configuration and run as one job.
@@ -96,22 +90,16 @@ def monitor_grid(stream: OrderedStream, attr: str, counts: Mapping[str, int],
 def repair_grid(stream: OrderedStream, attr: str, counts: Mapping[str, int],
                 configs: Sequence[tuple[int, int, int]], strategies: Sequence[str], primary: str = "optimal",
                 max_windows: int | None = None) -> DataFrame:
-    """Strategy metrics per configuration and stream key (run).
+    """Strategy metrics per configuration and stream key (run); all configurations are one shuffle and one sort."""
+    cases = [RepairCase(w, s, x, tuple(strategies), max_windows) for w, s, x in configs]
+    return with_case(case_metrics(stream, attr, counts, cases, primary),
+                     {c: [getattr(case, c) for case in cases] for c in CONFIG})
 
-    The runs of all configurations are one job: their logs are written as one table, partitioned by
-    configuration, and every configuration is scored from its partition.
-    """
-    traces = [
-        stateful_repair(stream, attr, Bounds.from_counts(counts, s), w, x, primary, max_windows)
-        for w, s, x in configs
-    ]
-    logs = materialize(_union(t.df.withColumn("_config", F.lit(i)) for i, t in enumerate(traces)), ["_config"])
-    return _union(
-        _tagged(strategy_metrics(
-            replace(t, df=logs.where(F.col("_config") == i).drop("_config"), stored=True), strategies, stream.keys
-        ), config)
-        for i, (t, config) in enumerate(zip(traces, configs, strict=True))
-    )
+
+def with_case(results: DataFrame, columns: Mapping[str, Sequence]) -> DataFrame:
+    """Replace the number of a case by its values."""
+    named = [F.get(F.array(*[F.lit(v) for v in values]), F.col("case")).alias(name) for name, values in columns.items()]
+    return results.select(*named, *[c for c in results.columns if c != "case"])
 
 
 def config_averages(results: DataFrame, configs: DataFrame, metrics: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

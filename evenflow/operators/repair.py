@@ -125,28 +125,45 @@ def plan_scores(df: DataFrame, labels: str, strategies: Sequence[str], bounds: B
     Columns: those of ``df`` without the labels, ``strategy``, ``windows``, ``fair_blocks``, ``fair_windows`` and
     ``changed``. Nothing is exploded, sorted or shuffled.
     """
-    _check_lengths(strategies, bounds, window, landmark)
-    floor, ceiling, blocks = np.array(bounds.floor), np.array(bounds.ceiling), window // bounds.block
-    chosen = [strategy(n) for n in strategies]
+    one = df.withColumn("_case", F.lit(0))
+    return case_scores(one, labels, "_case", [(strategies, bounds, window, landmark)]).drop("_case")
 
-    def score(before: np.ndarray, after: np.ndarray) -> list[int]:
-        fair = fair_blocks_per_window(after, window, bounds.block, floor, ceiling)
-        return [len(fair), int(fair.sum()), int((fair == blocks).sum()), int((before != after).sum())]
 
-    def plan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        makers = _makers(chosen, bounds, window, landmark)
-        for series in batches:
-            yield series.map(lambda chunk: [score(chunk, make(chunk)) for make in makers])
+def case_scores(df: DataFrame, labels: str, case: str,
+                cases: Sequence[tuple[Sequence[str], Bounds, int, int]]) -> DataFrame:
+    """``plan_scores`` for chunks of several configurations (strategies, bounds, window, landmark) in one pass.
 
-    scored = df.withColumn("_scores", F.pandas_udf(plan, "array<array<int>>")(F.col(labels)))
-    named = scored.select(
-        *[c for c in df.columns if c != labels],
-        F.explode(F.arrays_zip(F.array(*[F.lit(n) for n in strategies]).alias("strategy"),
-                               F.col("_scores").alias("score"))).alias("_s"),
-    )
-    return named.select(*[c for c in named.columns if c != "_s"], "_s.strategy", *[
-        F.col("_s.score")[i].cast("long").alias(name)
-        for i, name in enumerate(("windows", "fair_blocks", "fair_windows", "changed"))
+    The column ``case`` says which of them a chunk belongs to.
+    """
+    for strategies, bounds, window, landmark in cases:
+        _check_lengths(strategies, bounds, window, landmark)
+    names = list(dict.fromkeys(n for strategies, *_ in cases for n in strategies))
+    chosen = [[strategy(n) for n in strategies] for strategies, *_ in cases]
+    places = [[names.index(n) for n in strategies] for strategies, *_ in cases]
+
+    def scorer(number: int) -> Callable[[np.ndarray], list[list[int]]]:
+        _, bounds, window, landmark = cases[number]
+        floor, ceiling, blocks = np.array(bounds.floor), np.array(bounds.ceiling), window // bounds.block
+        makers = _makers(chosen[number], bounds, window, landmark)
+
+        def score(before: np.ndarray, after: np.ndarray) -> list[int]:
+            fair = fair_blocks_per_window(after, window, bounds.block, floor, ceiling)
+            return [len(fair), int(fair.sum()), int((fair == blocks).sum()), int((before != after).sum())]
+
+        return lambda chunk: [[place, *score(chunk, make(chunk))]
+                              for place, make in zip(places[number], makers, strict=True)]
+
+    def plan(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        scorers = [scorer(number) for number in range(len(cases))]
+        for numbers, series in batches:
+            yield pd.Series([scorers[n](chunk) for n, chunk in zip(numbers, series, strict=True)], dtype=object)
+
+    scored = df.withColumn("_scores", F.pandas_udf(plan, "array<array<int>>")(F.col(case), F.col(labels)))
+    named = scored.select(*[c for c in df.columns if c != labels], F.explode("_scores").alias("_s"))
+    return named.select(*[c for c in named.columns if c != "_s"],
+                        F.get(F.array(*[F.lit(n) for n in names]), F.col("_s")[0]).alias("strategy"), *[
+        F.col("_s")[i].cast("long").alias(name)
+        for i, name in enumerate(("windows", "fair_blocks", "fair_windows", "changed"), 1)
     ])
 
 

@@ -8,12 +8,12 @@ restarts every so many rows, which makes another result. Python sees only (episo
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 from evenflow.operators.bounds import Bounds, check_places
 from evenflow.operators.monitor import check_window
 from evenflow.operators.order import OrderedStream, int_div, null_safe_join, spread
-from evenflow.operators.repair import plan_scores, plan_templates
+from evenflow.operators.repair import case_scores, plan_scores, plan_templates
 from evenflow.plans.episode import Edit, Episode
 from evenflow.plans.registry import strategy, template_function
 from evenflow.session import materialize
@@ -139,6 +139,10 @@ def row_stretches(batch: pa.RecordBatch, by: Sequence[str]) -> list[tuple[int, i
     return [(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]
 
 
+def _new_episode(bounds: Bounds, window: int, landmark: int, template, max_windows: int | None) -> Episode:
+    return Episode(window, landmark, bounds.block, np.array(bounds.floor), np.array(bounds.ceiling), template, max_windows)
+
+
 class _EpisodeRunner:
     """Walks the sorted rows of a task; an episode may span Arrow batches."""
 
@@ -147,7 +151,7 @@ class _EpisodeRunner:
         self.window, self.landmark, self.primary, self.max_windows = window, landmark, primary, max_windows
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        template = template_function(self.primary, self.bounds, self.window)
+        new_run = self._starter()
         key, run = None, None
         for batch in batches:
             rows = batch.column("row").to_numpy()
@@ -157,16 +161,16 @@ class _EpisodeRunner:
                 if here != key:
                     if run is not None:
                         yield self._finish(key, run)
-                    key, run = here, self._new_run(template)
+                    key, run = here, new_run(here)
                 edits = run.feed(rows[begin:end], labels[begin:end].astype(np.int64))
                 yield self._log(key, run, edits)
         if run is not None:
             yield self._finish(key, run)
 
-    def _new_run(self, template) -> Episode:
-        b = self.bounds
-        return Episode(self.window, self.landmark, b.block, np.array(b.floor), np.array(b.ceiling), template,
-                       self.max_windows)
+    def _starter(self) -> Callable[[list], Episode]:
+        """key -> its new run; chunks with equal counts share a template within the task."""
+        template = template_function(self.primary, self.bounds, self.window)
+        return lambda key: _new_episode(self.bounds, self.window, self.landmark, template, self.max_windows)
 
     def _log(self, key, run: Episode, edits: list[Edit]) -> pa.RecordBatch:
         first = run.settled
@@ -207,17 +211,18 @@ def strategy_metrics(trace: RepairTrace, strategies: Sequence[str], by: Sequence
     """
     trace = trace.materialized()
     by = list(trace.by if by is None else by)
-    bounds, window, landmark = trace.bounds, trace.window, trace.landmark
-    blocks = check_window(window, bounds.block)
     names = ["before", *[s for s in strategies if s != "before"]]
-    scores = plan_scores(trace.chunks(), "labels", names, bounds, window, landmark)
+    scores = plan_scores(trace.chunks(), "labels", names, trace.bounds, trace.window, trace.landmark)
+    blocks = check_window(trace.window, trace.bounds.block)
+    return _run_report(scores, trace.summaries(), by, F.lit(blocks), F.lit(trace.landmark))
+
+
+def _run_report(scores: DataFrame, summaries: DataFrame, by: list[str], blocks: Column, landmark: Column) -> DataFrame:
     after = scores.groupBy(*by, "strategy").agg(
         *[F.sum(c).alias(c) for c in ("windows", "fair_blocks", "fair_windows")],
         F.sum("changed").alias("total_swaps"),
     )
-    runs = trace.summaries().groupBy(*by).agg(
-        F.sum("edits").alias("edits"), F.sum("fair_checks").alias("fair_checks")
-    )
+    runs = summaries.groupBy(*by).agg(F.sum("edits").alias("edits"), F.sum("fair_checks").alias("fair_checks"))
     joined = null_safe_join(after, runs, by) if by else after.crossJoin(F.broadcast(runs))  # one totals row
     on = [*by, "strategy"]
     checks = F.col("fair_checks") + F.col("edits")
@@ -242,3 +247,76 @@ def strategy_metrics(trace: RepairTrace, strategies: Sequence[str], by: Sequence
         (F.col("fair_windows") + F.col("fair_checks")).alias("fair_windows"),
         ((F.col("fair_windows") + F.col("fair_checks")) * 100 / covered).alias("pct_fair_windows"),
     )
+
+
+@dataclass(frozen=True)
+class RepairCase:
+    """One configuration of an experiment: sizes, bound on the windows of a run (None: the whole run), strategies."""
+
+    window: int
+    block: int
+    landmark: int
+    strategies: tuple[str, ...]
+    max_windows: int | None = None
+
+    @property
+    def reach(self) -> int | None:
+        """Rows that a run can touch: a window costs one row, the last repair X more."""
+        return None if self.max_windows is None else self.max_windows + self.window + self.landmark
+
+
+class _CaseRunner(_EpisodeRunner):
+    """The last key column is the number of the case."""
+
+    def __init__(self, by, schema, cases, bounds, primary):
+        super().__init__(by, schema, None, None, None, primary, None, True)
+        self.cases, self.case_bounds = cases, bounds
+
+    def _starter(self) -> Callable[[list], Episode]:
+        templates = [template_function(self.primary, b, c.window)
+                     for c, b in zip(self.cases, self.case_bounds, strict=True)]
+
+        def start(key: list) -> Episode:
+            number = key[-1].as_py()
+            case = self.cases[number]
+            return _new_episode(self.case_bounds[number], case.window, case.landmark, templates[number],
+                                case.max_windows)
+
+        return start
+
+
+def case_metrics(stream: OrderedStream, attr: str, counts: Mapping[str, int], cases: Sequence[RepairCase],
+                 primary: str = "optimal") -> DataFrame:
+    """(stream keys, ``case``, strategy, the columns of ``strategy_metrics``) for every case, in one job.
+
+    The case is part of the key: one shuffle and one sort serve all cases, and every (run, case) is its own sequential
+    run on some task. A row is repeated only for the cases that can reach it.
+    """
+    bounds = [Bounds.from_counts(counts, c.block) for c in cases]
+    chosen = strategy(primary)
+    for case, limits in zip(cases, bounds, strict=True):
+        check_window(case.window, case.block)
+        check_places(limits)
+        if chosen.needs_whole_blocks and (case.window + case.landmark) % case.block:
+            raise ValueError(f"{primary} needs a block size that divides window + landmark")
+    by = [*stream.keys, "case"]
+    reached = F.array(*[
+        F.when(F.lit(True) if c.reach is None else F.col(stream.pos) < c.reach, F.lit(i)) for i, c in enumerate(cases)
+    ])
+    rows = stream.df if any(c.reach is None for c in cases) else stream.df.where(
+        F.col(stream.pos) < max(c.reach for c in cases))
+    narrow = rows.select(*stream.keys, F.col(stream.pos).alias("row"), bounds[0].label_index(attr).alias("g"),
+                         F.explode(F.array_compact(reached)).alias("case"))
+    schema = StructType(narrow.select(*by).schema.fields + StructType.fromDDL(LOG_FIELDS).fields)
+    runner = _CaseRunner(by, to_arrow_schema(schema), tuple(cases), tuple(bounds), chosen)
+    log = spread(narrow, by).sortWithinPartitions(*by, "row").mapInArrow(runner, schema)
+    stored = materialize(log.where(F.col("kind") != DELIVERED))
+    edits = stored.where(F.col("kind") == EDIT).select(*by, "labels")
+    sides = [("before", *[s for s in c.strategies if s != "before"]) for c in cases]
+    scores = case_scores(edits, "labels", "case", [
+        (names, b, c.window, c.landmark) for names, b, c in zip(sides, bounds, cases, strict=True)])
+    summaries = stored.where(F.col("kind") == SUMMARY).select(
+        *by, F.col("rows")[0].alias("edits"), F.col("rows")[1].alias("fair_checks"))
+    blocks, landmark = (F.get(F.array(*[F.lit(v) for v in values]), F.col("case")) for values in (
+        [c.window // c.block for c in cases], [c.landmark for c in cases]))
+    return _run_report(scores, summaries, by, blocks, landmark)

@@ -12,7 +12,8 @@ from pyspark.sql.types import StructType
 
 from evenflow.functions import columns as fc
 from evenflow.functions.pvalues import signed_rank_exact, student_t_two_sided
-from evenflow.operators import experiment, grid, prep, ranking, stats
+from evenflow.operators import experiment, grid, prep, ranking, stateful, stats
+from evenflow.operators.bounds import Bounds, category_counts
 from evenflow.operators.order import ordered_stream
 from evenflow.operators.quantiles import exact_quantiles
 from evenflow.sources import sinks, tables
@@ -230,6 +231,36 @@ def test_experiment(spark, events):
         run(results)
 
 
+def test_cases_in_one_pass_equal_single_runs(spark, events):
+    """Every case of the grid has the metrics of its own repair, bounded or not."""
+    runs = prep.seeded_runs(events.select("event_id", "event_type").where("event_id % 3 = 0"), 2, ["event_id"])
+    counts = category_counts(events, "event_type")
+    cases = [stateful.RepairCase(40, 20, 20, ("optimal", "naive")), stateful.RepairCase(60, 20, 40, ("greedy_swap",), 90),
+             stateful.RepairCase(30, 10, 10, ("naive_reversed",), 10**9)]
+    got = stateful.case_metrics(runs, "event_type", counts, cases)
+    for number, c in enumerate(cases):
+        trace = stateful.stateful_repair(runs, "event_type", Bounds.from_counts(counts, c.block), c.window, c.landmark,
+                                         max_windows=c.max_windows)
+        want = stateful.strategy_metrics(trace, c.strategies, ["run_id"])
+        mine = got.where(F.col("case") == number).select(*want.columns)
+        assert sorted(map(tuple, mine.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_experiment_resumes_from_its_ledger(spark, events, tmp_path, monkeypatch):
+    ledger = str(tmp_path / "ledger")
+    points = lambda *sizes: grid.sweep_table(spark, {"W": {"window": sizes, "block": [20], "landmark": [20]}})
+    phases = {"short": (50, ["naive"]), "long": (120, ["naive", "optimal"])}
+    run = lambda p: experiment.resume_experiment(events, "event_type", ["event_id"], p, ledger, 2, phases)
+    first = run(points(40))
+    assert first.groupBy("phase").count().orderBy("phase").collect() == [("long", 6), ("short", 4)]
+    kept = sorted(map(tuple, first.select(sorted(first.columns)).collect()))
+    second = run(points(40, 60))
+    assert sorted(map(tuple, second.where("window = 40").select(sorted(first.columns)).collect())) == kept
+    assert second.where("window = 60").count() == 10
+    monkeypatch.setattr(experiment, "case_metrics", lambda *_: pytest.fail("nothing is left to compute"))
+    assert run(points(40, 60)).count() == 20
+
+
 def test_minute_clock(spark):
     stream = ordered_stream(spark.range(3), [], ["id"])
     assert [str(r.t) for r in prep.minute_clock(stream, "t").orderBy("id").collect()][2] == "2020-01-01 00:02:00"
