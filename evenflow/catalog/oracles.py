@@ -7,9 +7,10 @@ an entry here is iterative (planners, swaps, windowed repair) or needs functions
 from __future__ import annotations
 
 from evenflow.catalog.queries import GRID, REPLAY_BATCHES, S, USER_S, USER_W, USER_X, W, X
-from evenflow.operators.grid import SWEEPS
+from evenflow.operators.grid import PHASES, SWEEPS
 
 ORACLES: dict[str, str] = {}
+SLOW_WINDOWS = PHASES["slow"][0]
 
 EVENT_ORDER = "ts, event_id"
 ITEM_ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
@@ -576,8 +577,11 @@ def repeated(times: str, value: str) -> str:
     return f"list_transform(range(greatest(0, {times})), lambda i: {value})"
 
 
-USER_RUN = f"""s AS ({USERS}),
-  {bounds_cte('events', 'event_type', USER_S)},
+def reversed_run(source: str, window: int, block: int, landmark: int, limit: int | None = None) -> str:
+    """Repair by the reversed pattern; a run ends once it covered ``limit`` windows. ``user_id`` is its key."""
+    size, bounded = window + landmark, "" if limit is None else f" AND st < {limit}"
+    return f"""s AS ({source}),
+  {bounds_cte('events', 'event_type', block)},
   limits AS (SELECT list(CAST(tgt0 AS BIGINT) ORDER BY gidx) AS tgts, list(CAST(lo0 AS BIGINT) ORDER BY gidx) AS lows,
                     list(CAST(hi0 AS BIGINT) ORDER BY gidx) AS highs FROM bnd),
   run AS (
@@ -585,12 +589,12 @@ USER_RUN = f"""s AS ({USERS}),
            'start' AS kind, CAST([] AS BIGINT[]) AS chunk_ids, CAST([] AS BIGINT[]) AS chunk, CAST([] AS BIGINT[]) AS places
     FROM s JOIN bnd USING (g) GROUP BY user_id
     UNION ALL
-    SELECT user_id, CASE WHEN act = 'edit' THEN ids[1:st] || list_transform(ord, lambda q: old_ids[q]) || ids[st + {USER_SIZE} + 1:] ELSE ids END,
-           CASE WHEN act = 'edit' THEN word[1:st] || tmpl || word[st + {USER_SIZE} + 1:] ELSE word END,
-           st + CASE act WHEN 'fair' THEN 1 WHEN 'edit' THEN {USER_X + 1} ELSE 0 END, edits + (act = 'edit')::INT, step + 1, act,
+    SELECT user_id, CASE WHEN act = 'edit' THEN ids[1:st] || list_transform(ord, lambda q: old_ids[q]) || ids[st + {size} + 1:] ELSE ids END,
+           CASE WHEN act = 'edit' THEN word[1:st] || tmpl || word[st + {size} + 1:] ELSE word END,
+           st + CASE act WHEN 'fair' THEN 1 WHEN 'edit' THEN {landmark + 1} ELSE 0 END, edits + (act = 'edit')::INT, step + 1, act,
            old_ids, old, ord
     FROM (
-      SELECT *, list_transform(range(1, {USER_SIZE} + 1), lambda p: list_filter(range(1, {USER_SIZE} + 1), lambda i: old[i] = tmpl[p])[
+      SELECT *, list_transform(range(1, {size} + 1), lambda p: list_filter(range(1, {size} + 1), lambda i: old[i] = tmpl[p])[
                   len(list_filter(tmpl[1:p], lambda x: x = tmpl[p]))]) AS ord
       FROM (
         SELECT *, CASE WHEN act <> 'edit' THEN CAST([] AS BIGINT[]) WHEN list_sum(rest) = 0
@@ -609,19 +613,22 @@ USER_RUN = f"""s AS ({USERS}),
                 FROM (
                   SELECT *, list_transform(range(0, {KINDS}), lambda c: len(list_filter(old, lambda x: x = c))) AS held
                   FROM (
-                    SELECT run.*, limits.*, word[st + 1:st + {USER_SIZE}] AS old, ids[st + 1:st + {USER_SIZE}] AS old_ids,
-                           CASE WHEN len(list_filter(range(0, {USER_W // USER_S * KINDS}), lambda k:
-                                  len(list_filter(word[st + k // {KINDS} * {USER_S} + 1:st + (k // {KINDS} + 1) * {USER_S}], lambda x: x = k % {KINDS}))
+                    SELECT run.*, limits.*, word[st + 1:st + {size}] AS old, ids[st + 1:st + {size}] AS old_ids,
+                           CASE WHEN len(list_filter(range(0, {window // block * KINDS}), lambda k:
+                                  len(list_filter(word[st + k // {KINDS} * {block} + 1:st + (k // {KINDS} + 1) * {block}], lambda x: x = k % {KINDS}))
                                   NOT BETWEEN lows[k % {KINDS} + 1] AND highs[k % {KINDS} + 1])) = 0 THEN 'fair'
-                                WHEN st + {USER_SIZE} <= len(word) THEN 'edit' ELSE 'stop' END AS act
-                    FROM run, limits WHERE kind <> 'stop' AND st + {USER_W} <= len(word)))))))))
+                                WHEN st + {size} <= len(word) THEN 'edit' ELSE 'stop' END AS act
+                    FROM run, limits WHERE kind <> 'stop' AND st + {window} <= len(word){bounded}))))))))
   ),
   ends AS (SELECT user_id, arg_max(ids, step) AS ids, arg_max(word, step) AS word FROM run GROUP BY user_id)"""
+
+
+USER_RUN = reversed_run(USERS, USER_W, USER_S, USER_X)
 ORACLES["repair_stateful_reversed"] = f"""
   WITH RECURSIVE {USER_RUN}
   SELECT user_id, CAST(0 AS BIGINT) AS episode, CAST(i - 1 AS BIGINT) AS out_pos, g AS category, event_id FROM (
     SELECT user_id, unnest(ids) AS event_id, unnest(word) AS gidx, generate_subscripts(ids, 1) AS i FROM ends) JOIN bnd USING (gidx)"""
-ONE_RUN = USER_RUN.replace(USERS, positioned("events", "event_type", EVENT_ORDER, extra="event_id, 0 AS user_id"))
+ONE_RUN = reversed_run(positioned("events", "event_type", EVENT_ORDER, extra="event_id, 0 AS user_id"), USER_W, USER_S, USER_X)
 ORACLES["repair_one_stream"] = f"""
   WITH RECURSIVE {ONE_RUN}
   SELECT CAST(0 AS BIGINT) AS episode, CAST(i - 1 AS BIGINT) AS out_pos, g AS category, event_id FROM (
@@ -636,31 +643,38 @@ ORACLES["repair_captures_reversed"] = f"""
          g AS category, event_id FROM (
     SELECT user_id, 'original' AS phase, edit_event, i, old_g AS gidx, old_id AS event_id FROM places
     UNION ALL SELECT user_id, 'reordered', edit_event, i, new_g, new_id FROM places) JOIN bnd USING (gidx)"""
-USER_BLOCKS = USER_W // USER_S
-ORACLES["strategy_compare_reversed"] = f"""
-  WITH RECURSIVE {USER_RUN},
+
+
+def reversed_report(run: str, window: int, block: int, landmark: int, key: str = "") -> str:
+    """Run report before and after that repair, per ``key`` or over all runs."""
+    size, blocks, by = window + landmark, window // block, f"{key}, " if key else ""
+    return f"""
+  WITH RECURSIVE {run},
   sides AS (
     SELECT user_id, edits, 'before' AS strategy, chunk AS w, 0 AS moved FROM run WHERE kind = 'edit'
     UNION ALL
     SELECT user_id, edits, 'naive_reversed', list_transform(places, lambda q: chunk[q]),
-           len(list_filter(range(1, {USER_SIZE} + 1), lambda p: chunk[p] <> chunk[places[p]])) FROM run WHERE kind = 'edit'),
+           len(list_filter(range(1, {size} + 1), lambda p: chunk[p] <> chunk[places[p]])) FROM run WHERE kind = 'edit'),
   blocks AS (
     SELECT user_id, edits, strategy, moved, v, sum(fair::INT) AS fair FROM (
       SELECT user_id, edits, strategy, moved, v, len(list_filter(range(1, {KINDS} + 1), lambda c:
-               len(list_filter(w[v + b * {USER_S} + 1:v + (b + 1) * {USER_S}], lambda x: x = c - 1)) NOT BETWEEN lows[c] AND highs[c])) = 0 AS fair
-      FROM sides, limits, range(0, {USER_X} + 1) AS wins(v), range(0, {USER_BLOCKS}) AS parts(b)) GROUP BY ALL),
-  chunks AS (SELECT user_id, edits, strategy, any_value(moved) AS moved, sum(fair) AS fair_blocks, sum((fair = {USER_BLOCKS})::INT) AS fair_windows,
+               len(list_filter(w[v + b * {block} + 1:v + (b + 1) * {block}], lambda x: x = c - 1)) NOT BETWEEN lows[c] AND highs[c])) = 0 AS fair
+      FROM sides, limits, range(0, {landmark} + 1) AS wins(v), range(0, {blocks}) AS parts(b)) GROUP BY ALL),
+  chunks AS (SELECT user_id, edits, strategy, any_value(moved) AS moved, sum(fair) AS fair_blocks, sum((fair = {blocks})::INT) AS fair_windows,
                     count(*) AS windows FROM blocks GROUP BY ALL),
-  whole AS (SELECT strategy, sum(moved) AS moved, sum(fair_blocks) AS fb, sum(fair_windows) AS fw, sum(windows) AS wn FROM chunks GROUP BY 1),
-  checks AS (SELECT count(*) FILTER (WHERE kind = 'edit') AS edits, count(*) FILTER (WHERE kind = 'fair') AS fair_checks FROM run)
-  SELECT strategy, edits, fair_checks, CAST(moved AS BIGINT) AS total_swaps,
-         CAST((fair_checks + edits) * {USER_BLOCKS} + edits * {USER_BLOCKS * (USER_X + 1)} AS BIGINT) AS compat_total_blocks,
-         CAST(fb + CASE WHEN strategy = 'before' THEN fair_checks * {USER_BLOCKS} ELSE 0 END AS BIGINT) AS compat_fair_blocks,
+  whole AS (SELECT {by}strategy, sum(moved) AS moved, sum(fair_blocks) AS fb, sum(fair_windows) AS fw, sum(windows) AS wn FROM chunks GROUP BY ALL),
+  checks AS (SELECT {by}count(*) FILTER (WHERE kind = 'edit') AS edits, count(*) FILTER (WHERE kind = 'fair') AS fair_checks FROM run GROUP BY ALL)
+  SELECT {by}strategy, edits, fair_checks, CAST(moved AS BIGINT) AS total_swaps,
+         CAST((fair_checks + edits) * {blocks} + edits * {blocks * (landmark + 1)} AS BIGINT) AS compat_total_blocks,
+         CAST(fb + CASE WHEN strategy = 'before' THEN fair_checks * {blocks} ELSE 0 END AS BIGINT) AS compat_fair_blocks,
          CAST(wn + CASE WHEN strategy = 'before' THEN fair_checks ELSE 0 END AS BIGINT) AS compat_windows,
          CAST(fw + CASE WHEN strategy = 'before' THEN fair_checks ELSE 0 END AS BIGINT) AS compat_fair_windows,
-         CAST((wn + fair_checks) * {USER_BLOCKS} AS BIGINT) AS total_blocks, CAST(fb + fair_checks * {USER_BLOCKS} AS BIGINT) AS fair_blocks,
+         CAST((wn + fair_checks) * {blocks} AS BIGINT) AS total_blocks, CAST(fb + fair_checks * {blocks} AS BIGINT) AS fair_blocks,
          CAST(fw + fair_checks AS BIGINT) AS fair_windows
-  FROM whole, checks"""
+  FROM whole {'JOIN checks USING (' + key + ')' if key else ', checks'}"""
+
+
+ORACLES["strategy_compare_reversed"] = reversed_report(USER_RUN, USER_W, USER_S, USER_X)
 ORACLES["repair_stateful_delivery"] = """
   SELECT user_id, event_type AS category, count(*) AS n, count(*) AS events, CAST(sum(event_id) AS BIGINT) AS event_ids
   FROM events GROUP BY 1, 2"""
@@ -751,8 +765,8 @@ ORACLES["ndcg_summary"] = f"""
 # -- runs, statistics, grids -----------------------------------------------------------------------------------
 
 
-def shuffled(runs: int) -> str:
-    return f"""SELECT run_id, event_type AS g, row_number() OVER
+def shuffled(runs: int, extra: str = "") -> str:
+    return f"""SELECT run_id, {extra and extra + ", "}event_type AS g, row_number() OVER
       (PARTITION BY run_id ORDER BY md5(run_id || ':' || event_id), event_id) - 1 AS pos
       FROM events, range(1, {runs + 1}) AS runs(run_id)"""
 
@@ -805,6 +819,11 @@ GRID_ROWS = " UNION ALL ".join(
     f'SELECT {w} AS "window", {s} AS block, {x} AS landmark, * FROM ({run_windows(2, w, s)} {summary("run_id", w // s)})'
     for w, s, x in GRID)
 ORACLES["grid_monitor"] = GRID_ROWS
+ORACLES["grid_repair_reversed"] = " UNION ALL ".join(
+    f"""SELECT {w} AS "window", {s} AS block, {x} AS landmark, user_id AS run_id, * EXCLUDE (user_id) FROM ({reversed_report(reversed_run(
+        f"SELECT run_id AS user_id, event_id, g, pos FROM ({shuffled(2, 'event_id')}) WHERE pos < {SLOW_WINDOWS + w + x}",
+        w, s, x, SLOW_WINDOWS), w, s, x, "user_id")})"""
+    for w, s, x in GRID)
 POINTS = ", ".join(
     f"('{name}', {w}, {s}, {x})" for name, axis in SWEEPS.items()
     for w in axis["window"] for s in axis["block"] for x in axis["landmark"])

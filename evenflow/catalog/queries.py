@@ -32,6 +32,8 @@ QUERIES: dict[str, Query] = {}
 W, S, X = 40, 20, 20
 USER_W, USER_S, USER_X = 20, 10, 10
 CHUNK_STRATEGIES = ("optimal", "naive", "naive_reversed", "internal_swap", "greedy_swap", "weighted_greedy_swap")
+RUN_REPORT = ("strategy", "edits", "fair_checks", "total_swaps", "compat_total_blocks", "compat_fair_blocks",
+              "compat_windows", "compat_fair_windows", "total_blocks", "fair_blocks", "fair_windows")
 GRID = [(100, 50, 100), (200, 50, 100), (500, 50, 50), (500, 50, 100)]
 
 
@@ -539,8 +541,7 @@ def _(spark, folder):
     """Run report of a repair by the reversed pattern, before and after."""
     trace = user_trace(spark, folder, primary="naive_reversed")
     report = stateful.strategy_metrics(trace, ["naive_reversed"], by=[])
-    return report.select("strategy", "edits", "fair_checks", "total_swaps", "compat_total_blocks", "compat_fair_blocks", "compat_windows",
-                         "compat_fair_windows", "total_blocks", "fair_blocks", "fair_windows")
+    return report.select(*RUN_REPORT)
 
 
 @query("repair_stateful_delivery")
@@ -700,10 +701,25 @@ def _(spark, folder):
                             ["optimal", "naive", "internal_swap"], max_windows=500)
 
 
+@query("grid_repair_reversed")
+def _(spark, folder):
+    """The windows of the standard slow phase, repaired by the reversed pattern: one job for all configurations."""
+    counts = category_counts(load(spark, folder, "events"), "event_type")
+    report = grid.repair_grid(seeded_events(spark, folder, 2), "event_type", counts, GRID, ["naive_reversed"],
+                              "naive_reversed", grid.PHASES["slow"][0])
+    return report.select(*grid.CONFIG, "run_id", *RUN_REPORT)
+
+
+@query("experiment_sweeps")
+def _(spark, folder):
+    """The standard experiment: every point of the three sweeps, both phases with their strategies, ten runs."""
+    return experiment.run_experiment(load(spark, folder, "events", "event_id", "event_type"), "event_type",
+                                     ["event_id"], grid.sweep_table(spark))
+
+
 @query("experiment_significance")
 def _(spark, folder):
+    """The optimal strategy against every other one of both standard phases, paired by run."""
     points = grid.sweep_table(spark, {"W": {"window": [100, 200], "block": [50], "landmark": [100]}})
-    results = experiment.run_experiment(
-        load(spark, folder, "events", "event_id", "event_type"), "event_type", ["event_id"], points, runs=3,
-        phases={"slow": (500, ["naive", "optimal", "internal_swap"])})
-    return experiment.compare_experiment(results)
+    return experiment.compare_experiment(experiment.run_experiment(
+        load(spark, folder, "events", "event_id", "event_type"), "event_type", ["event_id"], points, runs=3))

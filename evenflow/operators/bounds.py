@@ -140,12 +140,17 @@ def _largest_remainder(floor: Sequence[int], rest: Sequence[float], block: int)
     return tuple(f + (i in winners) for i, f in enumerate(floor))
 
 
-def fit_bounds(df: DataFrame, attr: str, block: int) -> Bounds:
+#: Categories that a dense monitor carries at most, one count column each; see ``many_categories`` beyond that.
+MOST_CATEGORIES = 1024
+
+
+def fit_bounds(df: DataFrame, attr: str, block: int, places: int | None = None) -> Bounds:
     """Bounds from the real distribution of ``attr``: one aggregate, one row per category back.
 
-    Monitoring allows more categories than a block has places; the planners do not (``check_places``).
+    Monitoring allows more categories than a block has places; the planners do not (``check_places``). An attribute
+    with more than ``places`` categories is refused: ``many_categories`` monitors those without a list of them.
     """
-    return Bounds.from_counts(category_counts(df, attr), block)
+    return Bounds.from_counts(category_counts(df, attr, places), block)
 
 
 def check_places(bounds: Bounds) -> None:
@@ -157,10 +162,13 @@ def check_places(bounds: Bounds) -> None:
 def category_counts(df: DataFrame, attr: str, places: int | None = None) -> dict[str, int]:
     """Counts per category in natural category order, one row per category on the driver.
 
-    With ``places`` the categories are counted first, and more of them than that are refused before any is fetched.
+    At most one row more than ``places`` is fetched (``MOST_CATEGORIES`` unless given); if it is there, the attribute
+    is refused.
     """
+    places = MOST_CATEGORIES if places is None else places
     grouped = df.where(F.col(attr).isNotNull()).groupBy(attr).agg(F.count(F.lit(1)).alias("n"))
-    if places is not None and (kinds := grouped.count()) > places:
-        raise ValueError(f"{attr} has {kinds} categories, more than {places}")
-    counted = grouped.orderBy(attr).select(F.col(attr).cast("string").alias("category"), "n").collect()
+    named = grouped.orderBy(attr).limit(places + 1).select(F.col(attr).cast("string").alias("category"), "n")
+    counted = named.collect()
+    if len(counted) > places:
+        raise ValueError(f"{attr} has more than {places} categories; use many_categories")
     return {row.category: row.n for row in counted}

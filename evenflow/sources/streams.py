@@ -6,7 +6,7 @@ file source has the same shape and needs no broker.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,3 +69,42 @@ def append_sink(df: DataFrame, path: str, checkpoint: str, file_format: str = "p
         df.writeStream.format(file_format).option("path", path).option("checkpointLocation", checkpoint)
         .outputMode("append")
     )
+
+
+def commit_sink(df: DataFrame, path: str, checkpoint: str, name: str, file_format: str = "parquet",
+                after: Callable[[int], None] | None = None) -> DataStreamWriter:
+    """Sink that holds every micro-batch once, also when Spark repeats it; start it, or add a trigger first.
+
+    Between the write of a batch and its entry in the checkpoint a driver may be lost, and the restarted query gets
+    that batch again. Each batch has its folder, named by query and batch; a finished one has its success marker and is
+    not written a second time, a half-written one is replaced. ``after`` runs once a batch is there, before Spark notes
+    it. ``name`` must stay the same over restarts and be different for every query that writes to ``path``.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        folder = f"{path}/query={name}/batch={number}"
+        if not _matches(batch.sparkSession, f"{folder}/_SUCCESS"):
+            batch.write.format(file_format).mode("overwrite").option(
+                "mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").save(folder)
+        if after is not None:
+            after(number)
+
+    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def read_committed(spark: SparkSession, path: str, schema: StructType, file_format: str = "parquet") -> DataFrame:
+    """Rows of all finished batches of a ``commit_sink`` with their ``query`` and ``batch``.
+
+    The driver lists one marker per batch. Batches that are still being written, or never were finished, are left out.
+    """
+    done = [marker.rsplit("/", 1)[0] for marker in _matches(spark, f"{path}/query=*/batch=*/_SUCCESS")]
+    full = StructType([*schema.fields, *StructType.fromDDL("query string, batch long").fields])
+    if not done:
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).option("basePath", path).format(file_format).load(done)
+
+
+def _matches(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that fit a pattern, on whichever file system it names."""
+    glob = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob)
+    return [status.getPath().toString() for status in found or ()]

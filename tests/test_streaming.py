@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from evenflow.operators.bounds import Bounds, fit_bounds
 from evenflow.operators.monitor import monitor_running
 from evenflow.operators.order import ordered_stream
 from evenflow.operators.stateful import stateful_repair
-from evenflow.sources.streams import append_sink, decode_messages, encode_messages, read_files
+from evenflow.sources.streams import append_sink, commit_sink, decode_messages, encode_messages, read_committed, read_files
 from evenflow.streaming.arrivals import arrival_gaps, arrival_summary
 from evenflow.streaming.stateful import stream_monitor, stream_repair
 
@@ -114,3 +117,33 @@ def test_golden_repair_in_one_stream(spark, tmp_path):
     live = stream_repair(read_files(spark, folder, rows.schema), ["k"], ["i"], "c", bounds, 4, 2)
     got = run_to_rows(spark, live, tmp_path, "golden").orderBy("out_pos").collect()
     assert [r.arrival for r in got] == [0, 1, 2, 4]
+
+
+def test_commit_sink_holds_a_repeated_batch_once(spark, keyed, tmp_path):
+    """The query fails after a batch was written and before Spark noted it; the restart gets the same batch again."""
+    folder, out, state = (str(tmp_path / name) for name in ("in", "out", "state"))
+    write_in_order(keyed, folder, 3)
+    seen = []
+
+    def fail_once(number):
+        seen.append(number)
+        if seen == [0, 1]:
+            raise RuntimeError("driver lost")
+
+    def start():
+        live = read_files(spark, folder, keyed.schema)
+        return commit_sink(live, out, state, "rows", after=fail_once).trigger(availableNow=True).start()
+
+    assert read_committed(spark, out, keyed.schema).count() == 0
+    with pytest.raises(Exception, match="driver lost"):
+        start().awaitTermination(300)
+    before = {p: p.stat().st_mtime_ns for p in Path(out).rglob("*.parquet")}
+    half = Path(out) / "query=rows" / "batch=2"
+    half.mkdir()
+    shutil.copy(next(iter(before)), half / "part-of-a-lost-task.parquet")   # no success marker: must not be read, is replaced
+    assert read_committed(spark, out, keyed.schema).select("batch").distinct().count() == 2
+    start().awaitTermination(300)
+    assert seen == [0, 1, 1, 2]
+    assert all(p.stat().st_mtime_ns == at for p, at in before.items())
+    got = read_committed(spark, out, keyed.schema)
+    assert got.count() == keyed.count() and got.select("event_id").distinct().count() == keyed.count()
