@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -48,7 +49,7 @@ def block_deficits(stream: OrderedStream, attr: str, bounds: Bounds) -> DataFram
 def remaining_deficit(stream: OrderedStream, attr: str, bounds: Bounds) -> DataFrame:
     """Total shortage of this aligned block and all later ones of its stream."""
     per_block = block_deficits(stream, attr, bounds).select(*stream.keys, "block", "deficit")
-    blocks = OrderedStream(per_block, stream.keys, "block", stream.tile_rows)
+    blocks = replace(stream, df=per_block, pos="block")
     before = running_totals(blocks, {"_before": F.col("deficit")}, inclusive=False)
     total = per_block.groupBy(*stream.keys).agg(F.sum("deficit").alias("_total"))
     joined = (
@@ -139,9 +140,7 @@ def window_updates(stream: OrderedStream, attr: str, bounds: Bounds, window: int
 def monitor_running(stream: OrderedStream, attr: str, bounds: Bounds, window: int) -> DataFrame:
     """The monitor with its metrics after each window."""
     blocks = check_window(window, bounds.block)
-    seen = OrderedStream(
-        window_monitor(stream, attr, bounds, window), stream.keys, "window_number", stream.tile_rows
-    )
+    seen = replace(stream, df=window_monitor(stream, attr, bounds, window), pos="window_number")
     return running_totals(seen, {"fair_so_far": F.col("fair_blocks")}).withColumn(
         "pct_so_far", F.col("fair_so_far") * 100 / (F.col("window_number") * blocks)
     )

@@ -18,13 +18,17 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evenflow.session import materialize
 
-#: Rows of one stream key handled by one window task (the halo comes on top).
-TILE_ROWS = 1 << 17
+#: Rows of a tile (the halo comes on top). Small enough that tiles spread evenly over the tasks.
+TILE_ROWS = 1 << 15
+
+#: Rows that a task sorts on average. A stream beyond that gets as many tasks as it takes, whatever the session's
+#: number and size of partitions are, so the memory of a task does not grow with the stream.
+TASK_ROWS = 1 << 18
 
 
 def int_div(column: str, divisor: int) -> Column:
@@ -32,14 +36,23 @@ def int_div(column: str, divisor: int) -> Column:
     return F.expr(f"`{column}` div {divisor}")
 
 
+def task_count(spark: SparkSession, rows: int) -> int | None:
+    """Tasks for a stream of so many rows; None leaves a short one to Spark."""
+    return None if rows <= TASK_ROWS else max(-(-rows // TASK_ROWS), spark.sparkContext.defaultParallelism)
+
+
 @dataclass(frozen=True)
 class OrderedStream:
-    """Rows with a dense position. ``tile_rows`` is None when the caller vouches that every key fits one task."""
+    """Rows with a dense position. ``tile_rows`` is None when the caller vouches that every key fits one task.
+
+    ``tasks`` is the number of tasks that share the tiles; None leaves it to Spark.
+    """
 
     df: DataFrame
     keys: tuple[str, ...]
     pos: str = "pos"
     tile_rows: int | None = None
+    tasks: int | None = None
 
     def with_df(self, df: DataFrame) -> OrderedStream:
         return replace(self, df=df)
@@ -51,7 +64,12 @@ class OrderedStream:
         home = int_div(self.pos, self.tile_rows)
         last = F.expr(f"(`{self.pos}` + {halo}) div {self.tile_rows}")
         spread = self.df.withColumn("_tile", F.explode(F.sequence(home, last)))
-        return spread, [*self.keys, "_tile"], home == F.col("_tile")
+        parts = [*self.keys, "_tile"]
+        return self.dealt(spread, parts), parts, home == F.col("_tile")
+
+    def dealt(self, tiled: DataFrame, parts: Sequence[str]) -> DataFrame:
+        """One exchange by tile, into ``tasks`` partitions, that all windows of a tile share."""
+        return tiled if self.tasks is None else tiled.repartition(self.tasks, *parts)
 
 
 def ordered_stream(
@@ -75,13 +93,14 @@ def ordered_stream(
         return OrderedStream(ranked, keys, pos)
     if how != "range":
         raise ValueError(f"unknown ordering method {how!r}")
-    return OrderedStream(_range_positions(df, keys, order_by, pos), keys, pos, tile_rows)
+    tasks = task_count(df.sparkSession, df.count())
+    return OrderedStream(_range_positions(df, keys, order_by, pos, tasks), keys, pos, tile_rows, tasks)
 
 
-def _range_positions(df: DataFrame, keys: tuple[str, ...], order_by: Sequence[str], pos: str) -> DataFrame:
+def _range_positions(df: DataFrame, keys: tuple[str, ...], order_by: Sequence[str], pos: str, tasks: int | None) -> DataFrame:
     by = [*keys, *order_by]
     seats = materialize(
-        df.repartitionByRange(*by)
+        (df.repartitionByRange(*by) if tasks is None else df.repartitionByRange(tasks, *by))
         .sortWithinPartitions(*by)
         .withColumn("_seat", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_seat", 33))
@@ -127,7 +146,7 @@ def running_totals(stream: OrderedStream, totals: Mapping[str, Column], inclusiv
             F.coalesce(F.sum(expr).over(frame), F.lit(0)).alias(name) for name, expr in totals.items()
         ])
     parts = [*stream.keys, "_tile"]
-    tiled = stream.df.withColumn("_tile", int_div(stream.pos, stream.tile_rows))
+    tiled = stream.dealt(stream.df.withColumn("_tile", int_div(stream.pos, stream.tile_rows)), parts)
     local = Window.partitionBy(*parts).orderBy(stream.pos).rowsBetween(Window.unboundedPreceding, end)
     rows = tiled.select("*", *[
         F.coalesce(F.sum(expr).over(local), F.lit(0)).alias(name) for name, expr in totals.items()
