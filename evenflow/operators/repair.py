@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 from evenflow.operators.bounds import Bounds, check_places
 from evenflow.operators.monitor import check_window, chunk_scores
 from evenflow.operators.order import OrderedStream, int_div, spread
-from evenflow.plans.labels import fair_blocks_per_window
+from evenflow.plans.labels import fair_blocks_of_chunks
 from evenflow.plans.optimal import longest_fair_length
 from evenflow.plans.registry import Strategy, strategy, template_function
 
+#: Labels of chunks that are planned and scored at once.
+LABELS_TOGETHER = 1 << 20
+
 
 @dataclass(frozen=True)
 class Chunks:
@@ -141,22 +144,38 @@ def case_scores(df: DataFrame, labels: str, case: str,
     chosen = [[strategy(n) for n in strategies] for strategies, *_ in cases]
     places = [[names.index(n) for n in strategies] for strategies, *_ in cases]
 
-    def scorer(number: int) -> Callable[[np.ndarray], list[list[int]]]:
+    def scorer(number: int) -> Callable[[np.ndarray], np.ndarray]:
+        """Chunks of one length to (chunks x strategies x figures)."""
         _, bounds, window, landmark = cases[number]
         floor, ceiling, blocks = np.array(bounds.floor), np.array(bounds.ceiling), window // bounds.block
         makers = _makers(chosen[number], bounds, window, landmark)
+        many = [s.make_many(bounds, window) if s.make_many else None for s in chosen[number]]
+
+        def score(place: int, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+            fair = fair_blocks_of_chunks(after, window, bounds.block, floor, ceiling)
+            figures = fair.sum(axis=1), (fair == blocks).sum(axis=1), (before != after).sum(axis=1)
+            return np.stack([np.full(len(before), place), np.full(len(before), fair.shape[1]), *figures], axis=1)
 
-        def score(before: np.ndarray, after: np.ndarray) -> list[int]:
-            fair = fair_blocks_per_window(after, window, bounds.block, floor, ceiling)
-            return [len(fair), int(fair.sum()), int((fair == blocks).sum()), int((before != after).sum())]
+        def templates(chunks: np.ndarray, make: Callable, together: Callable | None) -> np.ndarray:
+            if together is not None and chunks.shape[1] == window + landmark:
+                return together(chunks)
+            return np.stack([make(chunk) for chunk in chunks])
 
-        return lambda chunk: [[place, *score(chunk, make(chunk))]
-                              for place, make in zip(places[number], makers, strict=True)]
+        return lambda chunks: np.stack([score(place, chunks, templates(chunks, make, together)) for place, make, together in zip(
+            places[number], makers, many, strict=True)], axis=1)
 
     def plan(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         scorers = [scorer(number) for number in range(len(cases))]
         for numbers, series in batches:
-            yield pd.Series([scorers[n](chunk) for n, chunk in zip(numbers, series, strict=True)], dtype=object)
+            found = np.empty(len(series), dtype=object)
+            alike = pd.DataFrame({"case": numbers.to_numpy(), "length": [len(chunk) for chunk in series]})
+            for (number, length), at in alike.groupby(["case", "length"]).indices.items():
+                together = max(1, LABELS_TOGETHER // max(1, length))
+                for some in (at[i:i + together] for i in range(0, len(at), together)):
+                    figures = scorers[number](np.stack([series.iloc[i] for i in some])).tolist()
+                    for i, one in zip(some, figures, strict=True):
+                        found[i] = one
+            yield pd.Series(found, dtype=object)
 
     scored = df.withColumn("_scores", F.pandas_udf(plan, "array<array<int>>")(F.col(case), F.col(labels)))
     named = scored.select(*[c for c in df.columns if c != labels], F.explode("_scores").alias("_s"))

@@ -42,3 +42,14 @@ def fair_blocks_per_window(labels: np.ndarray, window: int, block: int, floor: n
     verdict = fair_blocks(labels, block, floor, ceiling)
     starts = max(0, len(labels) - window + 1)
     return sum(verdict[lag:lag + starts].astype(np.int64) for lag in range(0, window, block))
+
+
+def fair_blocks_of_chunks(chunks: np.ndarray, window: int, block: int, floor: np.ndarray, ceiling: np.ndarray) -> np.ndarray:
+    """``fair_blocks_per_window`` of every row of ``chunks``."""
+    fair, starts = True, max(0, chunks.shape[1] - window + 1)
+    for kind, (low, high) in enumerate(zip(floor, ceiling, strict=True)):
+        seen = np.zeros((len(chunks), chunks.shape[1] + 1), dtype=np.int64)
+        np.cumsum(chunks == kind, axis=1, out=seen[:, 1:])
+        counts = seen[:, block:] - seen[:, : max(0, seen.shape[1] - block)]
+        fair = fair & (counts >= low) & (counts <= high)
+    return sum(fair[:, lag:lag + starts].astype(np.int64) for lag in range(0, window, block))

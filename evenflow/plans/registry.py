@@ -11,7 +11,7 @@ import numpy as np
 from evenflow.operators.bounds import Bounds
 from evenflow.plans.optimal import optimal_template
 from evenflow.plans.pattern import naive_template, reversed_template
-from evenflow.plans.swaps import greedy_swap, internal_swap
+from evenflow.plans.swaps import greedy_swap, greedy_swaps, internal_swap
 
 
 @dataclass(frozen=True)
@@ -25,6 +25,8 @@ class Strategy:
     by_counts: bool
     make: Callable[[Bounds, int], Callable[[np.ndarray], np.ndarray]]
     needs_whole_blocks: bool = True
+    #: The same for many chunks of one length at once: (chunks x labels) to (chunks x templates).
+    make_many: Callable[[Bounds, int], Callable[[np.ndarray], np.ndarray]] | None = None
 
 
 _STRATEGIES: dict[str, Strategy] = {}
@@ -86,6 +88,13 @@ def _greedy(weighted: bool):
     return make
 
 
+def _greedy_many(weighted: bool):
+    def make(bounds: Bounds, window: int):
+        target, visit = _arrays(bounds)[2], _visit_order(bounds)
+        return lambda chunks: greedy_swaps(chunks, window, bounds.block, target, visit, weighted)
+    return make
+
+
 def _identity(bounds: Bounds, window: int):
     return lambda labels: np.asarray(labels)
 
@@ -96,7 +105,7 @@ for _strategy in (
     Strategy("naive", True, _naive),
     Strategy("naive_reversed", True, _reversed),
     Strategy("internal_swap", False, _internal),
-    Strategy("greedy_swap", False, _greedy(False)),
-    Strategy("weighted_greedy_swap", False, _greedy(True)),
+    Strategy("greedy_swap", False, _greedy(False), make_many=_greedy_many(False)),
+    Strategy("weighted_greedy_swap", False, _greedy(True), make_many=_greedy_many(True)),
 ):
     register_strategy(_strategy)
