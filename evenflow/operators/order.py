@@ -30,6 +30,10 @@ TILE_ROWS = 1 << 15
 #: number and size of partitions are, so the memory of a task does not grow with the stream.
 TASK_ROWS = 1 << 18
 
+#: Up to so many partitions (``spark.shuffle.sort.bypassMergeThreshold``) a task writes what it shuffles straight to
+#: files; into more partitions it first holds all of it in memory.
+DIRECT_PARTITIONS = 200
+
 
 def int_div(column: str, divisor: int) -> Column:
     """Integer division of a non-negative column."""
@@ -79,10 +83,12 @@ def ordered_stream(
     how: str = "range",
     tile_rows: int = TILE_ROWS,
     pos: str = "pos",
+    rows: int | None = None,
 ) -> OrderedStream:
     """Give every row its dense position within ``keys``; ``order_by`` must be unique inside a key.
 
-    Pass only the columns that the operators need: a large stream is written once, with all its columns.
+    Pass only the columns that the operators need: a large stream is written once, with all its columns. ``rows`` is
+    the number of rows where the caller knows it; otherwise they are counted.
     """
     keys = tuple(keys)
     if how == "window":
@@ -93,7 +99,7 @@ def ordered_stream(
         return OrderedStream(ranked, keys, pos)
     if how != "range":
         raise ValueError(f"unknown ordering method {how!r}")
-    tasks = task_count(df.sparkSession, df.count())
+    tasks = task_count(df.sparkSession, df.count() if rows is None else rows)
     return OrderedStream(_range_positions(df, keys, order_by, pos, tasks), keys, pos, tile_rows, tasks)
 
 
@@ -107,13 +113,17 @@ def _range_positions(df: DataFrame, keys: tuple[str, ...], order_by: Sequence[st
     )
     stretch = seats.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_seat").alias("_first"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    stretch_key = F.struct(*keys, "_part").alias("_stretch")  # equal structs may hold nulls
     offsets = stretch.select(
-        *keys, "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+        stretch_key, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
+    rows = seats.select("*", stretch_key)
+    if tasks is not None:  # else adaptive execution may join millions of rows in a task, which then shuffles them all
+        rows = rows.repartition(min(tasks, DIRECT_PARTITIONS), "_stretch")
     return (
-        null_safe_join(seats, offsets, [*keys, "_part"])
+        rows.join(offsets, "_stretch")
         .withColumn(pos, F.col("_seat") - F.col("_first") + F.col("_before"))
-        .drop("_seat", "_part", "_first", "_before")
+        .drop("_stretch", "_seat", "_part", "_first", "_before")
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evenflow.functions.columns import crossed, shuffle_key
 from evenflow.operators.bounds import distribution
-from evenflow.operators.order import OrderedStream, ordered_stream
+from evenflow.operators.order import OrderedStream, ordered_stream, task_count
 from evenflow.operators.quantiles import count_values, quantiles_of_counts
 
 
@@ -51,10 +51,18 @@ def minute_clock(stream: OrderedStream, out: str, base: str = "2020-01-01 00:00:
 
 
 def seeded_runs(df: DataFrame, runs: int, row_id: Sequence[str], how: str = "range") -> OrderedStream:
-    """The table once per run 1..runs, each in its own reproducible random order."""
+    """The table once per run 1..runs, each in its own reproducible random order.
+
+    The plain rows of a long stream are dealt to its tasks before they are repeated: a task that reads a large piece of
+    the table would otherwise hold that piece ``runs`` times when it hands its rows on.
+    """
+    rows = df.count() * runs if how == "range" else None
+    tasks = task_count(df.sparkSession, rows or 0)
+    if tasks is not None:
+        df = df.repartition(tasks, *row_id)
     numbers = df.sparkSession.range(1, runs + 1).select(F.col("id").cast("int").alias("run_id"))
     repeated = df.crossJoin(F.broadcast(numbers)).withColumn("_shuffle", shuffle_key(F.col("run_id"), *row_id))
-    return ordered_stream(repeated, ["run_id"], ["_shuffle", *row_id], how=how)
+    return ordered_stream(repeated, ["run_id"], ["_shuffle", *row_id], how=how, rows=rows)
 
 
 @dataclass(frozen=True)
