@@ -4,7 +4,7 @@ Features are cut into quantile bins. Boosting goes round the features in turn; e
 the gradients of one feature's bins and adds it, shrunk, to that feature's lookup table. When the single features are
 done, the pairs with the largest remaining gain get tables of their own in the same way. A score is the logistic
 function of an intercept plus one table entry per feature and pair. Fitting uses a bounded labelled sample on the
-driver; scoring adds table entries of whole batches of binned rows inside the tasks.
+driver; scoring counts the texts of a whole batch and adds the table entries of its binned rows, inside the tasks.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql.types import DoubleType
 
 from evenflow.llm.labelled import MAX_TRAIN, held_out, training_sample
 from evenflow.llm.store import free_names
-from evenflow.llm.text_stats import FEATURES, ratios, with_statistics
+from evenflow.llm.text_stats import feature_rows
 
 RIDGE, LEAST_WEIGHT = 1.0, 2.0
 
@@ -148,16 +148,16 @@ def fit_additive(
 def _scorer(model: AdditiveModel):
     @F.arrow_udf(DoubleType())
     def score(column: pa.Array) -> pa.Array:
-        x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), len(FEATURES))
-        return pa.array(model.scores(x))
+        return pa.array(model.scores(feature_rows(column)))
     return score
 
 
 def with_quality(docs: DataFrame, model: AdditiveModel, into: str) -> DataFrame:
-    """``docs`` with the score of every row's text; other columns are kept and not read."""
-    counts, = free_names(docs, "counts")
-    x = ratios(counts)
-    return with_statistics(docs, into=counts).withColumn(into, _scorer(model)(F.array(*(x[n] for n in FEATURES)))).drop(counts)
+    """``docs`` with the score of every row's text; other columns are kept and not read.
+
+    Texts are counted and scored in one step: with two, every task would keep two Python workers.
+    """
+    return docs.withColumn(into, _scorer(model)(F.col("text").cast("string")))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, parts: int = 5, part: int = 0,

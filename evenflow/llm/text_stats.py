@@ -9,6 +9,8 @@ A null or empty text has 0 everywhere.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -88,6 +90,18 @@ def with_statistics(docs: DataFrame, text: str = "text", into: str = "__counts")
     return docs.withColumn(into, _counts(F.col(text).cast("string")))
 
 
+def _features(share, log) -> dict:
+    """The features by name; ``share(part, whole)`` and ``log(count)`` take names of counts."""
+    return {
+        "words": log("n_words"), "word_length": share("word_chars", "n_words"), "symbols": share("n_symbols", "word_chars"),
+        "dup_lines": share("n_dup_lines", "n_lines"), "repeats": share("n_repeat_words", "n_words"),
+        "distinct": share("n_distinct_words", "n_words"), "upper": share("n_upper", "word_chars"),
+        "lower": share("n_lower", "word_chars"), "digits": share("n_digits", "word_chars"), "marks": share("n_marks", "n_words"),
+        "exclaims": share("n_exclaim", "n_words"), "bars": share("n_bars", "n_words"), "wide": share("n_wide", "word_chars"),
+        "stops": share("n_stops", "n_words"), "line_words": share("n_words", "n_lines"), "longest": log("max_word"),
+    }
+
+
 def ratios(counts: str = "__counts") -> dict[str, Column]:
     """Size-free features of a struct of counts, as Spark expressions; 0 where the denominator is 0."""
     c = {name: F.col(counts)[name] for name in STATS}
@@ -95,14 +109,21 @@ def ratios(counts: str = "__counts") -> dict[str, Column]:
     def share(part, whole):
         return F.when(c[whole] > 0, c[part] / c[whole]).otherwise(F.lit(0.0))
 
-    return {
-        "words": F.log1p(c["n_words"]), "word_length": share("word_chars", "n_words"), "symbols": share("n_symbols", "word_chars"),
-        "dup_lines": share("n_dup_lines", "n_lines"), "repeats": share("n_repeat_words", "n_words"),
-        "distinct": share("n_distinct_words", "n_words"), "upper": share("n_upper", "word_chars"),
-        "lower": share("n_lower", "word_chars"), "digits": share("n_digits", "word_chars"), "marks": share("n_marks", "n_words"),
-        "exclaims": share("n_exclaim", "n_words"), "bars": share("n_bars", "n_words"), "wide": share("n_wide", "word_chars"),
-        "stops": share("n_stops", "n_words"), "line_words": share("n_words", "n_lines"), "longest": F.log1p(c["max_word"]),
-    }
+    return _features(share, lambda name: F.log1p(c[name]))
+
+
+def feature_rows(column: pa.Array) -> np.ndarray:
+    """The features of whole texts, one row a text in the order of ``FEATURES``: ``ratios`` inside a task."""
+    rows = []
+    for _, texts in pieces(column):
+        c = statistics(texts)
+
+        def share(part, whole, c=c):
+            return np.divide(c[part], c[whole], out=np.zeros(len(c[whole])), where=c[whole] > 0)
+
+        found = _features(share, lambda name, c=c: np.array([math.log1p(n) for n in c[name].tolist()]))
+        rows.append(np.column_stack([found[name] for name in FEATURES]))
+    return np.concatenate(rows) if rows else np.zeros((0, len(FEATURES)))
 
 
 FEATURES = ["words", "word_length", "symbols", "dup_lines", "repeats", "distinct", "upper", "lower", "digits", "marks",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from evenflow.llm.decision_list import BASE, Condition, covered, learn_rules, quality_rules, verdict
 from evenflow.llm.labelled import held_out, training_sample
 from evenflow.llm.language_id import Encoder, identify_languages
-from evenflow.llm.quality_gam import bin_tree, fit_additive, keep_good, pair_tree, quality_scores
+from evenflow.llm.quality_gam import bin_tree, fit_additive, keep_good, pair_tree, quality_scores, with_quality
 from evenflow.llm.text_stats import FEATURES, STATS, ratios, with_statistics
 from tests.conftest import SF
 from tests.llm.samples import SCHEMA, documents
@@ -198,3 +198,14 @@ def test_held_out_part(spark):
     assert [r.h for r in got] == [i is not None and zlib.crc32(str(i).encode()) % 4 == 2 for i in ids]
 
 
+def test_quality_counts_and_scores_in_one_python_step(spark, labels):
+    rows = [(i, t) for i, t in enumerate([None, "", " \n", "One two. Three!", "a b a b\n" * 40, "#*| é 漢字 " * 9, "x" * 3000])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    x = np.random.default_rng(3).random((400, len(FEATURES))) * 4
+    model = fit_additive(x, (x.sum(axis=1) > 32).astype(float))
+    found = with_quality(docs, model, "score")
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    apart = with_statistics(docs).select("doc_id", F.array(*(ratios()[n] for n in FEATURES)).alias("x")).orderBy("doc_id").collect()
+    want = model.scores(np.array([r.x for r in apart]))
+    assert [r.score for r in found.orderBy("doc_id").collect()] == want.tolist()
+    assert len(set(want.tolist())) > 2
