@@ -5,10 +5,11 @@ A document is the set of its distinct ``k``-word shingles. Two documents link wh
 Parity sketch. The hash space of shingles is cut into P parts; a part's word is the XOR of the hashes of the
 document's shingles in it. A shingle that only one of two documents has changes one word, so the number of differing
 words, and likewise the Hamming distance of a bit sketch in which every shingle toggles one bit, is at most the
-symmetric difference. Two sets of sizes a <= b with Jaccard >= J differ in at most (1 - J) / (1 + J) * (a + b)
-shingles, and b <= a / J. So if both sign their first q non-zero words, where q exceeds that bound for the largest
-partner, at least one signed word agrees (pigeonhole). P depends on a band of sizes; a document near the upper end
-of its band signs for the next band too.
+symmetric difference. Bit sketches get wider with the set, so that the bound tells unrelated sets apart at any size; two
+of different widths are compared at the narrower one. Two sets of sizes a <= b with Jaccard >= J differ in at most
+(1 - J) / (1 + J) * (a + b) shingles, and b <= a / J. So if both sign their first q non-zero words, where q exceeds that
+bound for the largest partner, at least one signed word agrees (pigeonhole). P depends on a band of sizes; a document
+near the upper end of its band signs for the next band too.
 
 Plan. One pass over the texts gives sizes, set fingerprints, bit sketches and signatures. Equal sets become one class,
 represented by its smallest doc_id. Representatives that share a signature are chained to the smallest of them: one
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from evenflow.llm.store import connected_components, free_names, in_batches, row_key, stored
 from evenflow.llm.text import LOWER, Texts, chain_hashes, distinct, few_words_hash, mix, pieces, word_hashes
 
-SKETCH_WORDS = 32
-BLOCK_SKETCHES = 8192
+SKETCH_WORDS = 32  # of the narrowest sketch, in 64 bits
+BLOCK_SKETCHES = 8192  # narrowest ones; a wider sketch counts as several
 BLOCK_SHINGLES = 1_500_000
 SECOND = np.uint64(0x9E3779B97F4A7C15)
 
@@ -103,10 +104,20 @@ def signatures(shingles: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarr
     return np.concatenate([w for w, _ in out]), np.concatenate([b for _, b in out])
 
 
-def bit_sketch(shingles: np.ndarray) -> np.ndarray:
-    """Every shingle toggles one bit of SKETCH_WORDS * 64."""
+def narrowest_holds(percent: int) -> int:
+    """Up to this set size the narrowest sketch will do: linked pairs differ in a quarter of its bits at most, others in about half."""
+    return max(1, SKETCH_WORDS * 8 * (100 + percent) // max(1, 100 - percent))
+
+
+def sketch_words(n: int, percent: int) -> int:
+    """Width of the sketch of a set of ``n`` shingles: SKETCH_WORDS times a power of 2, so that wide ones fold to narrow ones."""
+    return SKETCH_WORDS << max(0, -(-n // narrowest_holds(percent)) - 1).bit_length()
+
+
+def bit_sketch(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """Every shingle toggles one bit."""
     place = mix(shingles + SECOND)
-    size = SKETCH_WORDS * 64
+    size = sketch_words(len(shingles), percent) * 64
     bits = np.bincount((place % np.uint64(size)).astype(np.int64), minlength=size).astype(np.uint8) & 1
     return np.packbits(bits).view(np.uint64)
 
@@ -121,7 +132,7 @@ def _profile(k: int, percent: int):
                 sizes.append(len(s))
                 one.append(int(np.bitwise_xor.reduce(mix(s), initial=0)))
                 two.append(int(np.add.reduce(mix(s ^ SECOND))) if len(s) else 0)
-                sketch.append(len(s).to_bytes(8, "little") + bit_sketch(s).tobytes())
+                sketch.append(len(s).to_bytes(8, "little") + bit_sketch(s, percent).tobytes())
                 signed.append(signatures(s, bands))
         at = pa.array(np.concatenate([[0], np.cumsum([len(x) for x, _ in signed])]).astype(np.int32))
         return pa.RecordBatch.from_arrays([
@@ -168,20 +179,29 @@ class _Forest:
         self.parent[max(i, j)] = min(i, j)
 
 
-def forest_of_links(size: np.ndarray, sketch: np.ndarray, side: np.ndarray, percent: int, sets: list[np.ndarray] | None) -> list[tuple[int, int]]:
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """A sketch at a smaller width: the one that its set would have there."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
+
+
+def forest_of_links(size: np.ndarray, sketch: list[np.ndarray], side: np.ndarray, percent: int, sets: list[np.ndarray] | None) -> list[tuple[int, int]]:
     """Links of a spanning forest. Pairs are those the Hamming bound allows, verified if ``sets`` are given.
 
-    If both sides 0 and 1 occur, only pairs across them count.
+    If both sides 0 and 1 occur, only pairs across them count. Larger sets never have narrower sketches.
     """
     order = np.argsort(size, kind="stable")
-    size, sketch, side = size[order], sketch[order], side[order]
+    size, sketch, side = size[order], [sketch[i] for i in order], side[order]
+    width = np.array([len(s) for s in sketch])
     across = side.min() != side.max()
     forest, links = _Forest(len(order)), []
-    for i in range(len(order)):
-        end = int(np.searchsorted(size, 100 * size[i] // percent, "right"))
+    ends = np.searchsorted(size, 100 * size // percent, "right")
+    for i, end in enumerate(ends.tolist()):
+        if i == 0 or width[i] != width[i - 1]:  # at this width: its rows and their larger partners
+            first, last = i, int(np.searchsorted(width, width[i], "right"))
+            alike = np.stack([folded(s, width[i]) for s in sketch[first:ends[last - 1]]])
         if end <= i + 1:
             continue
-        near = np.bitwise_count(sketch[i + 1:end] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+        near = np.bitwise_count(alike[i + 1 - first:end - first] ^ alike[i - first]).sum(axis=1, dtype=np.int64)
         possible = near <= most_different(size[i], size[i + 1:end], percent)
         if across:
             possible &= side[i + 1:end] != side[i]
@@ -213,10 +233,10 @@ def _work(percent: int, verify: bool):
             side = np.array([int(r[2] == key[2]) for r in rows])
             if verify:
                 sets = [np.frombuffer(r[1], dtype=np.uint64) for r in rows]
-                links = forest_of_links(np.array([len(s) for s in sets]), np.stack([bit_sketch(s) for s in sets]), side, percent, sets)
+                links = forest_of_links(np.array([len(s) for s in sets]), [bit_sketch(s, percent) for s in sets], side, percent, sets)
             else:
                 size = np.array([int.from_bytes(r[1][:8], "little") for r in rows])
-                sketch = np.stack([np.frombuffer(r[1], dtype=np.uint64)[1:] for r in rows])
+                sketch = [np.frombuffer(r[1], dtype=np.uint64)[1:] for r in rows]
                 links = forest_of_links(size, sketch, side, percent, None)
         return pa.RecordBatch.from_arrays([
             pa.array([key[0]] * len(links), pa.int64()), pa.array([ids[i] for i, _ in links], pa.int64()),
@@ -277,13 +297,14 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, block_shingle
 
     # First round: pairs that the Hamming bound of bit sketches allows.
     sketches = reps.select("doc_id", F.col("sketch").alias("data"))
-    placed = _in_blocks(chained.select(F.xxhash64("bands", "component").alias("grp"), F.col("node").alias("doc_id"), F.lit(1).alias("one")),
-                        "one", BLOCK_SKETCHES)
+    sized = live.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
+    width = F.ceil(F.col("n_shingles") / F.lit(narrowest_holds(percent)))
+    placed = _in_blocks(chained.select(F.xxhash64("bands", "component").alias("grp"), F.col("node").alias("doc_id")).join(
+        sized.select("doc_id", width.alias("width")), "doc_id"), "width", BLOCK_SKETCHES)
     allowed = _links(placed.join(sketches, "doc_id").select(*ITEM).distinct(), percent, verify=False)
     near = stored(_members(connected_components(allowed, "a", "b")))
 
     # Second round: shingle sets.
-    sized = live.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     placed = _in_blocks(near.select(F.col("component").alias("grp"), F.col("node").alias("doc_id")).join(sized, "doc_id"),
                         "n_shingles", block_shingles)
     items = texts.join(placed, "doc_id").select(*ITEM[:5], "text").mapInArrow(

@@ -485,7 +485,9 @@ def without_repeated_lines(docs: DataFrame, percent: int = 80, least: int = 1, r
     lines = _gone(docs.select("doc_id", "text"), percent, least).groupBy(F.col("doc_id").alias(own), F.col("key").alias(key)).agg(
         F.sort_array(F.collect_set("line")).alias(gone))
     rows = docs.join(lines, (doc == F.col(own)) & (row_key(doc, text) == F.col(key)), "left")
-    columns = [_without_lines(text, F.col(gone)).alias(c) if c == "text" else F.col(c) for c in docs.columns]
+    # A deterministic function would be copied into a later filter on the text: a second pass, and twice the workers a task.
+    cut = _without_lines.asNondeterministic()(text, F.col(gone))
+    columns = [cut.alias(c) if c == "text" else F.col(c) for c in docs.columns]
     if removed:
         columns.append(F.coalesce(gone, F.array().cast("array<int>")).alias(removed))
     return rows.select(*columns)
