@@ -10,7 +10,8 @@ known by 45 bits of their hashes and sets by 64-bit fingerprints.
 
 Equal sets are one class, so copies cost nothing: of the lines of a class that one Arrow batch holds, all but the
 earliest go without further work. Buckets of a word and tied groups are cut into blocks of bounded size; a work item
-returns a spanning forest or the lines that go, never all pairs.
+returns a spanning forest or the lines that go, never all pairs. Prefix words travel by ranges of buckets, many in one
+row; there are the more ranges the more words the corpus has.
 """
 
 from __future__ import annotations
@@ -19,15 +20,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from evenflow.llm.store import connected_components, free_names, in_batches, row_key, stored
-from evenflow.llm.text import LOWER, Texts, distinct, mix, pieces, word_hashes
+from evenflow.llm.text import Texts, distinct, lowered, mix, pieces, word_hashes
 
 SLOTS = 1 << 20
+SLOT_PARTS = 16
 BLOCK_LINES, BLOCK_WORDS, HELD_ROWS = 4096, 1_500_000, 200_000
+RANGE_ROWS, SENT_ROWS = 100_000, 400_000  # prefix words of a range of buckets, about, and of one batch of them
 FILTER_BITS = 1 << 24
 PART = 1 << 19  # lines numbered at once in a sort key
 ID_BITS = 45  # of a word's hash
@@ -35,13 +39,14 @@ ID_BITS = 45  # of a word's hash
 
 def line_sets(texts: Texts, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Lines with ``least`` distinct words or more, in runs: row, line number, word borders, sorted word ids."""
-    data = LOWER[texts.data]
+    data = lowered(texts.data)
     starts, ends, rows = texts.words()
     hashes = word_hashes(data, starts, ends) >> np.uint64(64 - ID_BITS)
     feeds = np.flatnonzero(texts.data == 10)
     border = np.searchsorted(feeds, texts.offsets)  # line feeds before each row
     row = np.repeat(np.arange(len(texts)), np.diff(rows))
-    line = np.searchsorted(feeds, starts) + row  # of the piece: a row starts a line too
+    before = np.diff(np.searchsorted(starts, feeds), prepend=0, append=len(starts))  # words between line feeds
+    line = np.repeat(np.arange(len(feeds) + 1), before) + row  # of the piece: a row starts a line too
     for begin, end in _runs(line):
         low = int(line[begin])
         key = distinct(((line[begin:end] - low).astype(np.uint64) << np.uint64(ID_BITS)) | hashes[begin:end])
@@ -49,7 +54,8 @@ def line_sets(texts: Texts, least: int) -> Iterator[tuple[np.ndarray, np.ndarray
         at = np.concatenate([[0], np.flatnonzero(number[1:] != number[:-1]) + 1, [len(number)]]) if len(number) else np.zeros(1, dtype=int)
         size = np.diff(at)
         kept = size >= least
-        words = (key & np.uint64((1 << ID_BITS) - 1))[np.repeat(kept, size)]
+        words = key & np.uint64((1 << ID_BITS) - 1)
+        words = words if kept.all() else words[np.repeat(kept, size)]
         own = number[at[:-1][kept]]
         own_row = row[begin:end][np.searchsorted(line[begin:end], own)]
         yield own_row, own - own_row - border[own_row], np.concatenate([[0], np.cumsum(size[kept])]), words
@@ -84,10 +90,10 @@ def least_common(n, m, percent: int):
     return -((-percent * (n + m)) // (100 + percent))
 
 
-LINES = "doc_id long, key long, lines array<int>, sizes array<int>, classes array<long>, gone array<int>, slots array<int>, counts array<int>"
+LINES = "doc_id long, key long, lines array<int>, sizes array<int>, classes array<long>, gone array<int>, part int, slots binary, counts binary"
 LINES_ARROW = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("lines", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())),
-                         ("classes", pa.list_(pa.int64())), ("gone", pa.list_(pa.int32())), ("slots", pa.list_(pa.int32())),
-                         ("counts", pa.list_(pa.int32()))])
+                         ("classes", pa.list_(pa.int64())), ("gone", pa.list_(pa.int32())), ("part", pa.int32()),
+                         ("slots", pa.binary()), ("counts", pa.binary())])
 
 
 def earliest(cls: np.ndarray, *place: np.ndarray) -> np.ndarray:
@@ -106,7 +112,7 @@ def earliest(cls: np.ndarray, *place: np.ndarray) -> np.ndarray:
 
 
 def _survey(least: int):
-    """(doc_id, key, text) -> a row of lines per text, and per task one row of slot counts (in how many lines a slot's words are).
+    """(doc_id, key, text) -> a row of lines per text, and per task ``SLOT_PARTS`` rows of slot counts (in how many lines a slot's words are).
 
     ``lines`` are the earliest of their classes in the batch, ``gone`` those that another one of the batch precedes.
     """
@@ -126,18 +132,44 @@ def _survey(least: int):
                 cut = np.searchsorted(row[chosen], np.arange(n + 1)).astype(np.int32)
                 return pa.ListArray.from_arrays(pa.array(cut), pa.array(values[chosen].astype(kind)))
 
-            none = pa.nulls(batch.num_rows, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), lists(first, line, np.int32), lists(first, size, np.int32), lists(first, cls.view(np.int64), np.int64),
-                lists(~first, line, np.int32), none, none], schema=LINES_ARROW)
-        slots = np.flatnonzero(seen).astype(np.int32)
+                lists(~first, line, np.int32), *(pa.nulls(batch.num_rows, field.type) for field in list(LINES_ARROW)[6:])], schema=LINES_ARROW)
+        slots = np.flatnonzero(seen)
+        cut = np.searchsorted(slots, np.arange(SLOT_PARTS + 1) * (SLOTS // SLOT_PARTS))
         if len(slots):
             yield pa.RecordBatch.from_arrays([
-                *(pa.nulls(1, field.type) for field in list(LINES_ARROW)[:6]),
-                pa.array([slots]), pa.array([np.minimum(seen[slots], 2 ** 31 - 1).astype(np.int32)])], schema=LINES_ARROW)
+                *(pa.nulls(SLOT_PARTS, field.type) for field in list(LINES_ARROW)[:6]), pa.array(range(SLOT_PARTS), pa.int32()),
+                binaries(slots.astype(np.int32), cut), binaries(seen[slots], cut)], schema=LINES_ARROW)
     return run
 
 
+def binaries(values: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """A binary per ``values[cut[i]:cut[i + 1]]``."""
+    at = (cut * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def joined(column: pa.Array, kind) -> np.ndarray:
+    """What the binaries of a column hold, one after the other."""
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, dtype=np.uint8)[at[0]:at[-1]].view(kind) if data is not None else np.zeros(0, dtype=kind)
+
+
+def _slot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, slots, counts) -> per part its sums, a number for each of its slots."""
+    sums = {}
+    for batch in batches:
+        for i, part in enumerate(batch.column(0).to_pylist()):
+            own = sums.setdefault(part, np.zeros(SLOTS // SLOT_PARTS, dtype=np.int64))
+            slots = joined(batch.column(1).slice(i, 1), np.int32)
+            own[slots - part * len(own)] += joined(batch.column(2).slice(i, 1), np.int64)
+    for part, own in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), binaries(own, np.array([0, len(own)]))], names=["part", "sums"])
+
+
 def rarity(counts: np.ndarray) -> np.ndarray:
     """Slot counts on a logarithmic scale of one byte; 0: at most one line."""
     return np.minimum(255, np.where(counts < 2, 0, np.ceil(8 * np.log2(np.maximum(counts, 1))))).astype(np.uint8)
@@ -147,34 +179,39 @@ def rarity(counts: np.ndarray) -> np.ndarray:
 WIDER = np.array([54, 160, 400, 900, 2000])
 
 
-def parity_sketches(at: np.ndarray, words: np.ndarray) -> list[bytes]:
-    """A sketch per set: every word toggles one bit. Folding a wide sketch gives the narrow one."""
+def sketch_words(size: np.ndarray) -> np.ndarray:
+    """64-bit numbers that the sketch of a set of this size has."""
+    return 1 << np.searchsorted(WIDER, size, "right")
+
+
+def parity_sketches(at: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """A sketch per set, one after the other: every word toggles one bit. Folding a wide sketch gives the narrow one."""
     size = np.diff(at)
-    width = 64 << np.searchsorted(WIDER, size, "right")
-    place, out = mix(words ^ np.uint64(0x5EED)), np.empty(len(size), dtype=object)
-    for bits in np.unique(width).tolist():
-        chosen = np.flatnonzero(width == bits)
-        own = np.repeat(width == bits, size)
-        cell = np.repeat(np.arange(len(chosen)), size[chosen]) * bits + (place[own] % np.uint64(bits)).astype(np.int64)
-        odd = (np.bincount(cell, minlength=len(chosen) * bits) & 1).astype(np.uint8).reshape(len(chosen), bits)
-        out[chosen] = [row.tobytes() for row in np.packbits(odd, axis=1, bitorder="little")]
-    return out.tolist()
+    width = sketch_words(size)
+    begin, end = np.cumsum(width) - width, int(width.sum())
+    bit = (mix(words ^ np.uint64(0x5EED)) & np.repeat((64 * width - 1).astype(np.uint64), size)).astype(np.int64)
+    odd = (np.bincount(bit + np.repeat(64 * begin, size), minlength=64 * end) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<u8")
+
+
+def spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers ``begin[i], begin[i] + 1, ...``, ``size[i]`` of them, one run after the other."""
+    return np.arange(int(size.sum())) + np.repeat(begin - np.cumsum(size) + size, size)
 
 
 class Sketches:
-    """Sketches of rows by width, to compare pairs of rows at the narrower width of the two."""
-
-    def __init__(self, column: pa.Array):
-        column = column.cast(pa.large_binary())
-        _, offsets, data = column.buffers()
-        at = np.frombuffer(offsets, dtype=np.int64)[column.offset:column.offset + len(column) + 1]
-        whole = np.frombuffer(data, dtype=np.uint8)
-        self.width = np.diff(at) // 8
-        self.row, self.by_width, self.fold = np.zeros(len(column), dtype=np.int64), {}, np.zeros(len(column), dtype=np.uint64)
+    """Sketches of rows by width, to compare pairs of rows at the narrower width of the two.
+
+    Row i has its sketch at ``begin[i]`` of ``numbers``.
+    """
+
+    def __init__(self, size: np.ndarray, begin: np.ndarray, numbers: np.ndarray):
+        self.width = sketch_words(size)
+        self.row, self.by_width, self.fold = np.zeros(len(size), dtype=np.int64), {}, np.zeros(len(size), dtype=np.uint64)
         for w in np.unique(self.width).tolist():
             rows = np.flatnonzero(self.width == w)
             self.row[rows] = np.arange(len(rows))
-            self.by_width[w] = np.ascontiguousarray(whole[at[rows][:, None] + np.arange(8 * w)]).view("<u8")
+            self.by_width[w] = numbers[begin[rows][:, None] + np.arange(w)]
             self.fold[rows] = np.bitwise_xor.reduce(self.by_width[w], axis=1)
 
     def folded(self, rows: np.ndarray, w: int, to: int) -> np.ndarray:
@@ -191,53 +228,110 @@ class Sketches:
         return out
 
 
-PREFIX = "bucket long, cls long, sketch binary, fit long"
+PREFIX = "range int, bucket binary, cls binary, sketch binary, fit binary"
 PREFIX_NAMES = [c.split()[0] for c in PREFIX.split(", ")]
 PLACE_BITS, SIDE_BITS = 25, 2  # of ``fit``, which holds size, place and side
 
 
-def _prefixes(least: int, percent: int, rank: np.ndarray):
-    """(text) -> a row per prefix word of every line and bucket it belongs to.
+def bucket_ranges(words: int, percent: int) -> int:
+    """How many ranges the buckets are cut into, a power of two, if the lines have so many words."""
+    return 1 << max(0, -(-words * (100 - percent) // (100 * RANGE_ROWS)) - 1).bit_length()
+
+
+def _prefixes(least: int, percent: int, rank: np.ndarray, ranges: int):
+    """(text) -> the prefix words of every line and the buckets they belong to, a row per batch and range of buckets.
 
     A bucket is a word, or two of the blocks that a common word is cut into; there ``side`` says which of the two is
     the own block, else it is 0. Lines so short that only equal sets match them send nothing.
     """
     least = max(least, -(-percent // (100 - percent)) if percent < 100 else 1 << 62)
+    shift = np.uint64(65 - ranges.bit_length())
+
+    def entries(texts: Texts) -> Iterator[tuple[np.ndarray, ...]]:
+        for _, _, at, words in line_sets(texts, least):
+            if not len(words):
+                continue
+            at, words = one_of_each(at, words)
+            size, cls = np.diff(at), class_ids(at, words)
+            line = np.repeat(np.arange(len(size), dtype=np.uint64), size)
+            rare = rank[(words % np.uint64(SLOTS)).astype(np.int64)].astype(np.uint64)
+            key = np.sort((line << np.uint64(45)) | (rare << np.uint64(37)) | (words >> np.uint64(ID_BITS - 37)))
+            position = np.arange(len(key)) - np.repeat(at[:-1], size)
+            prefix = size - -((-percent * size) // 100) + 1
+            rare = ((key >> np.uint64(37)) & np.uint64(255)).astype(np.int64)
+            use = (position < np.repeat(prefix, size)) & (rare > 0)  # a word of one line finds nobody
+            owner = np.repeat(np.arange(len(size)), size)[use]
+            word, rare = (key & np.uint64((1 << 45) - 1))[use], rare[use]
+            blocks = np.maximum(1, np.ceil(2.0 ** (rare / 8) / BLOCK_LINES)).astype(np.int64)
+            own = (mix(cls[owner] ^ np.uint64(0xB10C)) % blocks.astype(np.uint64)).astype(np.int64)
+            times = np.repeat(np.arange(len(owner)), blocks)
+            other = np.arange(len(times)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            mine = own[times]
+            pair = (np.minimum(mine, other) << 32) | np.maximum(mine, other)
+            bucket = mix(word[times] ^ mix(pair.astype(np.uint64)))
+            side = np.where(mine == other, 0, np.where(mine < other, 1, 2))
+            fit = (size[owner][times] << PLACE_BITS + SIDE_BITS) | (position[use][times] << SIDE_BITS) | side
+            yield bucket, owner[times], fit, cls, parity_sketches(at, words), sketch_words(size)
+
+    def sent(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        lines, numbers = (np.cumsum([0] + [len(h[k]) for h in held]) for k in (3, 4))
+        bucket, fit, cls, sketch, width = (np.concatenate([h[k] for h in held]) for k in (0, 2, 3, 4, 5))
+        owner = np.concatenate([h[1] + n for h, n in zip(held, lines, strict=False)])
+        begin = np.concatenate([np.cumsum(h[5]) - h[5] + n for h, n in zip(held, numbers, strict=False)])
+        number = (bucket >> shift).astype(np.int32) if ranges > 1 else np.zeros(len(bucket), dtype=np.int32)
+        order = np.argsort(number.astype(np.uint16) if ranges <= 1 << 16 else number, kind="stable")
+        number, owner = number[order], owner[order]
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1, [len(number)]])
+        wide = width[owner]
+        ends = np.concatenate([[0], np.cumsum(wide)])
+        return pa.RecordBatch.from_arrays([
+            pa.array(number[cut[:-1]]), binaries(bucket[order], cut), binaries(cls[owner], cut), binaries(sketch[spans(begin[owner], wide)], ends[cut]),
+            binaries(fit[order], cut)], names=PREFIX_NAMES)
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for _, texts in pieces(batch.column(0)):
-            for _, _, at, words in line_sets(texts, least):
-                if not len(words):
-                    continue
-                at, words = one_of_each(at, words)
-                size, cls = np.diff(at), class_ids(at, words)
-                sketch = pa.array(parity_sketches(at, words), pa.binary())
-                line = np.repeat(np.arange(len(size), dtype=np.uint64), size)
-                rare = rank[(words % np.uint64(SLOTS)).astype(np.int64)].astype(np.uint64)
-                key = np.sort((line << np.uint64(45)) | (rare << np.uint64(37)) | (words >> np.uint64(ID_BITS - 37)))
-                position = np.arange(len(key)) - np.repeat(at[:-1], size)
-                prefix = size - -((-percent * size) // 100) + 1
-                rare = ((key >> np.uint64(37)) & np.uint64(255)).astype(np.int64)
-                use = (position < np.repeat(prefix, size)) & (rare > 0)  # a word of one line finds nobody
-                owner = np.repeat(np.arange(len(size)), size)[use]
-                word, rare = (key & np.uint64((1 << 45) - 1))[use].astype(np.int64), rare[use]
-                blocks = np.maximum(1, np.ceil(2.0 ** (rare / 8) / BLOCK_LINES)).astype(np.int64)
-                own = (mix(cls[owner] ^ np.uint64(0xB10C)) % blocks.astype(np.uint64)).astype(np.int64)
-                times = np.repeat(np.arange(len(owner)), blocks)
-                other = np.arange(len(times)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                mine = own[times]
-                pair = (np.minimum(mine, other) << 32) | np.maximum(mine, other)
-                bucket = mix(word[times].view(np.uint64) ^ mix(pair.astype(np.uint64)))
-                side = np.where(mine == other, 0, np.where(mine < other, 1, 2))
-                fit = (size[owner][times] << PLACE_BITS + SIDE_BITS) | (position[use][times] << SIDE_BITS) | side
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(bucket.view(np.int64)), pa.array(cls[owner].view(np.int64)[times]), sketch.take(pa.array(owner[times])), pa.array(fit),
-                ], names=PREFIX_NAMES)
-
-    def all_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for batch in batches:
-            yield from run(batch)
-    return all_batches
+            for _, texts in pieces(batch.column(0)):
+                for found in entries(texts):
+                    if len(found[0]):
+                        held.append(found)
+                        rows += len(found[0])
+                    if rows >= SENT_ROWS:
+                        yield sent(held)
+                        held, rows = [], 0
+        if held:
+            yield sent(held)
+    return run
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], columns: int, weigh, limit: int) -> Iterator[list[pa.RecordBatch]]:
+    """Sorted batches cut where a group (of equal values in the first ``columns``) ends, each time ``limit`` is reached."""
+    held, weight, last = [], 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(i).to_numpy() for i in range(columns)]
+        fresh = np.zeros(batch.num_rows, dtype=bool)
+        fresh[0] = last is not None and last != [k[0] for k in keys]
+        for k in keys:
+            fresh[1:] |= k[1:] != k[:-1]
+        total, begin = np.concatenate([[0], np.cumsum(weigh(batch))]), 0
+        for cut in np.flatnonzero(fresh).tolist():
+            if weight + total[cut] - total[begin] >= limit:
+                if cut > begin:
+                    held.append(batch.slice(begin, cut - begin))
+                yield held
+                held, weight, begin = [], 0, cut
+        held.append(batch.slice(begin))
+        weight += total[-1] - total[begin]
+        last = [k[-1] for k in keys]
+    if held:
+        yield held
+
+
+def eights(name: str):
+    """How many 64-bit numbers a binary column holds, by row."""
+    return lambda batch: pc.binary_length(batch.column(name)).to_numpy(zero_copy_only=False).astype(np.int64) // 8
 
 
 def allowed_ties(cols: dict[str, np.ndarray], sketches: Sketches, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -294,51 +388,54 @@ def allowed_ties(cols: dict[str, np.ndarray], sketches: Sketches, percent: int)
 
 
 def _tie(percent: int):
-    """Prefix rows sorted by bucket -> ties (a, b); whole buckets are taken from the stream, some hundred thousand rows at a time."""
+    """Prefix rows sorted by range -> ties (a, b); whole ranges are taken from the stream, some hundred thousand words at a time."""
     def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        whole = pa.Table.from_batches(parts)
-        bucket, cls, fit = (whole[n].to_numpy() for n in ("bucket", "cls", "fit"))
-        order = np.lexsort((cls, fit >> PLACE_BITS + SIDE_BITS, bucket))
+        bucket, cls, fit, sketch = (np.concatenate([joined(p.column(n), k) for p in parts]) for n, k in (
+            ("bucket", np.uint64), ("cls", np.int64), ("fit", np.int64), ("sketch", np.uint64)))
+        size = fit >> PLACE_BITS + SIDE_BITS
+        width = sketch_words(size)
+        begin = np.cumsum(width) - width
+        order = np.argsort(bucket)
+        same = bucket[order][1:] == bucket[order][:-1]
+        number = np.concatenate([[0], np.cumsum(~same)])
+        shared = np.zeros(len(order), dtype=bool)  # a bucket of one row ties nothing
+        shared[1:] = same
+        shared[:-1] |= same
+        order, number = order[shared], number[shared]
+        again = np.lexsort((cls[order], (number << PLACE_BITS + 1) + size[order]))
+        order, number = order[again], number[again]
         fresh = np.ones(len(order), dtype=bool)
-        fresh[1:] = (np.diff(bucket[order]) != 0) | (np.diff(cls[order]) != 0)  # a class once per bucket
-        whole = whole.combine_chunks().take(pa.array(order[fresh]))
-        fit = whole["fit"].to_numpy()
-        cols = {"bucket": whole["bucket"].to_numpy(), "cls": whole["cls"].to_numpy(), "size": fit >> PLACE_BITS + SIDE_BITS,
-                "place": (fit >> SIDE_BITS) & (1 << PLACE_BITS) - 1, "side": fit & (1 << SIDE_BITS) - 1}
-        a, b = allowed_ties(cols, Sketches(pa.concat_arrays(whole["sketch"].chunks)), percent)
+        fresh[1:] = (np.diff(number) != 0) | (np.diff(cls[order]) != 0)  # a class once per bucket
+        order, number = order[fresh], number[fresh]
+        size = size[order]
+        cols = {"bucket": number, "cls": cls[order], "size": size,
+                "place": (fit[order] >> SIDE_BITS) & (1 << PLACE_BITS) - 1, "side": fit[order] & (1 << SIDE_BITS) - 1}
+        a, b = allowed_ties(cols, Sketches(size, begin[order], sketch), percent) if len(order) else (np.zeros(0, dtype=np.int64),) * 2
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if rows >= HELD_ROWS:  # the last bucket may go on in this batch
-                same = batch.column(0).to_numpy() == held[-1].column(0)[-1].as_py()
-                cut = batch.num_rows if same.all() else int(np.argmin(same))
-                if cut:
-                    held.append(batch.slice(0, cut))
-                if cut == batch.num_rows:
-                    continue
-                yield solve(held)
-                held, rows, batch = [], 0, batch.slice(cut)
-            held.append(batch)
-            rows += batch.num_rows
-        if held:
-            yield solve(held)
+        for parts in whole_groups(batches, 1, eights("cls"), HELD_ROWS):
+            yield solve(parts)
     return run
 
 
-def _members(least: int, wanted: np.ndarray):
-    """(doc_id, key, text) -> the word sets of lines whose class may be in the filter of wanted classes."""
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+def held_by(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which numbers may be in a filter."""
+    slot = x % np.uint64(FILTER_BITS)
+    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _members(least: int, wanted: np.ndarray, keys: np.ndarray):
+    """(doc_id, key, text) -> the word sets of lines whose class may be in the filter of wanted classes, of rows whose key may be in theirs."""
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        batch = batch.filter(pa.array(held_by(keys, batch.column(1).to_numpy().view(np.uint64))))
+        if not batch.num_rows:
+            return None
         rows, line, cls, sets = [], [], [], []
         for begin, texts in pieces(batch.column(2)):
             for row, number, at, words in line_sets(texts, least):
                 own = class_ids(at, words)
-                slot = own % np.uint64(FILTER_BITS)
-                hit = (wanted[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)
-                for i in np.flatnonzero(hit).tolist():
+                for i in np.flatnonzero(held_by(wanted, own)).tolist():
                     rows.append(begin + int(row[i]))
                     line.append(int(number[i]))
                     cls.append(int(own[i].view(np.int64)))
@@ -377,29 +474,58 @@ def later_matches(order: list[tuple], sets: list[np.ndarray], side: np.ndarray,
     return gone
 
 
+FEW = 24  # lines of a work item that are compared together with those of other items
+
+
+def pair_matches(a: np.ndarray, b: np.ndarray, at: np.ndarray, words: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets ``a[i]`` and ``b[i]`` match."""
+    n, m = np.diff(at)[a], np.diff(at)[b]
+    total, out, begin = np.concatenate([[0], np.cumsum(n + m)]), np.zeros(len(a), dtype=bool), 0
+    while begin < len(a):
+        end = min(begin + (1 << 63 - ID_BITS), max(begin + 1, int(np.searchsorted(total, total[begin] + PART))))
+        end = min(end, len(a))
+        own = slice(begin, end)
+        pair = np.arange(end - begin, dtype=np.uint64) << np.uint64(ID_BITS)
+        key = np.sort(np.concatenate([np.repeat(pair, x[own]) | words[spans(at[s[own]], x[own])] for s, x in ((a, n), (b, m))]))
+        common = np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(ID_BITS)).astype(np.int64), minlength=end - begin)
+        out[own] = 100 * common >= percent * (n[own] + m[own] - common)
+        begin = end
+    return out
+
+
 def _verify(percent: int):
-    """Rows sorted by (grp, low, high) -> classes that an earlier line matches."""
-    def solve(key: tuple, rows: list[tuple]) -> pa.RecordBatch:
-        gone = []
-        if len(rows) > 1:
-            sets = [np.frombuffer(r[5], dtype=np.uint64) for r in rows]
-            side = np.array([int(r[0] == key[2]) for r in rows])
-            gone = [rows[i][1] for i in later_matches([r[2:5] for r in rows], sets, side, percent)]
-        return pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], names=["cls"])
+    """Rows sorted by (grp, low, high) -> lines that an earlier line matches."""
+    def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        grp, low, high, own, cls, doc, key, line = (np.concatenate([p.column(k).to_numpy() for p in parts]) for k in range(8))
+        size = np.concatenate([eights("words")(p) for p in parts])
+        words, begin = np.concatenate([joined(p.column("words"), np.uint64) for p in parts]), np.cumsum(size) - size
+        order = np.lexsort((cls, line, key, doc, high, low, grp))
+        fresh = np.zeros((2, len(order)), dtype=bool)  # where a work item begins, and a line of it (a row of the table may be repeated)
+        fresh[:, 0] = True
+        for k, c in enumerate((grp, low, high, cls)):
+            fresh[k // 3:, 1:] |= c[order][1:] != c[order][:-1]
+        order, first = order[fresh[1]], np.flatnonzero(fresh[0][fresh[1]])
+        at = np.concatenate([[0], np.cumsum(size[order])])
+        words, side = words[spans(begin[order], size[order])], (own == high)[order]
+        gone, count = np.zeros(len(order), dtype=bool), np.diff(np.append(first, len(order)))
+        few = np.repeat(count <= FEW, count)
+        after = np.where(few, np.arange(len(order)) - np.repeat(first, count), 0)  # lines of the item before this one
+        b = np.repeat(np.arange(len(order)), after)
+        a = spans(np.repeat(first, count), after)
+        across = np.repeat(np.logical_or.reduceat(side, first) & ~np.logical_and.reduceat(side, first), count)
+        chosen = ~across[b] | (side[a] != side[b])
+        a, b = a[chosen], b[chosen]
+        gone[b[pair_matches(a, b, at, words, percent)]] = True
+        for i in np.flatnonzero(count > FEW).tolist():
+            rows = range(first[i], first[i] + count[i])
+            found = later_matches([(r,) for r in rows], [words[at[r]:at[r + 1]] for r in rows], side[first[i]:first[i] + count[i]].astype(int), percent)
+            gone[np.array(found, dtype=np.int64) + first[i]] = True
+        order = order[gone]
+        return pa.RecordBatch.from_arrays([pa.array(doc[order]), pa.array(key[order]), pa.array(line[order])], names=PLACE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, seen = None, [], set()
-        for batch in batches:
-            for g, low, high, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (g, low, high) != key:
-                    if rows:
-                        yield solve(key, rows)
-                    key, rows, seen = (g, low, high), [], set()
-                if row[1] not in seen:  # a repeated row of the table
-                    seen.add(row[1])
-                    rows.append(tuple(row))
-        if rows:
-            yield solve(key, rows)
+        for parts in whole_groups(batches, 3, eights("words"), PART):
+            yield solve(parts)
     return run
 
 
@@ -411,43 +537,44 @@ def _gone(docs: DataFrame, percent: int, least: int) -> DataFrame:
     doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     texts = docs.where(F.col("doc_id").isNotNull()).select(doc.alias("doc_id"), row_key(doc, text).alias("key"), text.alias("text"))
     survey = stored(texts.mapInArrow(_survey(least), LINES))
-    lines = survey.where("slots IS NULL").select("doc_id", "key", F.explode(F.arrays_zip("lines", "classes", "sizes")).alias("x")).select(
+    lines = survey.where("part IS NULL").select("doc_id", "key", F.explode(F.arrays_zip("lines", "classes", "sizes")).alias("x")).select(
         "doc_id", "key", F.col("x.lines").alias("line"), F.col("x.classes").alias("cls"), F.col("x.sizes").alias("size"))
-    firsts = stored(lines.groupBy("cls").agg(F.min(F.struct(*PLACE)).alias("first"), F.min("size").alias("size"), F.count("*").alias("n")))
+    places = Window.partitionBy("cls").orderBy(*PLACE)
+    ranked = lines.select("*", F.row_number().over(places).alias("n"), (F.rank().over(places) > 1).alias("later"))
+    ranked = stored(ranked.where("n = 1 OR later").drop("n"))  # of a class the first line, and those that go with any outcome
+    firsts = ranked.where("NOT later")
 
-    # At most SLOTS rows reach the driver, and one byte each goes to the tasks.
+    # At most SLOTS numbers reach the driver, and one byte each goes to the tasks.
     counts = np.zeros(SLOTS, dtype=np.int64)
-    slots = survey.where("slots IS NOT NULL").select(F.explode(F.arrays_zip("slots", "counts")).alias("x"))
-    for batch in slots.groupBy("x.slots").agg(F.sum("x.counts")).toArrow().to_batches():
-        counts[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    rank = rarity(counts)
-
-    prefixes = texts.select("text").mapInArrow(_prefixes(least, percent, rank), PREFIX).repartition("bucket")
-    ties = prefixes.sortWithinPartitions("bucket").mapInArrow(_tie(percent), "a long, b long")
+    slots = survey.where("part IS NOT NULL").select("part", "slots", "counts").repartition("part")
+    for row in slots.mapInArrow(_slot_sums, "part int, sums binary").toArrow().to_pylist():
+        own = np.frombuffer(row["sums"], dtype=np.int64)
+        counts[row["part"] * len(own):(row["part"] + 1) * len(own)] = own
+    rank, ranges = rarity(counts), bucket_ranges(int(counts.sum()), percent)
+
+    prefixes = texts.select("text").mapInArrow(_prefixes(least, percent, rank, ranges), PREFIX).repartition("range")
+    ties = prefixes.sortWithinPartitions("range").mapInArrow(_tie(percent), "a long, b long")
     stars = connected_components(ties, "a", "b")
     groups = stored(stars.union(stars.select("component", "component").distinct()).toDF("cls", "grp").join(firsts, "cls"))
 
-    # A filter of FILTER_BITS over the tied classes spares most lines the way to the next shuffle.
-    slot = groups.select(F.pmod(F.col("cls"), F.lit(FILTER_BITS)).cast("int").alias("slot"))
-    filled = slot.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, slot % 64)")).alias("bits"))
-    wanted = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    # Filters of FILTER_BITS over the tied classes and their rows spare most texts the cutting and most lines the way to the next shuffle.
+    slot = groups.select(F.posexplode(F.array("cls", "key")).alias("kind", "x")).select("kind", (F.col("x").bitwiseAND(FILTER_BITS - 1)).cast("int").alias("slot"))
+    filled = slot.groupBy("kind", F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, slot % 64)")).alias("bits"))
+    wanted = np.zeros((2, FILTER_BITS // 64), dtype=np.uint64)
     for batch in filled.toArrow().to_batches():
-        wanted[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
-    sets = texts.mapInArrow(_members(least, wanted), "doc_id long, key long, line int, cls long, words binary")
+        wanted[batch.column(0).to_numpy(), batch.column(1).to_numpy()] = batch.column(2).to_numpy().view(np.uint64)
+    sets = texts.mapInArrow(_members(least, *wanted), "doc_id long, key long, line int, cls long, words binary")
     blocks = groups.groupBy("grp").agg(F.ceil(F.sum("size") / F.lit(BLOCK_WORDS)).cast("int").alias("blocks"))
     placed = groups.join(blocks, "grp").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("grp", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "cls",
-                           *(F.col(f"first.{c}").alias(c) for c in PLACE))
+    placed = placed.select("grp", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "cls", *PLACE)
     items = placed.join(sets, ["cls", *PLACE]).select("grp", "low", "high", "own", "cls", *PLACE, "words")
-    gone = items.repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high").mapInArrow(_verify(percent), "cls long").distinct()
-
-    # Of a class with one line left here, that line goes only with its class.
-    marked = firsts.join(gone.withColumn("gone", F.lit(True)), "cls", "left").where((F.col("n") > 1) | F.col("gone"))
-    later = F.struct(*PLACE) != F.col("first")
-    found = lines.select(*PLACE, "cls").join(marked.select("cls", "first", "gone"), "cls").where(F.coalesce("gone", later)).select(*PLACE)
-    sure = survey.where("slots IS NULL").select("doc_id", "key", F.explode("gone").alias("line"))
-    return found.union(sure)
+    gone = items.repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high").mapInArrow(
+        _verify(percent), "doc_id long, key long, line int")
+
+    # The first line of a class goes if its set is matched, the others go anyway.
+    sure = survey.where("part IS NULL").select("doc_id", "key", F.explode("gone").alias("line"))
+    return gone.union(ranked.where("later").select(*PLACE)).union(sure)
 
 
 def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 1) -> DataFrame:

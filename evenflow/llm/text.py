@@ -33,6 +33,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z in lower case; arithmetic on bytes is far quicker than a look-up."""
+    return data | (((data - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5))
+
+
 def distinct(x: np.ndarray) -> np.ndarray:
     """Sorted distinct values; sorting is far quicker here than the hashing of ``np.unique``."""
     x = np.sort(x)
@@ -70,7 +75,7 @@ class Texts:
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First byte and end of every word, and for row i its words ``rows[i]:rows[i + 1]``."""
-        word, edge = ~SPACE[self.data], self.edges()
+        word, edge = (self.data != 32) & ((self.data - np.uint8(9)) > 4), self.edges()
         first = word.copy()
         first[1:] &= ~word[:-1] | edge[1:-1]
         last = word.copy()
